@@ -146,3 +146,174 @@ def oracle_sql() -> dict[str, str]:
     for key, cte in _PATTERN_CTE.items():
         out[key] = rounded(_q(f"SELECT * FROM {cte}"), KINDS[key])
     return out
+
+
+# ---------------------------------------------------------------- second stage
+
+FILTER_YEARS = [1996, 1998]
+FILTER_MONTHS = [1, 2, 12]
+FILTER_BINS = ["Below 0°C", "0-5°C", "5-10°C"]
+FILTER_TARIFFS = ["Std", "ToU"]
+FILTER_ACORNS = ["ACORN-A", "ACORN-C", "ACORN-F", "ACORN-K", "ACORN-Q"]
+
+
+def _in(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
+def _labels_sql(n: int) -> str:
+    _, labels = QUANTILE_SCHEMES[n]
+    vals = ", ".join(f"({i}, '{lab}')" for i, lab in enumerate(labels))
+    return f'SELECT * FROM (VALUES {vals}) AS v("order", quantile_group)'
+
+
+def _quantile_ctes(n: int, metric: str = "energy_mean") -> list[tuple[str, str]]:
+    qs, labels = QUANTILE_SCHEMES[n]
+    qlist = ", ".join(f"CAST({q} AS DOUBLE)" for q in qs)
+    whens = " ".join(f"WHEN {metric} <= e[{i + 2}] THEN '{lab}'" for i, lab in enumerate(labels))
+    return [
+        ("edges", f"SELECT quantile_cont({metric}, [{qlist}]) AS e FROM p_household"),
+        ("lab", f"SELECT p.*, CASE WHEN {metric} IS NULL THEN NULL {whens} END AS quantile_group "
+                f"FROM p_household AS p, edges"),
+        ("labels", _labels_sql(n)),
+    ]
+
+
+def _consumer_groups_ctes(n: int) -> list[tuple[str, str]]:
+    return _quantile_ctes(n) + [
+        ("summ", """SELECT quantile_group, avg(energy_mean) AS energy_mean, avg(energy_median) AS energy_median,
+       avg(energy_max) AS energy_max, avg(energy_sum) AS energy_sum,
+       sum(household_count) AS household_count,
+       avg(CASE WHEN stdorToU = 'ToU' THEN CAST(100 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS tou
+FROM lab WHERE quantile_group IS NOT NULL GROUP BY 1"""),
+        ("cg", """SELECT l.quantile_group, s.energy_mean, s.energy_median, s.energy_max, s.energy_sum,
+       coalesce(s.household_count, 0) AS household_count,
+       coalesce(CAST(round_even(s.tou, 1) AS VARCHAR), 'nan') || '% ToU' AS stdorToU, l."order"
+FROM labels AS l LEFT JOIN summ AS s ON l.quantile_group = s.quantile_group"""),
+    ]
+
+
+CG_KINDS = [("quantile_group", "s"), ("energy_mean", "d"), ("energy_median", "d"),
+            ("energy_max", "d"), ("energy_sum", "d"), ("household_count", "l"),
+            ("stdorToU", "s"), ("order", "i")]
+
+
+def _second_stage() -> dict[str, str]:
+    out: dict[str, str] = {}
+    q = lambda extra, final, kinds: rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
+    out["filtered_projection"] = q([], f"""SELECT year, month, month_name, temp_bin, energy_mean, days_count
+FROM p_temperature WHERE year IN ({_in(FILTER_YEARS)}) AND month IN ({_in(FILTER_MONTHS)})
+  AND temp_bin IN ({_in(FILTER_BINS)})""",
+        [("year", "i"), ("month", "i"), ("month_name", "s"), ("temp_bin", "s"),
+         ("energy_mean", "d"), ("days_count", "l")])
+    out["segment_points"] = q([], f"""SELECT Acorn_grouped, stdorToU, energy_mean, energy_max, energy_median,
+       household_count, days_count
+FROM p_household WHERE stdorToU IN ({_in(FILTER_TARIFFS)}) AND Acorn IN ({_in(FILTER_ACORNS)})""",
+        [("Acorn_grouped", "s"), ("stdorToU", "s"), ("energy_mean", "d"), ("energy_max", "d"),
+         ("energy_median", "d"), ("household_count", "l"), ("days_count", "l")])
+    out["yearly_view"] = q([], "SELECT year, hour, energy_mean FROM p_hourly",
+                           [("year", "i"), ("hour", "i"), ("energy_mean", "d")])
+    out["aggregated_view_hourly"] = q([], "SELECT hour, avg(energy_mean) AS energy_mean FROM p_hourly GROUP BY 1",
+                                      [("hour", "i"), ("energy_mean", "d")])
+    out["aggregated_view_daily"] = q([], """SELECT weekday, weekday_name, avg(energy_mean) AS energy_mean
+FROM p_daily GROUP BY 1, 2""", [("weekday", "i"), ("weekday_name", "s"), ("energy_mean", "d")])
+    out["aggregated_view_weekly"] = q([], "SELECT week, avg(energy_mean) AS energy_mean FROM p_weekly GROUP BY 1",
+                                      [("week", "i"), ("energy_mean", "d")])
+    out["aggregated_view_seasonal"] = q([], """SELECT season, week, avg(energy_mean) AS energy_mean
+FROM p_seasonal GROUP BY 1, 2""", [("season", "s"), ("week", "i"), ("energy_mean", "d")])
+    out["bar_view_seasonal"] = q([], """SELECT year, season, avg(energy_mean) AS energy_mean_avg
+FROM p_seasonal GROUP BY 1, 2""", [("year", "i"), ("season", "s"), ("energy_mean_avg", "d")])
+    out["bar_view_weekend"] = q([], """SELECT year, is_weekend, avg(energy_mean) AS energy_mean_avg
+FROM p_weekend GROUP BY 1, 2""", [("year", "i"), ("is_weekend", "b"), ("energy_mean_avg", "d")])
+    out["tariff_overall"] = q([], """SELECT stdorToU, avg(energy_mean) AS energy_mean,
+       sum(household_count) AS household_count, sum(days_count) AS days_count
+FROM p_household GROUP BY 1""", [("stdorToU", "s"), ("energy_mean", "d"), ("household_count", "l"),
+                                 ("days_count", "l")])
+    out["acorn_ranking"] = q([], """SELECT Acorn_grouped, avg(energy_mean) AS energy_mean,
+       sum(household_count) AS household_count
+FROM p_household GROUP BY 1""", [("Acorn_grouped", "s"), ("energy_mean", "d"), ("household_count", "l")])
+    out["segment_kpis"] = q([], """SELECT coalesce(sum(household_count), 0) AS total_households,
+       count(DISTINCT stdorToU) + coalesce(max(CASE WHEN stdorToU IS NULL THEN 1 ELSE 0 END), 0) AS tariff_types,
+       count(DISTINCT Acorn_grouped) + coalesce(max(CASE WHEN Acorn_grouped IS NULL THEN 1 ELSE 0 END), 0) AS acorn_groups,
+       avg(energy_mean) AS avg_energy
+FROM p_household""", [("total_households", "l"), ("tariff_types", "l"), ("acorn_groups", "l"),
+                      ("avg_energy", "d")])
+    for n in (2, 3, 4, 5):
+        out[f"consumer_groups_{n}"] = q(_consumer_groups_ctes(n), "SELECT * FROM cg", CG_KINDS)
+    out["metrics_long"] = q(_consumer_groups_ctes(3), """SELECT quantile_group, "order", 'energy_mean' AS variable,
+       energy_mean AS value FROM cg
+UNION ALL
+SELECT quantile_group, "order", 'energy_median', energy_median FROM cg""",
+        [("quantile_group", "s"), ("order", "i"), ("variable", "s"), ("value", "d")])
+    out["consumer_group_mix"] = q(_quantile_ctes(3) + [
+        ("grid", """SELECT g.Acorn_grouped, l."order", l.quantile_group
+FROM (SELECT DISTINCT Acorn_grouped FROM p_household) AS g CROSS JOIN labels AS l"""),
+        ("cnt", """SELECT quantile_group, Acorn_grouped, count(*) AS count FROM lab
+WHERE quantile_group IS NOT NULL GROUP BY 1, 2"""),
+        ("dense", """SELECT grid.quantile_group, grid.Acorn_grouped, coalesce(cnt.count, 0) AS count, grid."order"
+FROM grid LEFT JOIN cnt ON grid.quantile_group = cnt.quantile_group AND grid.Acorn_grouped = cnt.Acorn_grouped"""),
+    ], """SELECT quantile_group, Acorn_grouped, count,
+       round_even(count / nullif(sum(count) OVER (PARTITION BY quantile_group), 0) * 100, 1) AS percentage,
+       "order"
+FROM dense""", [("quantile_group", "s"), ("Acorn_grouped", "s"), ("count", "l"), ("percentage", "d"),
+                ("order", "i")])
+    out["segment_hierarchy"] = q([], """SELECT Acorn_grouped, stdorToU,
+       CASE WHEN grouping(stdorToU) = 0 THEN 'tariff' ELSE 'group' END AS level,
+       sum(household_count) AS household_count,
+       sum(energy_mean * household_count) / nullif(sum(household_count), 0) AS energy_mean
+FROM p_household GROUP BY GROUPING SETS ((Acorn_grouped), (Acorn_grouped, stdorToU))""",
+        [("Acorn_grouped", "s"), ("stdorToU", "s"), ("level", "s"), ("household_count", "l"),
+         ("energy_mean", "d")])
+    out["temp_bin_summary"] = q([], f"""SELECT temp_bin, count(*) AS count, min(avg_temperature) AS min_temp,
+       max(avg_temperature) AS max_temp, avg(avg_temperature) AS avg_temp
+FROM p_temperature WHERE temp_bin IN ({_in(TEMP_BINS)}) GROUP BY 1""",
+        [("temp_bin", "s"), ("count", "l"), ("min_temp", "d"), ("max_temp", "d"), ("avg_temp", "d")])
+    qn = ["q_min", "q1", "median", "q3", "q_max"]
+    qsel = ", ".join(f"quantile_cont(energy_mean, {p}) AS {n}"
+                     for p, n in zip(("0.0", "0.25", "0.5", "0.75", "1.0"), qn))
+    out["temp_box"] = q([
+        ("bq", f"SELECT temp_bin, month_name, count(energy_mean) AS n, {qsel} FROM p_temperature GROUP BY 1, 2"),
+        ("bw", """SELECT t.temp_bin, t.month_name,
+       min(CASE WHEN t.energy_mean >= bq.q1 - 1.5 * (bq.q3 - bq.q1) THEN t.energy_mean END) AS lower_whisker,
+       max(CASE WHEN t.energy_mean <= bq.q3 + 1.5 * (bq.q3 - bq.q1) THEN t.energy_mean END) AS upper_whisker
+FROM p_temperature AS t JOIN bq ON t.temp_bin = bq.temp_bin AND t.month_name = bq.month_name
+GROUP BY 1, 2"""),
+    ], """SELECT bq.temp_bin, bq.month_name, bq.n, bq.q_min, bq.q1, bq.median, bq.q3, bq.q_max,
+       bw.lower_whisker, bw.upper_whisker
+FROM bq JOIN bw ON bq.temp_bin = bw.temp_bin AND bq.month_name = bw.month_name""",
+        [("temp_bin", "s"), ("month_name", "s"), ("n", "l")] + [(n, "d") for n in qn]
+        + [("lower_whisker", "d"), ("upper_whisker", "d")])
+    out["temp_histogram"] = q([
+        ("st", "SELECT min(avg_temperature) AS lo, max(avg_temperature) AS hi FROM p_temperature"),
+        ("hb", """SELECT CASE WHEN st.hi - st.lo = 0 THEN 1
+            ELSE least(CAST(floor((t.avg_temperature - st.lo) * 20 / (st.hi - st.lo)) AS INTEGER) + 1, 20) END AS bucket
+FROM p_temperature AS t, st WHERE t.avg_temperature IS NOT NULL"""),
+        ("hc", "SELECT bucket, count(*) AS count FROM hb GROUP BY 1"),
+        ("hg", "SELECT CAST(r.range AS INTEGER) AS bucket, st.lo, st.hi FROM st, range(1, 21) AS r WHERE st.lo IS NOT NULL"),
+    ], """SELECT hg.bucket, hg.lo + ((hg.bucket - 1) * (hg.hi - hg.lo)) / 20 AS bin_start,
+       hg.lo + (hg.bucket * (hg.hi - hg.lo)) / 20 AS bin_end, coalesce(hc.count, 0) AS count
+FROM hg LEFT JOIN hc ON hg.bucket = hc.bucket""",
+        [("bucket", "i"), ("bin_start", "d"), ("bin_end", "d"), ("count", "l")])
+    piv = ", ".join(f"avg(energy) FILTER (WHERE temp_bin = '{b}') AS \"{b}\"" for b in TEMP_BINS)
+    out["hour_temp_pivot"] = q([], f"SELECT hour, {piv} FROM p_temp_hourly GROUP BY 1",
+                               [("hour", "i")] + [(b, "d") for b in TEMP_BINS])
+    out["peak_hour"] = q([], """SELECT hour, avg(energy) AS energy FROM p_temp_hourly
+GROUP BY 1 ORDER BY energy DESC, hour LIMIT 1""", [("hour", "i"), ("energy", "d")])
+    out["humidity_corr"] = q([], "SELECT corr(energy, avg_humidity) AS humidity_corr FROM p_temp_hourly",
+                             [("humidity_corr", "d")])
+    out["weather_kpis"] = q([], """SELECT avg(avg_temperature) AS avg_temperature,
+       count(DISTINCT temp_bin) AS temp_ranges FROM p_temp_hourly""",
+        [("avg_temperature", "d"), ("temp_ranges", "l")])
+    out["distinct_filters"] = q([], """SELECT DISTINCT 'acorn' AS filter, Acorn AS value FROM p_household
+UNION
+SELECT DISTINCT 'temp_bin', temp_bin FROM p_temperature""", [("filter", "s"), ("value", "s")])
+    return out
+
+
+_base_oracle_sql = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle_sql()
+    out.update(_second_stage())
+    return out

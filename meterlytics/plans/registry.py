@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import patterns as P
+from ..operators import segments as SG
+from ..operators import views as V
+from ..operators import weather as WX
+from . import oracle as O
 from ..sources.catalog import Sources, load_sources
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +80,33 @@ def temperature_hourly(spark, sf_dir):
                                 weather_rows=s.row_count("weather_hourly"))
 
 
+# ---------------------------------------------------------------- second stage
+
+def filtered_projection(spark, sf_dir):
+    te = P.temperature_energy(src(spark, sf_dir).daily, src(spark, sf_dir).weather_daily,
+                              years=O.FILTER_YEARS,
+                              weather_rows=src(spark, sf_dir).row_count("weather_daily"))
+    return P.finish(WX.filter_weather(te, O.FILTER_MONTHS, O.FILTER_BINS), None,
+                    ["year", "month", "month_name", "temp_bin", "energy_mean", "days_count"])
+
+
+def segment_points(spark, sf_dir):
+    return SG.segment_points(SG.filter_segments(household(spark, sf_dir),
+                                                O.FILTER_TARIFFS, O.FILTER_ACORNS))
+
+
+def second(fn, base):
+    def run(spark, sf_dir):
+        return fn(base(spark, sf_dir))
+    run.__name__ = getattr(fn, "__name__", "second")
+    return run
+
+
+def distinct_filters(spark, sf_dir):
+    return (V.distinct_values(household(spark, sf_dir), "Acorn", "acorn")
+            .unionByName(V.distinct_values(temperature(spark, sf_dir), "temp_bin", "temp_bin")))
+
+
 RAW: dict[str, Builder] = {
     "hourly_patterns": hourly,
     "daily_patterns": daily,
@@ -85,6 +116,35 @@ RAW: dict[str, Builder] = {
     "household_patterns": household,
     "temperature_energy": temperature,
     "temperature_hourly": temperature_hourly,
+    "filtered_projection": filtered_projection,
+    "segment_points": segment_points,
+    "yearly_view": second(lambda d: V.yearly_view(d, "hour", "energy_mean", sort_by=["year", "hour"]), hourly),
+    "aggregated_view_hourly": second(lambda d: V.aggregated_view(d, "hour", "energy_mean", sort_by="hour"), hourly),
+    "aggregated_view_daily": second(lambda d: V.aggregated_view(
+        d, "weekday", "energy_mean", ["weekday", "weekday_name"], "weekday"), daily),
+    "aggregated_view_weekly": second(lambda d: V.aggregated_view(d, "week", "energy_mean", sort_by="week"), weekly),
+    "aggregated_view_seasonal": second(lambda d: V.aggregated_view(
+        d, "week", "energy_mean", ["season", "week"], ["season", "week"]), seasonal),
+    "bar_view_seasonal": second(lambda d: V.bar_view(d, "energy_mean", ["year", "season"]), seasonal),
+    "bar_view_weekend": second(lambda d: V.bar_view(d, "energy_mean", ["year", "is_weekend"]), weekend),
+    "tariff_overall": second(SG.tariff_overall, household),
+    "acorn_ranking": second(SG.acorn_ranking, household),
+    "segment_kpis": second(SG.segment_kpis, household),
+    "consumer_groups_2": second(lambda d: SG.consumer_groups(d, "energy_mean", 2), household),
+    "consumer_groups_3": second(lambda d: SG.consumer_groups(d, "energy_mean", 3), household),
+    "consumer_groups_4": second(lambda d: SG.consumer_groups(d, "energy_mean", 4), household),
+    "consumer_groups_5": second(lambda d: SG.consumer_groups(d, "energy_mean", 5), household),
+    "metrics_long": second(lambda d: SG.metrics_long(SG.consumer_groups(d, "energy_mean", 3)), household),
+    "consumer_group_mix": second(lambda d: SG.consumer_group_mix(d, "energy_mean", 3), household),
+    "segment_hierarchy": second(SG.segment_hierarchy, household),
+    "temp_bin_summary": second(WX.temp_bin_summary, temperature),
+    "temp_box": second(WX.temp_box, temperature),
+    "temp_histogram": second(WX.temp_histogram, temperature),
+    "hour_temp_pivot": second(WX.hour_temp_pivot, temperature_hourly),
+    "peak_hour": second(WX.peak_hour, temperature_hourly),
+    "humidity_corr": second(WX.humidity_corr, temperature_hourly),
+    "weather_kpis": second(WX.weather_kpis, temperature_hourly),
+    "distinct_filters": distinct_filters,
 }
 
 
