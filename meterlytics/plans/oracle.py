@@ -141,13 +141,6 @@ def _q(final: str) -> str:
     return with_ctes(PATTERN_CTES, final)
 
 
-def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for key, cte in _PATTERN_CTE.items():
-        out[key] = rounded(_q(f"SELECT * FROM {cte}"), KINDS[key])
-    return out
-
-
 # ---------------------------------------------------------------- second stage
 
 FILTER_YEARS = [1996, 1998]
@@ -310,10 +303,81 @@ SELECT DISTINCT 'temp_bin', temp_bin FROM p_temperature""", [("filter", "s"), ("
     return out
 
 
-_base_oracle_sql = oracle_sql
+# ---------------------------------------------------------------- profiles / features
+
+PROFILE_GROUP = "Comfortable"
+PROFILE_YEARS = (1996, 1999)
 
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle_sql()
+def _micro(list_expr: str) -> str:
+    return (f"array_to_string(list_transform({list_expr}, "
+            f"lambda x: CAST(CAST(round(x * 1000000.0) AS BIGINT) AS VARCHAR)), '|')")
+
+
+def _profile_ctes() -> list[tuple[str, str]]:
+    hh = "[" + ", ".join(f"hh_{i}" for i in range(48)) + "]"
+    lo, hi = PROFILE_YEARS
+    return [
+        ("members", f"""SELECT DISTINCT LCLid FROM households
+WHERE file IN (SELECT file FROM households WHERE Acorn_grouped = '{PROFILE_GROUP}')"""),
+        ("wd", f"""SELECT {WTS} AS dt, avg(temperatureMax) AS avg_temperature, avg(humidity) AS avg_humidity
+FROM weather_daily GROUP BY 1"""),
+        ("hol", "SELECT CAST(holiday AS DATE) AS hd, true AS is_holiday FROM holidays"),
+        ("pbase", f"""SELECT hh.*, {DATE} AS dt FROM half_hourly AS hh
+WHERE LCLid IN (SELECT LCLid FROM members) AND year({DATE}) BETWEEN {lo} AND {hi}"""),
+        ("prof", f"""SELECT b.LCLid, b.day, CAST(isodow(b.dt) AS INTEGER) AS day_of_week,
+       (isodow(b.dt) >= 5 OR coalesce(hol.is_holiday, false)) AS is_weekend,
+       wd.avg_temperature, wd.avg_humidity, CAST((month(b.dt) % 12) // 3 AS INTEGER) AS season,
+       list_filter({hh}, lambda x: x IS NOT NULL) AS hh
+FROM pbase AS b LEFT JOIN hol ON b.dt = hol.hd LEFT JOIN wd ON b.dt = wd.dt"""),
+    ]
+
+
+def _feature_ctes() -> list[tuple[str, str]]:
+    def z(c: str) -> str:
+        return (f"CASE WHEN zs.{c}_sd < 1e-7 THEN coalesce({c}, zs.{c}_m) - zs.{c}_mf "
+                f"ELSE (coalesce({c}, zs.{c}_m) - zs.{c}_mf) / zs.{c}_sd END")
+
+    def onehot(idx: str, n: int) -> str:
+        return (f"list_transform(range({n}), lambda i: CASE WHEN i = least(greatest({idx}, 0), {n - 1}) "
+                f"THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")
+    return _profile_ctes() + [
+        ("modal", """SELECT n FROM (SELECT len(hh) AS n, count(*) AS c FROM prof GROUP BY 1) AS t
+ORDER BY c DESC, n ASC LIMIT 1"""),
+        ("dw", "SELECT min(day_of_week) AS mn, max(day_of_week) AS mx FROM prof"),
+        ("zm", """SELECT coalesce(avg(avg_temperature), 0) AS avg_temperature_m,
+       coalesce(avg(avg_humidity), 0) AS avg_humidity_m FROM prof"""),
+        ("zs", """SELECT zm.avg_temperature_m, zm.avg_humidity_m,
+       avg(coalesce(p.avg_temperature, zm.avg_temperature_m)) AS avg_temperature_mf,
+       avg(coalesce(p.avg_humidity, zm.avg_humidity_m)) AS avg_humidity_mf,
+       stddev_pop(coalesce(p.avg_temperature, zm.avg_temperature_m)) AS avg_temperature_sd,
+       stddev_pop(coalesce(p.avg_humidity, zm.avg_humidity_m)) AS avg_humidity_sd
+FROM prof AS p, zm GROUP BY zm.avg_temperature_m, zm.avg_humidity_m"""),
+        ("feat", f"""SELECT p.LCLid, p.day,
+       list_resize(p.hh, modal.n, CAST(0 AS DOUBLE)) AS reading,
+       list_concat({onehot("p.day_of_week - CASE WHEN dw.mn >= 1 AND dw.mx <= 7 THEN 1 ELSE 0 END", 7)},
+                   {onehot("CAST(p.is_weekend AS INTEGER)", 2)}, {onehot("p.season", 4)},
+                   [{z("p.avg_temperature").replace("zs.p.", "zs.")}, {z("p.avg_humidity").replace("zs.p.", "zs.")}]) AS cond
+FROM prof AS p, modal, dw, zs"""),
+    ]
+
+
+def _features_stage() -> dict[str, str]:
+    out: dict[str, str] = {}
+    q = lambda extra, final, kinds: rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
+    out["acorn_profiles"] = q(_profile_ctes(), f"""SELECT LCLid, day, day_of_week, is_weekend, avg_temperature,
+       avg_humidity, season, len(hh) AS n_readings, {_micro("hh")} AS hh_consumption FROM prof""",
+        [("LCLid", "s"), ("day", "s"), ("day_of_week", "i"), ("is_weekend", "b"),
+         ("avg_temperature", "d"), ("avg_humidity", "d"), ("season", "i"), ("n_readings", "i"),
+         ("hh_consumption", "s")])
+    out["features"] = q(_feature_ctes(), f"""SELECT LCLid, day, len(reading) AS reading_len,
+       {_micro("reading")} AS reading, {_micro("cond")} AS cond FROM feat""",
+        [("LCLid", "s"), ("day", "s"), ("reading_len", "i"), ("reading", "s"), ("cond", "s")])
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {key: rounded(_q(f"SELECT * FROM {cte}"), KINDS[key]) for key, cte in _PATTERN_CTE.items()}
     out.update(_second_stage())
+    out.update(_features_stage())
     return out

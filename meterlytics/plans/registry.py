@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import features as FE
 from ..operators import patterns as P
+from ..operators import profiles as PR
 from ..operators import segments as SG
 from ..operators import views as V
 from ..operators import weather as WX
@@ -107,6 +109,30 @@ def distinct_filters(spark, sf_dir):
             .unionByName(V.distinct_values(temperature(spark, sf_dir), "temp_bin", "temp_bin")))
 
 
+# ---------------------------------------------------------------- profiles / features
+
+def profiles(spark, sf_dir, group: str = O.PROFILE_GROUP, years=O.PROFILE_YEARS):
+    s = src(spark, sf_dir)
+    return PR.daily_profiles(s.half_hourly, s.households, s.holidays, s.weather_daily,
+                             group, years, households_rows=s.row_count("households"),
+                             holiday_rows=s.row_count("holidays"),
+                             weather_rows=s.row_count("weather_daily"))
+
+
+def acorn_profiles(spark, sf_dir):
+    p = profiles(spark, sf_dir)
+    return p.select("LCLid", "day", "day_of_week", "is_weekend", "avg_temperature",
+                    "avg_humidity", "season", F.size("hh_consumption").alias("n_readings"),
+                    FE.micro_text("hh_consumption").alias("hh_consumption"))
+
+
+def features(spark, sf_dir):
+    f = FE.build_features(profiles(spark, sf_dir))
+    return f.select("LCLid", "day", F.size("reading").alias("reading_len"),
+                    FE.micro_text("reading").alias("reading"),
+                    FE.micro_text("cond").alias("cond"))
+
+
 RAW: dict[str, Builder] = {
     "hourly_patterns": hourly,
     "daily_patterns": daily,
@@ -145,6 +171,8 @@ RAW: dict[str, Builder] = {
     "humidity_corr": second(WX.humidity_corr, temperature_hourly),
     "weather_kpis": second(WX.weather_kpis, temperature_hourly),
     "distinct_filters": distinct_filters,
+    "acorn_profiles": acorn_profiles,
+    "features": features,
 }
 
 
