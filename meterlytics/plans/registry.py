@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import features as FE
+from ..operators import model as M
 from ..operators import patterns as P
 from ..operators import profiles as PR
 from ..operators import segments as SG
@@ -133,6 +134,48 @@ def features(spark, sf_dir):
                     FE.micro_text("cond").alias("cond"))
 
 
+# ---------------------------------------------------------------- model
+
+FIXED_WEIGHT_SEED = 7          # deterministic weights for the scoring keys
+ANOMALY_THRESHOLD = 0.1
+
+
+def _scored_fixed(spark, sf_dir, unconditional: bool = False):
+    f = FE.build_features(profiles(spark, sf_dir))
+    if unconditional:
+        f = M.without_conditions(f)
+    cfg = M.infer_dims(f, M.AEConfig())
+    return M.reconstruct(f, M.init_params(cfg, FIXED_WEIGHT_SEED), cfg)
+
+
+def reconstruction_fixed(spark, sf_dir):
+    return M.row_errors(_scored_fixed(spark, sf_dir))
+
+
+def anomaly_slots(spark, sf_dir):
+    return M.anomaly_slots(_scored_fixed(spark, sf_dir), ANOMALY_THRESHOLD)
+
+
+def reconstruction_error(spark, sf_dir):
+    return M.reconstruction_error(_scored_fixed(spark, sf_dir))
+
+
+def _train(spark, sf_dir, unconditional: bool):
+    f = FE.build_features(profiles(spark, sf_dir))
+    if unconditional:
+        f = M.without_conditions(f)
+    _, _, history = M.train(f, M.AEConfig())
+    return M.history_frame(spark, history)
+
+
+def train_autoencoder(spark, sf_dir):
+    return _train(spark, sf_dir, False)
+
+
+def train_autoencoder_unconditional(spark, sf_dir):
+    return _train(spark, sf_dir, True)
+
+
 RAW: dict[str, Builder] = {
     "hourly_patterns": hourly,
     "daily_patterns": daily,
@@ -173,6 +216,11 @@ RAW: dict[str, Builder] = {
     "distinct_filters": distinct_filters,
     "acorn_profiles": acorn_profiles,
     "features": features,
+    "reconstruction_fixed": reconstruction_fixed,
+    "anomaly_slots": anomaly_slots,
+    "reconstruction_error": reconstruction_error,
+    "train_autoencoder": train_autoencoder,
+    "train_autoencoder_unconditional": train_autoencoder_unconditional,
 }
 
 
