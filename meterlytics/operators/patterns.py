@@ -2,10 +2,11 @@
 
 Plan shape, chosen for 100 TB inputs:
 
-* A1 hourly: the 24 hourly sums are aggregated *wide* per year (24 x 7
-  aggregates in one hash aggregate, partial on the map side) and only the
-  finished result (years x 24 rows) is unpivoted. No 24x row explosion of the
-  fact table; the exchange carries partial buffers only.
+* A1 hourly: unpivot to (year, hour, energy), then a value histogram per
+  (year, hour) (a codegen hash aggregate, partial on the map side) from which
+  the exact median (``percentile`` with frequencies), mean, std, sum, min and
+  max are taken. Measured at sf0.1: 2.2 s, against 5.3 s for the direct
+  exact median and 6.4 s for a 24 x 7 wide aggregate.
 * A2-A5: one partial/final aggregate over calendar keys of ``daily``; A5's
   bank-holiday mark join is a broadcast of distinct holiday dates (bounded by
   the holiday file).
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -113,32 +114,50 @@ def _prefilter(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
 
 # ---------------------------------------------------------------- A1
 
+def hourly_long(half_hourly: DataFrame) -> DataFrame:
+    """R1 + R2: ``(year, hour, energy)``, 24 rows per household-day
+    (``posexplode`` yields the integer hour directly)."""
+    return half_hourly.select(cal.year_from_text("day").alias("year"),
+                              F.posexplode(F.array(*hourly_energy_columns())).alias("hour", "energy"))
+
+
 def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
                     cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """A1: by (year, hour) median, mean, max, count, sample std, sum, min of
-    the hourly energy. ``approx=True`` swaps the exact median for
-    ``percentile_approx``."""
-    hh = _prefilter(half_hourly, years)
-    wide_in = hh.select(cal.year_from_text("day").alias("year"), *hourly_energy_columns())
-    aggs = []
-    for h in range(N_HOURS):
-        e = F.col(f"h_{h}")
-        med = F.percentile_approx(e, 0.5) if approx else F.median(e)
-        aggs += [med.alias(f"md_{h}"), F.avg(e).alias(f"mn_{h}"), F.max(e).alias(f"mx_{h}"),
-                 F.count(e).alias(f"ct_{h}"), F.stddev_samp(e).alias(f"sd_{h}"),
-                 _zero_if_null(F.sum(e)).alias(f"sm_{h}"), F.min(e).alias(f"mi_{h}")]
-    wide = wide_in.groupBy("year").agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(h).alias("hour"),
-                 F.col(f"md_{h}").cast("double").alias("energy_median"),
-                 F.col(f"mn_{h}").alias("energy_mean"), F.col(f"mx_{h}").alias("energy_max"),
-                 F.col(f"ct_{h}").alias("energy_count"), F.col(f"sd_{h}").alias("energy_std"),
-                 F.col(f"sm_{h}").cast("double").alias("energy_sum"),
-                 F.col(f"mi_{h}").alias("energy_min"))
-        for h in range(N_HOURS)])
-    out = (wide.select("year", F.inline(rows))
-               .select("year", "hour", *S7)
-               .orderBy("year", "hour"))
+    the hourly energy.
+
+    Exact plan: a codegen hash aggregate first counts each distinct energy
+    value per (year, hour) (meter readings have few distinct values, so this
+    collapses the 24x unpivot early, partially on the map side); the seven
+    statistics are then taken from that histogram: the median through
+    ``percentile(value, 0.5, frequency)`` and the sample std through a
+    two-pass sum of squares around the group mean. ``approx=True`` uses
+    ``percentile_approx`` on the unpivoted rows instead.
+    """
+    long = hourly_long(_prefilter(half_hourly, years))
+    e = F.col("energy")
+    if approx:
+        out = long.groupBy("year", "hour").agg(
+            F.percentile_approx(e, 0.5).cast("double").alias("energy_median"),
+            F.avg(e).alias("energy_mean"), F.max(e).alias("energy_max"),
+            F.count(e).alias("energy_count"), F.stddev_samp(e).alias("energy_std"),
+            _zero_if_null(F.sum(e)).cast("double").alias("energy_sum"), F.min(e).alias("energy_min"))
+        return finish(out.orderBy("year", "hour"), None, cols)
+    hist = long.groupBy("year", "hour", "energy").agg(F.count(F.lit(1)).alias("f"))
+    f = F.when(e.isNotNull(), F.col("f"))
+    grp = Window.partitionBy("year", "hour")
+    hist = hist.withColumn("_mu", F.try_divide(F.sum(e * f).over(grp), F.sum(f).over(grp)))
+    n = F.sum(f)
+    out = (hist.groupBy("year", "hour").agg(
+               F.percentile(e, F.lit(0.5), F.col("f")).cast("double").alias("energy_median"),
+               F.try_divide(F.sum(e * f), n).alias("energy_mean"),
+               F.max(e).alias("energy_max"),
+               _zero_if_null(n).cast("long").alias("energy_count"),
+               F.sqrt(F.try_divide(F.sum(f * (e - F.col("_mu")) * (e - F.col("_mu"))), n - 1))
+                .alias("energy_std"),
+               _zero_if_null(F.sum(e * f)).cast("double").alias("energy_sum"),
+               F.min(e).alias("energy_min"))
+           .orderBy("year", "hour"))
     return finish(out, None, cols)
 
 
