@@ -19,6 +19,7 @@ import hashlib
 import json
 import os
 import threading
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,33 +73,43 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> Sources:
 
 
 def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sources:
-    """Materialise (once per input fingerprint) and return the source tables."""
+    """Materialise (once per input fingerprint) and return the source tables.
+
+    The six derivations are independent jobs, submitted from a thread pool so
+    that the scheduler interleaves their tasks (each is small at low scale).
+    """
     sf_dir = sf_dir.rstrip("/")
     key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
         if not refresh and key in _MEMO:
             return _MEMO[key]
         root = f"{shared_root(spark)}/meterlytics/sources/{_fingerprint(sf_dir)}"
-        tables: dict[str, DataFrame] = {}
-        rows: dict[str, int] = {}
-        for t in TABLES:
+
+        def one(t: str) -> tuple[str, DataFrame, int]:
             path = f"{root}/{t}"
             manifest = f"{path}.rows.json"
             if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
-                df = fixtures.BUILDERS[t](spark, sf_dir)
-                df.write.mode("overwrite").parquet(path)
-            tables[t] = spark.read.schema(SOURCE_SCHEMAS[t]).parquet(path)
+                fixtures.BUILDERS[t](spark, sf_dir).write.mode("overwrite").parquet(path)
+            df = spark.read.schema(SOURCE_SCHEMAS[t]).parquet(path)
             if path_exists(spark, manifest) and not refresh:
-                rows[t] = _read_manifest(spark, manifest)
+                n = _read_manifest(spark, manifest)
             else:
-                rows[t] = tables[t].count()
-                _write_manifest(spark, manifest, rows[t])
-        src = Sources(tables, rows, root)
+                n = df.count()
+                _write_manifest(spark, manifest, n)
+            return t, df, n
+
+        with ThreadPoolExecutor(max_workers=len(TABLES)) as pool:
+            done = list(pool.map(one, TABLES))
+        src = Sources({t: df for t, df, _ in done}, {t: n for t, _, n in done}, root)
         _MEMO[key] = src
         return src
 
 
 def _read_manifest(spark: SparkSession, path: str) -> int:
+    if "://" not in path or path.startswith("file:"):
+        local = path[len("file:"):] if path.startswith("file:") else path
+        with open(local) as fh:
+            return int(json.load(fh)["rows"])
     text = "".join(r.value for r in spark.read.text(path).collect())
     return int(json.loads(text)["rows"])
 
