@@ -10,6 +10,8 @@ turned into a scalar subquery: no collect, no join of the fact rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,52 @@ def build_features(profiles: DataFrame, length: Column | int | None = None) -> D
                          cond.alias("cond"))
 
 
+@dataclass(frozen=True)
+class FeatureSpec:
+    """Frozen global statistics of a training table (for scoring new rows,
+    e.g. a stream, exactly as the training rows were encoded)."""
+
+    length: int
+    dow_shift: int
+    means: tuple[float, ...]
+    stds: tuple[float, ...]
+
+
+def fit_spec(profiles: DataFrame) -> FeatureSpec:
+    """One aggregate pass; only its single row reaches the driver."""
+    parts = [F.mode(F.size("hh_consumption"), True).alias("length"),
+             F.min("day_of_week").alias("dmin"), F.max("day_of_week").alias("dmax"),
+             F.count(F.lit(1)).alias("n")]
+    for c in NUMERIC:
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        parts += [F.avg(v).alias(f"{c}_m"), F.var_pop(v).alias(f"{c}_v"), F.count(v).alias(f"{c}_n")]
+    r = profiles.agg(*parts).first()
+    if r is None or r["n"] == 0:
+        raise ValueError("cannot fit a feature spec on no rows")
+    means, stds = [], []
+    for c in NUMERIC:
+        m = r[f"{c}_m"] if r[f"{c}_m"] is not None else 0.0
+        var = (r[f"{c}_v"] or 0.0) * r[f"{c}_n"] / r["n"]
+        means.append(float(m))
+        stds.append(float(var) ** 0.5)
+    shift = 1 if (r["dmin"] is not None and r["dmin"] >= 1 and r["dmax"] <= 7) else 0
+    return FeatureSpec(int(r["length"]), shift, tuple(means), tuple(stds))
+
+
+def apply_spec(profiles: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """V6 with frozen statistics: row-local, so it also runs on a stream."""
+    z = []
+    for c, m, sd in zip(NUMERIC, spec.means, spec.stds):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        centred = F.coalesce(v, F.lit(m)) - F.lit(m)
+        z.append(centred if sd < 1e-7 else centred / F.lit(sd))
+    cond = F.concat(one_hot(F.col("day_of_week") - F.lit(spec.dow_shift), 7),
+                    one_hot(F.col("is_weekend").cast("int"), 2), one_hot(F.col("season"), 4),
+                    F.array(*z))
+    return profiles.select("LCLid", "day", pad_or_cut("hh_consumption", F.lit(spec.length)).alias("reading"),
+                           cond.alias("cond"))
+
+
 def micro_text(col: Column | str) -> Column:
     """Array as text of whole millionths, ``round(x * 1e6)`` (a format that
     prints identically in every engine; for value comparison only)."""

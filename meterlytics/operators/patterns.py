@@ -82,16 +82,16 @@ def daily_partial_aggs() -> list[Column]:
 def daily_merge_aggs(weight: Column | None = None) -> list[Column]:
     """Final S7 from partial states (optionally each state repeated ``weight``
     times, for fan-out joins)."""
-    w = weight if weight is not None else F.lit(1)
-    means = {c: F.try_divide(F.sum(F.col(f"s_{c}") * w), F.sum(F.col(f"n_{c}") * w))
-             for c in _AVG_STATS}
+    def w(c: str) -> Column:
+        return F.col(c) if weight is None else F.col(c) * weight
+    means = {c: F.try_divide(F.sum(w(f"s_{c}")), F.sum(w(f"n_{c}"))) for c in _AVG_STATS}
     return [
         means["energy_median"].alias("energy_median"),
         means["energy_mean"].alias("energy_mean"),
         F.max("p_max").alias("energy_max"),
-        _zero_if_null(F.sum(F.col("p_count") * w)).cast("long").alias("energy_count"),
+        _zero_if_null(F.sum(w("p_count"))).cast("long").alias("energy_count"),
         means["energy_std"].alias("energy_std"),
-        _zero_if_null(F.sum(F.col("p_sum") * w)).cast("double").alias("energy_sum"),
+        _zero_if_null(F.sum(w("p_sum"))).cast("double").alias("energy_sum"),
         F.min("p_min").alias("energy_min"),
     ]
 
