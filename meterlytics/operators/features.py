@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ONE_HOT = [("day_of_week", 7), ("is_weekend", 2), ("season", 4)]   # fixed order
 NUMERIC = ["avg_temperature", "avg_humidity"]
@@ -51,6 +52,16 @@ def one_hot(index: Column, n: int) -> Column:
                        lambda i: F.when(i == k, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
+def weekend_index(df: DataFrame, col: str = "is_weekend") -> Column:
+    """0/1 from a boolean, or from ``"true"`` / ``"false"`` text
+    when the column arrives as text (e.g. from CSV)."""
+    c = F.col(col)
+    if isinstance(df.schema[col].dataType, T.StringType):
+        low = F.lower(F.trim(c))
+        return F.when(low == "true", 1).when(low == "false", 0).otherwise(c.cast("int"))
+    return c.cast("int")
+
+
 def _stats(df: DataFrame) -> Column:
     """One pass: weekday range and, per numeric column, mean, population
     variance and counts (A27, A28), as one struct scalar."""
@@ -89,7 +100,7 @@ def build_features(profiles: DataFrame, length: Column | int | None = None) -> D
     staged = profiles.select(
         "LCLid", "day", "hh_consumption", L.alias("_len"),
         (F.col("day_of_week") - F.when(rebase, F.lit(1)).otherwise(F.lit(0))).alias("_dow0"),
-        F.col("is_weekend").cast("int").alias("_weekend"),                     # Q25
+        weekend_index(profiles).alias("_weekend"),                             # Q25
         F.col("season").alias("_season"),
         *[zscore(c, st).alias(f"_z{i}") for i, c in enumerate(NUMERIC)])
     cond = F.concat(one_hot(F.col("_dow0"), 7), one_hot(F.col("_weekend"), 2),
@@ -140,7 +151,7 @@ def apply_spec(profiles: DataFrame, spec: FeatureSpec) -> DataFrame:
         centred = F.coalesce(v, F.lit(m)) - F.lit(m)
         z.append(centred if sd < 1e-7 else centred / F.lit(sd))
     cond = F.concat(one_hot(F.col("day_of_week") - F.lit(spec.dow_shift), 7),
-                    one_hot(F.col("is_weekend").cast("int"), 2), one_hot(F.col("season"), 4),
+                    one_hot(weekend_index(profiles), 2), one_hot(F.col("season"), 4),
                     F.array(*z))
     return profiles.select("LCLid", "day", pad_or_cut("hh_consumption", F.lit(spec.length)).alias("reading"),
                            cond.alias("cond"))

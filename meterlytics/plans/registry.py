@@ -17,12 +17,14 @@ order differs between engines), so that results compare by value hash.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import calendar as CAL
 from ..operators import features as FE
 from ..operators import model as M
 from ..operators import patterns as P
@@ -32,6 +34,7 @@ from ..operators import views as V
 from ..operators import weather as WX
 from ..sources.catalog import Sources, load_sources
 from ..sources.store import ResultStore
+from ..streaming import scoring as ST
 from . import oracle as O
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +232,32 @@ def train_autoencoder_unconditional(spark, sf_dir):
     return _train(spark, sf_dir, True)
 
 
+def stream_anomaly_slots(spark, sf_dir):
+    """The streaming form of ``anomaly_slots``: the group's half-hourly rows
+    arrive as CSV block files in an inbox, are read by ``readStream``,
+    deduplicated, joined, encoded with the spec frozen from the stored
+    profiles and scored; the Parquet sink's rows are returned."""
+    s = src(spark, sf_dir)
+    run = f"{store(spark, sf_dir).root}/stream_{_TAG}/{uuid.uuid4().hex}"
+    members = PR.group_households(s.households, O.PROFILE_GROUP)
+    blocks = (s.half_hourly.where(CAL.year_range_predicate("day", *O.PROFILE_YEARS))
+              .join(members, "LCLid", "left_semi"))
+    blocks.write.mode("overwrite").option("header", True).csv(f"{run}/inbox")
+    spec = FE.fit_spec(profiles(spark, sf_dir))
+    bounds = dict(households_rows=s.row_count("households"), holiday_rows=s.row_count("holidays"),
+                  weather_rows=s.row_count("weather_daily"))
+    feats = ST.stream_features(ST.block_stream(spark, f"{run}/inbox"), s.households, s.holidays,
+                               s.weather_daily, O.PROFILE_GROUP, O.PROFILE_YEARS, spec,
+                               lateness="36500 days", **bounds)
+    cfg = M.AEConfig(input_dim=spec.length, cond_dim=FE.COND_DIM)
+    query = ST.start(ST.anomaly_stream(feats, M.init_params(cfg, FIXED_WEIGHT_SEED), cfg,
+                                       ANOMALY_THRESHOLD), f"{run}/out", f"{run}/checkpoint")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(f"streaming query failed: {query.exception()}")
+    return spark.read.parquet(f"{run}/out")
+
+
 RAW: dict[str, Builder] = {
     "hourly_patterns": hourly,
     "daily_patterns": daily,
@@ -272,6 +301,7 @@ RAW: dict[str, Builder] = {
     "reconstruction_fixed": reconstruction_fixed,
     "anomaly_slots": anomaly_slots,
     "reconstruction_error": reconstruction_error,
+    "stream_anomaly_slots": stream_anomaly_slots,
     "train_autoencoder": train_autoencoder,
     "train_autoencoder_unconditional": train_autoencoder_unconditional,
 }

@@ -126,3 +126,12 @@ def test_pipeline_trains_then_reuses_stored_model(spark, tmp_path):
     assert hist2 == [] and vec2 == pytest.approx(vec) and mse2 == pytest.approx(mse)
     errs = M.train_groups(spark, {"A": f, "B": f.limit(60)}, str(tmp_path / "groups"), cfg)
     assert set(errs) == {"A", "B"}
+
+
+def test_text_weekend_and_year_label(spark):                     # C19, C22
+    from meterlytics.operators.views import year_label
+    rows = [("A", "d1", 1, "true", 1.0, 0.5, 0, [1.0]), ("B", "d2", 2, "False", 2.0, 0.5, 1, [1.0])]
+    df = spark.createDataFrame(rows, PROF.replace("is_weekend boolean", "is_weekend string"))
+    f = {r.LCLid: r.cond[7:9] for r in FE.build_features(df).collect()}
+    assert f == {"A": [0.0, 1.0], "B": [1.0, 0.0]}
+    assert year_label([2011, 2012]) == "2011, 2012" and year_label([]) == "All"

@@ -44,3 +44,14 @@ def test_stream_matches_batch(spark, sources, scratch):
             F.round("recon", 9).alias("recon"), F.round("diff", 9).alias("diff")]
     assert got.count() == batch.count() > 0
     assert got.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+
+
+def test_stream_key_equals_batch_key(spark):
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    q = E.queries()
+    cols = ["LCLid", "day", "slot", "label", "actual", F.round("recon", 8).alias("recon")]
+    a = q["anomaly_slots"](spark, sf).select(*cols)
+    b = q["stream_anomaly_slots"](spark, sf).select(*cols)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0
