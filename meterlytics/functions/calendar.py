@@ -152,3 +152,26 @@ def year_range_predicate(day: Column | str, lo: int, hi: int) -> Column:
     """Inclusive year range as a text range on ``YYYY-MM-DD``."""
     d = _c(day)
     return (d >= F.lit(f"{lo:04d}-01-01")) & (d < F.lit(f"{hi + 1:04d}-01-01"))
+
+
+PARTITION_YEAR = "year"   # partition column of the normalised fact tables
+
+
+def filter_years(df, years: Sequence[int] | None, day: str = "day"):
+    """F1 before aggregating: the exact text test on ``day`` plus, when the
+    table is partitioned by ``year``, the same test on the partition column
+    so that whole directories are pruned."""
+    pred = years_predicate(day, years)
+    if pred is None:
+        return df
+    if PARTITION_YEAR in df.columns:
+        pred = F.col(PARTITION_YEAR).isin(sorted({int(y) for y in years})) & pred
+    return df.where(pred)
+
+
+def filter_year_range(df, lo: int, hi: int, day: str = "day"):
+    """F7 / Q17 with partition pruning when the table is partitioned by year."""
+    pred = year_range_predicate(day, lo, hi)
+    if PARTITION_YEAR in df.columns:
+        pred = F.col(PARTITION_YEAR).between(lo, hi) & pred
+    return df.where(pred)

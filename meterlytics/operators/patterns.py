@@ -108,8 +108,7 @@ def finish(df: DataFrame, years: Sequence[int] | None = None,
 
 
 def _prefilter(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
-    pred = cal.years_predicate("day", years)
-    return df.where(pred) if pred is not None else df
+    return cal.filter_years(df, years)
 
 
 # ---------------------------------------------------------------- A1

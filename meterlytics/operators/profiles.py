@@ -77,7 +77,7 @@ def daily_profiles(half_hourly: DataFrame, households: DataFrame, holidays: Data
         holidays.select(cal.parse_date("holiday").alias("_hd"), F.lit(True).alias("_is_holiday")),
         holiday_rows)
     wx = bounded_broadcast(weather_per_date(weather_daily), weather_rows)
-    hh = (half_hourly.where(cal.year_range_predicate("day", lo, hi))
+    hh = (cal.filter_year_range(half_hourly, lo, hi)
                      .join(members, "LCLid", "left_semi")
                      .withColumn("_d", cal.parse_date("day")))
     hh = hh.join(hol, hh["_d"] == hol["_hd"], "left")

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions import calendar as CAL
 from ..operators import features as FE
+from ..schemas import HALF_HOURLY
 from ..operators import model as M
 from ..operators import patterns as P
 from ..operators import profiles as PR
@@ -240,8 +241,9 @@ def stream_anomaly_slots(spark, sf_dir):
     s = src(spark, sf_dir)
     run = f"{store(spark, sf_dir).root}/stream_{_TAG}/{uuid.uuid4().hex}"
     members = PR.group_households(s.households, O.PROFILE_GROUP)
-    blocks = (s.half_hourly.where(CAL.year_range_predicate("day", *O.PROFILE_YEARS))
-              .join(members, "LCLid", "left_semi"))
+    blocks = (CAL.filter_year_range(s.half_hourly, *O.PROFILE_YEARS)
+              .join(members, "LCLid", "left_semi")
+              .select(*HALF_HOURLY.fieldNames()))
     blocks.write.mode("overwrite").option("header", True).csv(f"{run}/inbox")
     spec = FE.fit_spec(profiles(spark, sf_dir))
     bounds = dict(households_rows=s.row_count("households"), holiday_rows=s.row_count("holidays"),

@@ -23,13 +23,25 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from ..functions.calendar import PARTITION_YEAR, year_from_text
 from ..schemas import SOURCE_SCHEMAS
 from ..session import path_exists, shared_root
 from . import fixtures
 
 TABLES = ["households", "half_hourly", "daily", "weather_daily",
           "weather_hourly", "holidays"]
+# Fact tables are written partitioned by calendar year (a directory per year):
+# year filters prune directories; the column is an extra trailing ``year``.
+PARTITIONED = {"half_hourly", "daily"}
+
+
+def stored_schema(t: str) -> T.StructType:
+    base = SOURCE_SCHEMAS[t]
+    if t in PARTITIONED:
+        return T.StructType(base.fields + [T.StructField(PARTITION_YEAR, T.IntegerType(), True)])
+    return base
 
 _LOCK = threading.Lock()
 _MEMO: dict[tuple[str, str], "Sources"] = {}
@@ -89,8 +101,13 @@ def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sou
             path = f"{root}/{t}"
             manifest = f"{path}.rows.json"
             if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
-                fixtures.BUILDERS[t](spark, sf_dir).write.mode("overwrite").parquet(path)
-            df = spark.read.schema(SOURCE_SCHEMAS[t]).parquet(path)
+                df = fixtures.BUILDERS[t](spark, sf_dir)
+                if t in PARTITIONED:
+                    (df.withColumn(PARTITION_YEAR, year_from_text("day"))
+                       .write.mode("overwrite").partitionBy(PARTITION_YEAR).parquet(path))
+                else:
+                    df.write.mode("overwrite").parquet(path)
+            df = spark.read.schema(stored_schema(t)).parquet(path)
             if path_exists(spark, manifest) and not refresh:
                 n = _read_manifest(spark, manifest)
             else:

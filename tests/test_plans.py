@@ -10,6 +10,8 @@ def _plan(df):
 def test_year_filter_reaches_scan_and_columns_pruned(sources):
     plan = _plan(P.hourly_patterns(sources.half_hourly, years=[1996]))
     assert "StringStartsWith(day,1996-)" in plan
+    import re
+    assert re.search(r"PartitionFilters: \[isnotnull\(year#\d+\), \(year#\d+ = 1996\)\]", plan)
     d = _plan(P.daily_patterns(sources.daily))
     assert "ReadSchema: struct<day:string,energy_median:double" in d and "LCLid" not in d.split("ReadSchema")[1]
 

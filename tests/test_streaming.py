@@ -12,7 +12,8 @@ from meterlytics.streaming import scoring as ST
 
 def test_stream_matches_batch(spark, sources, scratch):
     s = sources
-    hh = s.half_hourly.where(F.col("day") < "1997-01-01")
+    from meterlytics.schemas import HALF_HOURLY
+    hh = s.half_hourly.where(F.col("day") < "1997-01-01").select(*HALF_HOURLY.fieldNames())
     inbox = os.path.join(scratch, "inbox")
     parity = F.pmod(F.xxhash64("LCLid"), F.lit(2))
     for i, part in enumerate([hh.where(parity == 0), hh.where(parity == 1), hh.where(parity == 0).limit(20)]):
