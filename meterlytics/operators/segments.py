@@ -73,20 +73,28 @@ def _labels_frame(df: DataFrame, labels: Sequence[str]) -> DataFrame:
         F.posexplode(F.array(*[F.lit(lab) for lab in labels])).alias("order", "quantile_group"))
 
 
-def quantile_edges(df: DataFrame, metric: str, quantiles: Sequence[float]) -> Column:
+def quantile_edges(df: DataFrame, metric: str, quantiles: Sequence[float],
+                   approx: bool = False) -> Column:
     """W2 edges: linear-interpolation quantiles of ``metric`` (pandas / DuckDB
-    ``quantile_cont`` agree) as a lazily evaluated scalar subquery."""
-    return df.select(F.percentile(F.col(metric).cast("double"),
-                                  F.array(*[F.lit(float(q)) for q in quantiles]))).scalar()
+    ``quantile_cont`` agree) as a lazily evaluated scalar subquery.
+
+    The exact form keeps one value->count map of the metric's distinct values
+    in the final task; ``approx=True`` uses the mergeable, fixed-size
+    ``percentile_approx`` sketch instead (for household-level inputs with
+    millions of distinct values)."""
+    qs = F.array(*[F.lit(float(q)) for q in quantiles])
+    x = F.col(metric).cast("double")
+    agg = F.percentile_approx(x, qs, 100_000) if approx else F.percentile(x, qs)
+    return df.select(agg).scalar()
 
 
 def quantile_groups(df: DataFrame, metric: str = "energy_mean",
-                    n_groups: int = 3) -> DataFrame:
+                    n_groups: int = 3, approx: bool = False) -> DataFrame:
     """Label each row with its quantile bucket (right-closed, lowest value
     included; ties share a bucket, unlike ``ntile``). Repeated edges raise
     (Q26), as ``qcut`` does."""
     quantiles, labels = QUANTILE_SCHEMES[n_groups]
-    edges = quantile_edges(df, metric, quantiles)
+    edges = quantile_edges(df, metric, quantiles, approx)
     x = F.col(metric)
     n = len(labels)
     label = None
@@ -103,12 +111,13 @@ def quantile_groups(df: DataFrame, metric: str = "energy_mean",
     return df.withColumn("quantile_group", checked)
 
 
-def consumer_groups(df: DataFrame, metric: str = "energy_mean", n_groups: int = 3) -> DataFrame:
+def consumer_groups(df: DataFrame, metric: str = "energy_mean", n_groups: int = 3,
+                    approx: bool = False) -> DataFrame:
     """Per quantile label (every label, even empty, Q28): mean
     of four metrics, total households, ToU share text ``"12.3% ToU"`` with
     half-even rounding (Q29); ordered by label position."""
     _, labels = QUANTILE_SCHEMES[n_groups]
-    g = quantile_groups(df, metric, n_groups).where(F.col("quantile_group").isNotNull())
+    g = quantile_groups(df, metric, n_groups, approx).where(F.col("quantile_group").isNotNull())
     summary = g.groupBy("quantile_group").agg(
         F.avg("energy_mean").alias("energy_mean"), F.avg("energy_median").alias("energy_median"),
         F.avg("energy_max").alias("energy_max"), F.avg("energy_sum").alias("energy_sum"),
@@ -130,12 +139,13 @@ def metrics_long(groups: DataFrame) -> DataFrame:
                           "variable", "value")
 
 
-def consumer_group_mix(df: DataFrame, metric: str = "energy_mean", n_groups: int = 3) -> DataFrame:
+def consumer_group_mix(df: DataFrame, metric: str = "energy_mean", n_groups: int = 3,
+                       approx: bool = False) -> DataFrame:
     """Rows per (quantile label, ACORN group), densified
     with zero counts, share of the label's rows (half-even to 1 place; NULL
     when the label is empty), ordered by label then share descending."""
     _, labels = QUANTILE_SCHEMES[n_groups]
-    g = quantile_groups(df, metric, n_groups).where(F.col("quantile_group").isNotNull())
+    g = quantile_groups(df, metric, n_groups, approx).where(F.col("quantile_group").isNotNull())
     counts = g.groupBy("quantile_group", "Acorn_grouped").agg(F.count(F.lit(1)).alias("count"))
     grid = (df.select("Acorn_grouped").distinct()
               .select("Acorn_grouped",

@@ -38,12 +38,16 @@ def temp_bin_summary(te: DataFrame) -> DataFrame:
               .orderBy(temp_bin_order("temp_bin")))
 
 
-def temp_box(te: DataFrame, metric: str = "energy_mean") -> DataFrame:
+def temp_box(te: DataFrame, metric: str = "energy_mean", approx: bool = False) -> DataFrame:
     """Box-plot figures per (bin, month): linear-interpolation quartiles
-    and whiskers at the most extreme values within 1.5 IQR."""
+    and whiskers at the most extreme values within 1.5 IQR. ``approx=True``
+    uses ``percentile_approx`` (bounded sketch) for large groups."""
     keys = ["temp_bin", "month_name"]
+    probs = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    pct = (F.percentile_approx(F.col(metric), probs, 100_000) if approx
+           else F.percentile(F.col(metric), probs))
     q = (te.groupBy(*keys)
-           .agg(F.percentile(F.col(metric), F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("_q"),
+           .agg(pct.alias("_q"),
                 F.count(F.col(metric)).alias("n")))
     q = q.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in
                               enumerate(["q_min", "q1", "median", "q3", "q_max"])])

@@ -88,3 +88,32 @@ def test_pivot_has_every_bin(spark):                                      # R5
 def test_peak_hour_first_on_ties(spark):                                  # A16
     th = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 0.5)], "hour int, energy double")
     assert WX.peak_hour(th).first().hour == 1
+
+
+def test_approx_edges_agree_on_small_input(spark):
+    df = _seg(spark, [("Std", "A", "x", float(v), 0.0, 0.0, 0.0, 1, 1) for v in range(1, 101)])
+    exact = {r.energy_mean: r.quantile_group for r in SG.quantile_groups(df, n_groups=4).collect()}
+    approx = {r.energy_mean: r.quantile_group for r in SG.quantile_groups(df, n_groups=4, approx=True).collect()}
+    differ = sum(exact[k] != approx[k] for k in exact)
+    assert differ <= 3
+
+
+def test_views(spark):
+    from meterlytics.operators import views as V
+    df = spark.createDataFrame([(2012, 1, 1.0, "a"), (2012, 2, 3.0, "b"), (2013, 1, 5.0, "a")],
+                               "year int, hour int, energy_mean double, season string")
+    assert V.validate_columns(df, ["hour", "nope"]) == ["hour"] and V.validate_columns(df, "nope", []) == []
+    agg = {r.hour: r.energy_mean for r in V.aggregated_view(df, "hour", "energy_mean", sort_by="hour").collect()}
+    assert agg == {1: 3.0, 2: 3.0}
+    assert V.bar_view(df, "energy_mean", ["year"]).columns == ["year", "energy_mean_avg"]
+    y = V.yearly_view(df, "hour", "energy_mean", group_fields=["season"], sort_by=["year", "hour"])
+    assert y.columns == ["year", "season", "hour", "energy_mean"] and y.first().hour == 1
+    with pytest.raises(ValueError):
+        V.aggregated_view(df, "nope", "energy_mean")
+
+
+def test_random_example_is_one_row_and_top1_plan(spark):
+    from meterlytics.operators.model import random_example
+    ex = random_example(spark.range(1000), seed=3)
+    assert ex.count() == 1 and ex.first().id == random_example(spark.range(1000), seed=3).first().id
+    assert "TakeOrderedAndProject" in ex._jdf.queryExecution().executedPlan().toString()
