@@ -376,8 +376,62 @@ def _features_stage() -> dict[str, str]:
     return out
 
 
+# ---------------------------------------------------------------- fixed-weight scoring
+
+SCORING_SEED = 7         # equals registry.FIXED_WEIGHT_SEED (model.rule_params)
+SCORING_THRESHOLD = 0.1
+
+
+def _w(layer: int, i: str, j: str) -> str:
+    return f"(CAST(((({i}) * 7 + ({j}) * 13 + {layer * 5 + SCORING_SEED}) % 17) - 8 AS DOUBLE) / 64)"
+
+
+def _b(layer: int, j: str) -> str:
+    return f"(CAST(((({j}) * 11 + {layer * 3 + SCORING_SEED}) % 9) - 4 AS DOUBLE) / 64)"
+
+
+def _scoring_ctes() -> list[tuple[str, str]]:
+    """The forward pass [x, c] -> 8 -> ReLU -> 2; [z, c] -> 8 -> ReLU -> x
+    with rule weights, as list dot products."""
+    return _feature_ctes() + [
+        ("s1", f"""SELECT LCLid, day, reading, cond,
+       list_transform(range(8), lambda j: greatest(list_dot_product(list_concat(reading, cond),
+           list_transform(range(len(reading) + len(cond)), lambda i: {_w(1, 'i', 'j')})) + {_b(1, 'j')},
+           CAST(0 AS DOUBLE))) AS h1
+FROM feat"""),
+        ("s2", f"""SELECT *, list_transform(range(2), lambda k: list_dot_product(h1,
+           list_transform(range(8), lambda j: {_w(2, 'j', 'k')})) + {_b(2, 'k')}) AS z FROM s1"""),
+        ("s3", f"""SELECT *, list_transform(range(8), lambda j: greatest(list_dot_product(list_concat(z, cond),
+           list_transform(range(2 + len(cond)), lambda i: {_w(3, 'i', 'j')})) + {_b(3, 'j')},
+           CAST(0 AS DOUBLE))) AS h3 FROM s2"""),
+        ("scored", f"""SELECT LCLid, day, reading,
+       list_transform(range(len(reading)), lambda m: list_dot_product(h3,
+           list_transform(range(8), lambda j: {_w(4, 'j', 'm')})) + {_b(4, 'm')}) AS recon FROM s3"""),
+        ("slots", """SELECT LCLid, day, unnest(range(len(reading))) AS slot, unnest(reading) AS actual,
+       unnest(recon) AS recon FROM scored"""),
+    ]
+
+
+def _scoring_stage() -> dict[str, str]:
+    q = lambda extra, final, kinds: rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
+    ctes = _scoring_ctes()
+    return {
+        "reconstruction_fixed": q(ctes, """SELECT LCLid, day, sum((actual - recon) * (actual - recon)) AS sse,
+       count(*) AS slots FROM slots GROUP BY 1, 2""",
+            [("LCLid", "s"), ("day", "s"), ("sse", "d"), ("slots", "i")]),
+        "anomaly_slots": q(ctes, f"""SELECT LCLid, day, slot, printf('%02d:%02d', slot // 2, (slot % 2) * 30) AS label,
+       actual, recon, abs(actual - recon) AS diff
+FROM slots WHERE abs(actual - recon) > {SCORING_THRESHOLD}""",
+            [("LCLid", "s"), ("day", "s"), ("slot", "i"), ("label", "s"), ("actual", "d"), ("recon", "d"),
+             ("diff", "d")]),
+        "reconstruction_error": q(ctes, """SELECT sum((actual - recon) * (actual - recon)) / count(*) AS mse
+FROM slots""", [("mse", "d")]),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {key: rounded(_q(f"SELECT * FROM {cte}"), KINDS[key]) for key, cte in _PATTERN_CTE.items()}
     out.update(_second_stage())
     out.update(_features_stage())
+    out.update(_scoring_stage())
     return out

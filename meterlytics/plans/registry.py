@@ -193,7 +193,7 @@ def features(spark, sf_dir):
 
 # ---------------------------------------------------------------- model
 
-FIXED_WEIGHT_SEED = 7          # deterministic weights for the scoring keys
+FIXED_WEIGHT_SEED = 7          # rule weights for the scoring keys (model.rule_params)
 ANOMALY_THRESHOLD = 0.1
 
 
@@ -202,7 +202,7 @@ def _scored_fixed(spark, sf_dir, unconditional: bool = False):
     if unconditional:
         f = M.without_conditions(f)
     cfg = M.infer_dims(f, M.AEConfig())
-    return M.reconstruct(f, M.init_params(cfg, FIXED_WEIGHT_SEED), cfg)
+    return M.reconstruct(f, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg)
 
 
 def reconstruction_fixed(spark, sf_dir):
@@ -252,7 +252,7 @@ def stream_anomaly_slots(spark, sf_dir):
                                s.weather_daily, O.PROFILE_GROUP, O.PROFILE_YEARS, spec,
                                lateness="36500 days", **bounds)
     cfg = M.AEConfig(input_dim=spec.length, cond_dim=FE.COND_DIM)
-    query = ST.start(ST.anomaly_stream(feats, M.init_params(cfg, FIXED_WEIGHT_SEED), cfg,
+    query = ST.start(ST.anomaly_stream(feats, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg,
                                        ANOMALY_THRESHOLD), f"{run}/out", f"{run}/checkpoint")
     query.awaitTermination()
     if query.exception() is not None:
