@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
+def is_bounded(row_bound: int | None, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    return row_bound is not None and row_bound <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, row_bound: int | None,
                       max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if ``row_bound`` proves it small, else ``df`` as is."""

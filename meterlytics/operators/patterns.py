@@ -10,14 +10,17 @@ Plan shape, chosen for 100 TB inputs:
 * A2-A5: one partial/final aggregate over calendar keys of ``daily``; A5's
   bank-holiday mark join is a broadcast of distinct holiday dates (bounded by
   the holiday file).
-* A6 household: ``daily`` is first reduced to one row of partial sums per
-  household, then joined to ``households`` (so the join sees #households rows,
-  not #household-days), then rolled up to segments. Exact: every statistic is
-  a sum, count, max or min of partials; ``household_count`` stays a distinct
-  count so duplicate household rows behave as in a plain join.
-* A7 / A8: the fact table is reduced to one row per date (A7) or per
-  (date, hour) (A8) before the weather join; averages are rebuilt from
-  (sum, count) pairs. The join input is calendar sized whatever the data size.
+* A6 / A7: the join strategy follows the proven size of the dimension. When
+  it can be broadcast, a map-side broadcast join and one aggregate (no
+  shuffle of the fact table). When it cannot, the fact table is first
+  reduced to mergeable partial sums per household (A6) or per date (A7), so
+  the shuffle join moves #households / #dates rows, not the fact rows.
+  Exact either way (statistics are sums, counts, max, min of partials;
+  ``household_count`` stays a distinct count).
+* A8: the fact table is always reduced to one row per (date, hour) before the
+  weather join (the plain plan would join 24 rows per household-day);
+  averages are rebuilt from (sum, count) pairs. Measured at sf0.1: 0.9 s vs
+  2.3 s for join-first.
 
 Year filters (F1) are applied to the source text before aggregating (the
 year is a grouping key, so the rows are the same) as ``StringStartsWith``
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..schemas import N_HOURS, S7
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast, is_bounded
 
 
 # ---------------------------------------------------------------- helpers
@@ -227,20 +230,41 @@ def weekday_vs_weekend(daily: DataFrame, holidays: DataFrame,
 
 # ---------------------------------------------------------------- A6
 
+def _strategy(strategy: str, row_bound: int | None) -> str:
+    if strategy not in ("auto", "broadcast", "preaggregate"):
+        raise ValueError(f"unknown join strategy {strategy!r}")
+    if strategy == "auto":
+        return "broadcast" if is_bounded(row_bound) else "preaggregate"
+    return strategy
+
+
 def household_patterns(daily: DataFrame, households: DataFrame,
                        cols: Sequence[str] | None = None,
-                       households_rows: int | None = None) -> DataFrame:
-    """By (tariff, ACORN group, ACORN) with distinct households."""
-    per_household = daily.groupBy("LCLid").agg(*daily_partial_aggs())
-    dims = bounded_broadcast(
-        households.select("LCLid", "stdorToU", "Acorn", "Acorn_grouped"), households_rows)
-    joined = per_household.join(dims, "LCLid", "inner")
-    out = (joined.groupBy("stdorToU", "Acorn_grouped", "Acorn")
-                 .agg(*daily_merge_aggs(),
-                      F.count_distinct("LCLid").alias("household_count"),
-                      F.sum("p_rows").alias("days_count"))
-                 .orderBy("Acorn_grouped", "Acorn", "stdorToU"))
-    return finish(out, None, cols)
+                       households_rows: int | None = None,
+                       strategy: str = "auto") -> DataFrame:
+    """By (tariff, ACORN group, ACORN) with distinct households.
+
+    ``broadcast`` (chosen when the households table is proven small): a
+    map-side broadcast join, then one partial/final aggregate - no shuffle of
+    the fact table. ``preaggregate`` (households too large to broadcast):
+    ``daily`` is first reduced to one row of partial sums per household (map
+    side combine), so the shuffle join moves #households rows instead of
+    #household-days; the segment roll-up merges the partials exactly.
+    Measured at sf0.1 with a broadcastable side: 0.78 s vs 0.92 s.
+    """
+    dims = households.select("LCLid", "stdorToU", "Acorn", "Acorn_grouped")
+    keys = ["stdorToU", "Acorn_grouped", "Acorn"]
+    if _strategy(strategy, households_rows) == "broadcast":
+        out = (daily.join(F.broadcast(dims), "LCLid", "inner").groupBy(*keys)
+                    .agg(*daily_rollup_aggs(), F.count_distinct("LCLid").alias("household_count"),
+                         F.count(F.lit(1)).alias("days_count")))
+    else:
+        per_household = daily.groupBy("LCLid").agg(*daily_partial_aggs())
+        out = (per_household.join(dims, "LCLid", "inner").groupBy(*keys)
+                            .agg(*daily_merge_aggs(),
+                                 F.count_distinct("LCLid").alias("household_count"),
+                                 F.sum("p_rows").alias("days_count")))
+    return finish(out.orderBy("Acorn_grouped", "Acorn", "stdorToU"), None, cols)
 
 
 # ---------------------------------------------------------------- A7
@@ -256,23 +280,35 @@ def daily_weather(weather_daily: DataFrame) -> DataFrame:
 def temperature_energy(daily: DataFrame, weather_daily: DataFrame,
                        years: Sequence[int] | None = None,
                        cols: Sequence[str] | None = None,
-                       weather_rows: int | None = None) -> DataFrame:
-    """By (year, month, month name, temperature bin)."""
-    per_date = (_with_date(_prefilter(daily, years))
-                .groupBy("_d").agg(*daily_partial_aggs()))
-    w = bounded_broadcast(daily_weather(weather_daily), weather_rows)
-    joined = per_date.join(w, "_d", "inner")
-    rows = F.col("p_rows")
+                       weather_rows: int | None = None,
+                       strategy: str = "auto") -> DataFrame:
+    """By (year, month, month name, temperature bin).
+
+    ``broadcast`` (weather proven small, the normal case: it is calendar
+    sized): map-side join, one aggregate. ``preaggregate``: ``daily`` reduced
+    to one row of partial sums per date before a shuffle join; averages are
+    rebuilt from (sum, count) pairs, weighted by the fan-out of repeated
+    weather rows (Q13)."""
+    w = daily_weather(weather_daily)
+    d = _with_date(_prefilter(daily, years))
     t = F.col("_tmean")
-    grouped = joined.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month"),
-                             cal.temp_bin(t).alias("temp_bin"))
-    out = (grouped.agg(
-                F.try_divide(F.sum(t * rows), F.sum(F.when(t.isNotNull(), rows))).alias("avg_temperature"),
-                *daily_merge_aggs(),
-                F.sum(rows).alias("days_count"))
-           .select("year", "month", cal.month_name("month").alias("month_name"), "temp_bin",
-                   "avg_temperature", *S7, "days_count")
-           .orderBy("year", "month", "temp_bin"))
+    if _strategy(strategy, weather_rows) == "broadcast":
+        joined = d.join(F.broadcast(w), "_d", "inner")
+        grouped = joined.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month"),
+                                 cal.temp_bin(t).alias("temp_bin"))
+        aggs = [F.avg(t).alias("avg_temperature"), *daily_rollup_aggs(),
+                F.count(F.lit(1)).alias("days_count")]
+    else:
+        joined = d.groupBy("_d").agg(*daily_partial_aggs()).join(w, "_d", "inner")
+        rows = F.col("p_rows")
+        grouped = joined.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month"),
+                                 cal.temp_bin(t).alias("temp_bin"))
+        aggs = [F.try_divide(F.sum(t * rows), F.sum(F.when(t.isNotNull(), rows))).alias("avg_temperature"),
+                *daily_merge_aggs(), F.sum(rows).alias("days_count")]
+    out = (grouped.agg(*aggs)
+                  .select("year", "month", cal.month_name("month").alias("month_name"), "temp_bin",
+                          "avg_temperature", *S7, "days_count")
+                  .orderBy("year", "month", "temp_bin"))
     return finish(out, None, cols)
 
 

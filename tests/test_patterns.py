@@ -105,3 +105,18 @@ def test_household_pre_aggregation_counts_households(spark):
     r = P.household_patterns(df, h).first()
     assert r.household_count == 2 and r.days_count == 3 and r.energy_mean == 2.0
     assert r.energy_std == 1.0 and r.energy_max == 3.0
+
+
+@pytest.mark.parametrize("fn,kw", [("household_patterns", {}), ("temperature_energy", {})])
+def test_join_strategies_agree(spark, sources, fn, kw):
+    if fn == "household_patterns":
+        args = (sources.daily, sources.households)
+    else:
+        args = (sources.daily, sources.weather_daily)
+    a = getattr(P, fn)(*args, strategy="broadcast").collect()
+    b = getattr(P, fn)(*args, strategy="preaggregate").collect()
+    assert len(a) == len(b) > 0
+    key = lambda r: tuple(str(v) for v in r[:4])
+    for x, y in zip(sorted(a, key=key), sorted(b, key=key)):
+        for u, v in zip(x, y):
+            assert (u == pytest.approx(v)) if isinstance(u, float) else (u == v)

@@ -24,11 +24,16 @@ def test_dimension_joins_are_bounded_broadcasts(sources):
     assert "BroadcastExchange" not in unbounded or "AdaptiveSparkPlan" in unbounded
 
 
-def test_household_join_sees_one_row_per_household(sources):
-    plan = _plan(P.household_patterns(sources.daily, sources.households,
-                                      households_rows=sources.row_count("households")))
+def test_household_strategy_follows_the_bound(sources):
+    small = _plan(P.household_patterns(sources.daily, sources.households,
+                                       households_rows=sources.row_count("households")))
+    import re
+    per_household = re.compile(r"HashAggregate\(keys=\[LCLid#\d+\]")
+    assert "BroadcastHashJoin" in small and not per_household.search(small)
+    big = _plan(P.household_patterns(sources.daily, sources.households, households_rows=None))
     # plans print top-down: the per-household aggregate sits below the join
-    assert plan.index("BroadcastHashJoin") < plan.index("HashAggregate(keys=[LCLid")
+    m = per_household.search(big)
+    assert m and big.index("Join") < m.start()
 
 
 def test_no_row_at_a_time_python(sources):
