@@ -116,13 +116,13 @@ def test_scoring_and_anomalies(spark, tmp_path):
     assert M.load_model(spark, str(tmp_path / "m"), cfg, {"acorn_group": "Affluent"}) is None
 
 
-def test_pipeline_trains_then_reuses_stored_model(spark, tmp_path):
+def test_train_or_load_reuses_stored_model(spark, tmp_path):
     f = _train_frame(spark, n=120, parts=2)
     cfg = M.AEConfig(hidden_dim=4, epochs=2, batch_size=32)
     path = str(tmp_path / "model")
-    vec, used, hist, _, mse = M.run_pipeline(spark, f, path, cfg, {"acorn_group": "G"})
+    vec, used, hist, _, mse = M.train_or_load(spark, f, path, cfg, {"acorn_group": "G"})
     assert len(hist) >= 1 and mse > 0
-    vec2, _, hist2, _, mse2 = M.run_pipeline(spark, f, path, cfg, {"acorn_group": "G"})
+    vec2, _, hist2, _, mse2 = M.train_or_load(spark, f, path, cfg, {"acorn_group": "G"})
     assert hist2 == [] and vec2 == pytest.approx(vec) and mse2 == pytest.approx(mse)
     errs = M.train_groups(spark, {"A": f, "B": f.limit(60)}, str(tmp_path / "groups"), cfg)
     assert set(errs) == {"A", "B"}
