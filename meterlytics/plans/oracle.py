@@ -9,9 +9,9 @@ between engines); integer widths are fixed by casts.
 
 from __future__ import annotations
 
-from ..schemas import N_HOURS, QUANTILE_SCHEMES, S7, TEMP_BINS
-from .sqltext import (S7_ROLLUP, hourly_long_sql, month_name_sql, rounded,
-                      temp_bin_order_sql, temp_bin_sql, weekday_name_sql, with_ctes)
+from ..schemas import QUANTILE_SCHEMES, S7, TEMP_BINS
+from .sqltext import (S7_ROLLUP, hourly_long_sql, month_name_sql, rounded, temp_bin_sql,
+                      weekday_name_sql, with_ctes)
 
 S7_KINDS = [("energy_median", "d"), ("energy_mean", "d"), ("energy_max", "d"),
             ("energy_count", "l"), ("energy_std", "d"), ("energy_sum", "d"),
