@@ -32,6 +32,11 @@ def group_households(households: DataFrame, group: str, strict: bool = False) ->
     return households.join(files, "file", "left_semi").select("LCLid").distinct()
 
 
+def group_files(households: DataFrame, group: str) -> DataFrame:
+    """The distinct block files holding at least one household of the group."""
+    return households.where(F.col("Acorn_grouped") == group).select("file").distinct()
+
+
 def require_group(households: DataFrame, group: str) -> None:
     """The reference refuses an unknown group; a bounded existence probe."""
     if households.where(F.col("Acorn_grouped") == group).limit(1).isEmpty():
@@ -72,13 +77,20 @@ def daily_profiles(half_hourly: DataFrame, households: DataFrame, holidays: Data
     if check_group:
         require_group(households, group)
     lo, hi = years
-    members = bounded_broadcast(group_households(households, group, strict), households_rows)
+    by_file = "file" in half_hourly.columns and not strict
+    if by_file:
+        # rows carry their block file (CSV layout): select the group's files
+        # directly, as the reference does; with the table partitioned by
+        # file this becomes dynamic partition pruning
+        members = bounded_broadcast(group_files(households, group), households_rows)
+    else:
+        members = bounded_broadcast(group_households(households, group, strict), households_rows)
     hol = bounded_broadcast(
         holidays.select(cal.parse_date("holiday").alias("_hd"), F.lit(True).alias("_is_holiday")),
         holiday_rows)
     wx = bounded_broadcast(weather_per_date(weather_daily), weather_rows)
     hh = (cal.filter_year_range(half_hourly, lo, hi)
-                     .join(members, "LCLid", "left_semi")
+                     .join(members, "file" if by_file else "LCLid", "left_semi")
                      .withColumn("_d", cal.parse_date("day")))
     hh = hh.join(hol, hh["_d"] == hol["_hd"], "left")
     hh = hh.join(wx, hh["_d"] == wx["_wd"], "left")

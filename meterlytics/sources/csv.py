@@ -91,7 +91,10 @@ def compact_to_parquet(spark: SparkSession, root: str, out: str) -> dict[str, st
         path = f"{out.rstrip('/')}/{name}"
         w = df.write.mode("overwrite")
         if name in ("half_hourly", "daily"):
-            df = df.withColumn("year", F.substring("day", 1, 4).cast("int"))
+            # keep the block file each row came from (the group selection of
+            # the feature job is by file, Q18)
+            df = (df.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+                    .withColumn("year", F.substring("day", 1, 4).cast("int")))
             w = df.write.mode("overwrite").partitionBy("year")
         w.parquet(path)
         written[name] = path

@@ -3,6 +3,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlytics import schemas as S
 from meterlytics.operators import profiles as PR
@@ -93,3 +94,30 @@ def test_profiles_drop_or_align_nulls(spark):              # Q20, Q10, Q11
     a = PR.daily_profiles(hh, h, hol.limit(1), w, "Comfortable", (2013, 2013), align=True).first()
     assert a.hh_consumption[:3] == [0.5, 0.0, 0.25] and len(a.hh_consumption) == 48
     assert PR.daily_profiles(hh, h, hol, w, "Comfortable", (2014, 2015)).count() == 0
+
+
+def test_profiles_select_by_block_file_when_known(spark):     # Q18 with the CSV layout
+    vals = [1.0] * 48
+    hh = spark.createDataFrame([("A", "2013-01-02", *vals, "b1"), ("B", "2013-01-02", *vals, "b1"),
+                                ("C", "2013-01-02", *vals, "b2"), ("X", "2013-01-02", *vals, "b1")],
+                               T.StructType(S.HALF_HOURLY.fields + [T.StructField("file", T.StringType())]))
+    h = spark.createDataFrame([("A", "Std", "x", "Comfortable", "b1"), ("B", "Std", "y", "Affluent", "b1"),
+                               ("C", "Std", "z", "Affluent", "b2")], S.HOUSEHOLDS)
+    hol = spark.createDataFrame([], S.HOLIDAYS)
+    w = spark.createDataFrame([("2013-01-02 00:00:00", 1.0, 5.0, 0.5)], S.WEATHER_DAILY)
+    got = sorted(r.LCLid for r in PR.daily_profiles(hh, h, hol, w, "Comfortable", (2013, 2013)).collect())
+    assert got == ["A", "B", "X"]          # every row of block b1, even a household missing from the table
+    strict = sorted(r.LCLid for r in PR.daily_profiles(hh, h, hol, w, "Comfortable", (2013, 2013),
+                                                        strict=True).collect())
+    assert strict == ["A"]
+
+
+def test_compaction_keeps_block_file_and_year(spark, sources, scratch):
+    from meterlytics.sources.csv import compact_to_parquet
+    root = os.path.join(scratch, "csvroot")
+    tables = {k: sources.tables[k].select(*S.SOURCE_SCHEMAS[k].fieldNames()).limit(40) for k in C.LAYOUT}
+    C.write_sources_csv(tables, root)
+    out = compact_to_parquet(spark, root, os.path.join(scratch, "pq"))
+    hh = spark.read.parquet(out["half_hourly"])
+    assert {"file", "year"} <= set(hh.columns) and hh.count() == 40
+    assert hh.select("file").first().file.startswith("part-")
