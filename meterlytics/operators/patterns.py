@@ -110,6 +110,16 @@ def finish(df: DataFrame, years: Sequence[int] | None = None,
     return df
 
 
+def sorted_result(df: DataFrame, *keys) -> DataFrame:
+    """O1 for a result whose size is bounded by its key domain, not by the
+    data (years x 24 hours, years x 53 weeks, tariff x ACORN category, ...):
+    one exchange of the finished rows to a single partition and a local sort.
+    A global ``orderBy`` would add a sampling job for range partitioning
+    (measured at sf0.1: A6 0.83 s vs 1.30 s, A7 0.71 s vs 0.94 s). The final
+    aggregation before it still runs on all partitions."""
+    return df.repartition(1).sortWithinPartitions(*keys)
+
+
 def _prefilter(df: DataFrame, years: Sequence[int] | None) -> DataFrame:
     return cal.filter_years(df, years)
 
@@ -136,7 +146,9 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
     two-pass sum of squares around the group mean. ``approx=True`` uses
     ``percentile_approx`` on the unpivoted rows instead.
     """
-    long = hourly_long(_prefilter(half_hourly, years))
+    # the reference's not-null filter; a no-op (Q1: energy is a sum of
+    # coalesced readings, non-nullable), which the optimizer removes
+    long = hourly_long(_prefilter(half_hourly, years)).where(F.col("energy").isNotNull())
     e = F.col("energy")
     if approx:
         out = long.groupBy("year", "hour").agg(
@@ -144,7 +156,7 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
             F.avg(e).alias("energy_mean"), F.max(e).alias("energy_max"),
             F.count(e).alias("energy_count"), F.stddev_samp(e).alias("energy_std"),
             _zero_if_null(F.sum(e)).cast("double").alias("energy_sum"), F.min(e).alias("energy_min"))
-        return finish(out.orderBy("year", "hour"), None, cols)
+        return finish(sorted_result(out, "year", "hour"), None, cols)
     hist = long.groupBy("year", "hour", "energy").agg(F.count(F.lit(1)).alias("f"))
     f = F.when(e.isNotNull(), F.col("f"))
     grp = Window.partitionBy("year", "hour")
@@ -159,8 +171,8 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
                 .alias("energy_std"),
                _zero_if_null(F.sum(e * f)).cast("double").alias("energy_sum"),
                F.min(e).alias("energy_min"))
-           .orderBy("year", "hour"))
-    return finish(out, None, cols)
+           )
+    return finish(sorted_result(out, "year", "hour"), None, cols)
 
 
 # ---------------------------------------------------------------- A2-A5
@@ -177,8 +189,8 @@ def daily_patterns(daily: DataFrame, years: Sequence[int] | None = None,
              .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count"))
              .select("year", "weekday", cal.weekday_name("weekday").alias("weekday_name"),
                      *S7, "days_count")
-             .orderBy("year", "weekday"))
-    return finish(out, None, cols)
+             )
+    return finish(sorted_result(out, "year", "weekday"), None, cols)
 
 
 def weekly_patterns(daily: DataFrame, years: Sequence[int] | None = None,
@@ -187,8 +199,8 @@ def weekly_patterns(daily: DataFrame, years: Sequence[int] | None = None,
     d = _with_date(_prefilter(daily, years))
     out = (d.groupBy(F.year("_d").alias("year"), cal.iso_week("_d").alias("week"))
              .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("weeks_count"))
-             .orderBy("year", "week"))
-    return finish(out, None, cols)
+             )
+    return finish(sorted_result(out, "year", "week"), None, cols)
 
 
 def seasonal_patterns(daily: DataFrame, years: Sequence[int] | None = None,
@@ -200,9 +212,9 @@ def seasonal_patterns(daily: DataFrame, years: Sequence[int] | None = None,
     out = (d.groupBy(F.year("_d").alias("year"), cal.week_season("_w").alias("season"),
                      cal.week_season_sequence("_w").alias("season_sequence"),
                      cal.week_in_season("_w").alias("week"))
-             .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count"))
-             .orderBy("year", "season_sequence", "week")
-             .select("year", "season", "week", *S7, "days_count"))
+             .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count")))
+    out = sorted_result(out, "year", "season_sequence", "week").select(
+        "year", "season", "week", *S7, "days_count")
     return finish(out, None, cols)
 
 
@@ -224,8 +236,8 @@ def weekday_vs_weekend(daily: DataFrame, holidays: DataFrame,
     flag = cal.weekend_flag(cal.iso_weekday("_d"), F.col("_hd").isNotNull(), weekend_from)
     out = (marked.groupBy(F.year("_d").alias("year"), flag.alias("is_weekend"))
                  .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count"))
-                 .orderBy("year", "is_weekend"))
-    return finish(out, None, cols)
+                 )
+    return finish(sorted_result(out, "year", "is_weekend"), None, cols)
 
 
 # ---------------------------------------------------------------- A6
@@ -264,7 +276,7 @@ def household_patterns(daily: DataFrame, households: DataFrame,
                             .agg(*daily_merge_aggs(),
                                  F.count_distinct("LCLid").alias("household_count"),
                                  F.sum("p_rows").alias("days_count")))
-    return finish(out.orderBy("Acorn_grouped", "Acorn", "stdorToU"), None, cols)
+    return finish(sorted_result(out, "Acorn_grouped", "Acorn", "stdorToU"), None, cols)
 
 
 # ---------------------------------------------------------------- A7
@@ -308,8 +320,8 @@ def temperature_energy(daily: DataFrame, weather_daily: DataFrame,
     out = (grouped.agg(*aggs)
                   .select("year", "month", cal.month_name("month").alias("month_name"), "temp_bin",
                           "avg_temperature", *S7, "days_count")
-                  .orderBy("year", "month", "temp_bin"))
-    return finish(out, None, cols)
+                  )
+    return finish(sorted_result(out, "year", "month", "temp_bin"), None, cols)
 
 
 # ---------------------------------------------------------------- A8
@@ -346,5 +358,5 @@ def temperature_hourly(half_hourly: DataFrame, weather_hourly: DataFrame,
                       F.try_divide(F.sum(hum * n), F.sum(F.when(hum.isNotNull(), n))).alias("avg_humidity"),
                       F.try_divide(F.sum("sum_e"), F.sum(n)).alias("energy"),
                       F.sum(n).alias("count"))
-                 .orderBy("hour", "temp_bin"))
-    return finish(out, None, cols)
+                 )
+    return finish(sorted_result(out, "hour", "temp_bin"), None, cols)
