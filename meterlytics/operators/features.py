@@ -63,10 +63,12 @@ def weekend_index(df: DataFrame, col: str = "is_weekend") -> Column:
 
 
 def _stats(df: DataFrame) -> Column:
-    """One pass: weekday range and, per numeric column, mean, population
-    variance and counts (A27, A28), as one struct scalar."""
+    """One pass: modal array length, weekday range and, per numeric column,
+    mean, population variance and counts (A25, A27, A28), as one struct
+    scalar."""
     x = F.col("day_of_week")
-    parts = [F.min(x).alias("dow_min"), F.max(x).alias("dow_max"),
+    parts = [F.mode(F.size("hh_consumption"), True).alias("length"),
+             F.min(x).alias("dow_min"), F.max(x).alias("dow_max"),
              F.count(F.lit(1)).alias("n")]
     for c in NUMERIC:
         v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
@@ -93,9 +95,9 @@ def build_features(profiles: DataFrame, length: Column | int | None = None) -> D
 
     Scalar-subquery values are projected to plain columns first (Spark does
     not allow subqueries inside lambda functions)."""
-    L = F.lit(length) if isinstance(length, int) else (
-        length if length is not None else modal_length(profiles))
     st = _stats(profiles)
+    L = F.lit(length) if isinstance(length, int) else (
+        length if length is not None else st.getField("length"))
     rebase = (st.getField("dow_min") >= 1) & (st.getField("dow_max") <= 7)     # Q22
     staged = profiles.select(
         "LCLid", "day", "hh_consumption", L.alias("_len"),

@@ -306,7 +306,7 @@ SELECT DISTINCT 'temp_bin', temp_bin FROM p_temperature""", [("filter", "s"), ("
 # ---------------------------------------------------------------- profiles / features
 
 PROFILE_GROUP = "Comfortable"
-PROFILE_YEARS = (1996, 1999)
+PROFILE_YEARS = (1995, 2001)   # every order date of the driver tables (whole table)
 
 
 def _micro(list_expr: str) -> str:
