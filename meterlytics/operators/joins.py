@@ -33,3 +33,20 @@ def bounded_broadcast(df: DataFrame, row_bound: int | None,
 def one_row(df: DataFrame) -> DataFrame:
     """A global aggregate has exactly one row: always safe to broadcast."""
     return F.broadcast(df)
+
+
+def salted_semi_join(fact: DataFrame, keys: DataFrame, on: str, spread_by: str,
+                     buckets: int = 16) -> DataFrame:
+    """``fact LEFT SEMI JOIN keys ON on`` for a ``keys`` side too large to
+    broadcast, robust to a hot key on the fact side.
+
+    Each fact row gets a salt from a hash of ``spread_by`` (e.g. the day), and
+    every key is repeated once per salt value, so the rows of one hot key are
+    spread over ``buckets`` reduce tasks instead of one. ``keys`` must hold
+    distinct values of ``on`` (a semi-join side); it grows ``buckets`` times,
+    which is cheap next to the fact table.
+    """
+    salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(buckets)).cast("int")
+    salted_fact = fact.withColumn("_salt", salt)
+    salted_keys = keys.select(on).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted_fact.join(salted_keys, [on, "_salt"], "left_semi").drop("_salt")

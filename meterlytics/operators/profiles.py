@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..schemas import N_SLOTS
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast, is_bounded, salted_semi_join
 
 
 def group_households(households: DataFrame, group: str, strict: bool = False) -> DataFrame:
@@ -78,20 +78,22 @@ def daily_profiles(half_hourly: DataFrame, households: DataFrame, holidays: Data
         require_group(households, group)
     lo, hi = years
     by_file = "file" in half_hourly.columns and not strict
-    if by_file:
-        # rows carry their block file (CSV layout): select the group's files
-        # directly, as the reference does; with the table partitioned by
-        # file this becomes dynamic partition pruning
-        members = bounded_broadcast(group_files(households, group), households_rows)
+    key = "file" if by_file else "LCLid"
+    # rows carrying their block file (CSV layout) are selected by the group's
+    # files directly, as the reference does; otherwise by member households
+    members = group_files(households, group) if by_file else group_households(households, group, strict)
+    facts = cal.filter_year_range(half_hourly, lo, hi)
+    if is_bounded(households_rows):
+        selected = facts.join(F.broadcast(members), key, "left_semi")
     else:
-        members = bounded_broadcast(group_households(households, group, strict), households_rows)
+        # too many members to broadcast: salted shuffle semi-join, so that one
+        # household or block holding a third of the rows is split over tasks
+        selected = salted_semi_join(facts, members, key, spread_by="day")
     hol = bounded_broadcast(
         holidays.select(cal.parse_date("holiday").alias("_hd"), F.lit(True).alias("_is_holiday")),
         holiday_rows)
     wx = bounded_broadcast(weather_per_date(weather_daily), weather_rows)
-    hh = (cal.filter_year_range(half_hourly, lo, hi)
-                     .join(members, "file" if by_file else "LCLid", "left_semi")
-                     .withColumn("_d", cal.parse_date("day")))
+    hh = selected.withColumn("_d", cal.parse_date("day"))
     hh = hh.join(hol, hh["_d"] == hol["_hd"], "left")
     hh = hh.join(wx, hh["_d"] == wx["_wd"], "left")
     dow = cal.iso_weekday("_d")

@@ -39,3 +39,20 @@ def test_temperature_energy_exact_under_skew(spark, sources):
     assert got.agg(F.sum("days_count")).first()[0] == d.join(
         P.daily_weather(sources.weather_daily),
         F.to_date("day") == F.col("_d")).count()
+
+
+def test_salted_semi_join_equals_broadcast_semi_join(spark, sources):
+    from meterlytics.operators import profiles as PR
+    from meterlytics.schemas import HALF_HOURLY
+    hh = sources.half_hourly.select(*HALF_HOURLY.fieldNames())
+    hot = hh.where(F.col("LCLid") == hh.select("LCLid").orderBy("LCLid").first().LCLid)
+    skewed = hh.unionByName(hot.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("_k"))
+    args = (skewed, sources.households, sources.holidays, sources.weather_daily, "Comfortable", (1995, 2001))
+    small = PR.daily_profiles(*args, households_rows=sources.row_count("households"))
+    salted = PR.daily_profiles(*args, households_rows=None)
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"Join \[LCLid#\d+, _salt#\d+\], \[LCLid#\d+, _salt#\d+\], LeftSemi", plan)
+    cols = ["LCLid", "day", "is_weekend", "season", F.size("hh_consumption").alias("n")]
+    assert small.count() == salted.count() > 0
+    assert small.select(*cols).exceptAll(salted.select(*cols)).count() == 0
