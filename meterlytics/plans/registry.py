@@ -66,10 +66,15 @@ def store(spark: SparkSession, sf_dir: str) -> ResultStore:
         return _STORES[root]
 
 
-def stored(name: str, build: Builder) -> Builder:
-    """A builder whose result is materialised once (S7) and read back."""
+def stored(name: str, build: Builder, memory: bool = False) -> Builder:
+    """A builder whose result is materialised once (S7) and read back.
+
+    ``memory=True`` adds the memory level (``cache()`` of the read-back
+    table) for results bounded by their key domain, i.e. the pattern
+    results; data-sized tables (profiles, features) stay Parquet reads.
+    A lost cached block is re-read from the stored Parquet."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return store(spark, sf_dir).materialize(name, lambda: build(spark, sf_dir), memory=False)
+        return store(spark, sf_dir).materialize(name, lambda: build(spark, sf_dir), memory=memory)
     run.__name__ = name
     return run
 
@@ -113,14 +118,14 @@ def _temperature_hourly(spark, sf_dir):
                                 weather_rows=s.row_count("weather_hourly"))
 
 
-hourly = stored("hourly_patterns", _hourly)
-daily = stored("daily_patterns", _daily)
-weekly = stored("weekly_patterns", _weekly)
-seasonal = stored("seasonal_patterns", _seasonal)
-weekend = stored("weekday_vs_weekend", _weekend)
-household = stored("household_patterns", _household)
-temperature = stored("temperature_energy", _temperature)
-temperature_hourly = stored("temperature_hourly", _temperature_hourly)
+hourly = stored("hourly_patterns", _hourly, memory=True)
+daily = stored("daily_patterns", _daily, memory=True)
+weekly = stored("weekly_patterns", _weekly, memory=True)
+seasonal = stored("seasonal_patterns", _seasonal, memory=True)
+weekend = stored("weekday_vs_weekend", _weekend, memory=True)
+household = stored("household_patterns", _household, memory=True)
+temperature = stored("temperature_energy", _temperature, memory=True)
+temperature_hourly = stored("temperature_hourly", _temperature_hourly, memory=True)
 
 
 # ---------------------------------------------------------------- second stage
