@@ -202,24 +202,27 @@ FIXED_WEIGHT_SEED = 7          # rule weights for the scoring keys (model.rule_p
 ANOMALY_THRESHOLD = 0.1
 
 
-def _scored_fixed(spark, sf_dir, unconditional: bool = False):
+def _scored_fixed(spark, sf_dir):
     f = feature_table(spark, sf_dir)
-    if unconditional:
-        f = M.without_conditions(f)
     cfg = M.infer_dims(f, M.AEConfig())
     return M.reconstruct(f, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg)
 
 
+# M6 output (reading + reconstruction per household-day), stored once and
+# read by the three scoring keys instead of re-running the Arrow UDF each time
+scored_table = stored(f"scored_rule{FIXED_WEIGHT_SEED}_{_TAG}", _scored_fixed)
+
+
 def reconstruction_fixed(spark, sf_dir):
-    return M.row_errors(_scored_fixed(spark, sf_dir))
+    return M.row_errors(scored_table(spark, sf_dir))
 
 
 def anomaly_slots(spark, sf_dir):
-    return M.anomaly_slots(_scored_fixed(spark, sf_dir), ANOMALY_THRESHOLD)
+    return M.anomaly_slots(scored_table(spark, sf_dir), ANOMALY_THRESHOLD)
 
 
 def reconstruction_error(spark, sf_dir):
-    return M.reconstruction_error(_scored_fixed(spark, sf_dir))
+    return M.reconstruction_error(scored_table(spark, sf_dir))
 
 
 def _train(spark, sf_dir, unconditional: bool):
