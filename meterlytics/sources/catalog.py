@@ -65,17 +65,26 @@ class Sources:
         return self.rows.get(name)
 
 
-def _fingerprint(sf_dir: str) -> str:
+def _file_stamp(spark: SparkSession, path: str) -> str:
+    """(size, modification time) of a file or folder: ``os.stat`` for local
+    paths, the Hadoop file system for others (HDFS, S3, ABFS)."""
+    if "://" not in path or path.startswith("file:"):
+        local = path[len("file:"):] if path.startswith("file:") else path
+        st = os.stat(local)
+        return f"{os.path.abspath(local)}:{st.st_size}:{int(st.st_mtime)}"
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(hpath)
+    return f"{path}:{summary.getLength()}:{fs.getFileStatus(hpath).getModificationTime()}"
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Hash of (name, size, mtime) of the driver files the tables read."""
     h = hashlib.sha1()
     names = sorted({n for ins in fixtures.INPUTS.values() for n in ins})
     for n in names:
-        p = os.path.join(sf_dir, f"{n}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{os.path.abspath(p)}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(f"{sf_dir}/{n}".encode())
+        h.update(_file_stamp(spark, f"{sf_dir}/{n}.parquet").encode())
     return h.hexdigest()[:16]
 
 
@@ -95,7 +104,7 @@ def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sou
     with _LOCK:
         if not refresh and key in _MEMO:
             return _MEMO[key]
-        root = f"{shared_root(spark)}/meterlytics/sources/{_fingerprint(sf_dir)}"
+        root = f"{shared_root(spark)}/meterlytics/sources/{_fingerprint(spark, sf_dir)}"
 
         def one(t: str) -> tuple[str, DataFrame, int]:
             path = f"{root}/{t}"
