@@ -10,6 +10,7 @@ turned into a scalar subquery: no collect, no join of the fact rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -140,7 +141,7 @@ def fit_spec(profiles: DataFrame) -> FeatureSpec:
         m = r[f"{c}_m"] if r[f"{c}_m"] is not None else 0.0
         var = (r[f"{c}_v"] or 0.0) * r[f"{c}_n"] / r["n"]
         means.append(float(m))
-        stds.append(float(var) ** 0.5)
+        stds.append(math.sqrt(float(var)))
     shift = 1 if (r["dmin"] is not None and r["dmin"] >= 1 and r["dmax"] <= 7) else 0
     return FeatureSpec(int(r["length"]), shift, tuple(means), tuple(stds))
 

@@ -434,4 +434,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(_second_stage())
     out.update(_features_stage())
     out.update(_scoring_stage())
+    # the streaming key scores the same rows with the same (frozen) statistics
+    out["stream_anomaly_slots"] = out["anomaly_slots"]
     return out
