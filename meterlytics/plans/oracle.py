@@ -191,9 +191,13 @@ CG_KINDS = [("quantile_group", "s"), ("energy_mean", "d"), ("energy_median", "d"
             ("stdorToU", "s"), ("order", "i")]
 
 
+def q(extra: list[tuple[str, str]], final: str, kinds: list[tuple[str, str]]) -> str:
+    """Fixture + pattern CTEs, extra CTEs, the final SELECT, typed/rounded."""
+    return rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
+
+
 def _second_stage() -> dict[str, str]:
     out: dict[str, str] = {}
-    q = lambda extra, final, kinds: rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
     out["filtered_projection"] = q([], f"""SELECT year, month, month_name, temp_bin, energy_mean, days_count
 FROM p_temperature WHERE year IN ({_in(FILTER_YEARS)}) AND month IN ({_in(FILTER_MONTHS)})
   AND temp_bin IN ({_in(FILTER_BINS)})""",
@@ -364,7 +368,6 @@ FROM prof AS p, modal, dw, zs"""),
 
 def _features_stage() -> dict[str, str]:
     out: dict[str, str] = {}
-    q = lambda extra, final, kinds: rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
     out["acorn_profiles"] = q(_profile_ctes(), f"""SELECT LCLid, day, day_of_week, is_weekend, avg_temperature,
        avg_humidity, season, len(hh) AS n_readings, {_micro("hh")} AS hh_consumption FROM prof""",
         [("LCLid", "s"), ("day", "s"), ("day_of_week", "i"), ("is_weekend", "b"),
@@ -413,7 +416,6 @@ FROM feat"""),
 
 
 def _scoring_stage() -> dict[str, str]:
-    q = lambda extra, final, kinds: rounded(with_ctes(PATTERN_CTES + extra, final), kinds)
     ctes = _scoring_ctes()
     return {
         "reconstruction_fixed": q(ctes, """SELECT LCLid, day, sum((actual - recon) * (actual - recon)) AS sse,

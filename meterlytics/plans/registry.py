@@ -34,6 +34,7 @@ from ..operators import segments as SG
 from ..operators import views as V
 from ..operators import weather as WX
 from ..sources.catalog import Sources, load_sources
+from ..session import path_exists
 from ..sources.store import ResultStore
 from ..streaming import scoring as ST
 from . import oracle as O
@@ -247,16 +248,19 @@ def stream_anomaly_slots(spark, sf_dir):
     deduplicated, joined, encoded with the spec frozen from the stored
     profiles and scored; the Parquet sink's rows are returned."""
     s = src(spark, sf_dir)
-    run = f"{store(spark, sf_dir).root}/stream_{_TAG}/{uuid.uuid4().hex}"
-    members = PR.group_households(s.households, O.PROFILE_GROUP)
-    blocks = (CAL.filter_year_range(s.half_hourly, *O.PROFILE_YEARS)
-              .join(members, "LCLid", "left_semi")
-              .select(*HALF_HOURLY.fieldNames()))
-    blocks.write.mode("overwrite").option("header", True).csv(f"{run}/inbox")
+    base = f"{store(spark, sf_dir).root}/stream_{_TAG}"
+    inbox = f"{base}/inbox"                    # deterministic per source fingerprint
+    if not path_exists(spark, f"{inbox}/_SUCCESS"):
+        members = PR.group_households(s.households, O.PROFILE_GROUP)
+        blocks = (CAL.filter_year_range(s.half_hourly, *O.PROFILE_YEARS)
+                  .join(members, "LCLid", "left_semi")
+                  .select(*HALF_HOURLY.fieldNames()))
+        blocks.write.mode("overwrite").option("header", True).csv(inbox)
+    run = f"{base}/runs/{uuid.uuid4().hex}"     # fresh checkpoint and sink per run
     spec = FE.fit_spec(profiles(spark, sf_dir))
     bounds = dict(households_rows=s.row_count("households"), holiday_rows=s.row_count("holidays"),
                   weather_rows=s.row_count("weather_daily"))
-    feats = ST.stream_features(ST.block_stream(spark, f"{run}/inbox"), s.households, s.holidays,
+    feats = ST.stream_features(ST.block_stream(spark, inbox), s.households, s.holidays,
                                s.weather_daily, O.PROFILE_GROUP, O.PROFILE_YEARS, spec,
                                lateness="36500 days", **bounds)
     cfg = M.AEConfig(input_dim=spec.length, cond_dim=FE.COND_DIM)
