@@ -34,7 +34,7 @@ from ..operators import segments as SG
 from ..operators import views as V
 from ..operators import weather as WX
 from ..sources.catalog import Sources, load_sources
-from ..session import path_exists
+from ..session import path_exists, ship_package
 from ..sources.store import ResultStore
 from ..streaming import scoring as ST
 from . import oracle as O
@@ -56,6 +56,7 @@ def contract(df: DataFrame, digits: int = 9) -> DataFrame:
 
 
 def src(spark: SparkSession, sf_dir: str) -> Sources:
+    ship_package(spark)            # Python workers import the package (UDFs)
     return load_sources(spark, sf_dir)
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -104,3 +106,29 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(hpath):
         return []
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(hpath))
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``meterlytics`` importable in the Python workers (pandas UDFs and
+    ``mapInPandas`` unpickle its functions by reference): zip the package once
+    per SparkContext and ``addPyFile`` it, which distributes it like
+    ``--py-files``. A no-op when already shipped."""
+    sc = spark.sparkContext
+    with _SHIP_LOCK:
+        if sc.applicationId in _SHIPPED:
+            return
+        pkg_dir = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="meterlytics-pkg-"), "meterlytics.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+            for root, dirs, files in os.walk(pkg_dir):
+                dirs[:] = [d for d in dirs if d != "__pycache__"]
+                for name in files:
+                    if name.endswith(".py"):
+                        full = os.path.join(root, name)
+                        zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+        sc.addPyFile(out)
+        _SHIPPED.add(sc.applicationId)

@@ -56,3 +56,16 @@ def test_stream_key_equals_batch_key(spark):
     b = q["stream_anomaly_slots"](spark, sf).select(*cols)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0
+
+
+def test_entry_importable_by_path_from_another_folder(tmp_path):
+    """The driver may load __spark_entry__.py by path from any folder."""
+    import subprocess
+    import sys
+    code = ("import importlib.util as u; s = u.spec_from_file_location('e', '/root/repo/__spark_entry__.py'); "
+            "m = u.module_from_spec(s); s.loader.exec_module(m); print(len(m.queries()), len(m.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=300)
+    assert out.returncode == 0, out.stderr[-500:]
+    n_q, n_sql = map(int, out.stdout.split()[-2:])
+    assert n_q >= n_sql > 0
