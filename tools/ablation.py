@@ -1,10 +1,11 @@
 """Measure the aggregate-before-join rewrites against the plain join-first
 plans (same results) at one scale. usage: python tools/ablation.py [sf_dir]"""
 import json
+import os
 import sys
 import time
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from meterlytics.functions import calendar as cal  # noqa: E402

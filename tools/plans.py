@@ -4,9 +4,10 @@ re-planning) at a given scale, with expression ids stripped.
 usage: python tools/plans.py [sf_dir]
 """
 import re
+import os
 import sys
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from meterlytics.operators import features as FE  # noqa: E402
 from meterlytics.operators import patterns as P  # noqa: E402
 from meterlytics.operators import profiles as PR  # noqa: E402
@@ -52,7 +53,8 @@ def main():
            "plans are the initial adaptive plans, before runtime re-planning). Expression ids are stripped.", ""]
     for title, df in plans.items():
         out += [f"## {title}", "", "```", clean(df._jdf.queryExecution().executedPlan().toString()), "```", ""]
-    with open("docs/PLANS.md", "w") as fh:
+    target = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "PLANS.md")
+    with open(target, "w") as fh:
         fh.write("\n".join(out))
     spark.stop()
 
