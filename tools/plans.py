@@ -41,11 +41,16 @@ def main():
         "weekday_vs_weekend (A5, J6)": P.weekday_vs_weekend(s.daily, s.holidays, holiday_rows=rows["holidays"]),
         "household_patterns (A6, J1)": P.household_patterns(s.daily, s.households,
                                                              households_rows=rows["households"]),
+        "household_patterns, households not provably small (A6 pre-aggregated, shuffle join)":
+            P.household_patterns(s.daily, s.households, households_rows=None),
         "temperature_energy (A7, J2)": P.temperature_energy(s.daily, s.weather_daily,
                                                              weather_rows=rows["weather_daily"]),
         "temperature_hourly (A8, J3)": P.temperature_hourly(s.half_hourly, s.weather_hourly,
                                                              weather_rows=rows["weather_hourly"]),
         "daily_profiles (S10, J4-J7)": prof,
+        "daily_profiles, members not provably small (salted semi-join)": PR.daily_profiles(
+            s.half_hourly, s.households, s.holidays, s.weather_daily, "Comfortable", (1996, 1999),
+            households_rows=None, holiday_rows=rows["holidays"], weather_rows=rows["weather_daily"]),
         "build_features (V3-V6)": FE.build_features(prof),
     }
     out = ["# Physical plans", "",
