@@ -26,23 +26,25 @@ packed each; a null ``doc_id`` is kept; other columns are not read.
 from __future__ import annotations
 
 import bisect
-import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import ASCII_LOWER, prepare, slices, text_buffers
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 VOCAB = "word_bpe_49k.json"
 GROUP_DOCS = 512
 STEP_SEQUENCES = 8
-CACHE_WORDS = 300_000
+SLICE = 8 << 20
+CACHE_WORDS = 600_000
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_id long"
 
@@ -52,31 +54,113 @@ def vocab_path(name: str = VOCAB) -> str:
     return public_tokenizers.path(name)
 
 
+class _Ids:
+    """An array of ids that grows at its end."""
+
+    def __init__(self):
+        self.data, self.size = np.zeros(1 << 16, np.uint32), 0
+
+    def add(self, ids: np.ndarray) -> None:
+        end = self.size + len(ids)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(end, len(self.data)), np.uint32)])
+        self.data[self.size:end] = ids
+        self.size = end
+
+    def array(self) -> np.ndarray:
+        return self.data[:self.size]
+
+
 class WordTokenizer:
-    """Ids of a text by way of its chunks between blanks and line feeds.
+    """Ids of whole texts by way of their distinct words.
 
-    The vocabulary drops white space and ends every token within a word, so
-    the ids of a text are those of its chunks in order; chunks repeat, so each
-    is tokenised once while it stays in the bounded cache."""
+    The vocabulary drops white space and marks the end of every word, so the
+    ids of a text are those of its chunks between blanks and line feeds, in
+    order. Arrow splits a slice of texts and numbers its distinct chunks; only
+    chunks not met before are tokenised. Plain letter words go through the
+    tokenizer many at a time, and the end marks part their ids again."""
 
     def __init__(self, path: str | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path or vocab_path())
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = set(words).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = set(words)
-                new = list(new)
-                for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                    self.cache[w] = tuple(e.ids)
-            flat = itertools.chain.from_iterable(map(self.cache.__getitem__, words))
-            yield np.fromiter(itertools.chain(flat, (END_ID,)), np.uint32)
+        size = max(self.tok.get_vocab().values()) + 1
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.first, self.count, self.flat = [0], [1], _Ids()      # word 0: the end
+        self.flat.add(np.array([END_ID], np.uint32))
+        self.arrays = None
+
+    def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        at = len(self.first)
+        self.index.update(zip(words, range(at, at + len(words))))
+        self.first.extend((self.flat.size + np.cumsum(counts) - counts).tolist())
+        self.count.extend(counts.tolist())
+        self.flat.add(ids)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        for lo in range(0, len(plain), 4000):
+            part = plain[lo:lo + 4000]
+            ids = self._encode(" ".join(part))
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                self._store(part, ids, np.diff(cut, prepend=0))
+            else:                                     # a word of several pieces is among them
+                other += part
+        for lo in range(0, len(other), 4000):
+            part = other[lo:lo + 4000]
+            ids = [x.ids for x in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            self._store(part, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (each with its end) and their offsets."""
+        raw, off = text_buffers(texts)
+        data = raw.copy()
+        if b"<|" not in data.tobytes():               # special tokens are told by case
+            data = ASCII_LOWER[data]
+        data[data == 10] = 32
+        # a mark after a letter and before a blank is a word of its own
+        after = np.append(data[1:], 32)
+        after[off[1:][off[1:] > 0] - 1] = 32
+        mark = ((data == 46) | (data == 44)) & (after == 32)
+        letter = (data >= 97) & (data <= 122) | (data >= 65) & (data <= 90)
+        mark[1:] &= letter[:-1]
+        mark[off[:-1][off[:-1] < len(mark)]] = False
+        at = np.flatnonzero(mark)
+        data = np.insert(data, at, 32)
+        off = off + np.searchsorted(at, off)
+        arr = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes()))
+        parts = pc.split_pattern(arr, " ")
+        chunks = parts.flatten().dictionary_encode()
+        words = chunks.dictionary.to_pylist()
+        if len(self.index) + len(words) > CACHE_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self.index]
+        if new:
+            self._learn(new)
+            self.arrays = None
+        if self.arrays is None:
+            self.arrays = (np.array(self.first), np.array(self.count), self.flat.array())
+        first, count, flat = self.arrays
+        here = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        of_doc = parts.offsets.to_numpy()
+        seq = here[chunks.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        seq = np.insert(seq, of_doc[1:], 0)
+        n = count[seq]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat(first[seq] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        last = of_doc[1:] + np.arange(len(off) - 1)
+        return ids, np.concatenate([[0], stop[last]])
 
 
 class Packer:
@@ -181,14 +265,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=COLUMNS)
 
         for batch in batches:
-            texts = batch.column(1)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                ids = next(tok.ids([texts[i].as_py() or ""]))
-                names[row] = (doc, len(ids))
-                group.append((row, ids))
-                row += 1
-                if len(group) >= GROUP_DOCS or len(ids) > 1 << 20:
-                    yield from rows(False)
+            for part in slices(batch, "text", SLICE):
+                ids, off = tok.encode(part.column(1))
+                for doc, a, b in zip(part.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist()):
+                    names[row] = (doc, b - a)
+                    group.append((row, ids[a:b]))
+                    row += 1
+                    if len(group) >= GROUP_DOCS or b - a > 1 << 20:
+                        yield from rows(False)
         yield from rows(True)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, url_filter
+from . import packing, secrets, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_packing": packing.op6_packing,
+    "op9_secrets": secrets.op9_secrets,
 }
 ORACLE = {
     "op4_url_filter": url_filter.SQL,
