@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, toxicity, url_filter
+from . import html_text, packing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_html_text": html_text.op3_html_text,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_packing": packing.op6_packing,
     "op9_secrets": secrets.op9_secrets,
