@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import html_text, packing, secrets, toxicity, url_filter
+from . import html_text, near_vectors, ngram_join, packing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_html_text": html_text.op3_html_text,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_near_vectors": near_vectors.op5_near_vectors,
     "op6_packing": packing.op6_packing,
     "op9_secrets": secrets.op9_secrets,
 }
 ORACLE = {
+    "op2_ngram_join": ngram_join.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op5_near_vectors": near_vectors.SQL,
 }
