@@ -1,20 +1,23 @@
-"""Language-model scores by prediction by partial matching (PPM, escape C).
+"""Language-model scores by prediction by partial matching (PPM, escape D).
 
 The model is a trie of byte contexts up to ``ORDER`` symbols, counted over all
 training texts (A-Z lower-cased, UTF-8 bytes, with start and end marks). A
 symbol is sought in the longest context first. A context with total ``T`` and
-``D`` distinct symbols gives a seen symbol ``count / (T + D)`` and the escape
-``D / (T + D)``; in the next shorter context the symbols of the longer one are
+``D`` distinct symbols gives a seen symbol ``(count - 1/2) / T`` and the escape
+``(D / 2) / T``; in the next shorter context the symbols of the longer one are
 excluded, down to a uniform order -1. An unseen context passes on without cost.
-As the symbols of a context are among those of every shorter one, exclusion
-depends on the context alone, so the whole recursion is worked out once per
-model, as an array over (context, symbol), and a text costs one look-up a byte.
-The code length of a document accumulates over its bytes and its end mark.
+As the symbols of a context are among those of every shorter one, what
+exclusion leaves depends on the context alone; it is worked out once per model.
+The trie is kept as sorted arrays by order. A slice of texts looks up each of
+its distinct (context, symbol) cells once, and the code length of a document
+accumulates over its bytes and its end mark.
 
 Symbols are 6 bits: 0 marks start and end, 1 to 62 are the most frequent bytes
 of the training texts, 63 stands for any other byte, which is then coded by its
-own frequency. The trie has at most ``64 ** (ORDER + 1)`` counts whatever the
-size of the corpus; only those met are gathered and broadcast.
+own frequency. All counts are exact. The trie that is broadcast is pruned to
+the cells of at least ``least`` occurrences, the smallest number that leaves no
+more than ``MODEL_CELLS`` of the longest ones (a parameter of the model's size;
+1 until the corpus has more).
 
 The base score needs counts of words, whose number grows with the corpus: word
 counts are dealt by hash to buckets. Words of at least ``N / FREQUENT`` tokens,
@@ -29,6 +32,7 @@ counts as empty text in the fold; other columns are not carried.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +44,13 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, cut, prepare, remainder, slices, text_buffers
 from .ngram_join import word_bounds, word_hashes
 
-ORDER = 3
+ORDER = 5
+SHORT = 2                    # contexts up to here are kept whole (64 ** 3 cells)
 SYMBOLS = 64
-CELLS = SYMBOLS ** (ORDER + 1)
+MODEL_CELLS = 2_000_000
 FREQUENT = 1_000_000
-SLICE = 8 << 20
-PARTS, BUCKETS = 32, 128
+SLICE = 4 << 20
+PARTS, BUCKETS = 64, 128
 RARE = SYMBOLS - 1
 
 
@@ -55,7 +60,7 @@ def symbol_map(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte to symbol, and log10 probability of a byte within symbol 63."""
     h = np.bincount(ASCII_LOWER, weights=histogram, minlength=256).astype(np.int64)
     order = np.lexsort((np.arange(256), -h))
-    symbol = np.full(256, RARE, np.uint32)
+    symbol = np.full(256, RARE, np.uint64)
     symbol[order[:SYMBOLS - 2]] = np.arange(1, SYMBOLS - 1)
     rest = symbol == RARE
     inner = np.zeros(256)
@@ -68,67 +73,81 @@ def gram_index(raw: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> tuple[np
     order, and the offsets of the texts in it."""
     docs = len(off) - 1
     pad = ORDER + 1
-    line = np.zeros(len(raw) + pad * docs, np.uint32)
+    line = np.zeros(len(raw) + pad * docs, np.uint64)
     at = np.arange(len(raw)) + np.repeat(np.arange(docs) * pad + ORDER, np.diff(off))
     line[at] = symbol[raw]
     cell = line[ORDER:].copy()
     for k in range(1, ORDER + 1):
-        cell += line[ORDER - k:len(line) - k] << np.uint32(6 * k)
+        cell += line[ORDER - k:len(line) - k] << np.uint64(6 * k)
     length = np.diff(off) + 1
     out = off + np.arange(docs + 1)
     keep = np.arange(int(out[-1])) + np.repeat(np.arange(docs) * ORDER, length)
     return cell[keep], out
 
 
-def log_table(cells: np.ndarray, counts: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 P(symbol | context) for every cell, from the counts met."""
-    full = np.zeros(SYMBOLS ** (order + 1), np.float32)
-    full[cells] = counts
-    levels = [full.reshape(-1, SYMBOLS)]                    # counts by order, longest first
-    for _ in range(order):
-        levels.append(levels[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(axis=0))
-    levels.reverse()                                        # levels[k]: contexts of k symbols
-    seen = levels[0] > 0
-    left = SYMBOLS - int(seen.sum())
-    # below: probability of a symbol not in the context, once escaped from it
-    below = np.full((1, SYMBOLS), 1.0 / left if left else 0.0)
-    direct = _start(levels[0], below)
-    for k in range(1, order + 1):
-        direct, below = _step(levels[k], levels[k - 1], direct, below, last=k == order)
-    with np.errstate(divide="ignore"):
-        return np.log10(np.maximum(direct, 1e-30), dtype=np.float32).reshape(-1)
-
-
-def _start(n: np.ndarray, below: np.ndarray) -> np.ndarray:
-    total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        p = np.where(n > 0, n / (total + kinds), kinds / (total + kinds) * below)
-    return np.where(total > 0, p, below)
-
-
-def _step(n, shorter, direct, below, last):
-    """One more symbol of context: ``n`` has 64 times the rows of ``shorter``.
-    Returns the start probabilities and what follows an escape."""
-    rows = len(shorter)
-    new = np.empty_like(n, np.float32)
-    under = None if last else np.empty_like(n, np.float64)
-    total1, kinds1 = shorter.sum(axis=1, keepdims=True), (shorter > 0).sum(axis=1, keepdims=True)
-    for a in range(0, len(n), rows):                        # one first symbol at a time
-        c = n[a:a + rows].astype(np.float64)
-        here = c > 0
-        total, kinds = c.sum(axis=1, keepdims=True), here.sum(axis=1, keepdims=True)
-        # the shorter context without the symbols of this one
-        rest_total = total1 - np.where(here, shorter, 0).sum(axis=1, keepdims=True)
-        rest_kinds = kinds1 - kinds
-        size = rest_total + rest_kinds
-        with np.errstate(invalid="ignore", divide="ignore"):
-            escaped = np.where(shorter > 0, shorter / size, rest_kinds / size * below)
-            escaped = np.where(rest_kinds > 0, escaped, below)
-            p = np.where(here, c / (total + kinds), kinds / (total + kinds) * escaped)
-        new[a:a + rows] = np.where(total > 0, p, direct)
-        if under is not None:
-            under[a:a + rows] = np.where(total > 0, escaped, below)
-    return new, under
+def shorter(cells: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the cells of contexts of ``order`` symbols, from longer ones."""
+    u, inv = np.unique(cells & np.uint64((1 << 6 * (order + 1)) - 1), return_inverse=True)
+    return u, np.bincount(inv, counts, len(u)).astype(np.int64)
+
+
+def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+class Trie:
+    """Cells by order, and per context: total, kinds, and what the next
+    shorter context holds besides the symbols of this one."""
+
+    def __init__(self, cells: list[np.ndarray], counts: list[np.ndarray]):
+        self.cells, self.counts = cells, counts
+        self.contexts, self.total, self.kinds, self.rest, self.rest_kinds = [], [], [], [], []
+        for k, (u, n) in enumerate(zip(cells, counts)):
+            ctx, inv = np.unique(u >> np.uint64(6), return_inverse=True)
+            total = np.bincount(inv, n, len(ctx))
+            kinds = np.bincount(inv, minlength=len(ctx))
+            if k:
+                tail = np.uint64((1 << 6 * k) - 1)
+                at, _ = _find(cells[k - 1], u & tail)          # the same symbol one order down
+                inside = np.bincount(inv, counts[k - 1][at], len(ctx))
+                up, _ = _find(self.contexts[k - 1], ctx & (tail >> np.uint64(6)))
+                self.rest.append(self.total[k - 1][up] - inside)
+                self.rest_kinds.append(self.kinds[k - 1][up] - kinds)
+            else:
+                self.rest.append(np.zeros(len(ctx)))
+                self.rest_kinds.append(SYMBOLS - kinds)        # order -1: the symbols not met
+            self.contexts.append(ctx)
+            self.total.append(total)
+            self.kinds.append(kinds)
+
+    def logs(self, cells: np.ndarray) -> np.ndarray:
+        """log10 P(symbol | context) of distinct cells of the longest order."""
+        out = np.zeros(len(cells))
+        live = np.arange(len(cells))                           # not coded yet
+        size = np.full(len(cells), -1.0)                       # of what exclusion left here; -1: not begun
+        kinds = np.zeros(len(cells))
+        for k in range(len(self.cells) - 1, -1, -1):
+            x = cells[live] & np.uint64((1 << 6 * (k + 1)) - 1)
+            at, known = _find(self.contexts[k], x >> np.uint64(6))
+            cell, hit = _find(self.cells[k], x)
+            begun = size[live] >= 0
+            total = np.where(begun, size[live], self.total[k][at] if len(self.total[k]) else 0)
+            left = np.where(begun, kinds[live], self.kinds[k][at] if len(self.kinds[k]) else 0)
+            here = known & (left > 0)
+            hit &= here
+            out[live[hit]] += np.log10((self.counts[k][cell[hit]] - 0.5) / total[hit])
+            miss = here & ~hit
+            out[live[miss]] += np.log10(0.5 * left[miss] / total[miss])
+            # the next order excludes the symbols of this context
+            size[live[known]] = self.rest[k][at[known]]
+            kinds[live[known]] = self.rest_kinds[k][at[known]]
+            live = live[~hit]
+        met = self.kinds[0][0] if len(self.kinds[0]) else 0
+        out[live] -= np.log10(max(1, SYMBOLS - met))
+        return out
 
 
 # ---- counting and scoring -------------------------------------------------
@@ -149,9 +168,9 @@ def _pairs(values: np.ndarray, counts: np.ndarray) -> bytes:
     return np.array([len(values)], np.uint32).tobytes() + values.tobytes() + counts.astype(np.uint32).tobytes()
 
 
-def _read_pairs(blob: bytes, kind) -> tuple[np.ndarray, np.ndarray]:
+def _read_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    return (np.frombuffer(blob, kind, n, 4), np.frombuffer(blob, np.uint32, n, 4 + n * np.dtype(kind).itemsize))
+    return np.frombuffer(blob, np.uint64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
 
 
 def _words(part: pa.Array):
@@ -162,26 +181,37 @@ def _words(part: pa.Array):
     return raw, off, (word_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)), doc
 
 
-_KINDS = {0: np.uint64, 1: np.uint32}          # words, cells
+def _cell_part(u: np.ndarray) -> np.ndarray:
+    """Part of a cell by its last symbols, so that the shorter contexts of all
+    cells of a part are counted there."""
+    return (u & np.uint64((1 << 6 * (SHORT + 1)) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 6)
 
 
 def _count(symbol: np.ndarray, buckets: int):
-    """Word and cell counts of a partition, as blobs by bucket."""
+    """Word (kind 0) and cell (kind 1) counts of a partition, as blobs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        held: list = []
         for b in batches:
             for part in slices(b, "text", SLICE):
                 raw, off, h, _ = _words(part.column(0))
-                cells += np.bincount(gram_index(raw, off, symbol)[0], minlength=CELLS).astype(np.uint32)
+                held.append(np.unique(gram_index(raw, off, symbol)[0], return_counts=True))
+                if len(held) > 8:
+                    held = [_sum(held)]
                 u, c = np.unique(h, return_counts=True)
-                cut_at = np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1))
-                yield _blobs(0, u, c, cut_at)
-        at = np.flatnonzero(cells).astype(np.uint32)
-        cut_at = np.searchsorted(at, np.arange(PARTS + 1) * (CELLS // PARTS))
-        yield _blobs(1, at, cells[at], cut_at)
+                yield _blobs(0, u, c, np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1)))
+        if held:
+            u, c = _sum(held)
+            where = _cell_part(u)
+            order = np.argsort(where, kind="stable")
+            yield _blobs(1, u[order], c[order], np.searchsorted(where[order], np.arange(PARTS + 1)))
     return run
 
 
+def _sum(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    u, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return u, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
+
+
 def _blobs(kind: int, values, counts, cut_at) -> pa.RecordBatch:
     rows = [(k, _pairs(values[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(cut_at[:-1], cut_at[1:])) if b > a]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()),
@@ -189,14 +219,30 @@ def _blobs(kind: int, values, counts, cut_at) -> pa.RecordBatch:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    kind = table.column("kind")[0].as_py()
-    parts = [_read_pairs(b, _KINDS[kind]) for b in table.column("blob").to_pylist()]
-    values = np.concatenate([p[0] for p in parts])
-    u, inv = np.unique(values, return_inverse=True)
-    c = np.bincount(inv, np.concatenate([p[1] for p in parts])).astype(np.int64)
-    blob = np.array([len(u)], np.uint32).tobytes() + u.tobytes() + c.astype(np.uint32).tobytes()
-    return pa.table({"kind": pa.array([kind], pa.int32()), "part": table.column("part").slice(0, 1), "blob": pa.array([blob], pa.binary()),
-                     "total": pa.array([int(c.sum())]), "kinds": pa.array([len(u)])})
+    u, c = _sum([_read_pairs(b) for b in table.column("blob").to_pylist()])
+    return pa.table({"kind": table.column("kind").slice(0, 1), "part": table.column("part").slice(0, 1),
+                     "blob": pa.array([_pairs(u, c)], pa.binary()), "total": pa.array([int(c.sum())]),
+                     "kinds": pa.array([len(u)]),
+                     "often": pa.array([np.bincount(np.minimum(c, STEPS), minlength=STEPS + 1).tolist()], pa.list_(pa.int64()))})
+
+
+#: counts up to this are told apart when the model's size is set
+STEPS = 4096
+
+
+def _pruned(least: int):
+    """Cells of all orders of a part, from ``SHORT`` on, of ``least`` or more
+    occurrences (the shortest whole)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                u, c = _read_pairs(blob)
+                for k in range(ORDER, SHORT - 1, -1):
+                    u, c = shorter(u, c, k)
+                    keep = c >= (least if k > SHORT else 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pairs(u[keep], c[keep])], pa.binary())],
+                                                     names=["order", "blob"])
+    return run
 
 
 def _most(least: int):
@@ -205,7 +251,7 @@ def _most(least: int):
         for b in batches:
             out = []
             for blob in b.column(0).to_pylist():
-                u, c = _read_pairs(blob, np.uint64)
+                u, c = _read_pairs(blob)
                 big = c >= least
                 out.append(_pairs(u[big], c[big]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["blob"])
@@ -220,7 +266,7 @@ class _Model:
 
     def __init__(self, shared):
         self.symbol, self.inner, self.words, self.counts, cells, counts = shared
-        self.logs = log_table(cells, counts)
+        self.trie = Trie(cells, counts)
         self.value = np.log10(self.counts + 1.0)
 
     @classmethod
@@ -234,7 +280,8 @@ class _Model:
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
         cell, at = gram_index(raw, off, self.symbol)
-        out = np.add.reduceat(self.logs[cell].astype(np.float64), at[:-1]) if len(at) > 1 else np.zeros(0)
+        u, inv = np.unique(cell, return_inverse=True)
+        out = np.add.reduceat(self.trie.logs(u)[inv], at[:-1]) if len(at) > 1 else np.zeros(0)
         rare = np.flatnonzero(self.symbol[raw] == RARE)
         if len(rare):
             doc = np.searchsorted(off, rare, side="right") - 1
@@ -293,7 +340,7 @@ def _rare(groups: int):
         out = []
         if row and right.num_rows:
             row, h = np.concatenate(row), np.concatenate(h)
-            u, c = _read_pairs(right.column("blob")[0].as_py(), np.uint64)
+            u, c = _read_pairs(right.column("blob")[0].as_py())
             at = np.minimum(np.searchsorted(u, h), max(len(u) - 1, 0))
             hit = u[at] == h
             row, value = row[hit], np.log10(c[at[hit]] + 1.0)
@@ -338,17 +385,27 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
 
     blobs = train.mapInArrow(_count(symbol, buckets), "kind int, part int, blob binary")
     counts = cut(blobs.groupBy("kind", "part").applyInArrow(
-        _merge, "kind int, part int, blob binary, total long, kinds long"), "ppm-counts")
+        _merge, "kind int, part int, blob binary, total long, kinds long, often array<long>"), "ppm-counts")
     words = counts.where("kind = 0")
     tokens, kinds = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     total, distinct = tokens + texts, kinds + (1 if texts else 0)          # with the end of every text
     often = words.select("blob").mapInArrow(_most(max(1, -(-tokens // FREQUENT))), "blob binary").collect()
-    cells = counts.where("kind = 1").select("part", "blob").collect()       # at most CELLS counts
-    u, c = _join([_read_pairs(bytes(r["blob"]), np.uint64) for r in often], np.uint64)
-    cu, cc = _join([_read_pairs(bytes(r["blob"]), np.uint32) for r in cells], np.uint32)
-    del often, cells
-    import uuid
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, symbol, inner, u, c, cu, cc))
+    u, c = _join([_read_pairs(bytes(r["blob"])) for r in often])
+    # the model: at most MODEL_CELLS cells of the longest order, fewer of the others
+    sizes = sum((np.array(r["often"]) for r in counts.where("kind = 1").select("often").collect()), np.zeros(STEPS + 1, np.int64))
+    above = np.cumsum(sizes[::-1])[::-1]
+    least = next((k for k in range(1, STEPS + 1) if above[k] <= MODEL_CELLS), STEPS)
+    if above[STEPS] > MODEL_CELLS:                        # a corpus beyond the steps: by the share that bounds them
+        least = max(STEPS, -(-int(counts.where("kind = 1").agg(F.sum("total")).first()[0]) // MODEL_CELLS))
+    by_order: dict[int, list] = {k: [] for k in range(ORDER + 1)}
+    for r in counts.where("kind = 1").select("blob").mapInArrow(_pruned(least), "order int, blob binary").collect():
+        by_order[r["order"]].append(_read_pairs(bytes(r["blob"])))
+    levels = {k: _join(by_order[k]) for k in range(SHORT, ORDER + 1)}
+    for k in range(SHORT - 1, -1, -1):
+        levels[k] = shorter(*levels[k + 1], k)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, symbol, inner, u, c, [levels[k][0] for k in range(ORDER + 1)],
+                                           [levels[k][1] for k in range(ORDER + 1)]))
+    del by_order, levels, often
 
     scored = cut(src.mapInArrow(_score(shared, buckets), f"part int, blob binary, row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, "
                                 "held_out boolean, n_tokens long, n_known long, logs double, score double"), "ppm-scored")
@@ -366,10 +423,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
                     "score"))
 
 
-def _join(parts, kind):
-    """Sorted values and counts of all blobs."""
+def _join(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values and counts of all blobs (no value is in two of them)."""
     if not parts:
-        return np.zeros(0, kind), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     u, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
     order = np.argsort(u, kind="stable")
     return u[order], c[order]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, near_vectors, ngram_join, packing, secrets, toxicity, url_filter
+from . import html_text, near_vectors, ngram_join, packing, ppm, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_vectors": near_vectors.op5_near_vectors,
     "op6_packing": packing.op6_packing,
+    "op8_lm_score": ppm.op8_lm_score,
     "op9_secrets": secrets.op9_secrets,
 }
 ORACLE = {
