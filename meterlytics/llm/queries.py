@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, near_vectors, ngram_join, packing, ppm, secrets, toxicity, url_filter
+from . import html_text, near_vectors, ngram_join, packing, ppm, secrets, tool_calls, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op8_lm_score": ppm.op8_lm_score,
     "op9_secrets": secrets.op9_secrets,
+    "op10_tool_calls": tool_calls.op10_tool_calls,
 }
 ORACLE = {
     "op2_ngram_join": ngram_join.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_near_vectors": near_vectors.SQL,
+    "op10_tool_calls": tool_calls.SQL,
 }
