@@ -68,9 +68,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of every word ``[^\\x20\\x09-\\x0D]+``."""
-    inside = ~IS_SPACE[data]
+def word_bounds(data: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every word, a run of bytes that are not in
+    ``apart`` (by default ``[^\\x20\\x09-\\x0D]+``)."""
+    inside = ~apart[data]
     n = len(data)
     first = np.zeros(n + 1, bool)
     first[off] = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, near_vectors, ngram_join, packing, ppm, secrets, tool_calls, toxicity, url_filter
+from . import decontaminate, html_text, near_vectors, ngram_join, packing, ppm, secrets, tool_calls, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_vectors": near_vectors.op5_near_vectors,
     "op6_packing": packing.op6_packing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_lm_score": ppm.op8_lm_score,
     "op9_secrets": secrets.op9_secrets,
     "op10_tool_calls": tool_calls.op10_tool_calls,
