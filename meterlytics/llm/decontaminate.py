@@ -10,8 +10,10 @@
    orthonormal basis ``Q`` projects the passages, and the eigenvectors of
    ``(A Q)'(A Q)``, again summed, give the leading right singular vectors.
    Partial sums are a few numbers per word and never grow with the documents.
-4. Windows of three sizes with half overlaps are folded in and compared with
+4. Windows of ``SIZES`` words with half overlaps are folded in and compared with
    the items of their size; pairs of cosine ``NEAR`` or more are candidates.
+   Those whose words around the window hold too few of the item's words for
+   step 5 go (the words in common bound the subsequence from above).
 5. A candidate is confirmed by the longest common subsequence of the item and
    the words around the window: a share of ``SAME`` of the item's words, or of
    ``PARAPHRASE`` when the answer (the item's last sentence, at most its last
@@ -41,13 +43,13 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, cut, prepare, slices, text_buffers
 from .ngram_join import word_bounds, word_hashes
 
-RANK, OVERSAMPLE = 48, 8
+RANK, OVERSAMPLE = 64, 8
 PASSAGE, UNIT = 32, 8
-SIZES = (16, 32, 64)
-NEAR, SAME, PARAPHRASE = 0.6, 0.75, 0.55
+SIZES = (16, 24, 32, 48, 64)
+NEAR, SAME, PARAPHRASE = 0.45, 0.75, 0.55
 ANSWER, FEW = 6, 8
 COMMON = 0.25            # words in a larger share of the passages carry no meaning
-ITEMS = 4096
+ITEMS = 1024
 SLICE = 4 << 20
 
 #: bytes that part words: all of ASCII but letters and digits
@@ -87,6 +89,11 @@ class Items:
         n = np.array([len(w) for w in self.words])
         self.size = np.array([next(s for s in SIZES if s >= x) for x in n], np.int64) if len(n) else n
         self.masks = [_masks(w) for w in self.words]
+        # words that must be there: see _confirm
+        self.need = np.where(n >= FEW, np.ceil(PARAPHRASE * n - 1e-9), n).astype(np.int64) if len(n) else n
+        self.times = np.zeros((len(n), max(1, len(self.vocab))), np.uint8)      # how often a piece has a word
+        for k, w in enumerate(self.words):
+            np.add.at(self.times[k], w, 1)
 
     def vectors(self, weighted: np.ndarray) -> np.ndarray:
         """Unit latent vectors of the pieces."""
@@ -256,8 +263,9 @@ def _search(shared):
             base = np.cumsum(units) - units
             doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
             unit = base[doc] + (np.arange(len(words)) - off[:-1][doc]) // UNIT
-            live = np.flatnonzero(words >= 0)
-            live = live[useful[words[live]]]
+            at = np.flatnonzero(words >= 0)
+            known = words[at].astype(np.int64)
+            live = at[useful[known]]
             sums = np.zeros((int(units.sum()) + 1, weighted.shape[1]), np.float64)
             if len(live):
                 u = unit[live]
@@ -269,18 +277,20 @@ def _search(shared):
                 if not len(pick) or not len(live):
                     continue
                 d, s, e = _windows(off, size)
+                margin = size // 4 + UNIT
+                first = np.maximum(off[d], off[d] + (s - base[d]) * UNIT - margin)
+                last = np.minimum(off[d + 1], off[d] + (e - base[d]) * UNIT + margin)
                 for lo in range(0, len(d), 65_536):
                     w = _unit((sums[e[lo:lo + 65_536]] - sums[s[lo:lo + 65_536]]).astype(np.float32))
                     cos = w @ vectors[pick].T
                     row, col = np.nonzero(cos >= NEAR)
-                    for r, c, x in zip(row.tolist(), pick[col].tolist(), cos[row, col].tolist()):
-                        k = int(d[lo + r])
-                        # the words around: half a window on either side
-                        first = max(int(off[k]), int(off[k]) + (int(s[lo + r]) - int(base[k])) * UNIT - size // 2)
-                        last = min(int(off[k + 1]), int(off[k]) + (int(e[lo + r]) - int(base[k])) * UNIT + size // 2)
-                        found = _confirm(items, c, words[first:last])
+                    piece = pick[col]
+                    kept = _enough(items, piece, known, np.searchsorted(at, first[lo + row]), np.searchsorted(at, last[lo + row]))
+                    for r, c, x in zip(row[kept].tolist(), piece[kept].tolist(), cos[row[kept], col[kept]].tolist()):
+                        k, x0, x1 = int(d[lo + r]), int(first[lo + r]), int(last[lo + r])
+                        found = _confirm(items, c, words[x0:x1])
                         if found and ((k, c) not in best or found[0] > best[k, c][0]):
-                            best[k, c] = (*found, x, first - int(off[k]), last - int(off[k]))
+                            best[k, c] = (*found, x, x0 - int(off[k]), x1 - int(off[k]))
             rows: dict[tuple[int, int], tuple] = {}
             for (k, c), v in best.items():
                 key = (k, items.item[c])
@@ -296,14 +306,32 @@ def _search(shared):
     return run
 
 
+def _enough(items: Items, piece: np.ndarray, known: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Candidates whose range ``lo:hi`` of ``known`` words has as many words of
+    the piece (each counted as often as in the piece) as it needs."""
+    kept = np.flatnonzero(hi - lo >= items.need[piece])
+    n = items.times.shape[1]
+    out = []
+    for a in range(0, len(kept), 20_000):
+        c = kept[a:a + 20_000]
+        length = (hi - lo)[c]
+        owner = np.repeat(np.arange(len(c)), length)
+        word = known[np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(lo[c], length)]
+        inside = items.times[piece[c][owner], word] > 0
+        several = np.bincount(owner[inside], minlength=len(c)) >= items.need[piece[c]]
+        inside &= several[owner]
+        key, times = np.unique(owner[inside] * n + word[inside], return_counts=True)
+        own, word = key // n, key % n
+        common = np.bincount(own, np.minimum(times, items.times[piece[c][own], word]), len(c))
+        out.append(c[common >= items.need[piece[c]]])
+    return np.concatenate(out) if out else kept
+
+
 def _confirm(items: Items, c: int, around: np.ndarray) -> tuple[float, bool] | None:
     """Share of the item in order around a window, and whether its answer is."""
-    own = items.words[c]
-    n = len(own)
-    around = around[around >= 0]
+    n = len(items.words[c])
     need = PARAPHRASE if n >= FEW else 1.0
-    if len(around) < need * n or len(np.intersect1d(around, own)) < need * 0.8 * len(items.masks[c]):
-        return None
+    around = around[around >= 0]
     listed = around.tolist()
     share = lcs(items.masks[c], n, listed) / n
     if share < need:

@@ -392,6 +392,19 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
             .select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(empty))
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest id.
+    Repeated rows of an id are one document; rows without an id stay."""
+    classes = cut(ngram_classes(docs), "ngram-classes")
+    first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    if first.where("__rows > 1").isEmpty():
+        kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*cols)
+    else:
+        kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    return kept.union(docs.where("doc_id IS NULL"))
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
