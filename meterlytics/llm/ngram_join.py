@@ -50,8 +50,8 @@ WORDS = 5
 PERCENT = 75
 #: packed shingles of about this many make a bucket
 BUCKET_ROWS = 2_000_000
-BUCKETS, GROUPS = 1024, 256          # at least so many
-SLICE = 16 << 20
+BUCKETS, GROUPS = 64, 128            # at least so many
+SLICE = 4 << 20
 TOKEN_BITS = 48
 _MASK = np.uint64((1 << TOKEN_BITS) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -83,17 +83,31 @@ def word_bounds(data: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE)
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; kept for usual slices."""
+    kept = _POWERS.get("up")
+    if kept is None or len(kept) < n:
+        size = max(n, SLICE + (SLICE >> 2))
+        arrays = []
+        for x in (_BASE, _BASE_INV):
+            a = np.full(size, x, np.uint64)
+            a[0] = 1
+            arrays.append(np.cumprod(a, dtype=np.uint64))
+        if size > 4 * SLICE:
+            return arrays[0], arrays[1]
+        _POWERS["up"], _POWERS["down"] = arrays
+    return _POWERS["up"], _POWERS["down"]
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges: a rolling polynomial, then mixed."""
     n = len(data)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
+    power, back = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[:n], dtype=np.uint64, out=total[1:])
-    back = np.full(n + 1, _BASE_INV, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
 
 
@@ -158,8 +172,8 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack(keys, sizes, counts, tokens, extra=None) -> bytes:
     parts = [np.array([len(keys)], np.uint32), keys.astype(np.uint64), sizes.astype(np.uint32),
              counts.astype(np.uint32), tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint16)]
-    if extra is not None:
-        parts.append(extra.astype(np.uint32))
+    if extra is not None:                               # frequencies only order: beyond 65,535 the shingle does
+        parts.append(np.minimum(extra, 65_535).astype(np.uint16))
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -174,7 +188,7 @@ def _unpack(blob: bytes, extra: bool = False):
     low = np.frombuffer(blob, np.uint32, m, at)
     high = np.frombuffer(blob, np.uint16, m, at + 4 * m)
     tokens = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    more = np.frombuffer(blob, np.uint32, m, at + 6 * m) if extra else None
+    more = np.frombuffer(blob, np.uint16, m, at + 6 * m) if extra else None
     return keys, sizes, counts, tokens, more
 
 
@@ -332,7 +346,7 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     keyed = cut(docs.select("doc_id", "text").mapInArrow(_keys_of, "doc_id long, n long, key long"), "ngram-keys")
     total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(BUCKETS, total // BUCKET_ROWS)
-    groups = max(GROUPS, buckets // 8)
+    groups = max(GROUPS, buckets)
 
     blobs = docs.select("text").mapInArrow(_scatter(buckets), "bucket int, blob binary")
     shared = blobs.groupBy("bucket").applyInArrow(_shared(groups), "part int, blob binary")
