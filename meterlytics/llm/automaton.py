@@ -257,7 +257,7 @@ def compile_rules(rules: list[tuple[str, bool]], also: list[tuple[str, bool]] =
     place[rank] = np.arange(n)
     small, masks = place[small[rank]], masks[rank]
     start = int(place[block[0]])
-    if start != 0:
+    if start != 0 or masks[0]:
         raise ValueError("a rule matches the empty text")
     width = len(samples)
     resets = np.array([b not in read for b in range(256)])

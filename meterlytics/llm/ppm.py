@@ -265,9 +265,10 @@ class _Model:
     """Tables of a worker process, built once from the broadcast counts."""
 
     def __init__(self, shared):
-        self.symbol, self.inner, self.words, self.counts, cells, counts = shared
+        self.symbol, self.inner, self.words, self.counts, cells, counts, size = shared
         self.trie = Trie(cells, counts)
-        self.value = np.log10(self.counts + 1.0)
+        self.value = np.log10((self.counts + 1.0) / size)
+        self.unknown = np.log10(1.0 / size)
 
     @classmethod
     def of(cls, broadcast):
@@ -305,8 +306,8 @@ def _score(shared, buckets: int):
                     u, inv = np.unique(h, return_inverse=True)
                     at = np.minimum(np.searchsorted(m.words, u), max(len(m.words) - 1, 0))
                     often = m.words[at] == u if len(m.words) else np.zeros(len(u), bool)
-                    value = np.where(often, m.value[at], 0.0) if len(m.words) else np.zeros(len(u))
-                    logs = np.bincount(doc, value[inv], n)
+                    value = np.where(often, m.value[at], m.unknown) if len(m.words) else np.full(len(u), m.unknown)
+                    logs = np.bincount(doc, value[inv], n).astype(np.float64)
                     known = np.bincount(doc, often[inv].astype(np.int64), n).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(base + np.arange(n)), p.column(0),
@@ -404,7 +405,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     for k in range(SHORT - 1, -1, -1):
         levels[k] = shorter(*levels[k + 1], k)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, symbol, inner, u, c, [levels[k][0] for k in range(ORDER + 1)],
-                                           [levels[k][1] for k in range(ORDER + 1)]))
+                                           [levels[k][1] for k in range(ORDER + 1)], total + distinct + 1.0))
     del by_order, levels, often
 
     scored = cut(src.mapInArrow(_score(shared, buckets), f"part int, blob binary, row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, "
@@ -413,13 +414,12 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     rare = (scored.where("part >= 0").select("part", "blob").groupBy("part")
             .cogroup(words.select("part", "blob").groupBy("part")).applyInArrow(_rare(groups), "part int, blob binary"))
     added = rare.groupBy("part").applyInArrow(_add_up, "row long, more_logs double, more_known long")
-    size = float(np.log10(total + distinct + 1.0))
-    end = float(np.log10(texts + 1.0))
+    end = float(np.log10((texts + 1.0) / (total + distinct + 1.0)))
     return (scored.where("part = -1").join(added, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + (1 if texts else 0)).alias("n_known"),
                     F.lit(total).cast("long").alias("train_tokens"),
-                    (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end - F.col("n_tokens") * size).alias("base_score"),
+                    (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end).alias("base_score"),
                     "score"))
 
 
