@@ -49,6 +49,7 @@ class Field:
     most: int | None = None
 
 
+BARE = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false)$"
 Schemas = dict[str, tuple[Field, ...]]
 
 
@@ -82,7 +83,8 @@ def _problems(arguments: Column, tool: Column, schemas: Schemas) -> Column:
 
 
 def _typed_json(arguments: Column, tool: Column, schemas: Schemas) -> Column:
-    """Arguments as a JSON object, names in order, numbers and booleans bare."""
+    """Arguments as a JSON object, names in order; numbers and booleans stand
+    bare (values that are none stay strings)."""
     def quoted(x: Column) -> Column:
         # a one-element JSON array without its brackets is the quoted string
         text = F.to_json(F.array(x))
@@ -93,7 +95,7 @@ def _typed_json(arguments: Column, tool: Column, schemas: Schemas) -> Column:
         plain = [F.lit(f.name) for f in fields if f.kind != "string"]
         bare = F.when(tool == name, F.array(*plain) if plain else F.array(F.lit(""))).otherwise(bare)
     pair = F.transform(F.array_sort(F.map_keys(arguments)), lambda k: F.concat(
-        quoted(k), F.lit(":"), F.when(F.array_contains(bare, k), F.element_at(arguments, k))
+        quoted(k), F.lit(":"), F.when(F.array_contains(bare, k) & F.element_at(arguments, k).rlike(BARE), F.element_at(arguments, k))
         .otherwise(quoted(F.element_at(arguments, k)))))
     return F.concat(F.lit("{"), F.array_join(pair, ","), F.lit("}"))
 

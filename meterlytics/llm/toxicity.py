@@ -171,8 +171,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
     return {r["word"]: r["weight"] for r in fitted} or {"": -3.0}
 
 
-def score(docs: DataFrame, weights: dict[str, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``score`` of every row, from its whole text."""
+def score(docs: DataFrame, weights: dict[str, float], keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """Columns ``keep`` and the score, called ``name``, of every row, from its whole text."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(weights)       # at most max_words + 1 entries
@@ -195,9 +195,9 @@ def score(docs: DataFrame, weights: dict[str, float], keep: tuple[str, ...] = ("
                 own = set(itertools.chain.from_iterable(map(hits.__getitem__, words)))
                 out[i] = bias + sum([w[x] for x in sorted(own)])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-out)))],
-                                             names=[*keep, "score"])
+                                             names=[*keep, name])
 
-    return src.mapInArrow(run, f"{schema}score double")
+    return src.mapInArrow(run, f"{schema}`{name}` double")
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,5 +216,5 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
     """``docs`` without the rows scored at or above the threshold."""
     weights = train(spark, docs, labels)
     cols = tuple(docs.columns)
-    scored = score(docs.withColumn("__t", F.col("text")), weights, cols)
-    return scored.where(F.col("score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in cols])
+    scored = score(docs, weights, cols, "__toxicity")
+    return scored.where(F.col("__toxicity") < THRESHOLD).select(*[F.col(f"`{c}`") for c in cols])
