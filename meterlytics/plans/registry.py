@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import calendar as CAL
 from ..operators import features as FE
 from ..schemas import HALF_HOURLY
 from ..operators import model as M
@@ -244,33 +243,29 @@ def train_autoencoder_unconditional(spark, sf_dir):
 
 
 def stream_anomaly_slots(spark, sf_dir):
-    """The streaming form of ``anomaly_slots``: the group's half-hourly rows
-    arrive as CSV block files in an inbox, are read by ``readStream``,
-    deduplicated, joined, encoded with the spec frozen from the stored
-    profiles and scored; the Parquet sink's rows are returned."""
+    """The streaming form of ``anomaly_slots``: all half-hourly rows arrive as
+    CSV block files in an inbox, are read by ``readStream`` (several files a
+    trigger), checked against the household-days already scored, selected by
+    group and years, joined, encoded with the spec frozen from the stored
+    profiles and scored; the sink's rows are returned."""
     s = src(spark, sf_dir)
     base = f"{store(spark, sf_dir).root}/stream_{_TAG}"
     inbox = f"{base}/inbox"                    # deterministic per source fingerprint
     if not path_exists(spark, f"{inbox}/_SUCCESS"):
-        members = PR.group_households(s.households, O.PROFILE_GROUP)
-        blocks = (CAL.filter_year_range(s.half_hourly, *O.PROFILE_YEARS)
-                  .join(members, "LCLid", "left_semi")
-                  .select(*HALF_HOURLY.fieldNames()))
-        blocks.write.mode("overwrite").option("header", True).csv(inbox)
-    run = f"{base}/runs/{uuid.uuid4().hex}"     # fresh checkpoint and sink per run
+        (s.half_hourly.select(*HALF_HOURLY.fieldNames())
+         .write.mode("overwrite").option("header", True).csv(inbox))
+    sink = f"{base}/runs/{uuid.uuid4().hex}"    # fresh checkpoint and sink per run
     spec = FE.fit_spec(profiles(spark, sf_dir))
-    bounds = dict(households_rows=s.row_count("households"), holiday_rows=s.row_count("holidays"),
-                  weather_rows=s.row_count("weather_daily"))
-    feats = ST.stream_features(ST.block_stream(spark, inbox), s.households, s.holidays,
-                               s.weather_daily, O.PROFILE_GROUP, O.PROFILE_YEARS, spec,
-                               lateness="36500 days", **bounds)
     cfg = M.AEConfig(input_dim=spec.length, cond_dim=FE.COND_DIM)
-    query = ST.start(ST.anomaly_stream(feats, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg,
-                                       ANOMALY_THRESHOLD), f"{run}/out", f"{run}/checkpoint")
+    score = ST.batch_scorer(s.households, s.holidays, s.weather_daily, O.PROFILE_GROUP, O.PROFILE_YEARS, spec,
+                            M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg, ANOMALY_THRESHOLD,
+                            households_rows=s.row_count("households"), holiday_rows=s.row_count("holidays"),
+                            weather_rows=s.row_count("weather_daily"))
+    query = ST.start(ST.block_stream(spark, inbox, max_files_per_trigger=16), score, f"{sink}/out", f"{sink}/checkpoint")
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(f"streaming query failed: {query.exception()}")
-    return spark.read.parquet(f"{run}/out")
+    return ST.read_scores(spark, f"{sink}/out")
 
 
 RAW: dict[str, Builder] = {

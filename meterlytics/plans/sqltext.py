@@ -19,7 +19,7 @@ def _hh_column(i: int) -> str:
 
 FIXTURE_CTES = {
     "households": """
-SELECT 'MAC' || lpad(CAST(c_custkey AS STRING), 6, '0') AS LCLid,
+SELECT 'MAC' || CASE WHEN c_custkey > 999999 THEN CAST(c_custkey AS STRING) ELSE lpad(CAST(c_custkey AS STRING), 6, '0') END AS LCLid,
        CASE WHEN c_custkey % 5 = 0 THEN 'ToU' ELSE 'Std' END AS stdorToU,
        'ACORN-' || chr(CAST(65 + c_nationkey % 17 AS INT)) AS Acorn,
        CASE WHEN c_nationkey % 17 < 5 THEN 'Affluent'
@@ -30,11 +30,11 @@ FROM customer""",
 SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, min(o_orderkey) AS k
 FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE)""",
     "half_hourly": (
-        "\nSELECT 'MAC' || lpad(CAST(o_custkey AS STRING), 6, '0') AS LCLid, CAST(d AS STRING) AS day,\n       "
+        "\nSELECT 'MAC' || CASE WHEN o_custkey > 999999 THEN CAST(o_custkey AS STRING) ELSE lpad(CAST(o_custkey AS STRING), 6, '0') END AS LCLid, CAST(d AS STRING) AS day,\n       "
         + ",\n       ".join(_hh_column(i) for i in range(N_SLOTS))
         + "\nFROM hd"),
     "daily": """
-SELECT 'MAC' || lpad(CAST(o_custkey AS STRING), 6, '0') AS LCLid,
+SELECT 'MAC' || CASE WHEN o_custkey > 999999 THEN CAST(o_custkey AS STRING) ELSE lpad(CAST(o_custkey AS STRING), 6, '0') END AS LCLid,
        CAST(CAST(o_orderdate AS DATE) AS STRING) AS day,
        median(l_quantity) AS energy_median, avg(l_quantity) AS energy_mean, max(l_quantity) AS energy_max,
        count(l_quantity) AS energy_count, round(stddev_samp(l_quantity), 6) AS energy_std,

@@ -26,7 +26,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lclid(key: Column) -> Column:
-    return F.concat(F.lit("MAC"), F.lpad(key.cast("string"), 6, "0"))
+    """Six digits at least; longer keys keep all of theirs (``lpad`` alone
+    would cut them and merge households)."""
+    text = key.cast("string")
+    return F.concat(F.lit("MAC"), F.when(F.length(text) > 6, text).otherwise(F.lpad(text, 6, "0")))
 
 
 def households(spark: SparkSession, sf_dir: str) -> DataFrame:

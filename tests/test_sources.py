@@ -157,3 +157,18 @@ def test_queries_on_compacted_csv_layout_match_catalog(spark, sources, scratch):
     cols = ["LCLid", "day", "is_weekend", F.size("hh_consumption").alias("n")]
     assert by_file.count() == by_member.count() > 0
     assert by_file.select(*cols).exceptAll(by_member.select(*cols)).count() == 0
+
+
+def test_long_household_keys_stay_apart(spark):
+    """Keys of 6, 7 and 12 digits: none is cut, in Spark and in DuckDB."""
+    import duckdb
+
+    from meterlytics.plans import sqltext
+    from meterlytics.sources import fixtures
+    keys = [1, 123456, 999999, 1000000, 1234560, 1234567, 123456000001]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(fixtures._lclid(F.col("k"))).collect()]
+    assert got == ["MAC000001", "MAC123456", "MAC999999", "MAC1000000", "MAC1234560", "MAC1234567", "MAC123456000001"]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE customer AS SELECT unnest(%s)::BIGINT AS c_custkey, 3 AS c_nationkey" % keys)
+    want = con.sql(f"SELECT LCLid FROM ({sqltext.FIXTURE_CTES['households']})").fetchall()
+    assert sorted(r[0] for r in want) == sorted(got)
