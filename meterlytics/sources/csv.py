@@ -1,21 +1,28 @@
 """CSV sources in the reference's layout (S1-S4) and their Parquet compaction.
 
-Every read uses an explicit schema with ``enforceSchema=false`` (a header in
-another order raises instead of silently shifting columns) and ``FAILFAST``
-(a malformed value raises, like the reference's strict parse). Spark returns
-zero rows for an empty directory, so the directory reader checks
-``inputFiles()`` and raises, as the reference does.
+Files are read by column name: the header gives the columns of a read, the
+package's schema their types; further columns are read as text and left out,
+columns may stand in any order, and a needed column that is absent raises.
+Files of one folder may have headers of their own order: files are grouped by
+their header, and each group is one scan. ``FAILFAST`` makes a malformed value
+raise, like the reference's strict parse; as Spark reads lazily, it raises at
+the action that reads the value, while a missing path, an empty folder or an
+absent column raises here.
 """
 
 from __future__ import annotations
 
+import csv as _csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.calendar import PARTITION_YEAR, year_from_text
+from ..session import path_exists
 
 # Relative locations of the six sources under the dataset root (fixed layout).
 LAYOUT = {
@@ -28,38 +35,81 @@ LAYOUT = {
 }
 
 
-def _reader(spark: SparkSession, schema: T.StructType):
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("mode", "FAILFAST"))
+def _headers(spark: SparkSession, paths: Sequence[str], glob: str | None = None) -> dict[str, list[str]]:
+    """Header line -> the files (or folders' part files) that start with it.
+
+    One distributed job reads the first line of every file; a file name per
+    header and file comes back, as the file listing itself is on the driver."""
+    reader = spark.read.option("recursiveFileLookup", False).option("wholetext", False)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = reader.text(list(paths)).select(
+        F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    first = (lines.where("at = 0").groupBy("path").agg(F.first("value").alias("value")))
+    out: dict[str, list[str]] = {}
+    for r in first.collect():
+        out.setdefault((r["value"] or "").lstrip("﻿"), []).append(r["path"])
+    return out
+
+
+def _scan(spark: SparkSession, header: str, files: Sequence[str], schema: T.StructType, with_file: bool) -> DataFrame:
+    names = next(_csv.reader([header]), [])
+    known = {f.name: f.dataType for f in schema.fields}
+    absent = [n for n in known if n not in names]
+    if absent:
+        raise ValueError(f"{files[0]}: column(s) {', '.join(absent)} not in the header {header!r}")
+    # a name that stands twice is read where it stands first
+    full = T.StructType([T.StructField(n if names.index(n) == i else f"_{i}", known.get(n, T.StringType())
+                                       if names.index(n) == i else T.StringType(), True) for i, n in enumerate(names)])
+    df = (spark.read.schema(full).option("header", True).option("enforceSchema", len(set(names)) < len(names))
+          .option("mode", "FAILFAST").csv(list(files)))
+    cols = [F.col(f"`{n}`") for n in known]
+    if with_file:
+        cols.append(F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("file"))
+    return df.select(*cols)
+
+
+def _read(spark: SparkSession, paths: Sequence[str], schema: T.StructType, glob: str | None = None,
+          with_file: bool = False) -> DataFrame | None:
+    headers = _headers(spark, paths, glob)
+    if not headers:
+        return None
+    parts = [_scan(spark, h, sorted(files), schema, with_file) for h, files in sorted(headers.items())]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_csv_dir(spark: SparkSession, directory: str, schema: T.StructType,
-                 glob: str = "*.csv") -> DataFrame:
-    """Every ``*.csv`` directly in ``directory`` as one table."""
-    df = _reader(spark, schema).option("pathGlobFilter", glob).option("recursiveFileLookup", False) \
-        .csv(directory)
-    if not df.inputFiles():
+                 glob: str = "*.csv", with_file: bool = False) -> DataFrame:
+    """Every ``*.csv`` directly in ``directory`` as one table;
+    ``with_file`` adds the file's name without ``.csv`` as ``file``."""
+    df = _read(spark, [directory], schema, glob, with_file)
+    if df is None:
         raise ValueError(f"No CSV files found in {directory}")
     return df
 
 
 def read_csv_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One CSV file; any failure surfaces as ``ValueError``."""
+    """One CSV file. A missing or empty file and an absent column raise
+    ``ValueError`` here; a malformed value raises at the action."""
     try:
-        return _reader(spark, schema).csv(path)
+        df = _read(spark, [path], schema)
+    except ValueError:
+        raise
     except Exception as exc:  # noqa: BLE001 - re-raised with the path
         raise ValueError(f"Error loading {path}: {exc}") from exc
+    if df is None:
+        raise ValueError(f"Error loading {path}: it is empty")
+    return df
 
 
 def read_block_files(spark: SparkSession, directory: str, files: Sequence[str],
                      schema: T.StructType = S.HALF_HOURLY) -> DataFrame:
     """S3: the named block files (``file`` values without ``.csv``); a missing
     file raises ``PATH_NOT_FOUND``. Adds ``file`` from the file metadata."""
-    paths = [f"{directory.rstrip('/')}/{f}.csv" for f in files]
-    df = _reader(spark, schema).csv(paths)
-    return df.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+    df = _read(spark, [f"{directory.rstrip('/')}/{f}.csv" for f in files], schema, with_file=True)
+    if df is None:
+        raise ValueError(f"No rows in the files {', '.join(files)} of {directory}")
+    return df
 
 
 def read_holidays(spark: SparkSession, path: str) -> DataFrame:
@@ -67,12 +117,13 @@ def read_holidays(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_file(spark, path, S.HOLIDAYS_CSV).withColumnRenamed("Bank holidays", "holiday")
 
 
-def read_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The six sources from a dataset root in the reference's layout."""
+def read_sources(spark: SparkSession, root: str, with_file: bool = False) -> dict[str, DataFrame]:
+    """The six sources from a dataset root in the reference's layout;
+    ``with_file`` adds the block file to the two fact tables."""
     r = root.rstrip("/")
     return {
-        "half_hourly": read_csv_dir(spark, f"{r}/{LAYOUT['half_hourly']}", S.HALF_HOURLY),
-        "daily": read_csv_dir(spark, f"{r}/{LAYOUT['daily']}", S.DAILY),
+        "half_hourly": read_csv_dir(spark, f"{r}/{LAYOUT['half_hourly']}", S.HALF_HOURLY, with_file=with_file),
+        "daily": read_csv_dir(spark, f"{r}/{LAYOUT['daily']}", S.DAILY, with_file=with_file),
         "holidays": read_holidays(spark, f"{r}/{LAYOUT['holidays']}"),
         "households": read_csv_file(spark, f"{r}/{LAYOUT['households']}", S.HOUSEHOLDS),
         "weather_daily": read_csv_file(spark, f"{r}/{LAYOUT['weather_daily']}", S.WEATHER_DAILY),
@@ -84,23 +135,39 @@ def compact_to_parquet(spark: SparkSession, root: str, out: str) -> dict[str, st
     """One-time compaction of the CSV blocks to Parquet (S5 for sources).
 
     The two fact tables are written partitioned by ``year`` so that year
-    filters prune whole directories; dimensions are written as they are.
+    filters prune whole directories, with the block file each row came from
+    (the group selection of the feature job is by file, Q18); dimensions are
+    written as they are.
     """
     written = {}
-    for name, df in read_sources(spark, root).items():
+    for name, df in read_sources(spark, root, with_file=True).items():
         path = f"{out.rstrip('/')}/{name}"
         w = df.write.mode("overwrite")
         if name in ("half_hourly", "daily"):
-            # keep the block file each row came from (the group selection of
-            # the feature job is by file, Q18)
-            df = (df.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
-                    .withColumn("year", F.substring("day", 1, 4).cast("int")))
-            w = df.write.mode("overwrite").partitionBy("year")
+            w = df.withColumn(PARTITION_YEAR, year_from_text("day")).write.mode("overwrite").partitionBy(PARTITION_YEAR)
         w.parquet(path)
         written[name] = path
     return written
 
 
+def load_sources_csv(spark: SparkSession, root: str, compact: str | None = None):
+    """``catalog.Sources`` over a dataset root in the reference's layout, with
+    the row counts of the dimensions (the proven sizes that decide broadcasts):
+    what the pattern getters and the profiles take. With ``compact`` the facts
+    are read from the Parquet compaction in that folder, which is made where it
+    does not stand yet."""
+    from .catalog import Sources
+    if compact:
+        names = list(LAYOUT)
+        if not all(path_exists(spark, f"{compact.rstrip('/')}/{n}/_SUCCESS") for n in names):
+            compact_to_parquet(spark, root, compact)
+        tables = {n: spark.read.parquet(f"{compact.rstrip('/')}/{n}") for n in names}
+    else:
+        tables = read_sources(spark, root, with_file=True)
+    rows = {n: tables[n].count() for n in ("households", "holidays", "weather_daily", "weather_hourly")}
+    return Sources(tables, rows, compact)
+
+
 def write_sources_csv(tables: dict[str, DataFrame], root: str) -> None:
     """Write tables in the reference's CSV layout (used to test the readers
     and the streaming job). Spark writes each "file" as a folder of part

@@ -27,12 +27,18 @@ def test_csv_round_trip_and_strictness(spark, sources, scratch):
         [(f.name, f.dataType) for f in S.HALF_HOURLY]
     assert back["holidays"].columns == ["holiday"]
     assert back["daily"].count() == 50
-    # header in another order raises (enforceSchema=false)
+    # a needed column that is absent raises
     bad = os.path.join(scratch, "bad")
-    sources.households.limit(5).select("stdorToU", "LCLid", "Acorn", "Acorn_grouped", "file") \
-        .write.option("header", True).csv(bad)
+    sources.households.limit(5).select("stdorToU", "Acorn", "Acorn_grouped", "file").write.option("header", True).csv(bad)
+    with pytest.raises(ValueError, match="LCLid"):
+        C.read_csv_dir(spark, bad, S.HOUSEHOLDS)
+    # a malformed value raises at the action, a missing file at once
+    with open(os.path.join(scratch, "bad.csv"), "w") as fh:
+        fh.write("time,temperature,humidity\n2012-01-01 00:00:00,warm,0.5\n")
     with pytest.raises(Exception):
-        C.read_csv_dir(spark, bad, S.HOUSEHOLDS).collect()
+        C.read_csv_file(spark, os.path.join(scratch, "bad.csv"), S.WEATHER_HOURLY).collect()
+    with pytest.raises(ValueError):
+        C.read_csv_file(spark, os.path.join(scratch, "nowhere.csv"), S.WEATHER_HOURLY)
     # empty directory raises
     empty = os.path.join(scratch, "empty")
     os.makedirs(empty)
@@ -172,3 +178,41 @@ def test_long_household_keys_stay_apart(spark):
     con.sql("CREATE TABLE customer AS SELECT unnest(%s)::BIGINT AS c_custkey, 3 AS c_nationkey" % keys)
     want = con.sql(f"SELECT LCLid FROM ({sqltext.FIXTURE_CTES['households']})").fetchall()
     assert sorted(r[0] for r in want) == sorted(got)
+
+
+def test_real_headers(spark, sources, scratch):
+    """Further columns, another order and files of one folder that differ in
+    it: all six sources read by name and equal the tables written."""
+    want = {n: sources.tables[n].select(*S.SOURCE_SCHEMAS[n].fieldNames()).limit(40).toPandas() for n in C.LAYOUT}
+    for name, df in want.items():
+        path = os.path.join(scratch, C.LAYOUT[name])
+        df = df.rename(columns={"holiday": "Bank holidays"})
+        more = df.assign(windBearing=1.5, icon="a, \"b\"")
+        mixed = more[["icon", *reversed(df.columns), "windBearing"]]
+        if name in ("half_hourly", "daily"):
+            os.makedirs(path)
+            mixed.head(20).to_csv(os.path.join(path, "block_0.csv"), index=False)
+            df.tail(20).to_csv(os.path.join(path, "block_1.csv"), index=False)
+        else:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            mixed.to_csv(path, index=False)
+    for src in (C.load_sources_csv(spark, scratch), C.load_sources_csv(spark, scratch, os.path.join(scratch, "parquet"))):
+        for name, df in want.items():
+            cols = S.SOURCE_SCHEMAS[name].fieldNames()
+            got = src.tables[name].select(*cols)
+            assert got.schema.simpleString() == S.SOURCE_SCHEMAS[name].simpleString()
+            back = spark.createDataFrame(df.astype(object).where(df.notna(), None).values.tolist(), got.schema)
+            assert got.exceptAll(back).count() == back.exceptAll(got).count() == 0, name
+        assert src.row_count("households") == 40 and src.row_count("half_hourly") is None
+        assert {r.file for r in src.half_hourly.select("file").distinct().collect()} == {"block_0", "block_1"}
+
+
+def test_getters_on_the_csv_layout_equal_the_catalog(spark, sources, scratch):
+    from meterlytics.plans.storage import PatternStorage
+    C.write_sources_csv({k: sources.tables[k].select(*S.SOURCE_SCHEMAS[k].fieldNames()) for k in C.LAYOUT}, scratch)
+    a = PatternStorage(sources, ResultStore(spark, os.path.join(scratch, "a")))
+    b = PatternStorage(C.load_sources_csv(spark, scratch), ResultStore(spark, os.path.join(scratch, "b")))
+    for get in ("get_hourly_patterns", "get_seasonal_patterns", "get_weekday_vs_weekend_patterns", "get_household_patterns"):
+        x, y = getattr(a, get)(), getattr(b, get)()
+        cols = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in x.dtypes]
+        assert x.count() == y.count() > 0 and x.select(*cols).exceptAll(y.select(*cols)).count() == 0
