@@ -30,11 +30,6 @@ def bounded_broadcast(df: DataFrame, row_bound: int | None,
     return df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """A global aggregate has exactly one row: always safe to broadcast."""
-    return F.broadcast(df)
-
-
 def salted_semi_join(fact: DataFrame, keys: DataFrame, on: str, spread_by: str,
                      buckets: int = 16) -> DataFrame:
     """``fact LEFT SEMI JOIN keys ON on`` for a ``keys`` side too large to

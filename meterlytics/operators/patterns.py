@@ -3,20 +3,19 @@
 Plan shape, chosen for 100 TB inputs:
 
 * A1 hourly: unpivot to (year, hour, energy), then a value histogram per
-  (year, hour) (a codegen hash aggregate, partial on the map side) from which
-  the exact median (``percentile`` with frequencies), mean, std, sum, min and
-  max are taken. Measured at sf0.1: 2.2 s, against 5.3 s for the direct
-  exact median and 6.4 s for a 24 x 7 wide aggregate.
-* A2-A5: one partial/final aggregate over calendar keys of ``daily``; A5's
-  bank-holiday mark join is a broadcast of distinct holiday dates (bounded by
-  the holiday file).
-* A6 / A7: the join strategy follows the proven size of the dimension. When
-  it can be broadcast, a map-side broadcast join and one aggregate (no
-  shuffle of the fact table). When it cannot, the fact table is first
-  reduced to mergeable partial sums per household (A6) or per date (A7), so
-  the shuffle join moves #households / #dates rows, not the fact rows.
-  Exact either way (statistics are sums, counts, max, min of partials;
-  ``household_count`` stays a distinct count).
+  (year, hour) (a codegen hash aggregate, partial on the map side). The exact
+  median (``percentile`` with frequencies) and the sums for mean, std and the
+  rest are one further partial/final aggregate, so the histogram of a hot key
+  is merged on the map side and never gathered as rows.
+* A2-A5, A7: ``daily`` is reduced once to mergeable partial sums per date
+  (``date_partials``, calendar sized; the registry stores it, so the fact table
+  is scanned once for all five). Holidays and weather are joined to dates, not
+  to household-days; averages are rebuilt from (sum, count) pairs.
+* A6: the join strategy follows the proven size of the households. When they
+  can be broadcast, a map-side broadcast join and one aggregate (no shuffle of
+  the fact table). When not, the fact table is first reduced to partial sums
+  per household, so the shuffle join moves #households rows, not the fact
+  rows. Exact either way (``household_count`` stays a distinct count).
 * A8: the fact table is always reduced to one row per (date, hour) before the
   weather join (the plain plan would join 24 rows per household-day);
   averages are rebuilt from (sum, count) pairs. Measured at sf0.1: 0.9 s vs
@@ -31,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -82,19 +81,16 @@ def daily_partial_aggs() -> list[Column]:
     return out
 
 
-def daily_merge_aggs(weight: Column | None = None) -> list[Column]:
-    """Final S7 from partial states (optionally each state repeated ``weight``
-    times, for fan-out joins)."""
-    def w(c: str) -> Column:
-        return F.col(c) if weight is None else F.col(c) * weight
-    means = {c: F.try_divide(F.sum(w(f"s_{c}")), F.sum(w(f"n_{c}"))) for c in _AVG_STATS}
+def daily_merge_aggs() -> list[Column]:
+    """Final S7 from partial states."""
+    means = {c: F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}")) for c in _AVG_STATS}
     return [
         means["energy_median"].alias("energy_median"),
         means["energy_mean"].alias("energy_mean"),
         F.max("p_max").alias("energy_max"),
-        _zero_if_null(F.sum(w("p_count"))).cast("long").alias("energy_count"),
+        _zero_if_null(F.sum("p_count")).cast("long").alias("energy_count"),
         means["energy_std"].alias("energy_std"),
-        _zero_if_null(F.sum(w("p_sum"))).cast("double").alias("energy_sum"),
+        _zero_if_null(F.sum("p_sum")).cast("double").alias("energy_sum"),
         F.min("p_min").alias("energy_min"),
     ]
 
@@ -141,10 +137,12 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
     Exact plan: a codegen hash aggregate first counts each distinct energy
     value per (year, hour) (meter readings have few distinct values, so this
     collapses the 24x unpivot early, partially on the map side); the seven
-    statistics are then taken from that histogram: the median through
-    ``percentile(value, 0.5, frequency)`` and the sample std through a
-    two-pass sum of squares around the group mean. ``approx=True`` uses
-    ``percentile_approx`` on the unpivoted rows instead.
+    statistics are then taken from that histogram in one partial/final
+    aggregate: the median through ``percentile(value, 0.5, frequency)``, the
+    sample std through sums of the values and their squares (readings of a
+    household-hour have a mean of the order of their spread, so the difference
+    keeps its digits in doubles). ``approx=True`` uses ``percentile_approx`` on
+    the unpivoted rows instead.
     """
     # the reference's not-null filter; a no-op (Q1: energy is a sum of
     # coalesced readings, non-nullable), which the optimizer removes
@@ -159,17 +157,15 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
         return finish(sorted_result(out, "year", "hour"), None, cols)
     hist = long.groupBy("year", "hour", "energy").agg(F.count(F.lit(1)).alias("f"))
     f = F.when(e.isNotNull(), F.col("f"))
-    grp = Window.partitionBy("year", "hour")
-    hist = hist.withColumn("_mu", F.try_divide(F.sum(e * f).over(grp), F.sum(f).over(grp)))
-    n = F.sum(f)
+    n, total = F.sum(f), F.sum(e * f)
+    spread = F.greatest(F.sum(e * e * f) - F.try_divide(total * total, n), F.lit(0.0))
     out = (hist.groupBy("year", "hour").agg(
                F.percentile(e, F.lit(0.5), F.col("f")).cast("double").alias("energy_median"),
-               F.try_divide(F.sum(e * f), n).alias("energy_mean"),
+               F.try_divide(total, n).alias("energy_mean"),
                F.max(e).alias("energy_max"),
                _zero_if_null(n).cast("long").alias("energy_count"),
-               F.sqrt(F.try_divide(F.sum(f * (e - F.col("_mu")) * (e - F.col("_mu"))), n - 1))
-                .alias("energy_std"),
-               _zero_if_null(F.sum(e * f)).cast("double").alias("energy_sum"),
+               F.sqrt(F.try_divide(spread, n - 1)).alias("energy_std"),
+               _zero_if_null(total).cast("double").alias("energy_sum"),
                F.min(e).alias("energy_min"))
            )
     return finish(sorted_result(out, "year", "hour"), None, cols)
@@ -177,16 +173,22 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
 
 # ---------------------------------------------------------------- A2-A5
 
-def _with_date(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("_d", cal.parse_date("day"))
+def date_partials(daily: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """Mergeable partial sums of ``daily`` per date (``_d``); a table that is
+    already such partials is only filtered."""
+    if "p_rows" in daily.columns:
+        return daily.where(F.year("_d").isin([int(y) for y in years])) if years else daily
+    return (_prefilter(daily, years).groupBy(cal.parse_date("day").alias("_d"))
+            .agg(*daily_partial_aggs()))
 
 
 def daily_patterns(daily: DataFrame, years: Sequence[int] | None = None,
                    cols: Sequence[str] | None = None) -> DataFrame:
-    """A2: by (year, ISO weekday 1-7, weekday name) with ``days_count``."""
-    d = _with_date(_prefilter(daily, years))
+    """A2: by (year, ISO weekday 1-7, weekday name) with ``days_count``.
+    ``daily`` here and in A3-A5 and A7: the daily table or its partials."""
+    d = date_partials(daily, years)
     out = (d.groupBy(F.year("_d").alias("year"), cal.iso_weekday("_d").alias("weekday"))
-             .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count"))
+             .agg(*daily_merge_aggs(), F.sum("p_rows").alias("days_count"))
              .select("year", "weekday", cal.weekday_name("weekday").alias("weekday_name"),
                      *S7, "days_count")
              )
@@ -196,9 +198,9 @@ def daily_patterns(daily: DataFrame, years: Sequence[int] | None = None,
 def weekly_patterns(daily: DataFrame, years: Sequence[int] | None = None,
                     cols: Sequence[str] | None = None) -> DataFrame:
     """A3: by (calendar year, ISO week) (Q6); ``weeks_count`` counts rows."""
-    d = _with_date(_prefilter(daily, years))
+    d = date_partials(daily, years)
     out = (d.groupBy(F.year("_d").alias("year"), cal.iso_week("_d").alias("week"))
-             .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("weeks_count"))
+             .agg(*daily_merge_aggs(), F.sum("p_rows").alias("weeks_count"))
              )
     return finish(sorted_result(out, "year", "week"), None, cols)
 
@@ -208,11 +210,11 @@ def seasonal_patterns(daily: DataFrame, years: Sequence[int] | None = None,
     """A4: by (year, season, season_sequence, week-in-season); the sequence
     orders the rows and is dropped, so two (year, Winter, 5) rows may exist
     (ISO weeks 1 and 53, Q9)."""
-    d = _with_date(_prefilter(daily, years)).withColumn("_w", cal.iso_week("_d"))
+    d = date_partials(daily, years).withColumn("_w", cal.iso_week("_d"))
     out = (d.groupBy(F.year("_d").alias("year"), cal.week_season("_w").alias("season"),
                      cal.week_season_sequence("_w").alias("season_sequence"),
                      cal.week_in_season("_w").alias("week"))
-             .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count")))
+             .agg(*daily_merge_aggs(), F.sum("p_rows").alias("days_count")))
     out = sorted_result(out, "year", "season_sequence", "week").select(
         "year", "season", "week", *S7, "days_count")
     return finish(out, None, cols)
@@ -230,12 +232,12 @@ def weekday_vs_weekend(daily: DataFrame, holidays: DataFrame,
                        holiday_rows: int | None = None,
                        weekend_from: int = 6) -> DataFrame:
     """A5: by (year, is_weekend); Sat/Sun or a bank holiday is weekend."""
-    d = _with_date(_prefilter(daily, years))
+    d = date_partials(daily, years)
     hol = bounded_broadcast(holiday_dates(holidays), holiday_rows)
     marked = d.join(hol, d["_d"] == hol["_hd"], "left")
     flag = cal.weekend_flag(cal.iso_weekday("_d"), F.col("_hd").isNotNull(), weekend_from)
     out = (marked.groupBy(F.year("_d").alias("year"), flag.alias("is_weekend"))
-                 .agg(*daily_rollup_aggs(), F.count(F.lit(1)).alias("days_count"))
+                 .agg(*daily_merge_aggs(), F.sum("p_rows").alias("days_count"))
                  )
     return finish(sorted_result(out, "year", "is_weekend"), None, cols)
 
@@ -292,31 +294,18 @@ def daily_weather(weather_daily: DataFrame) -> DataFrame:
 def temperature_energy(daily: DataFrame, weather_daily: DataFrame,
                        years: Sequence[int] | None = None,
                        cols: Sequence[str] | None = None,
-                       weather_rows: int | None = None,
-                       strategy: str = "auto") -> DataFrame:
+                       weather_rows: int | None = None) -> DataFrame:
     """By (year, month, month name, temperature bin).
 
-    ``broadcast`` (weather proven small, the normal case: it is calendar
-    sized): map-side join, one aggregate. ``preaggregate``: ``daily`` reduced
-    to one row of partial sums per date before a shuffle join; averages are
-    rebuilt from (sum, count) pairs, weighted by the fan-out of repeated
-    weather rows (Q13)."""
-    w = daily_weather(weather_daily)
-    d = _with_date(_prefilter(daily, years))
-    t = F.col("_tmean")
-    if _strategy(strategy, weather_rows) == "broadcast":
-        joined = d.join(F.broadcast(w), "_d", "inner")
-        grouped = joined.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month"),
-                                 cal.temp_bin(t).alias("temp_bin"))
-        aggs = [F.avg(t).alias("avg_temperature"), *daily_rollup_aggs(),
-                F.count(F.lit(1)).alias("days_count")]
-    else:
-        joined = d.groupBy("_d").agg(*daily_partial_aggs()).join(w, "_d", "inner")
-        rows = F.col("p_rows")
-        grouped = joined.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month"),
-                                 cal.temp_bin(t).alias("temp_bin"))
-        aggs = [F.try_divide(F.sum(t * rows), F.sum(F.when(t.isNotNull(), rows))).alias("avg_temperature"),
-                *daily_merge_aggs(), F.sum(rows).alias("days_count")]
+    Partial sums per date are joined to the weather rows (broadcast when their
+    number is proven small, else a shuffle join of calendar-sized sides) and
+    merged, weighted by the fan-out of repeated weather rows (Q13)."""
+    t, rows = F.col("_tmean"), F.col("p_rows")
+    joined = date_partials(daily, years).join(bounded_broadcast(daily_weather(weather_daily), weather_rows), "_d", "inner")
+    grouped = joined.groupBy(F.year("_d").alias("year"), F.month("_d").alias("month"),
+                             cal.temp_bin(t).alias("temp_bin"))
+    aggs = [F.try_divide(F.sum(t * rows), F.sum(F.when(t.isNotNull(), rows))).alias("avg_temperature"),
+            *daily_merge_aggs(), F.sum(rows).alias("days_count")]
     out = (grouped.agg(*aggs)
                   .select("year", "month", cal.month_name("month").alias("month_name"), "temp_bin",
                           "avg_temperature", *S7, "days_count")

@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import label_order
 from ..schemas import QUANTILE_SCHEMES
 
 
@@ -172,7 +171,3 @@ def segment_hierarchy(df: DataFrame, metric: str = "energy_mean") -> DataFrame:
                       F.when(F.col("_gid") == 0, "tariff").otherwise("group").alias("level"),
                       "household_count", metric)
               .orderBy("Acorn_grouped", F.asc_nulls_first("stdorToU")))
-
-
-def label_position(label: Column | str, n_groups: int) -> Column:
-    return label_order(label, QUANTILE_SCHEMES[n_groups][1])

@@ -147,6 +147,7 @@ FILTER_YEARS = [1996, 1998]
 FILTER_MONTHS = [1, 2, 12]
 FILTER_BINS = ["Below 0°C", "0-5°C", "5-10°C"]
 FILTER_TARIFFS = ["Std", "ToU"]
+ONE_TARIFF = "ToU"
 FILTER_ACORNS = ["ACORN-A", "ACORN-C", "ACORN-F", "ACORN-K", "ACORN-Q"]
 
 
@@ -208,6 +209,18 @@ FROM p_temperature WHERE year IN ({_in(FILTER_YEARS)}) AND month IN ({_in(FILTER
 FROM p_household WHERE stdorToU IN ({_in(FILTER_TARIFFS)}) AND Acorn IN ({_in(FILTER_ACORNS)})""",
         [("Acorn_grouped", "s"), ("stdorToU", "s"), ("energy_mean", "d"), ("energy_max", "d"),
          ("energy_median", "d"), ("household_count", "l"), ("days_count", "l")])
+    out["segment_points_one_tariff"] = q([], f"""SELECT Acorn_grouped, stdorToU, energy_mean, energy_max, energy_median,
+       household_count, days_count
+FROM p_household WHERE stdorToU = '{ONE_TARIFF}' AND Acorn IN ({_in(FILTER_ACORNS)})""",
+        [("Acorn_grouped", "s"), ("stdorToU", "s"), ("energy_mean", "d"), ("energy_max", "d"),
+         ("energy_median", "d"), ("household_count", "l"), ("days_count", "l")])
+    # order is part of these rows: the place of each row in the sorted result
+    place = "CAST(row_number() OVER (ORDER BY {}) AS BIGINT) AS place"
+    out["ordered_hourly"] = q([], f"SELECT {place.format('year, hour')}, year, hour FROM p_hourly",
+                              [("place", "l"), ("year", "i"), ("hour", "i")])
+    out["ordered_ranking"] = q([("rk", "SELECT Acorn_grouped, avg(energy_mean) AS m FROM p_household GROUP BY Acorn_grouped")],
+                               f"SELECT {place.format('m DESC NULLS FIRST')}, Acorn_grouped FROM rk",
+                               [("place", "l"), ("Acorn_grouped", "s")])
     out["yearly_view"] = q([], "SELECT year, hour, energy_mean FROM p_hourly",
                            [("year", "i"), ("hour", "i"), ("energy_mean", "d")])
     out["aggregated_view_hourly"] = q([], "SELECT hour, avg(energy_mean) AS energy_mean FROM p_hourly GROUP BY 1",
@@ -318,12 +331,16 @@ def _micro(list_expr: str) -> str:
             f"lambda x: CAST(CAST(round(x * 1000000.0) AS BIGINT) AS VARCHAR)), '|')")
 
 
-def _profile_ctes() -> list[tuple[str, str]]:
-    hh = "[" + ", ".join(f"hh_{i}" for i in range(48)) + "]"
-    lo, hi = PROFILE_YEARS
+INNER_GROUP, INNER_YEARS = "Affluent", (1996, 1998)     # another group, an inner range
+
+
+def _profile_ctes(group: str = PROFILE_GROUP, years: tuple[int, int] = PROFILE_YEARS, strict: bool = False,
+                  align: bool = False) -> list[tuple[str, str]]:
+    hh = "[" + ", ".join(f"coalesce(hh_{i}, 0)" if align else f"hh_{i}" for i in range(48)) + "]"
+    lo, hi = years
+    own = f"Acorn_grouped = '{group}'" if strict else f"file IN (SELECT file FROM households WHERE Acorn_grouped = '{group}')"
     return [
-        ("members", f"""SELECT DISTINCT LCLid FROM households
-WHERE file IN (SELECT file FROM households WHERE Acorn_grouped = '{PROFILE_GROUP}')"""),
+        ("members", f"SELECT DISTINCT LCLid FROM households WHERE {own}"),
         ("wd", f"""SELECT {WTS} AS dt, avg(temperatureMax) AS avg_temperature, avg(humidity) AS avg_humidity
 FROM weather_daily GROUP BY 1"""),
         ("hol", "SELECT CAST(holiday AS DATE) AS hd, true AS is_holiday FROM holidays"),
@@ -368,11 +385,16 @@ FROM prof AS p, modal, dw, zs"""),
 
 def _features_stage() -> dict[str, str]:
     out: dict[str, str] = {}
-    out["acorn_profiles"] = q(_profile_ctes(), f"""SELECT LCLid, day, day_of_week, is_weekend, avg_temperature,
+    for key, ctes in (("acorn_profiles", _profile_ctes()),
+                      ("acorn_profiles_strict", _profile_ctes(strict=True)),
+                      ("acorn_profiles_aligned", _profile_ctes(align=True)),
+                      ("acorn_profiles_inner", _profile_ctes(INNER_GROUP, INNER_YEARS))):
+        out[key] = q(ctes, f"""SELECT LCLid, day, day_of_week, is_weekend, avg_temperature,
        avg_humidity, season, len(hh) AS n_readings, {_micro("hh")} AS hh_consumption FROM prof""",
-        [("LCLid", "s"), ("day", "s"), ("day_of_week", "i"), ("is_weekend", "b"),
-         ("avg_temperature", "d"), ("avg_humidity", "d"), ("season", "i"), ("n_readings", "i"),
-         ("hh_consumption", "s")])
+            [("LCLid", "s"), ("day", "s"), ("day_of_week", "i"), ("is_weekend", "b"),
+             ("avg_temperature", "d"), ("avg_humidity", "d"), ("season", "i"), ("n_readings", "i"),
+             ("hh_consumption", "s")])
+    out["group_files"] = q([], f"SELECT DISTINCT file FROM households WHERE Acorn_grouped = '{PROFILE_GROUP}'", [("file", "s")])
     out["features"] = q(_feature_ctes(), f"""SELECT LCLid, day, len(reading) AS reading_len,
        {_micro("reading")} AS reading, {_micro("cond")} AS cond FROM feat""",
         [("LCLid", "s"), ("day", "s"), ("reading_len", "i"), ("reading", "s"), ("cond", "s")])

@@ -86,21 +86,25 @@ def _hourly(spark, sf_dir):
     return P.hourly_patterns(src(spark, sf_dir).half_hourly)
 
 
+# the one scan of ``daily`` that A2-A5 and A7 share: partial sums per date
+date_partials = stored("date_partials", lambda spark, sf_dir: P.date_partials(src(spark, sf_dir).daily))
+
+
 def _daily(spark, sf_dir):
-    return P.daily_patterns(src(spark, sf_dir).daily)
+    return P.daily_patterns(date_partials(spark, sf_dir))
 
 
 def _weekly(spark, sf_dir):
-    return P.weekly_patterns(src(spark, sf_dir).daily)
+    return P.weekly_patterns(date_partials(spark, sf_dir))
 
 
 def _seasonal(spark, sf_dir):
-    return P.seasonal_patterns(src(spark, sf_dir).daily)
+    return P.seasonal_patterns(date_partials(spark, sf_dir))
 
 
 def _weekend(spark, sf_dir):
     s = src(spark, sf_dir)
-    return P.weekday_vs_weekend(s.daily, s.holidays, holiday_rows=s.row_count("holidays"))
+    return P.weekday_vs_weekend(date_partials(spark, sf_dir), s.holidays, holiday_rows=s.row_count("holidays"))
 
 
 def _household(spark, sf_dir):
@@ -110,7 +114,7 @@ def _household(spark, sf_dir):
 
 def _temperature(spark, sf_dir):
     s = src(spark, sf_dir)
-    return P.temperature_energy(s.daily, s.weather_daily, weather_rows=s.row_count("weather_daily"))
+    return P.temperature_energy(date_partials(spark, sf_dir), s.weather_daily, weather_rows=s.row_count("weather_daily"))
 
 
 def _temperature_hourly(spark, sf_dir):
@@ -159,19 +163,26 @@ def distinct_filters(spark, sf_dir):
 
 # ---------------------------------------------------------------- profiles / features
 
-_TAG = f"{O.PROFILE_GROUP}_{O.PROFILE_YEARS[0]}_{O.PROFILE_YEARS[1]}"
+def profile_tag(group: str, years: tuple[int, int], strict: bool = False, align: bool = False) -> str:
+    """Stored name of a profile table: every argument that changes its rows."""
+    return f"{group}_{years[0]}_{years[1]}{'_strict' if strict else ''}{'_aligned' if align else ''}"
 
 
-def _profiles(spark, sf_dir):
-    s = src(spark, sf_dir)
-    return PR.daily_profiles(s.half_hourly, s.households, s.holidays, s.weather_daily,
-                             O.PROFILE_GROUP, O.PROFILE_YEARS,
-                             households_rows=s.row_count("households"),
-                             holiday_rows=s.row_count("holidays"),
-                             weather_rows=s.row_count("weather_daily"))
+_TAG = profile_tag(O.PROFILE_GROUP, O.PROFILE_YEARS)
+
+
+def profile_table(group: str, years: tuple[int, int], strict: bool = False, align: bool = False) -> Builder:
+    """S10 read-through: the profile rows of any group and year range, built
+    once per source fingerprint and read from the store afterwards."""
+    def build(spark, sf_dir):
+        s = src(spark, sf_dir)
+        return PR.daily_profiles(s.half_hourly, s.households, s.holidays, s.weather_daily, group, years, strict=strict,
+                                 align=align, households_rows=s.row_count("households"),
+                                 holiday_rows=s.row_count("holidays"), weather_rows=s.row_count("weather_daily"))
+    return stored(f"profiles_{profile_tag(group, years, strict, align)}", build)
 
 
-profiles = stored(f"profiles_{_TAG}", _profiles)
+profiles = profile_table(O.PROFILE_GROUP, O.PROFILE_YEARS)
 
 
 def _features(spark, sf_dir):
@@ -183,13 +194,22 @@ def _features(spark, sf_dir):
 feature_table = stored(f"features_{_TAG}", _features)
 
 
-def acorn_profiles(spark, sf_dir):
-    p = profiles(spark, sf_dir)
+def _profile_rows(p: DataFrame) -> DataFrame:
     return p.select("LCLid", "day", "day_of_week", "is_weekend", "avg_temperature",
                     "avg_humidity", "season", F.size("hh_consumption").alias("n_readings"),
                     FE.micro_text("hh_consumption").alias("hh_consumption"))
 
 
+def group_files(spark, sf_dir):
+    return PR.group_files(src(spark, sf_dir).households, O.PROFILE_GROUP)
+
+
+def placed(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows of a sorted one-partition result with their place (from 1): makes
+    the order of a result part of its rows."""
+    return df.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("place"), *cols)
+
+
 def features(spark, sf_dir):
     f = feature_table(spark, sf_dir)
     return f.select("LCLid", "day", F.size("reading").alias("reading_len"),
@@ -279,6 +299,10 @@ RAW: dict[str, Builder] = {
     "temperature_hourly": temperature_hourly,
     "filtered_projection": filtered_projection,
     "segment_points": segment_points,
+    "segment_points_one_tariff": second(lambda d: SG.segment_points(SG.filter_segments(
+        d, [O.ONE_TARIFF], O.FILTER_ACORNS)), household),
+    "ordered_hourly": second(lambda d: placed(P.sorted_result(d, "year", "hour"), "year", "hour"), hourly),
+    "ordered_ranking": second(lambda d: placed(SG.acorn_ranking(d), "Acorn_grouped"), household),
     "yearly_view": second(lambda d: V.yearly_view(d, "hour", "energy_mean", sort_by=["year", "hour"]), hourly),
     "aggregated_view_hourly": second(lambda d: V.aggregated_view(d, "hour", "energy_mean", sort_by="hour"), hourly),
     "aggregated_view_daily": second(lambda d: V.aggregated_view(
@@ -306,7 +330,11 @@ RAW: dict[str, Builder] = {
     "humidity_corr": second(WX.humidity_corr, temperature_hourly),
     "weather_kpis": second(WX.weather_kpis, temperature_hourly),
     "distinct_filters": distinct_filters,
-    "acorn_profiles": acorn_profiles,
+    "acorn_profiles": second(_profile_rows, profiles),
+    "acorn_profiles_strict": second(_profile_rows, profile_table(O.PROFILE_GROUP, O.PROFILE_YEARS, strict=True)),
+    "acorn_profiles_aligned": second(_profile_rows, profile_table(O.PROFILE_GROUP, O.PROFILE_YEARS, align=True)),
+    "acorn_profiles_inner": second(_profile_rows, profile_table(O.INNER_GROUP, O.INNER_YEARS)),
+    "group_files": group_files,
     "features": features,
     "reconstruction_fixed": reconstruction_fixed,
     "anomaly_slots": anomaly_slots,

@@ -24,7 +24,8 @@ SELECT 'MAC' || CASE WHEN c_custkey > 999999 THEN CAST(c_custkey AS STRING) ELSE
        'ACORN-' || chr(CAST(65 + c_nationkey % 17 AS INT)) AS Acorn,
        CASE WHEN c_nationkey % 17 < 5 THEN 'Affluent'
             WHEN c_nationkey % 17 < 10 THEN 'Comfortable' ELSE 'Adversity' END AS Acorn_grouped,
-       'block_' || CAST(CAST(floor(c_custkey / 50) AS INT) AS STRING) AS file
+       'block_' || CAST(CAST(floor(c_custkey / 50) AS BIGINT) AS STRING) ||
+       CASE WHEN c_nationkey % 17 >= 10 AND CAST(floor(c_custkey / 50) AS BIGINT) % 3 = 0 THEN 'a' ELSE '' END AS file
 FROM customer""",
     "hd": """
 SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, min(o_orderkey) AS k
@@ -91,11 +92,6 @@ def temp_bin_sql(expr: str) -> str:
     return f"CASE {whens} ELSE '{TEMP_BINS[-1]}' END"
 
 
-def temp_bin_order_sql(expr: str) -> str:
-    whens = " ".join(f"WHEN '{lab}' THEN {i}" for i, lab in enumerate(TEMP_BINS))
-    return f"CASE {expr} {whens} END"
-
-
 def hourly_long_sql(source: str = "half_hourly", key_sql: str = "day") -> str:
     """The 24-way unpivot of hourly energy, as UNION ALL."""
     return "\nUNION ALL\n".join(

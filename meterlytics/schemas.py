@@ -68,20 +68,6 @@ SOURCE_SCHEMAS = {
 S7 = ["energy_median", "energy_mean", "energy_max", "energy_count",
       "energy_std", "energy_sum", "energy_min"]
 
-RESULT_COLUMNS = {
-    "hourly": ["year", "hour", *S7],
-    "daily": ["year", "weekday", "weekday_name", *S7, "days_count"],
-    "weekly": ["year", "week", *S7, "weeks_count"],
-    "seasonal": ["year", "season", "week", *S7, "days_count"],
-    "weekday_vs_weekend": ["year", "is_weekend", *S7, "days_count"],
-    "household": ["stdorToU", "Acorn_grouped", "Acorn", *S7,
-                  "household_count", "days_count"],
-    "temperature_energy": ["year", "month", "month_name", "temp_bin",
-                           "avg_temperature", *S7, "days_count"],
-    "temperature_hourly": ["hour", "temp_bin", "avg_temperature",
-                           "avg_humidity", "energy", "count"],
-}
-
 # --- fixed values: these labels must equal the reference's output text ---
 WEEKDAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday",
                  "Saturday", "Sunday"]
@@ -91,8 +77,6 @@ MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July",
 TEMP_BINS = ["Below 0°C", "0-5°C", "5-10°C", "10-15°C", "15-20°C", "20-25°C",
              "Above 25°C"]
 TEMP_BIN_UPPER = [0, 5, 10, 15, 20, 25]
-SEASONS = ["Winter", "Spring", "Summer", "Fall"]
-ACORN_GROUPS = ["Adversity", "Comfortable", "Affluent"]
 QUANTILE_SCHEMES = {
     2: ([0, 0.5, 1.0], ["Low Consumers", "High Consumers"]),
     3: ([0, 0.33, 0.67, 1.0],

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -78,36 +79,84 @@ def shared_root(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or folder).rstrip("/")
 
 
+def store_root(spark: SparkSession) -> str:
+    """Durable folder for normalised sources and results, the same for every
+    application: ``spark.meterlytics.store``, else ``meterlytics-store`` in the
+    configured ``spark.checkpoint.dir`` (beside, not inside, the folder that
+    Spark adds per application). Without either, in local mode only, a folder
+    of this application."""
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.meterlytics.store", None) or conf.get("spark.meterlytics.store", None)
+    if named:
+        return named.rstrip("/")
+    configured = conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return f"{configured.rstrip('/')}/meterlytics-store"
+    return f"{shared_root(spark)}/meterlytics-store"
+
+
+# Paths without a scheme mean the default file system, as for Spark's readers;
+# all of these go through the Hadoop file system.
+
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test that works for any Hadoop file system."""
-    if path.startswith("file:"):
-        return os.path.exists(path[len("file:"):])
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _hadoop(spark, path)
     return bool(fs.exists(hpath))
 
 
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Recursive delete through the Hadoop file system API."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _hadoop(spark, path)
     return bool(fs.delete(hpath, True))
 
 
 def list_dir(spark: SparkSession, path: str) -> list[str]:
     """Names of the entries of a folder; empty when it does not exist."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _hadoop(spark, path)
     if not fs.exists(hpath):
         return []
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(hpath))
 
 
+def file_stamps(spark: SparkSession, path: str) -> list[str]:
+    """``name:size:modification time`` of a file, or of every file of a folder."""
+    fs, hpath = _hadoop(spark, path)
+    found = fs.listFiles(hpath, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath().toUri().getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(out)
+
+
+def publish(spark: SparkSession, made: str, path: str, replace: bool = False) -> bool:
+    """Give a finished folder its name by one rename. If the name stands and
+    ``replace`` is false, the folder that stands wins and ours goes; with
+    ``replace``, the old folder steps aside first and goes afterwards."""
+    fs, src = _hadoop(spark, made)
+    _, dst = _hadoop(spark, path)
+    fs.mkdirs(dst.getParent())
+    old = None
+    if fs.exists(dst) and replace:
+        old = _hadoop(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+        fs.rename(dst, old)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+        return False
+    # a rename onto a folder that another writer published meanwhile puts ours inside it
+    inner = _hadoop(spark, f"{path}/{made.rstrip('/').rsplit('/', 1)[-1]}")[1]
+    if fs.exists(inner):
+        fs.delete(inner, True)
+    if old is not None:
+        fs.delete(old, True)
+    return True
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 

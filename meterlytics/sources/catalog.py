@@ -1,24 +1,26 @@
 """Source catalog: the six meter tables as DataFrames, normalised once.
 
 ``load_sources(spark, sf_dir)`` derives the meter tables from the driver's
-Parquet (``sources.fixtures``) and writes each as a Parquet table under the
-shared folder (``session.shared_root``), keyed by a fingerprint of the input
-files. Later queries read the written tables: lineage is cut (an executor loss
-re-reads Parquet instead of re-running the derivation) and the Parquet scan
-gets column pruning and filter pushdown. This is the Spark form of the
-reference's load-once + read-through cache (S6/S7), and the same step a
-production job uses to compact the CSV blocks (``sources.csv``).
-
-Exact row counts are recorded at write time; ``operators.joins`` uses them to
-decide broadcasts from a proven size instead of an optimizer estimate.
+Parquet (``sources.fixtures``) and writes each as a Parquet table in the durable
+store (``session.store_root``), keyed by a fingerprint of all input files.
+Applications that find the tables of the same inputs there write nothing. The
+fingerprint is taken anew at every call, so changed inputs are seen within a
+session too. Lineage is cut (an executor loss re-reads Parquet instead of
+re-running the derivation) and the Parquet scan gets column pruning and filter
+pushdown. This is the Spark form of the reference's load-once + read-through
+cache (S6/S7), and the same step a production job uses to compact the CSV
+blocks (``sources.csv``).
+
+Exact row counts of the dimensions are read from the Parquet footers (the
+facts are never counted); ``operators.joins`` uses them to decide
+broadcasts from a proven size instead of an optimizer estimate.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 import threading
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -27,9 +29,11 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import PARTITION_YEAR, year_from_text
 from ..schemas import SOURCE_SCHEMAS
-from ..session import path_exists, shared_root
+from ..session import file_stamps, path_exists, publish, store_root
 from . import fixtures
 
+# part of the stored name: a new number when the derivation changes
+LAYOUT_VERSION = 2
 TABLES = ["households", "half_hourly", "daily", "weather_daily",
           "weather_hourly", "holidays"]
 # Fact tables are written partitioned by calendar year (a directory per year):
@@ -65,26 +69,12 @@ class Sources:
         return self.rows.get(name)
 
 
-def _file_stamp(spark: SparkSession, path: str) -> str:
-    """(size, modification time) of a file or folder: ``os.stat`` for local
-    paths, the Hadoop file system for others (HDFS, S3, ABFS)."""
-    if "://" not in path or path.startswith("file:"):
-        local = path[len("file:"):] if path.startswith("file:") else path
-        st = os.stat(local)
-        return f"{os.path.abspath(local)}:{st.st_size}:{int(st.st_mtime)}"
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    summary = fs.getContentSummary(hpath)
-    return f"{path}:{summary.getLength()}:{fs.getFileStatus(hpath).getModificationTime()}"
-
-
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Hash of (name, size, mtime) of the driver files the tables read."""
+    """Hash of (name, size, mtime) of all files the tables read."""
     h = hashlib.sha1()
     names = sorted({n for ins in fixtures.INPUTS.values() for n in ins})
     for n in names:
-        h.update(_file_stamp(spark, f"{sf_dir}/{n}.parquet").encode())
+        h.update("\n".join([n, *file_stamps(spark, f"{sf_dir}/{n}.parquet")]).encode())
     return h.hexdigest()[:16]
 
 
@@ -100,56 +90,29 @@ def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sou
     that the scheduler interleaves their tasks (each is small at low scale).
     """
     sf_dir = sf_dir.rstrip("/")
-    key = (spark.sparkContext.applicationId, sf_dir)
     with _LOCK:
+        mark = _fingerprint(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, mark)
         if not refresh and key in _MEMO:
             return _MEMO[key]
-        root = f"{shared_root(spark)}/meterlytics/sources/{_fingerprint(spark, sf_dir)}"
+        root = f"{store_root(spark)}/sources/{LAYOUT_VERSION}-{mark}"
 
-        def one(t: str) -> tuple[str, DataFrame, int]:
+        def one(t: str) -> tuple[str, DataFrame, int | None]:
             path = f"{root}/{t}"
-            manifest = f"{path}.rows.json"
             if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
                 df = fixtures.BUILDERS[t](spark, sf_dir)
+                made = f"{root}/.making-{t}-{uuid.uuid4().hex}"
                 if t in PARTITIONED:
                     (df.withColumn(PARTITION_YEAR, year_from_text("day"))
-                       .write.mode("overwrite").partitionBy(PARTITION_YEAR).parquet(path))
+                       .write.partitionBy(PARTITION_YEAR).parquet(made))
                 else:
-                    df.write.mode("overwrite").parquet(path)
+                    df.write.parquet(made)
+                publish(spark, made, path, replace=refresh)
             df = spark.read.schema(stored_schema(t)).parquet(path)
-            if path_exists(spark, manifest) and not refresh:
-                n = _read_manifest(spark, manifest)
-            else:
-                n = df.count()
-                _write_manifest(spark, manifest, n)
-            return t, df, n
+            return t, df, None if t in PARTITIONED else df.count()
 
         with ThreadPoolExecutor(max_workers=len(TABLES)) as pool:
             done = list(pool.map(one, TABLES))
-        src = Sources({t: df for t, df, _ in done}, {t: n for t, _, n in done}, root)
+        src = Sources({t: df for t, df, _ in done}, {t: n for t, _, n in done if n is not None}, root)
         _MEMO[key] = src
         return src
-
-
-def _read_manifest(spark: SparkSession, path: str) -> int:
-    if "://" not in path or path.startswith("file:"):
-        local = path[len("file:"):] if path.startswith("file:") else path
-        with open(local) as fh:
-            return int(json.load(fh)["rows"])
-    text = "".join(r.value for r in spark.read.text(path).collect())
-    return int(json.loads(text)["rows"])
-
-
-def _write_manifest(spark: SparkSession, path: str, n: int) -> None:
-    if "://" not in path or path.startswith("file:"):
-        local = path[len("file:"):] if path.startswith("file:") else path
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with open(local, "w") as fh:
-            json.dump({"rows": n}, fh)
-        return
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(hpath, True)
-    out.write(bytearray(json.dumps({"rows": n}).encode()))
-    out.close()

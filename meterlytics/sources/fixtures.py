@@ -41,8 +41,10 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ACORN-"), F.expr("chr(CAST(65 + c_nationkey % 17 AS INT))")).alias("Acorn"),
         F.when(grp < 5, "Affluent").when(grp < 10, "Comfortable")
          .otherwise("Adversity").alias("Acorn_grouped"),
-        F.concat(F.lit("block_"),
-                 F.floor(F.col("c_custkey") / 50).cast("int").cast("string")).alias("file"),
+        # in every third block the Adversity households have a file of their
+        # own, so that some files hold no household of the other groups
+        F.concat(F.lit("block_"), F.floor(F.col("c_custkey") / 50).cast("long").cast("string"),
+                 F.when((grp >= 10) & (F.floor(F.col("c_custkey") / 50) % 3 == 0), "a").otherwise("")).alias("file"),
     )
 
 

@@ -1,24 +1,28 @@
 """Result materialisation: table sink, typed reload, read-through.
 
 The reference caches results as CSV plus a JSON type side-car; Parquet keeps
-types and arrays, so a result is a Parquet folder under the shared root. The
-memory level is ``DataFrame.cache()``. Writes fail loudly (the reference
-swallows write errors, Q39) and a ``refresh`` argument rebuilds explicitly.
+types and arrays, so a result is a Parquet folder under ``root``, which should
+carry the fingerprint of the sources (``catalog.Sources.root`` does). A result
+is written to a folder of its own and then renamed, so readers see all of it or
+none, and of two builders of one name the first wins. The memory level is
+``DataFrame.cache()``. Writes fail loudly (the reference swallows write errors,
+Q39) and a ``refresh`` argument rebuilds explicitly.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import delete_path, list_dir, path_exists, shared_root
+from ..session import delete_path, list_dir, path_exists, publish
 
 
 class ResultStore:
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = (root or f"{shared_root(spark)}/meterlytics/results").rstrip("/")
+        self.root = root.rstrip("/")
         self._memory: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
@@ -28,8 +32,10 @@ class ResultStore:
         return path_exists(self.spark, f"{self.path(name)}/_SUCCESS")
 
     def save(self, name: str, df: DataFrame) -> None:
-        """Overwrite the named table."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write the named table, in place of one that stands."""
+        made = f"{self.root}/.making-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(made)
+        publish(self.spark, made, self.path(name), replace=True)
 
     def load(self, name: str) -> DataFrame | None:
         """The stored table with its types, or None when absent."""
@@ -44,7 +50,9 @@ class ResultStore:
             return self._memory[name]
         df = None if refresh else self.load(name)
         if df is None:
-            self.save(name, builder())
+            made = f"{self.root}/.making-{name}-{uuid.uuid4().hex}"
+            builder().write.parquet(made)
+            publish(self.spark, made, self.path(name), replace=refresh)
             df = self.spark.read.parquet(self.path(name))
         if memory:
             df = df.cache()

@@ -102,14 +102,16 @@ def test_views(spark):
     from meterlytics.operators import views as V
     df = spark.createDataFrame([(2012, 1, 1.0, "a"), (2012, 2, 3.0, "b"), (2013, 1, 5.0, "a")],
                                "year int, hour int, energy_mean double, season string")
-    assert V.validate_columns(df, ["hour", "nope"]) == ["hour"] and V.validate_columns(df, "nope", []) == []
     agg = {r.hour: r.energy_mean for r in V.aggregated_view(df, "hour", "energy_mean", sort_by="hour").collect()}
     assert agg == {1: 3.0, 2: 3.0}
     assert V.bar_view(df, "energy_mean", ["year"]).columns == ["year", "energy_mean_avg"]
     y = V.yearly_view(df, "hour", "energy_mean", group_fields=["season"], sort_by=["year", "hour"])
     assert y.columns == ["year", "season", "hour", "energy_mean"] and y.first().hour == 1
-    with pytest.raises(ValueError):
-        V.aggregated_view(df, "nope", "energy_mean")
+    assert V.yearly_view(df, "hour", "energy_mean", sort_by="hour").columns == ["year", "hour", "energy_mean"]
+    assert V.yearly_view(df, ["hour", "nope"], "energy_mean", color_field="season").columns == ["year", "hour", "energy_mean", "season"]
+    for groups in (None, [], ["nope"]):
+        with pytest.raises(ValueError):
+            V.aggregated_view(df, "nope", "energy_mean", groups)
 
 
 def test_random_example_is_one_row_and_top1_plan(spark):
