@@ -16,7 +16,8 @@ Jaccard similarity of their sets is 0.75 or more. The steps, all distributed:
    and blocks or entries are skipped where the sizes or the shingles left
    after both positions cannot reach the needed overlap.
 4. **Pivots.** Every block's least set is its pivot, and each entry is compared
-   with the pivot only: rows grow with the lists, not with their squares.
+   with the pivot only: rows grow with the lists, not with their squares. Long
+   blocks that still hold several components get ``PIVOTS`` further pivots.
 5. **Derived answers.** Sets that a pivot links are one component, so the pairs
    among them need no answer. For pairs across components, when both sets
    have been compared with the same pivot ``P``, the counted overlaps give
@@ -50,6 +51,7 @@ WORDS = 5
 PERCENT = 75
 #: packed shingles of about this many make a bucket
 BUCKET_ROWS = 2_000_000
+PIVOTS, LONG = 8, 16         # further pivots, and the entries from which a block is long
 BUCKETS, GROUPS = 64, 128            # at least so many
 SLICE = 4 << 20
 TOKEN_BITS = 48
@@ -300,6 +302,16 @@ def _list_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names=["token", "block", "key", "n", "pos"])
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared shingles of every prefix, in order."""
+    for b in batches:
+        heads = [np.frombuffer(t.as_buffer(), np.int64, int(p)) for t, p in zip(b.column(4), b.column(2).to_numpy())]
+        off = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
+        values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.ListArray.from_arrays(pa.array(off), pa.array(values))],
+                                         names=["key", "lone", "head"])
+
+
 def size_block(n: np.ndarray) -> np.ndarray:
     """Blocks of sizes by powers of 4/3; linked sets are at most one apart."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int32)
@@ -337,6 +349,27 @@ def _reachable(na, pa_, nb, pb):
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & ((100 + PERCENT) * most >= PERCENT * (na + nb))
 
 
+def _mixed(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of the lists that hold several components, with ``main``, the
+    most frequent component of the list; and (token, main)."""
+    parts = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = (parts.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m"))
+            .where("k > 1").select("token", F.col("m.comp").alias("main")))
+    return placed.join(main, "token"), main
+
+
+def _more_pivots(mixed: DataFrame) -> DataFrame:
+    """Pairs of the sets of long mixed blocks with ``PIVOTS`` pivots each (the
+    least by other hashes, so that lists agree on them) of another component."""
+    pivots = (mixed.groupBy("token", "block").agg(F.count("*").alias("c"), F.array(*[
+        F.min_by(F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(seed))) for seed in range(1, PIVOTS + 1)]).alias("p"))
+        .where(F.col("c") >= LONG).drop("c"))
+    sets = mixed.join(pivots, ["token", "block"]).select("key", "n", "comp", "p").distinct()
+    near = F.filter("p", lambda x: (x["comp"] != F.col("comp")) & (100 * x["n"] >= PERCENT * F.col("n"))
+                    & (PERCENT * x["n"] <= 100 * F.col("n")))
+    return sets.select(F.col("key").alias("u"), F.explode(F.array_distinct(near)).alias("x")).select("u", F.col("x.key").alias("v")).distinct()
+
+
 def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text)``."""
     if words != WORDS:
@@ -364,6 +397,15 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = seen.where(_links(F.col("overlap"), F.col("nu"), F.col("nv"))).select("u", "v")
     comp = components(first, "ngram-cc")
 
+    # long lists that hold several components still: more pivots, other hashes
+    held = comp.withColumnRenamed("id", "key")
+    placed = entries.join(held, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    pairs = _more_pivots(_mixed(placed)[0])
+    second = cut(_compare(pairs.join(seen.select("u", "v"), ["u", "v"], "left_anti"), sets), "ngram-pivots")
+    links = second.where(_links(F.col("overlap"), F.col("nu"), F.col("nv"))).select("u", "v")
+    joined = components(comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(links), "ngram-cc")
+    comp, seen = joined, seen.union(second)
+
     # what is left: pairs of a list from different components
     best = (seen.groupBy(F.col("u").alias("key"))
             .agg(F.max_by(F.struct("v", "nv", "overlap"), F.struct(F.col("overlap") / F.col("nv"), "v")).alias("base")))
@@ -371,33 +413,39 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
               .select("token", "block", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"),
                       F.coalesce("base.v", "key").alias("pivot"), F.coalesce("base.nv", "n").alias("np"),
                       F.coalesce("base.overlap", "n").alias("op")))
-    parts = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = (parts.groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("m"))
-            .where("k > 1").select("token", F.col("m.comp").alias("main")))
-    placed = cut(placed.join(main, "token"), "ngram-mixed")
+    # with the shingles of the prefix that stand before each entry: a pair is
+    # met in the first list that both sets share, and nowhere else
+    heads = sets.mapInArrow(_heads, "key long, lone int, head array<long>")
+    placed = (_mixed(placed)[0].join(heads, "key")
+              .withColumn("before", F.slice("head", F.lit(1), (F.col("pos") - F.col("lone")).cast("int"))).drop("head", "lone"))
+    placed = cut(placed, "ngram-mixed")
     left = placed.where("comp <> main").select(*[F.col(c).alias(f"{c}_l") if c != "token" else F.col(c)
                                                  for c in placed.columns if c != "main"])
     cand = (left.join(placed, "token")
             .where("comp_l <> comp AND abs(block_l - block) <= 1 AND (comp = main OR key_l < key)")
             .where(_reachable(F.col("n_l"), F.col("pos_l"), F.col("n"), F.col("pos")))
+            .where(~F.arrays_overlap("before_l", "before"))
             .select(F.least("key_l", "key").alias("u"), F.greatest("key_l", "key").alias("v"),
                     F.when(F.col("pivot_l") == F.col("pivot"),
                            F.least("op_l", "op") + F.least(F.col("n_l") - F.col("op_l"), F.col("n") - F.col("op"))).alias("high"),
                     F.when(F.col("pivot_l") == F.col("pivot"), F.col("op_l") + F.col("op") - F.col("np")).alias("low"),
-                    (F.col("n_l") + F.col("n")).alias("sum"))
+                    (F.col("n_l") + F.col("n")).alias("sum"), F.least("comp_l", "comp").alias("cu"), F.greatest("comp_l", "comp").alias("cv"))
             .where(F.coalesce((100 + PERCENT) * F.col("high") >= PERCENT * F.col("sum"), F.lit(True)))
-            .groupBy("u", "v").agg(F.max((100 + PERCENT) * F.coalesce("low", F.lit(0)) >= PERCENT * F.col("sum")).alias("sure")))
+            .groupBy("u", "v").agg(F.any_value("cu").alias("cu"), F.any_value("cv").alias("cv"), F.max((100 + PERCENT) * F.coalesce("low", F.lit(0)) >= PERCENT * F.col("sum")).alias("sure")))
     known = seen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     cand = cut(cand.join(known, ["u", "v"], "left_anti"), "ngram-open")
     more = _compare(cand.where("NOT sure").select("u", "v"), sets)
     more = more.where(_links(F.col("overlap"), F.col("nu"), F.col("nv"))).select("u", "v")
-    extra = cut(more.union(cand.where("sure").select("u", "v")), "ngram-more")
-    if not extra.isEmpty():
-        comp = components(comp.select(F.col("id").alias("u"), F.col("comp").alias("v")).union(extra), "ngram-cc")
+    # links between components; their members need not be told apart any more
+    across = (more.join(cand.select("u", "v", "cu", "cv"), ["u", "v"]).select("cu", "cv")
+              .union(cand.where("sure").select("cu", "cv")).distinct())
+    merged = components(across.toDF("u", "v"), "ngram-cc2")
 
     # least document of every set, then of every component
     least = keyed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     least = least.join(comp.withColumnRenamed("id", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = (least.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left")
+             .select("key", "first", F.coalesce("top", "comp").alias("comp")))
     top = least.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = cut(least.join(top, "comp").select("key", "component_id"), "ngram-named")
     empty = keyed.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
