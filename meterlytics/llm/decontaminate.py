@@ -5,11 +5,11 @@
    their place. This compact table is written once and read by all passes.
 2. Document passages (``PASSAGE`` words) give the document frequencies of the
    vocabulary, over all documents.
-3. A randomised SVD of the TF-IDF matrix of all passages finds the latent
-   space: ``Y = A'(A W)`` for a random ``W`` is summed over partitions, its
-   orthonormal basis ``Q`` projects the passages, and the eigenvectors of
-   ``(A Q)'(A Q)``, again summed, give the leading right singular vectors.
-   Partial sums are a few numbers per word and never grow with the documents.
+3. A randomised SVD of the TF-IDF matrix ``A`` of all passages finds the latent
+   space in one pass: ``Y = A'(A W)`` for a random ``W`` is summed over
+   partitions (a few numbers per word, whatever the number of documents), and
+   the singular vectors of ``Y L'^-1`` with ``L L' = W'Y`` (the Nystroem form)
+   are the leading right singular vectors of ``A``.
 4. Windows of ``SIZES`` words with half overlaps are folded in and compared with
    the items of their size; pairs of cosine ``NEAR`` or more are candidates.
    Those whose words around the window hold too few of the item's words for
@@ -43,13 +43,13 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, cut, prepare, slices, text_buffers
 from .ngram_join import word_bounds, word_hashes
 
-RANK, OVERSAMPLE = 64, 8
+RANK, OVERSAMPLE = 48, 16
 PASSAGE, UNIT = 32, 8
 SIZES = (16, 24, 32, 48, 64)
-NEAR, SAME, PARAPHRASE = 0.45, 0.75, 0.55
+NEAR, SAME, PARAPHRASE = 0.48, 0.75, 0.55
 ANSWER, FEW = 6, 8
 COMMON = 0.25            # words in a larger share of the passages carry no meaning
-ITEMS = 1024
+ITEMS = 512
 SLICE = 4 << 20
 
 #: bytes that part words: all of ASCII but letters and digits
@@ -174,39 +174,29 @@ def _frequencies(n: int):
     return run
 
 
-def _sums(shared, square: bool):
-    """Of a partition's passages: A'(A W), or with ``square`` (A W)'(A W)."""
+def _sums(shared):
+    """A'(A W) of a partition's passages."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, w = shared.value
         n, width = w.shape
-        total = np.zeros((width if square else n, width))
-        weighted = idf[:, None] * w
+        total = np.zeros((n, width))
+        weighted = (idf[:, None] * w).astype(np.float32)
         for _, words, off in _groups(batches, 0, 1 << 18):
-            passage, count = _passages(words, off)
+            passage, _ = _passages(words, off)
             live = np.flatnonzero(words >= 0)
             live = live[idf[words[live]] > 0]
-            ids, passage = words[live], passage[live]
-            # passages are unit vectors of tf * idf
-            pairs, tf = np.unique(passage * n + ids, return_counts=True)
-            passage, ids = pairs // n, pairs % n
-            x = tf * idf[ids]
-            norm = np.sqrt(np.bincount(passage, x * x, count))
-            x = x / norm[passage]
-            rows, starts = np.unique(passage, return_index=True)
-            if not len(rows):
+            if not len(live):
                 continue
-            low = np.add.reduceat(x[:, None] * w[ids], starts, axis=0)
-            if square:
-                total += low.T @ low
-            else:
-                spread = np.zeros(count, np.int64)
-                spread[rows] = np.arange(len(rows))
-                order = np.argsort(ids, kind="stable")
-                s = ids[order]
-                cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-                total[s[cuts]] += np.add.reduceat(x[order, None] * low[spread[passage[order]]], cuts, axis=0)
-        del weighted
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
+            ids, passage = words[live], passage[live]
+            starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+            low = np.add.reduceat(weighted[ids], starts, axis=0)          # A W, a row per passage
+            row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+            order = np.argsort(ids.astype(np.uint32), kind="stable")
+            s = ids[order]
+            cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            total[s[cuts]] += np.add.reduceat(low[row[order]], cuts, axis=0)
+        total *= idf[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
                                          names=["i", "row"])
     return run
 
@@ -232,12 +222,13 @@ def latent_space(numbered: DataFrame, n: int, rank: int = RANK, seed: int = 5) -
     idf = np.where(df > COMMON * max(total, 1), 0.0, np.log((total + 1) / (df + 1)) + 1)
     width = min(rank + OVERSAMPLE, n)
     w = np.random.default_rng(seed).standard_normal((n, width))
-    y = _add(words.mapInArrow(_sums(sc.broadcast((idf, w)), False), "i int, row array<double>"), n, width)
-    q = np.linalg.qr(y)[0]
-    g = _add(words.mapInArrow(_sums(sc.broadcast((idf, q)), True), "i int, row array<double>"), width, width)
-    values, vectors = np.linalg.eigh((g + g.T) / 2)
-    top = np.argsort(-values)[:rank]
-    return idf, q @ vectors[:, top[values[top] > 1e-12 * max(values.max(), 1e-30)]]
+    y = _add(words.mapInArrow(_sums(sc.broadcast((idf, w))), "i int, row array<double>"), n, width)
+    core = w.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > 1e-9 * max(values.max(), 1e-300)
+    f = y @ (vectors[:, good] / np.sqrt(values[good]))
+    u, sing, _ = np.linalg.svd(f, full_matrices=False)
+    return idf, u[:, :rank][:, sing[:rank] > 1e-6 * max(sing.max(initial=0), 1e-300)]
 
 
 def _windows(off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,6 +247,7 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weighted, vectors = shared.value
         weighted, vectors = weighted.astype(np.float32), vectors.astype(np.float32)
+        member = (items.times > 0).astype(np.uint16)
         useful = np.abs(weighted).sum(axis=1) > 0
         for b, words, off in _groups(batches, 1, 1 << 19):
             best: dict[tuple[int, int], tuple] = {}
@@ -265,6 +257,8 @@ def _search(shared):
             unit = base[doc] + (np.arange(len(words)) - off[:-1][doc]) // UNIT
             at = np.flatnonzero(words >= 0)
             known = words[at].astype(np.int64)
+            before = np.zeros(len(words) + 1, np.int64)          # known words before each place
+            np.cumsum(words >= 0, out=before[1:])
             live = at[useful[known]]
             sums = np.zeros((int(units.sum()) + 1, weighted.shape[1]), np.float64)
             if len(live):
@@ -272,6 +266,9 @@ def _search(shared):
                 cuts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
                 sums[u[cuts] + 1] = np.add.reduceat(weighted[words[live]], cuts, axis=0)
             np.cumsum(sums, axis=0, out=sums)
+            # words of each piece up to each known word (differences wrap rightly)
+            held = np.zeros((len(items.words), len(at) + 1), np.uint16)
+            np.cumsum(np.take(member, known, axis=1), axis=1, dtype=np.uint16, out=held[:, 1:])
             for size in SIZES:
                 pick = np.flatnonzero(items.size == size)
                 if not len(pick) or not len(live):
@@ -284,8 +281,9 @@ def _search(shared):
                     w = _unit((sums[e[lo:lo + 65_536]] - sums[s[lo:lo + 65_536]]).astype(np.float32))
                     cos = w @ vectors[pick].T
                     row, col = np.nonzero(cos >= NEAR)
-                    piece = pick[col]
-                    kept = _enough(items, piece, known, np.searchsorted(at, first[lo + row]), np.searchsorted(at, last[lo + row]))
+                    piece, begin, end = pick[col], before[first[lo + row]], before[last[lo + row]]
+                    some = np.flatnonzero(held[piece, end] - held[piece, begin] >= items.need[piece])
+                    kept = some[_enough(items, piece[some], known, begin[some], end[some])]
                     for r, c, x in zip(row[kept].tolist(), piece[kept].tolist(), cos[row[kept], col[kept]].tolist()):
                         k, x0, x1 = int(d[lo + r]), int(first[lo + r]), int(last[lo + r])
                         found = _confirm(items, c, words[x0:x1])
