@@ -437,6 +437,62 @@ FROM feat"""),
     ]
 
 
+SPLIT_SEED, SPLIT_SHARE, STEP_RATE = 42, 0.1, 0.01      # equal model.AEConfig and registry.STEP_RATE
+
+
+def _is_val() -> str:
+    """First four hex digits of md5(household|day|seed) against the share."""
+    digit = "(strpos('0123456789abcdef', substr(md5(LCLid || '|' || day || '|{}'), {}, 1)) - 1)"
+    value = " + ".join(f"{digit.format(SPLIT_SEED, k + 1)} * {16 ** (3 - k)}" for k in range(4))
+    return f"({value}) < {round(SPLIT_SHARE * 65536)}"
+
+
+def _training_stage() -> dict[str, str]:
+    """One step from the rule weights by backpropagation over lists: forward
+    values, the deltas of the four layers, then a sum per parameter."""
+    rows = f"SELECT * FROM feat WHERE NOT ({_is_val()})"
+
+    def dense(layer: int, src: str, n_in: str, j: str = "j") -> str:
+        return (f"list_dot_product({src}, list_transform(range({n_in}), lambda i: {_w(layer, 'i', j)})) + {_b(layer, j)}")
+    ctes = _feature_ctes() + [
+        ("t0", rows),
+        ("t1", f"SELECT list_concat(reading, cond) AS x, reading, cond, list_transform(range(8), lambda j: "
+               f"{dense(1, 'list_concat(reading, cond)', 'len(reading) + len(cond)')}) AS a1 FROM t0"),
+        ("t2", "SELECT *, list_transform(a1, lambda v: greatest(v, CAST(0 AS DOUBLE))) AS h1 FROM t1"),
+        ("t3", f"SELECT *, list_concat(list_transform(range(2), lambda j: {dense(2, 'h1', '8')}), cond) AS d FROM t2"),
+        ("t4", f"SELECT *, list_transform(range(8), lambda j: {dense(3, 'd', 'len(d)')}) AS a3 FROM t3"),
+        ("t5", "SELECT *, list_transform(a3, lambda v: greatest(v, CAST(0 AS DOUBLE))) AS h3 FROM t4"),
+        ("t6", f"SELECT *, list_transform(range(len(reading)), lambda j: 2 * ({dense(4, 'h3', '8')} - reading[j + 1])) AS d4 FROM t5"),
+        ("t7", f"SELECT *, list_transform(range(8), lambda i: CASE WHEN a3[i + 1] > 0 THEN list_dot_product(d4, "
+               f"list_transform(range(len(reading)), lambda j: {_w(4, 'i', 'j')})) ELSE CAST(0 AS DOUBLE) END) AS d3 FROM t6"),
+        ("t8", f"SELECT *, list_transform(range(2), lambda i: list_dot_product(d3, "
+               f"list_transform(range(8), lambda j: {_w(3, 'i', 'j')}))) AS d2 FROM t7"),
+        ("t9", f"SELECT *, list_transform(range(8), lambda i: CASE WHEN a1[i + 1] > 0 THEN list_dot_product(d2, "
+               f"list_transform(range(2), lambda j: {_w(2, 'i', 'j')})) ELSE CAST(0 AS DOUBLE) END) AS d1 FROM t8"),
+        # inputs of a layer with a 1 at the end for its bias
+        ("pairs", " UNION ALL ".join(
+            f"SELECT {layer} AS layer, unnest(range(len({u}) + 1)) AS i, list_append({u}, CAST(1 AS DOUBLE)) AS u, {d} AS d FROM t9"
+            for layer, u, d in ((1, "x", "d1"), (2, "h1", "d2"), (3, "d", "d3"), (4, "h3", "d4")))),
+        ("cells", "SELECT layer, i, len(u) - 1 AS n_in, len(d) AS n_out, unnest(range(len(d))) AS j, u[i + 1] AS v, d FROM pairs"),
+        ("sums", "SELECT layer, i, j, max(n_in) AS n_in, max(n_out) AS n_out, sum(v * d[j + 1]) AS g FROM cells GROUP BY layer, i, j"),
+        ("size", "SELECT count(*) * max(len(reading)) AS n FROM t0"),
+        ("offsets", "SELECT layer, coalesce(sum((n_in + 1) * n_out) OVER (ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start "
+                    "FROM (SELECT DISTINCT layer, n_in, n_out FROM sums)"),
+        ("grads", "SELECT CAST(start + CASE WHEN i < n_in THEN i * n_out + j ELSE n_in * n_out + j END AS BIGINT) AS param, g / n AS gradient, "
+                  "CASE WHEN i < n_in THEN CAST((i * 7 + j * 13 + layer * 5 + %d) %% 17 - 8 AS DOUBLE) / 64 "
+                  "ELSE CAST((j * 11 + layer * 3 + %d) %% 9 - 4 AS DOUBLE) / 64 END AS w FROM sums JOIN offsets USING (layer), size"
+                  % (SCORING_SEED, SCORING_SEED)),
+    ]
+    return {
+        "train_step_fixed": q(ctes, f"""SELECT param, gradient, w - {STEP_RATE} * gradient / (sqrt(gradient * gradient) + 1e-8) AS weight
+FROM grads""", [("param", "l"), ("gradient", "d"), ("weight", "d")]),
+        "split_counts": q(_feature_ctes(), f"SELECT {_is_val()} AS is_val, count(*) AS rows, count(DISTINCT day) AS days FROM feat GROUP BY 1",
+                          [("is_val", "b"), ("rows", "l"), ("days", "l")]),
+        "latent_codes": q(_scoring_ctes(), "SELECT LCLid, day, z[1] AS z0, z[2] AS z1 FROM s2",
+                          [("LCLid", "s"), ("day", "s"), ("z0", "d"), ("z1", "d")]),
+    }
+
+
 def _scoring_stage() -> dict[str, str]:
     ctes = _scoring_ctes()
     return {
@@ -458,6 +514,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_second_stage())
     out.update(_features_stage())
     out.update(_scoring_stage())
+    out.update(_training_stage())
     # the streaming key scores the same rows with the same (frozen) statistics
     out["stream_anomaly_slots"] = out["anomaly_slots"]
     return out

@@ -246,6 +246,35 @@ def reconstruction_error(spark, sf_dir):
     return M.reconstruction_error(scored_table(spark, sf_dir))
 
 
+STEP_RATE = 0.01
+
+
+def train_step_fixed(spark, sf_dir):
+    """One full training step (M4) from the rule weights: gradient and new
+    weight of every parameter."""
+    f = feature_table(spark, sf_dir)
+    cfg = M.infer_dims(f, M.AEConfig(learning_rate=STEP_RATE))
+    vec = M.rule_params(cfg, FIXED_WEIGHT_SEED)
+    grad, new = M.full_step(f, vec, cfg)
+    return spark.createDataFrame([(i, float(g), float(w)) for i, (g, w) in enumerate(zip(grad, new))],
+                                 "param long, gradient double, weight double")
+
+
+def split_counts(spark, sf_dir):
+    """M1: rows and days of the training and the validation part."""
+    cfg = M.AEConfig()
+    return (feature_table(spark, sf_dir).groupBy(M.split_flag(cfg.seed, cfg.val_fraction).alias("is_val"))
+            .agg(F.count("*").alias("rows"), F.count_distinct("day").alias("days")))
+
+
+def latent_codes(spark, sf_dir):
+    """M3: the latent code of every household-day under the rule weights."""
+    f = feature_table(spark, sf_dir)
+    cfg = M.infer_dims(f, M.AEConfig())
+    z = M.encode_column(f, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg)
+    return z.select("LCLid", "day", F.col("code")[0].alias("z0"), F.col("code")[1].alias("z1"))
+
+
 def _train(spark, sf_dir, unconditional: bool):
     f = feature_table(spark, sf_dir)          # stored Parquet: lineage already cut
     if unconditional:
@@ -340,6 +369,9 @@ RAW: dict[str, Builder] = {
     "anomaly_slots": anomaly_slots,
     "reconstruction_error": reconstruction_error,
     "stream_anomaly_slots": stream_anomaly_slots,
+    "train_step_fixed": train_step_fixed,
+    "split_counts": split_counts,
+    "latent_codes": latent_codes,
     "train_autoencoder": train_autoencoder,
     "train_autoencoder_unconditional": train_autoencoder_unconditional,
 }

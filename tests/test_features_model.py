@@ -135,3 +135,26 @@ def test_text_weekend_and_year_label(spark):                     # C19, C22
     f = {r.LCLid: r.cond[7:9] for r in FE.build_features(df).collect()}
     assert f == {"A": [0.0, 1.0], "B": [1.0, 0.0]}
     assert year_label([2011, 2012]) == "2011, 2012" and year_label([]) == "All"
+
+
+def test_training_does_not_depend_on_partitioning(spark, sources):
+    """Equal weights for 1, 4 and 16 input partitions, in both modes; the
+    schedule's rate of an epoch is set before that epoch."""
+    rng = np.random.default_rng(3)
+    rows = [(f"MAC{i % 40:06d}", f"2012-{1 + i % 12:02d}-{1 + i % 28:02d}", rng.random(6).tolist(), rng.random(3).tolist()) for i in range(700)]
+    f = spark.createDataFrame(rows, "LCLid string, day string, reading array<double>, cond array<double>")
+    for mode in ("local", "full"):
+        cfg = M.AEConfig(hidden_dim=4, encoding_dim=2, epochs=3, mode=mode, batch_size=16, shards=5, learning_rate=0.01)
+        runs = [M.train(f.repartition(n), cfg, checkpoint=False) for n in (1, 4, 16)]
+        for vec, _, hist in runs[1:]:
+            assert np.allclose(vec, runs[0][0], rtol=0, atol=1e-12)
+            assert [h["epoch"] for h in hist] == [1, 2, 3]
+        assert runs[0][2][-1]["val_loss"] < runs[0][2][0]["val_loss"]
+    flat = M.AEConfig(hidden_dim=4, epochs=6, mode="full", learning_rate=1e-9, lr_patience=1, patience=9)
+    rates = [h["lr"] for h in M.train(f, flat, checkpoint=False)[2]]
+    assert rates == [1e-9] * 3 + [5e-10] * 2 + [2.5e-10]
+
+
+def test_model_path_tells_group_years_and_code():
+    paths = {M.model_path("/m/", g, y, M.AEConfig(encoding_dim=e)) for g in ("A", "B") for y in (None, (2011, 2012), (2011, 2013)) for e in (2, 3)}
+    assert len(paths) == 12 and "/m/A_2011_2012_code2" in paths
