@@ -331,6 +331,7 @@ def _micro(list_expr: str) -> str:
             f"lambda x: CAST(CAST(round(x * 1000000.0) AS BIGINT) AS VARCHAR)), '|')")
 
 
+GROUPS = ("Adversity", "Affluent", "Comfortable")
 INNER_GROUP, INNER_YEARS = "Affluent", (1996, 1998)     # another group, an inner range
 
 
@@ -354,7 +355,7 @@ FROM pbase AS b LEFT JOIN hol ON b.dt = hol.hd LEFT JOIN wd ON b.dt = wd.dt"""),
     ]
 
 
-def _feature_ctes() -> list[tuple[str, str]]:
+def _feature_ctes(group: str = PROFILE_GROUP) -> list[tuple[str, str]]:
     def z(c: str) -> str:
         return (f"CASE WHEN zs.{c}_sd < 1e-7 THEN coalesce({c}, zs.{c}_m) - zs.{c}_mf "
                 f"ELSE (coalesce({c}, zs.{c}_m) - zs.{c}_mf) / zs.{c}_sd END")
@@ -362,7 +363,7 @@ def _feature_ctes() -> list[tuple[str, str]]:
     def onehot(idx: str, n: int) -> str:
         return (f"list_transform(range({n}), lambda i: CASE WHEN i = least(greatest({idx}, 0), {n - 1}) "
                 f"THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")
-    return _profile_ctes() + [
+    return _profile_ctes(group) + [
         ("modal", """SELECT n FROM (SELECT len(hh) AS n, count(*) AS c FROM prof GROUP BY 1) AS t
 ORDER BY c DESC, n ASC LIMIT 1"""),
         ("dw", "SELECT min(day_of_week) AS mn, max(day_of_week) AS mx FROM prof"),
@@ -415,10 +416,10 @@ def _b(layer: int, j: str) -> str:
     return f"(CAST(((({j}) * 11 + {layer * 3 + SCORING_SEED}) % 9) - 4 AS DOUBLE) / 64)"
 
 
-def _scoring_ctes() -> list[tuple[str, str]]:
+def _scoring_ctes(group: str = PROFILE_GROUP) -> list[tuple[str, str]]:
     """The forward pass [x, c] -> 8 -> ReLU -> 2; [z, c] -> 8 -> ReLU -> x
     with rule weights, as list dot products."""
-    return _feature_ctes() + [
+    return _feature_ctes(group) + [
         ("s1", f"""SELECT LCLid, day, reading, cond,
        list_transform(range(8), lambda j: greatest(list_dot_product(list_concat(reading, cond),
            list_transform(range(len(reading) + len(cond)), lambda i: {_w(1, 'i', 'j')})) + {_b(1, 'j')},
@@ -447,6 +448,12 @@ def _is_val() -> str:
     return f"({value}) < {round(SPLIT_SHARE * 65536)}"
 
 
+def _by_group(group: str) -> str:
+    ctes = ",\n".join(f"{name} AS ({body})" for name, body in _scoring_ctes(group))
+    return (f"SELECT * FROM (WITH {ctes} SELECT '{group}' AS acorn_group, "
+            "sum((actual - recon) * (actual - recon)) / count(*) AS mse FROM slots)")
+
+
 def _training_stage() -> dict[str, str]:
     """One step from the rule weights by backpropagation over lists: forward
     values, the deltas of the four layers, then a sum per parameter."""
@@ -488,6 +495,14 @@ def _training_stage() -> dict[str, str]:
 FROM grads""", [("param", "l"), ("gradient", "d"), ("weight", "d")]),
         "split_counts": q(_feature_ctes(), f"SELECT {_is_val()} AS is_val, count(*) AS rows, count(DISTINCT day) AS days FROM feat GROUP BY 1",
                           [("is_val", "b"), ("rows", "l"), ("days", "l")]),
+        "reconstruction_by_group": q([], " UNION ALL ".join(map(_by_group, GROUPS)), [("acorn_group", "s"), ("mse", "d")]),
+        "list_codec": q([("r", "SELECT LCLid, day, [" + ", ".join(f"hh_{i}" for i in range(48)) + "] AS l FROM half_hourly")],
+                        "SELECT LCLid, day, array_to_string(list_transform(l, lambda x: coalesce(CAST(x AS VARCHAR), 'None')), '|') AS text, "
+                        "list_count(l) AS n, coalesce(list_sum(l), 0) AS total FROM r",
+                        [("LCLid", "s"), ("day", "s"), ("text", "s"), ("n", "l"), ("total", "d")]),
+        "weekend_text": q(_profile_ctes(), "SELECT LCLid, day, CASE WHEN is_weekend THEN 'True' ELSE 'False' END AS is_weekend, "
+                          "CAST(is_weekend AS INTEGER) AS weekend FROM prof",
+                          [("LCLid", "s"), ("day", "s"), ("is_weekend", "s"), ("weekend", "i")]),
         "latent_codes": q(_scoring_ctes(), "SELECT LCLid, day, z[1] AS z0, z[2] AS z1 FROM s2",
                           [("LCLid", "s"), ("day", "s"), ("z0", "d"), ("z1", "d")]),
     }

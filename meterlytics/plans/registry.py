@@ -37,6 +37,7 @@ from ..session import path_exists, ship_package
 from ..sources.store import ResultStore
 from ..streaming import scoring as ST
 from . import oracle as O
+from . import pipeline as PL
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -163,35 +164,20 @@ def distinct_filters(spark, sf_dir):
 
 # ---------------------------------------------------------------- profiles / features
 
-def profile_tag(group: str, years: tuple[int, int], strict: bool = False, align: bool = False) -> str:
-    """Stored name of a profile table: every argument that changes its rows."""
-    return f"{group}_{years[0]}_{years[1]}{'_strict' if strict else ''}{'_aligned' if align else ''}"
-
-
-_TAG = profile_tag(O.PROFILE_GROUP, O.PROFILE_YEARS)
+_TAG = PL.profile_tag(O.PROFILE_GROUP, O.PROFILE_YEARS)
 
 
 def profile_table(group: str, years: tuple[int, int], strict: bool = False, align: bool = False) -> Builder:
-    """S10 read-through: the profile rows of any group and year range, built
-    once per source fingerprint and read from the store afterwards."""
-    def build(spark, sf_dir):
-        s = src(spark, sf_dir)
-        return PR.daily_profiles(s.half_hourly, s.households, s.holidays, s.weather_daily, group, years, strict=strict,
-                                 align=align, households_rows=s.row_count("households"),
-                                 holiday_rows=s.row_count("holidays"), weather_rows=s.row_count("weather_daily"))
-    return stored(f"profiles_{profile_tag(group, years, strict, align)}", build)
+    def run(spark, sf_dir):
+        return PL.acorn_profiles(src(spark, sf_dir), store(spark, sf_dir), group, years, strict, align)
+    return run
 
 
 profiles = profile_table(O.PROFILE_GROUP, O.PROFILE_YEARS)
 
 
-def _features(spark, sf_dir):
-    # built from the stored profile table, so the three global statistics of
-    # build_features scan Parquet instead of re-running the profile join
-    return FE.build_features(profiles(spark, sf_dir))
-
-
-feature_table = stored(f"features_{_TAG}", _features)
+def feature_table(spark, sf_dir, group: str = O.PROFILE_GROUP, years: tuple[int, int] = O.PROFILE_YEARS):
+    return PL.feature_table(src(spark, sf_dir), store(spark, sf_dir), group, years)
 
 
 def _profile_rows(p: DataFrame) -> DataFrame:
@@ -246,6 +232,32 @@ def reconstruction_error(spark, sf_dir):
     return M.reconstruction_error(scored_table(spark, sf_dir))
 
 
+def reconstruction_by_group(spark, sf_dir):
+    """M8: the error of every group's rows under the rule weights."""
+    parts = []
+    for group in O.GROUPS:
+        f = feature_table(spark, sf_dir, group)
+        cfg = M.infer_dims(f, M.AEConfig())
+        scored = M.reconstruct(f, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg)
+        parts.append(M.reconstruction_error(scored).select(F.lit(group).alias("acorn_group"), "mse"))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def list_codec(spark, sf_dir):
+    """V1, V2: the 48 readings as text and back, over all half-hourly rows."""
+    raw = F.array(*[F.col(f"hh_{i}") for i in range(48)])
+    back = FE.decode_list("text")
+    return (src(spark, sf_dir).half_hourly.select("LCLid", "day", FE.encode_list(raw).alias("text"))
+            .select("LCLid", "day", "text", F.size(back).cast("long").alias("n"),
+                    F.aggregate(back, F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+def weekend_text(spark, sf_dir):
+    """The weekend index from a flag that arrives as text."""
+    p = profiles(spark, sf_dir).select("LCLid", "day", F.initcap(F.col("is_weekend").cast("string")).alias("is_weekend"))
+    return p.select("LCLid", "day", "is_weekend", FE.weekend_index(p).alias("weekend"))
+
+
 STEP_RATE = 0.01
 
 
@@ -369,6 +381,9 @@ RAW: dict[str, Builder] = {
     "anomaly_slots": anomaly_slots,
     "reconstruction_error": reconstruction_error,
     "stream_anomaly_slots": stream_anomaly_slots,
+    "reconstruction_by_group": reconstruction_by_group,
+    "list_codec": list_codec,
+    "weekend_text": weekend_text,
     "train_step_fixed": train_step_fixed,
     "split_counts": split_counts,
     "latent_codes": latent_codes,

@@ -158,3 +158,22 @@ def test_training_does_not_depend_on_partitioning(spark, sources):
 def test_model_path_tells_group_years_and_code():
     paths = {M.model_path("/m/", g, y, M.AEConfig(encoding_dim=e)) for g in ("A", "B") for y in (None, (2011, 2012), (2011, 2013)) for e in (2, 3)}
     assert len(paths) == 12 and "/m/A_2011_2012_code2" in paths
+
+
+def test_run_pipeline_for_group_and_years(spark, sources, scratch):
+    from meterlytics.plans import pipeline as PL
+    from meterlytics.sources.store import ResultStore
+    store = ResultStore(spark, scratch + "/store")
+    cfg = M.AEConfig(epochs=2, shards=4)
+    a = PL.run_pipeline(spark, sources, store, "Affluent", (1996, 1997), cfg)
+    assert len(a.history) == 2 and a.mse > 0 and a.model.endswith("Affluent_1996_1997_code2")
+    b = PL.run_pipeline(spark, sources, store, "Affluent", (1996, 1997), cfg)
+    assert b.history == [] and np.array_equal(a.params, b.params)
+    c = PL.run_pipeline(spark, sources, store, "Affluent", (1996, 1998), cfg)
+    assert c.model != a.model and c.scored.count() > a.scored.count()
+    again = PL.run_pipeline(spark, sources, store, "Affluent", (1996, 1997), cfg, force_retrain=True)
+    assert len(again.history) == 2
+    names = store.list()
+    assert {"profiles_Affluent_1996_1997", "features_Affluent_1996_1998", "models"} <= set(names)
+    p = PL.acorn_profiles(sources, store, "Affluent", (1996, 1997), strict=True)
+    assert 0 < p.count() < PL.acorn_profiles(sources, store, "Affluent", (1996, 1997)).count()
