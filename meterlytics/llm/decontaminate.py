@@ -50,7 +50,8 @@ NEAR, SAME, PARAPHRASE = 0.48, 0.75, 0.55
 ANSWER, FEW = 6, 8
 COMMON = 0.25            # words in a larger share of the passages carry no meaning
 ITEMS = 512
-SLICE = 4 << 20
+SLICE = 2 << 20
+WINDOWS, CANDIDATES = 8192, 4096        # compared at a time
 
 #: bytes that part words: all of ASCII but letters and digits
 _PART = np.zeros(256, bool)
@@ -164,7 +165,7 @@ def _passages(words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, int]:
 def _frequencies(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(n, np.int64), 0
-        for _, words, off in _groups(batches, 0):
+        for _, words, off in _groups(batches, 0, 1 << 18):
             passage, count = _passages(words, off)
             live = words >= 0
             pairs = np.unique(passage[live] * n + words[live])
@@ -249,7 +250,7 @@ def _search(shared):
         weighted, vectors = weighted.astype(np.float32), vectors.astype(np.float32)
         member = (items.times > 0).astype(np.uint16)
         useful = np.abs(weighted).sum(axis=1) > 0
-        for b, words, off in _groups(batches, 1, 1 << 19):
+        for b, words, off in _groups(batches, 1, 1 << 17):
             best: dict[tuple[int, int], tuple] = {}
             units = -(-np.diff(off) // UNIT)
             base = np.cumsum(units) - units
@@ -277,8 +278,8 @@ def _search(shared):
                 margin = size // 4 + UNIT
                 first = np.maximum(off[d], off[d] + (s - base[d]) * UNIT - margin)
                 last = np.minimum(off[d + 1], off[d] + (e - base[d]) * UNIT + margin)
-                for lo in range(0, len(d), 65_536):
-                    w = _unit((sums[e[lo:lo + 65_536]] - sums[s[lo:lo + 65_536]]).astype(np.float32))
+                for lo in range(0, len(d), WINDOWS):
+                    w = _unit((sums[e[lo:lo + WINDOWS]] - sums[s[lo:lo + WINDOWS]]).astype(np.float32))
                     cos = w @ vectors[pick].T
                     row, col = np.nonzero(cos >= NEAR)
                     piece, begin, end = pick[col], before[first[lo + row]], before[last[lo + row]]
@@ -310,8 +311,8 @@ def _enough(items: Items, piece: np.ndarray, known: np.ndarray, lo: np.ndarray,
     kept = np.flatnonzero(hi - lo >= items.need[piece])
     n = items.times.shape[1]
     out = []
-    for a in range(0, len(kept), 20_000):
-        c = kept[a:a + 20_000]
+    for a in range(0, len(kept), CANDIDATES):
+        c = kept[a:a + CANDIDATES]
         length = (hi - lo)[c]
         owner = np.repeat(np.arange(len(c)), length)
         word = known[np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(lo[c], length)]

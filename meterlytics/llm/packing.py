@@ -43,8 +43,8 @@ END_ID = 1
 VOCAB = "word_bpe_49k.json"
 GROUP_DOCS = 512
 STEP_SEQUENCES = 8
-SLICE = 8 << 20
-CACHE_WORDS = 600_000
+SLICE = 4 << 20
+CACHE_WORDS = 400_000
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_id long"
 
@@ -55,15 +55,16 @@ def vocab_path(name: str = VOCAB) -> str:
 
 
 class _Ids:
-    """An array of ids that grows at its end."""
+    """An array of small numbers that grows at its end."""
 
-    def __init__(self):
+    def __init__(self, *first: int):
         self.data, self.size = np.zeros(1 << 16, np.uint32), 0
+        self.add(np.array(first, np.uint32))
 
     def add(self, ids: np.ndarray) -> None:
         end = self.size + len(ids)
         if end > len(self.data):
-            self.data = np.concatenate([self.data, np.zeros(max(end, len(self.data)), np.uint32)])
+            self.data = np.concatenate([self.data, np.zeros(max(end - len(self.data), len(self.data) // 2), np.uint32)])
         self.data[self.size:end] = ids
         self.size = end
 
@@ -92,15 +93,13 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.first, self.count, self.flat = [0], [1], _Ids()      # word 0: the end
-        self.flat.add(np.array([END_ID], np.uint32))
-        self.arrays = None
+        self.first, self.count, self.flat = _Ids(0), _Ids(1), _Ids(END_ID)      # word 0: the end
 
     def _store(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        at = len(self.first)
+        at = self.first.size
         self.index.update(zip(words, range(at, at + len(words))))
-        self.first.extend((self.flat.size + np.cumsum(counts) - counts).tolist())
-        self.count.extend(counts.tolist())
+        self.first.add(self.flat.size + np.cumsum(counts) - counts)
+        self.count.add(counts)
         self.flat.add(ids)
 
     def _encode(self, text: str) -> np.ndarray:
@@ -148,15 +147,12 @@ class WordTokenizer:
         new = [w for w in words if w not in self.index]
         if new:
             self._learn(new)
-            self.arrays = None
-        if self.arrays is None:
-            self.arrays = (np.array(self.first), np.array(self.count), self.flat.array())
-        first, count, flat = self.arrays
+        first, count, flat = self.first.array(), self.count.array(), self.flat.array()
         here = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         of_doc = parts.offsets.to_numpy()
         seq = here[chunks.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         seq = np.insert(seq, of_doc[1:], 0)
-        n = count[seq]
+        n = count[seq].astype(np.int64)
         stop = np.cumsum(n)
         ids = flat[np.repeat(first[seq] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
         last = of_doc[1:] + np.arange(len(off) - 1)
