@@ -4,7 +4,8 @@
    numbered by the vocabulary of the benchmark items; other words keep only
    their place. This compact table is written once and read by all passes.
 2. Document passages (``PASSAGE`` words) give the document frequencies of the
-   vocabulary, over all documents.
+   vocabulary, over all documents. The smooth idf of a word in every passage
+   is 1, so items of common words keep a vector, whatever the table's size.
 3. A randomised SVD of the TF-IDF matrix ``A`` of all passages finds the latent
    space in one pass: ``Y = A'(A W)`` for a random ``W`` is summed over
    partitions (a few numbers per word, whatever the number of documents), and
@@ -48,7 +49,7 @@ PASSAGE, UNIT = 32, 8
 SIZES = (16, 24, 32, 48, 64)
 NEAR, SAME, PARAPHRASE = 0.48, 0.75, 0.55
 ANSWER, FEW = 6, 8
-COMMON = 0.25            # words in a larger share of the passages carry no meaning
+COMMON = 1.0             # no word is left out, however many passages hold it: the smooth idf stays above 0
 ITEMS = 512
 SLICE = 2 << 20
 WINDOWS, CANDIDATES = 8192, 4096        # compared at a time
@@ -185,7 +186,6 @@ def _sums(shared):
         for _, words, off in _groups(batches, 0, 1 << 18):
             passage, _ = _passages(words, off)
             live = np.flatnonzero(words >= 0)
-            live = live[idf[words[live]] > 0]
             if not len(live):
                 continue
             ids, passage = words[live], passage[live]
@@ -220,7 +220,7 @@ def latent_space(numbered: DataFrame, n: int, rank: int = RANK, seed: int = 5) -
     df = np.zeros(n)
     for r in stats.select(F.posexplode("df").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect():
         df[r["i"]] = r["c"]
-    idf = np.where(df > COMMON * max(total, 1), 0.0, np.log((total + 1) / (df + 1)) + 1)
+    idf = np.log((total + 1) / (df + 1)) + 1
     width = min(rank + OVERSAMPLE, n)
     w = np.random.default_rng(seed).standard_normal((n, width))
     y = _add(words.mapInArrow(_sums(sc.broadcast((idf, w))), "i int, row array<double>"), n, width)

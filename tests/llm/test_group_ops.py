@@ -311,6 +311,20 @@ def test_paraphrases_and_odd_rows(spark):
     assert decontaminate.find_leaks(d.limit(0), bench).collect() == []
 
 
+def test_common_words_do_not_hide_leaks(spark):
+    """One document, and copies in a third of the rows: their words are in more than a quarter of the passages."""
+    rng = random.Random(6)
+    items = [" ".join(f"k{k}x{rng.randrange(400)}" for _ in range(30)) for k in range(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for n in (1, 2, 3):
+        few = spark.createDataFrame([(i, items[i]) for i in range(n)], "doc_id long, text string")
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(few, bench).collect()) == [(i, i) for i in range(n)]
+    rows = [(i, items[0] if i % 3 == 0 else " ".join(f"z{rng.randrange(900)}" for _ in range(25))) for i in range(60)]
+    rows[1] = (1, rows[1][1] + " " + items[2])
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(i, 0) for i in range(0, 60, 3)] + [(1, 2)])
+
+
 # ---- tool calls -------------------------------------------------------------------
 
 CALLS = "conv_id long, call_id string, seq long, name string, arguments map<string,string>, needs array<string>, level string"
