@@ -12,7 +12,8 @@
    the singular vectors of ``Y L'^-1`` with ``L L' = W'Y`` (the Nystroem form)
    are the leading right singular vectors of ``A``.
 4. Windows of ``SIZES`` words with half overlaps are folded in and compared with
-   the items of their size; pairs of cosine ``NEAR`` or more are candidates.
+   the items of their size; pairs of cosine ``NEAR`` or more are candidates (low:
+   false candidates cost little, paraphrases below it would be lost).
    Those whose words around the window hold too few of the item's words for
    step 5 go (the words in common bound the subsequence from above).
 5. A candidate is confirmed by the longest common subsequence of the item and
@@ -44,10 +45,10 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, cut, prepare, slices, text_buffers
 from .ngram_join import word_bounds, word_hashes
 
-RANK, OVERSAMPLE = 48, 16
+RANK, OVERSAMPLE = 64, 8
 PASSAGE, UNIT = 32, 8
 SIZES = (16, 24, 32, 48, 64)
-NEAR, SAME, PARAPHRASE = 0.48, 0.75, 0.55
+NEAR, SAME, PARAPHRASE = 0.2, 0.75, 0.55
 ANSWER, FEW = 6, 8
 COMMON = 1.0             # no word is left out, however many passages hold it: the smooth idf stays above 0
 ITEMS = 512

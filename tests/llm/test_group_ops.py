@@ -325,6 +325,36 @@ def test_common_words_do_not_hide_leaks(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(i, 0) for i in range(0, 60, 3)] + [(1, 2)])
 
 
+def test_paraphrases_of_low_cosine_are_found(spark):
+    """44% of the words replaced, the last six left: every one the rule of step 5 admits is found."""
+    rng, sf = random.Random(3), SF.replace("0.001", "0.01")
+    word = re.compile(r"[A-Za-z0-9]+")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    items = [(r["item_id"], word.findall(r["text"].lower()), r["text"]) for r in bench.collect()]
+    vocab = sorted({w for _, ws, _ in items for w in ws})
+    filler = [r["text"].split() for r in docs.orderBy("doc_id").limit(100).collect()]
+    rows, want = [], set()
+    for kind in range(4):
+        for item, ws, text in items:
+            if len(ws) < 16 or len(ws) > 64:
+                continue
+            w = list(ws)
+            for x in rng.sample(range(len(w) - 6), min(int(0.44 * len(w)), len(w) - 6)):
+                w[x] = f"zzq{x}" if kind % 2 else rng.choice(vocab)
+            key, f = 10**9 + len(rows), filler[len(rows) % len(filler)]
+            rows.append((key, " ".join(f[:60] + w + f[60:120])))
+            one = decontaminate.Items([(item, text)])
+            number = {h: i for i, h in enumerate(one.vocab.tolist())}
+            h, _ = decontaminate.words_of(pa.array([" ".join(w)]))
+            if decontaminate._confirm(one, 0, np.array([number.get(x, -1) for x in h.tolist()])):
+                want.add((key, item))
+    table = docs.union(spark.createDataFrame(rows, docs.schema))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, bench).collect()}
+    lost = want - got
+    assert len(want) > 40 and not lost, (len(want), len(lost))
+
+
 # ---- tool calls -------------------------------------------------------------------
 
 CALLS = "conv_id long, call_id string, seq long, name string, arguments map<string,string>, needs array<string>, level string"
