@@ -8,16 +8,18 @@ symbol is sought in the longest context first. A context with total ``T`` and
 excluded, down to a uniform order -1. An unseen context passes on without cost.
 As the symbols of a context are among those of every shorter one, what
 exclusion leaves depends on the context alone; it is worked out once per model.
-The trie is kept as sorted arrays by order. A slice of texts looks up each of
-its distinct (context, symbol) cells once, and the code length of a document
-accumulates over its bytes and its end mark.
+The trie is kept as sorted arrays by order, dealt to parts by the last symbols
+of the context. A slice of texts looks up each of its distinct (context,
+symbol) cells once, and the code length of a document accumulates over its
+bytes and its end mark.
 
 Symbols are 6 bits: 0 marks start and end, 1 to 62 are the most frequent bytes
 of the training texts, 63 stands for any other byte, which is then coded by its
-own frequency. All counts are exact. The trie that is broadcast is pruned to
-the cells of at least ``least`` occurrences, the smallest number that leaves no
-more than ``MODEL_CELLS`` of the longest ones (a parameter of the model's size;
-1 until the corpus has more).
+own frequency. All counts are exact, and no cell is left out: the most frequent
+cells, at most ``MODEL_CELLS``, are broadcast with their code lengths; tokens of
+all other cells go to the part that holds their contexts, where the code length
+is worked out from all counts, and come back as sums per document. What is
+broadcast changes the way, not the score.
 
 The base score needs counts of words, whose number grows with the corpus: word
 counts are dealt by hash to buckets. Words of at least ``N / FREQUENT`` tokens,
@@ -45,7 +47,7 @@ from .common import ASCII_LOWER, cut, prepare, remainder, slices, text_buffers
 from .ngram_join import word_bounds, word_hashes
 
 ORDER = 5
-SHORT = 2                    # contexts up to here are kept whole (64 ** 3 cells)
+SHORT = 2                    # contexts up to here are known to all parts (64 ** 3 cells)
 SYMBOLS = 64
 MODEL_CELLS = 2_000_000
 FREQUENT = 1_000_000
@@ -181,13 +183,14 @@ def _words(part: pa.Array):
     return raw, off, (word_hashes(data, start, end) if len(start) else np.zeros(0, np.uint64)), doc
 
 
-def _cell_part(u: np.ndarray) -> np.ndarray:
-    """Part of a cell by its last symbols, so that the shorter contexts of all
-    cells of a part are counted there."""
-    return (u & np.uint64((1 << 6 * (SHORT + 1)) - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 6)
+def _cell_part(u: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a cell by the last symbols of its context, so that a part holds
+    all cells of its contexts of more than ``SHORT`` symbols."""
+    h = (u >> np.uint64(6) & np.uint64((1 << 6 * (SHORT + 1)) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _count(symbol: np.ndarray, buckets: int):
+def _count(symbol: np.ndarray, buckets: int, parts: int):
     """Word (kind 0) and cell (kind 1) counts of a partition, as blobs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -201,9 +204,9 @@ def _count(symbol: np.ndarray, buckets: int):
                 yield _blobs(0, u, c, np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1)))
         if held:
             u, c = _sum(held)
-            where = _cell_part(u)
+            where = _cell_part(u, parts)
             order = np.argsort(where, kind="stable")
-            yield _blobs(1, u[order], c[order], np.searchsorted(where[order], np.arange(PARTS + 1)))
+            yield _blobs(1, u[order], c[order], np.searchsorted(where[order], np.arange(parts + 1)))
     return run
 
 
@@ -230,18 +233,35 @@ def _merge(table: pa.Table) -> pa.Table:
 STEPS = 4096
 
 
-def _pruned(least: int):
-    """Cells of all orders of a part, from ``SHORT`` on, of ``least`` or more
-    occurrences (the shortest whole)."""
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the contexts of ``SHORT`` symbols in a partition's parts."""
+    u, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for b in batches:
+        for blob in b.column(0).to_pylist():
+            u, c = _sum([(u, c), shorter(*_read_pairs(blob), SHORT)])
+    yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c)], names=["cell", "n"])
+
+
+def _part_trie(low: list, u: np.ndarray, c: np.ndarray) -> Trie:
+    """The trie for the cells of a part, from its counts and the short contexts."""
+    levels = {ORDER: (u, c.astype(np.int64))}
+    for k in range(ORDER - 1, SHORT, -1):
+        levels[k] = shorter(*levels[k + 1], k)
+    both = list(low) + [levels[k] for k in range(SHORT + 1, ORDER + 1)]
+    return Trie([x[0] for x in both], [x[1] for x in both])
+
+
+def _frequent(low, least: int):
+    """Cells of at least ``least`` occurrences and their log10 probabilities."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column(0).to_pylist():
                 u, c = _read_pairs(blob)
-                for k in range(ORDER, SHORT - 1, -1):
-                    u, c = shorter(u, c, k)
-                    keep = c >= (least if k > SHORT else 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pairs(u[keep], c[keep])], pa.binary())],
-                                                     names=["order", "blob"])
+                big = u[c >= least]
+                if len(big):
+                    value = _part_trie(low.value, u, c).logs(big)
+                    yield pa.RecordBatch.from_arrays([pa.array([big.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())],
+                                                     names=["cells", "logs"])
     return run
 
 
@@ -265,8 +285,7 @@ class _Model:
     """Tables of a worker process, built once from the broadcast counts."""
 
     def __init__(self, shared):
-        self.symbol, self.inner, self.words, self.counts, cells, counts, size = shared
-        self.trie = Trie(cells, counts)
+        self.symbol, self.inner, self.words, self.counts, self.cells, self.logs, size = shared
         self.value = np.log10((self.counts + 1.0) / size)
         self.unknown = np.log10(1.0 / size)
 
@@ -278,21 +297,34 @@ class _Model:
             _MODEL["id"] = broadcast.value[0]
         return _MODEL["model"]
 
-    def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
+    def scores(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text by the frequent cells; the other
+        cells, a row each, and their texts."""
         cell, at = gram_index(raw, off, self.symbol)
         u, inv = np.unique(cell, return_inverse=True)
-        out = np.add.reduceat(self.trie.logs(u)[inv], at[:-1]) if len(at) > 1 else np.zeros(0)
+        where, often = _find(self.cells, u)
+        value = np.zeros(len(u))
+        value[often] = self.logs[where[often]]
+        out = np.add.reduceat(value[inv], at[:-1]) if len(at) > 1 else np.zeros(0)
         rare = np.flatnonzero(self.symbol[raw] == RARE)
         if len(rare):
             doc = np.searchsorted(off, rare, side="right") - 1
             out += np.bincount(doc, self.inner[raw[rare]], len(out))
-        return out
+        rest = np.flatnonzero(~often[inv])
+        return out, cell[rest], np.searchsorted(at, rest, side="right") - 1
+
 
+def _tokens(base: int, doc: np.ndarray, value: np.ndarray, where: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Blobs by part: base of the row numbers, then row and value per token."""
+    order = np.argsort(where.astype(np.uint32), kind="stable")
+    cut_at = np.searchsorted(where[order], np.arange(parts + 1))
+    return [(k, np.array([base], np.uint64).tobytes() + doc[order[x:y]].astype(np.uint16).tobytes() + value[order[x:y]].tobytes())
+            for k, (x, y) in enumerate(zip(cut_at[:-1], cut_at[1:])) if y > x]
 
-def _score(shared, buckets: int):
-    """A row per document (part -1) and the tokens of infrequent words as
-    blobs by bucket: base of the row numbers, then row and hash per token."""
+
+def _score(shared, buckets: int, parts: int):
+    """A row per document (part -1) and the tokens of infrequent words, and
+    after these of infrequent cells, as blobs by bucket and part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _Model.of(shared)
         base = TaskContext.get().partitionId() << 40
@@ -309,16 +341,14 @@ def _score(shared, buckets: int):
                     value = np.where(often, m.value[at], m.unknown) if len(m.words) else np.full(len(u), m.unknown)
                     logs = np.bincount(doc, value[inv], n).astype(np.float64)
                     known = np.bincount(doc, often[inv].astype(np.int64), n).astype(np.int64)
+                    score, cells, of = m.scores(raw, off)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(base + np.arange(n)), p.column(0),
                          p.column(1), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(known), pa.array(logs),
-                         pa.array(m.scores(raw, off))], names=names)
+                         pa.array(score)], names=names)
                     rest = np.flatnonzero(~often[inv])
-                    where = _bucket(h[rest], buckets)
-                    rest = rest[np.argsort(where.astype(np.uint32), kind="stable")]
-                    cut_at = np.searchsorted(_bucket(h[rest], buckets), np.arange(buckets + 1))
-                    rows = [(k, np.array([base], np.uint64).tobytes() + doc[rest[x:y]].astype(np.uint16).tobytes()
-                             + h[rest[x:y]].tobytes()) for k, (x, y) in enumerate(zip(cut_at[:-1], cut_at[1:])) if y > x]
+                    rows = _tokens(base, doc[rest], h[rest], _bucket(h[rest], buckets), buckets)
+                    rows += [(buckets + k, x) for k, x in _tokens(base, of, cells, _cell_part(cells, parts), parts)]
                     k = len(rows)
                     if k:
                         yield pa.RecordBatch.from_arrays(
@@ -330,30 +360,51 @@ def _score(shared, buckets: int):
     return run
 
 
+def _read_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of the tokens of all blobs."""
+    row, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for blob in table.column("blob").to_pylist():
+        n = (len(blob) - 8) // 10
+        row.append(np.frombuffer(blob, np.uint64, 1)[0].astype(np.int64) + np.frombuffer(blob, np.uint16, n, 8).astype(np.int64))
+        value.append(np.frombuffer(blob, np.uint64, n, 8 + 2 * n))
+    return np.concatenate(row), np.concatenate(value)
+
+
+def _per_row(row: np.ndarray, value: np.ndarray, groups: int) -> pa.Table:
+    """Sums and numbers of values per row, as blobs by group of rows."""
+    r, inv = np.unique(row, return_inverse=True)
+    logs, known = np.bincount(inv, value, len(r)), np.bincount(inv, minlength=len(r))
+    group = (r // 4096) % groups
+    order = np.argsort(group, kind="stable")
+    r, logs, known, group = r[order], logs[order], known[order], group[order]
+    cut_at = np.searchsorted(group, np.arange(groups + 1))
+    out = [(g, r[a:b].tobytes() + logs[a:b].tobytes() + known[a:b].astype(np.int64).tobytes())
+           for g, (a, b) in enumerate(zip(cut_at[:-1], cut_at[1:])) if b > a]
+    return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
+
+
 def _rare(groups: int):
     """Sums per document over the tokens of a bucket, as blobs by group of rows."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, h = [], []
-        for blob in left.column("blob").to_pylist():
-            n = (len(blob) - 8) // 10
-            row.append(np.frombuffer(blob, np.uint64, 1)[0].astype(np.int64) + np.frombuffer(blob, np.uint16, n, 8).astype(np.int64))
-            h.append(np.frombuffer(blob, np.uint64, n, 8 + 2 * n))
-        out = []
-        if row and right.num_rows:
-            row, h = np.concatenate(row), np.concatenate(h)
-            u, c = _read_pairs(right.column("blob")[0].as_py())
-            at = np.minimum(np.searchsorted(u, h), max(len(u) - 1, 0))
-            hit = u[at] == h
-            row, value = row[hit], np.log10(c[at[hit]] + 1.0)
-            r, inv = np.unique(row, return_inverse=True)
-            logs, known = np.bincount(inv, value, len(r)), np.bincount(inv, minlength=len(r))
-            group = (r // 4096) % groups
-            order = np.argsort(group, kind="stable")
-            r, logs, known, group = r[order], logs[order], known[order], group[order]
-            cut_at = np.searchsorted(group, np.arange(groups + 1))
-            out = [(g, r[a:b].tobytes() + logs[a:b].tobytes() + known[a:b].astype(np.int64).tobytes())
-                   for g, (a, b) in enumerate(zip(cut_at[:-1], cut_at[1:])) if b > a]
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
+        row, h = _read_tokens(left)
+        if not right.num_rows:
+            row, h = row[:0], h[:0]
+        u, c = _read_pairs(right.column("blob")[0].as_py()) if right.num_rows else (h, h)
+        at, hit = _find(u, h)
+        return _per_row(row[hit], np.log10(c[at[hit]] + 1.0), groups)
+    return run
+
+
+def _rare_cells(low, groups: int):
+    """Sums per document over the cells of a part, as blobs by group of rows."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, cell = _read_tokens(left)
+        if not len(row):
+            return _per_row(row, np.zeros(0), groups)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        u, c = _read_pairs(right.column("blob")[0].as_py()) if right.num_rows else none
+        x, inv = np.unique(cell, return_inverse=True)
+        return _per_row(row, _part_trie(low.value, u, c).logs(x)[inv], groups)
     return run
 
 
@@ -382,9 +433,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
         histogram[r["byte"]] = r["n"]
     symbol, inner = symbol_map(histogram)
     buckets = max(BUCKETS, int(histogram.sum() >> 24))
+    parts = min(SYMBOLS ** 2, max(PARTS, buckets))
     texts = train.count()
 
-    blobs = train.mapInArrow(_count(symbol, buckets), "kind int, part int, blob binary")
+    blobs = train.mapInArrow(_count(symbol, buckets, parts), "kind int, part int, blob binary")
     counts = cut(blobs.groupBy("kind", "part").applyInArrow(
         _merge, "kind int, part int, blob binary, total long, kinds long, often array<long>"), "ppm-counts")
     words = counts.where("kind = 0")
@@ -392,42 +444,48 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     total, distinct = tokens + texts, kinds + (1 if texts else 0)          # with the end of every text
     often = words.select("blob").mapInArrow(_most(max(1, -(-tokens // FREQUENT))), "blob binary").collect()
     u, c = _join([_read_pairs(bytes(r["blob"])) for r in often])
-    # the model: at most MODEL_CELLS cells of the longest order, fewer of the others
-    sizes = sum((np.array(r["often"]) for r in counts.where("kind = 1").select("often").collect()), np.zeros(STEPS + 1, np.int64))
+    cells = counts.where("kind = 1")
+    # broadcast: at most MODEL_CELLS cells of the longest order
+    sizes = sum((np.array(r["often"]) for r in cells.select("often").collect()), np.zeros(STEPS + 1, np.int64))
     above = np.cumsum(sizes[::-1])[::-1]
     least = next((k for k in range(1, STEPS + 1) if above[k] <= MODEL_CELLS), STEPS)
     if above[STEPS] > MODEL_CELLS:                        # a corpus beyond the steps: by the share that bounds them
-        least = max(STEPS, -(-int(counts.where("kind = 1").agg(F.sum("total")).first()[0]) // MODEL_CELLS))
-    by_order: dict[int, list] = {k: [] for k in range(ORDER + 1)}
-    for r in counts.where("kind = 1").select("blob").mapInArrow(_pruned(least), "order int, blob binary").collect():
-        by_order[r["order"]].append(_read_pairs(bytes(r["blob"])))
-    levels = {k: _join(by_order[k]) for k in range(SHORT, ORDER + 1)}
+        least = max(STEPS, -(-int(cells.agg(F.sum("total")).first()[0]) // MODEL_CELLS))
+    short = cells.select("blob").mapInArrow(_low, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+    levels = [(short.column("cell").to_numpy().astype(np.uint64), short.column("n").to_numpy())]
     for k in range(SHORT - 1, -1, -1):
-        levels[k] = shorter(*levels[k + 1], k)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, symbol, inner, u, c, [levels[k][0] for k in range(ORDER + 1)],
-                                           [levels[k][1] for k in range(ORDER + 1)], total + distinct + 1.0))
-    del by_order, levels, often
-
-    scored = cut(src.mapInArrow(_score(shared, buckets), f"part int, blob binary, row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, "
+        levels.insert(0, shorter(*levels[0], k))
+    low = spark.sparkContext.broadcast(levels)
+    top = cells.select("blob").mapInArrow(_frequent(low, least), "cells binary, logs binary").collect()
+    known, logs = _join([(np.frombuffer(r["cells"], np.uint64), np.frombuffer(r["logs"], np.float64)) for r in top])
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, symbol, inner, u, c.astype(np.int64), known, logs, total + distinct + 1.0))
+    del top, often
+
+    scored = cut(src.mapInArrow(_score(shared, buckets, parts), f"part int, blob binary, row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, "
                                 "held_out boolean, n_tokens long, n_known long, logs double, score double"), "ppm-scored")
     groups = max(BUCKETS, buckets)
-    rare = (scored.where("part >= 0").select("part", "blob").groupBy("part")
-            .cogroup(words.select("part", "blob").groupBy("part")).applyInArrow(_rare(groups), "part int, blob binary"))
+    rest = scored.where(f"part >= 0 AND part < {buckets}").select("part", "blob")
+    rare = (rest.groupBy("part").cogroup(words.select("part", "blob").groupBy("part"))
+            .applyInArrow(_rare(groups), "part int, blob binary"))
     added = rare.groupBy("part").applyInArrow(_add_up, "row long, more_logs double, more_known long")
+    rest = scored.where(f"part >= {buckets}").select((F.col("part") - buckets).alias("part"), "blob")
+    rare = (rest.groupBy("part").cogroup(cells.select("part", "blob").groupBy("part"))
+            .applyInArrow(_rare_cells(low, groups), "part int, blob binary"))
+    scores = rare.groupBy("part").applyInArrow(_add_up, "row long, more_logs double, more_known long").select("row", F.col("more_logs").alias("more_score"))
     end = float(np.log10((texts + 1.0) / (total + distinct + 1.0)))
-    return (scored.where("part = -1").join(added, "row", "left")
+    return (scored.where("part = -1").join(added, "row", "left").join(scores, "row", "left")
             .select("doc_id", "held_out", "n_tokens",
                     (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + (1 if texts else 0)).alias("n_known"),
                     F.lit(total).cast("long").alias("train_tokens"),
                     (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end).alias("base_score"),
-                    "score"))
+                    (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score")))
 
 
 def _join(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values and counts of all blobs (no value is in two of them)."""
+    """Sorted values and their counts or logs of all blobs (no value is in two of them)."""
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    u, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    u, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(u, kind="stable")
     return u[order], c[order]
 

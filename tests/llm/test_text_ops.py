@@ -302,3 +302,16 @@ def test_base_scores_equal_brute_force(spark, odd, documents):
             assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] < 0 and math.isfinite(g[6])
         assert len(got) == len(want)
     assert ppm.score_documents(odd.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 40])
+def test_scores_equal_brute_force_whatever_is_broadcast(spark, monkeypatch, cells):
+    """The score comes from all counts, also when few cells fit the broadcast table."""
+    monkeypatch.setattr(ppm, "MODEL_CELLS", cells)
+    docs = [(i, TRAIN[i % len(TRAIN)] + f" row {i % 5}") for i in range(30)] + [(30, ""), (31, None), (32, "quite unseen xyzzy")]
+    got = {r["doc_id"]: r for r in ppm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    train = [t or "" for i, t in docs if not got[i]["held_out"]]
+    assert len(got) == len(docs) and 0 < len(train) < len(docs)
+    symbol, inner = ppm.symbol_map(np.bincount(np.frombuffer("".join(train).encode(), np.uint8), minlength=256))
+    for i, text in docs:
+        assert got[i]["score"] == pytest.approx(brute_log10(train, (text or "").lower(), symbol, inner, ppm.ORDER), abs=1e-8)
