@@ -5,10 +5,11 @@ alone: blocks of no content (scripts, styles, forms, comments of the markup)
 are never read; blocks inside page furniture (``nav``, ``header``, ``footer``,
 ``aside``, forms, and elements whose class, id or role names such a part) are
 bad; of the others, link density, length and stop-word density decide: many
-links is bad, long and rich in stop words is good, long and poor is bad, the
-rest is short or near-good. Pass two lets ambiguous blocks inherit from the
-nearest decided neighbours; inside the page's content element (``article``,
-``main``) an ambiguous block has the element itself as its good neighbour.
+links is bad (outside the content element: a title or a reference in it may be
+a link), long and rich in stop words is good, long and poor is bad, the rest is
+short or near-good. Pass two lets ambiguous blocks inherit from the nearest
+decided neighbours; inside the page's content element (``article``, ``main``)
+an ambiguous block has the element itself as its good neighbour.
 
 Defined results: null or empty html gives empty text; markup is read as it
 stands (unclosed tags are closed by their parents or at the end); repeated
@@ -191,7 +192,7 @@ def classify(text: str, b: _Block) -> int:
     if b.bad:
         return BAD
     n = len(text)
-    if b.linked and b.linked > LINKS_HIGH * n and not (b.content and n > SHORT):
+    if b.linked > LINKS_HIGH * n and not b.content:
         return BAD
     words = WORD.findall(text.lower())
     share = sum(w in STOP for w in words) / len(words) if words else 0.0

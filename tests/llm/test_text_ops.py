@@ -191,6 +191,12 @@ def test_short_blocks_inherit_from_neighbours():
     assert html_text.extract(page(f"<div>{bad}<p>Between.</p>{bad}{good}</div>")) == GOOD
 
 
+def test_linked_titles_and_references_of_an_article_stay():
+    body = f"<article><h1><a href=t>Title</a></h1><p>{GOOD}</p><ul><li><a href=r>A reference</a></li></ul><p>See <a href=s>this one</a>.</p></article>"
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    assert html_text.extract(page(menu + body + menu)) == f"Title\n{GOOD}\nA reference\nSee this one."
+
+
 def test_html_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p", "x"), (3, "u", "<p", "x"), (None, "u", "&bogus; <<>>", "x"),
                                    (5, "u", "<article>" + "<p>a b</p>" * 20_000, "x")], "page_id long, url string, html string, text string")
