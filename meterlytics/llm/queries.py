@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, near_vectors, ngram_join, packing, ppm, secrets, tool_calls, toxicity, url_filter
+from . import (collocations, decontaminate, html_text, merkle, near_vectors, ngram_join, packing, ppm, secrets, sharding,
+               tool_calls, toxicity, url_filter)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +16,16 @@ QUERIES = {
     "op8_lm_score": ppm.op8_lm_score,
     "op9_secrets": secrets.op9_secrets,
     "op10_tool_calls": tool_calls.op10_tool_calls,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLE = {
     "op2_ngram_join": ngram_join.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_near_vectors": near_vectors.SQL,
     "op10_tool_calls": tool_calls.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_collocations": collocations.SQL,
 }

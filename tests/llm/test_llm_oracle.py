@@ -27,4 +27,4 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_is_registered(spark):
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
