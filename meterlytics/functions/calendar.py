@@ -155,6 +155,12 @@ def year_range_predicate(day: Column | str, lo: int, hi: int) -> Column:
 
 
 PARTITION_YEAR = "year"   # partition column of the normalised fact tables
+FILE_SLICE, FILE_SLICES = "file_slice", 16   # partition column of tables kept by block file
+
+
+def file_slice(file: Column | str) -> Column:
+    """The slice a block file's rows are stored in."""
+    return F.pmod(F.xxhash64(_c(file)), F.lit(FILE_SLICES)).cast("int")
 
 
 def filter_years(df, years: Sequence[int] | None, day: str = "day"):

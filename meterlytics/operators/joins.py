@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Bytes of the narrow rows that the bound counts in (``Sources.bound``).
+ROW_BYTES = 40
 # Rows of a narrow dimension (date, a few doubles) that we are willing to ship
 # to every executor: 2M rows x ~40 B = ~80 MB at worst.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000

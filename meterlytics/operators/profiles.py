@@ -84,7 +84,11 @@ def daily_profiles(half_hourly: DataFrame, households: DataFrame, holidays: Data
     members = group_files(households, group) if by_file else group_households(households, group, strict)
     facts = cal.filter_year_range(half_hourly, lo, hi)
     if is_bounded(households_rows):
-        selected = facts.join(F.broadcast(members), key, "left_semi")
+        on = [key]
+        if by_file and cal.FILE_SLICE in half_hourly.columns:
+            # folders by slices of the files: the files' slices prune them at run time
+            members, on = members.withColumn(cal.FILE_SLICE, cal.file_slice("file")), [cal.FILE_SLICE, key]
+        selected = facts.join(F.broadcast(members), on, "left_semi")
     else:
         # too many members to broadcast: salted shuffle semi-join, so that one
         # household or block holding a third of the rows is split over tasks

@@ -9,6 +9,7 @@ machine-local folder would not survive an executor loss.
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import tempfile
 import threading
@@ -28,6 +29,8 @@ _DEFAULTS = {
     # COUNT(*) / MIN / MAX on Parquet answered from footers (row counts of
     # the normalised sources for the broadcast bounds)
     "spark.sql.parquet.aggregatePushdown": "true",
+    # streaming state on disk with incremental snapshots, not in the executors' heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Broadcast decisions are made explicitly by ``operators.joins`` from
     # exact row counts; the optimizer's file-size estimate stays as a fallback.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
@@ -134,6 +137,41 @@ def file_stamps(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def files_under(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
+    """A file itself, or the files directly in a folder (no hidden ones) whose
+    names match ``pattern``; raises ``FileNotFoundError`` for a missing path."""
+    fs, hpath = _hadoop(spark, path)
+    if not fs.exists(hpath):
+        raise FileNotFoundError(f"PATH_NOT_FOUND: {path}")
+    out = []
+    for s in fs.listStatus(hpath):
+        name = str(s.getPath().getName())
+        if s.isFile() and not name.startswith(("_", ".")) and (pattern is None or fnmatch.fnmatch(name, pattern)):
+            out.append(str(s.getPath().toString()))
+    return sorted(out)
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file (compressed ones too), reading no more of
+    it than a buffer; None for an empty file."""
+    fs, hpath = _hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(hpath)
+    stream = fs.open(hpath)
+    try:
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """Modification time in seconds."""
+    fs, hpath = _hadoop(spark, path)
+    return fs.getFileStatus(hpath).getModificationTime() / 1000
+
+
 def publish(spark: SparkSession, made: str, path: str, replace: bool = False) -> bool:
     """Give a finished folder its name by one rename. If the name stands and
     ``replace`` is false, the folder that stands wins and ours goes; with

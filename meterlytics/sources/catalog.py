@@ -2,7 +2,8 @@
 
 ``load_sources(spark, sf_dir)`` derives the meter tables from the driver's
 Parquet (``sources.fixtures``) and writes each as a Parquet table in the durable
-store (``session.store_root``), keyed by a fingerprint of all input files.
+store (``session.store_root``), keyed by the input folder and a fingerprint of
+all input files (``remove_older`` clears the earlier states of a folder).
 Applications that find the tables of the same inputs there write nothing. The
 fingerprint is taken anew at every call, so changed inputs are seen within a
 session too. Lineage is cut (an executor loss re-reads Parquet instead of
@@ -11,9 +12,9 @@ pushdown. This is the Spark form of the reference's load-once + read-through
 cache (S6/S7), and the same step a production job uses to compact the CSV
 blocks (``sources.csv``).
 
-Exact row counts of the dimensions are read from the Parquet footers (the
-facts are never counted); ``operators.joins`` uses them to decide
-broadcasts from a proven size instead of an optimizer estimate.
+Rows and bytes of the dimensions are measured (the facts are never counted);
+``operators.joins`` uses them to decide broadcasts from a proven size instead
+of an optimizer estimate.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ import threading
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import PARTITION_YEAR, year_from_text
+from ..operators.joins import ROW_BYTES
 from ..schemas import SOURCE_SCHEMAS
-from ..session import file_stamps, path_exists, publish, store_root
+from ..session import delete_path, file_stamps, list_dir, path_exists, publish, store_root
 from . import fixtures
 
 # part of the stored name: a new number when the derivation changes
-LAYOUT_VERSION = 2
+LAYOUT_VERSION = 3
 TABLES = ["households", "half_hourly", "daily", "weather_daily",
           "weather_hourly", "holidays"]
 # Fact tables are written partitioned by calendar year (a directory per year):
@@ -51,6 +55,16 @@ _LOCK = threading.Lock()
 _MEMO: dict[tuple[str, str], "Sources"] = {}
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes (as rows in memory: 8 per value, texts by their length) of
+    a dimension, in one pass."""
+    size = reduce(lambda a, b: a + b, [
+        F.lit(8) + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(0))
+        for f in df.schema.fields])
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows, total
+
+
 @dataclass
 class Sources:
     """Named source DataFrames plus exact row counts when known."""
@@ -58,6 +72,11 @@ class Sources:
     tables: dict[str, DataFrame]
     rows: dict[str, int] = field(default_factory=dict)
     root: str | None = None
+    # fact tables kept by a ledger: table -> year -> fingerprint, table -> last change
+    marks: dict[str, dict] = field(default_factory=dict)
+    changes: dict = field(default_factory=dict)
+    # bytes of the dimensions as rows in memory
+    bytes: dict[str, int] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("tables", {})
@@ -68,6 +87,14 @@ class Sources:
     def row_count(self, name: str) -> int | None:
         return self.rows.get(name)
 
+    def bound(self, name: str) -> int | None:
+        """Proven size in rows of ``joins.ROW_BYTES`` bytes, for broadcasts: wide
+        rows count several times."""
+        rows, size = self.rows.get(name), self.bytes.get(name)
+        if rows is None:
+            return None
+        return rows if size is None else max(rows, -(-size // ROW_BYTES))
+
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Hash of (name, size, mtime) of all files the tables read."""
@@ -78,6 +105,29 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+def _origin(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of all roots made from one input folder."""
+    where = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return f"{store_root(spark)}/sources/{LAYOUT_VERSION}-{where}"
+
+
+def older_roots(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Roots of earlier states of ``sf_dir``, with all results below them."""
+    origin, mark = _origin(spark, sf_dir), _fingerprint(spark, sf_dir)
+    return [f"{origin}/{n}" for n in list_dir(spark, origin) if n != mark]
+
+
+def remove_older(spark: SparkSession, sf_dir: str) -> int:
+    """Remove the tables and results of earlier states of ``sf_dir``."""
+    with _LOCK:
+        old = older_roots(spark, sf_dir)
+        for root in old:
+            delete_path(spark, root)
+        for key in [k for k, src in _MEMO.items() if src.root in old]:
+            del _MEMO[key]
+        return len(old)
+
+
 def derived_sources(spark: SparkSession, sf_dir: str) -> Sources:
     """Lazy, unmaterialised derivation (used by tests of the derivation)."""
     return Sources({t: fixtures.BUILDERS[t](spark, sf_dir) for t in TABLES})
@@ -95,7 +145,7 @@ def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sou
         key = (spark.sparkContext.applicationId, mark)
         if not refresh and key in _MEMO:
             return _MEMO[key]
-        root = f"{store_root(spark)}/sources/{LAYOUT_VERSION}-{mark}"
+        root = f"{_origin(spark, sf_dir)}/{mark}"
 
         def one(t: str) -> tuple[str, DataFrame, int | None]:
             path = f"{root}/{t}"
@@ -109,10 +159,11 @@ def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sou
                     df.write.parquet(made)
                 publish(spark, made, path, replace=refresh)
             df = spark.read.schema(stored_schema(t)).parquet(path)
-            return t, df, None if t in PARTITIONED else df.count()
+            return t, df, None if t in PARTITIONED else measured(df)
 
         with ThreadPoolExecutor(max_workers=len(TABLES)) as pool:
             done = list(pool.map(one, TABLES))
-        src = Sources({t: df for t, df, _ in done}, {t: n for t, _, n in done if n is not None}, root)
+        src = Sources({t: df for t, df, _ in done}, {t: n[0] for t, _, n in done if n}, root,
+                      bytes={t: n[1] for t, _, n in done if n})
         _MEMO[key] = src
         return src

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import csv as _csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions.calendar import PARTITION_YEAR, year_from_text
-from ..session import path_exists
+from ..session import files_under, first_line, path_exists
+from .ledger import Ledger
 
 # Relative locations of the six sources under the dataset root (fixed layout).
 LAYOUT = {
@@ -38,17 +40,15 @@ LAYOUT = {
 def _headers(spark: SparkSession, paths: Sequence[str], glob: str | None = None) -> dict[str, list[str]]:
     """Header line -> the files (or folders' part files) that start with it.
 
-    One distributed job reads the first line of every file; a file name per
-    header and file comes back, as the file listing itself is on the driver."""
-    reader = spark.read.option("recursiveFileLookup", False).option("wholetext", False)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(list(paths)).select(
-        F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    first = (lines.where("at = 0").groupBy("path").agg(F.first("value").alias("value")))
+    Only the first line of each file is read, before the one scan of the rows;
+    names and headers are on the driver, as the file listing itself is."""
+    files = [f for p in paths for f in files_under(spark, p, glob)]
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f), files))
     out: dict[str, list[str]] = {}
-    for r in first.collect():
-        out.setdefault((r["value"] or "").lstrip("﻿"), []).append(r["path"])
+    for f, line in zip(files, lines):
+        if line is not None:
+            out.setdefault(line.lstrip("\ufeff"), []).append(f)
     return out
 
 
@@ -156,7 +156,7 @@ def load_sources_csv(spark: SparkSession, root: str, compact: str | None = None)
     what the pattern getters and the profiles take. With ``compact`` the facts
     are read from the Parquet compaction in that folder, which is made where it
     does not stand yet."""
-    from .catalog import Sources
+    from .catalog import Sources, measured
     if compact:
         names = list(LAYOUT)
         if not all(path_exists(spark, f"{compact.rstrip('/')}/{n}/_SUCCESS") for n in names):
@@ -164,8 +164,28 @@ def load_sources_csv(spark: SparkSession, root: str, compact: str | None = None)
         tables = {n: spark.read.parquet(f"{compact.rstrip('/')}/{n}") for n in names}
     else:
         tables = read_sources(spark, root, with_file=True)
-    rows = {n: tables[n].count() for n in ("households", "holidays", "weather_daily", "weather_hourly")}
-    return Sources(tables, rows, compact)
+    size = {n: measured(tables[n]) for n in ("households", "holidays", "weather_daily", "weather_hourly")}
+    return Sources(tables, {n: x[0] for n, x in size.items()}, compact, bytes={n: x[1] for n, x in size.items()})
+
+
+def load_sources_ledger(spark: SparkSession, root: str, out: str, strict: bool = False):
+    """``catalog.Sources`` over a dataset root whose block files come and go:
+    the facts are kept by a ledger each under ``out`` and brought up to date
+    (files that are new or differ are read, nothing else); the dimensions, files
+    of their own, are read as they are. ``changes`` says what was done and
+    ``marks`` has a fingerprint per fact table and year, which
+    ``store.ResultStore.materialize_parts`` follows."""
+    from .catalog import Sources, measured
+    r, tables, changes, marks = root.rstrip("/"), {}, {}, {}
+    for name in ("half_hourly", "daily"):
+        ledger = Ledger(spark, f"{out.rstrip('/')}/{name}", f"{r}/{LAYOUT[name]}", S.SOURCE_SCHEMAS[name])
+        changes[name] = ledger.refresh(strict)
+        tables[name], marks[name] = ledger.table(), ledger.marks()
+    tables["holidays"] = read_holidays(spark, f"{r}/{LAYOUT['holidays']}")
+    for name in ("households", "weather_daily", "weather_hourly"):
+        tables[name] = read_csv_file(spark, f"{r}/{LAYOUT[name]}", S.SOURCE_SCHEMAS[name])
+    size = {n: measured(tables[n]) for n in ("households", "holidays", "weather_daily", "weather_hourly")}
+    return Sources(tables, {n: x[0] for n, x in size.items()}, out.rstrip("/"), marks, changes, {n: x[1] for n, x in size.items()})
 
 
 def write_sources_csv(tables: dict[str, DataFrame], root: str) -> None:

@@ -11,12 +11,16 @@ Q39) and a ``refresh`` argument rebuilds explicitly.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import delete_path, list_dir, path_exists, publish
+from ..session import delete_path, list_dir, modified, path_exists, publish
+
+_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
 class ResultStore:
@@ -59,20 +63,68 @@ class ResultStore:
             self._memory[name] = df
         return df
 
+    def materialize_parts(self, name: str, marks: dict[int | None, str],
+                          build: Callable[[list[int | None]], DataFrame], column: str = "year") -> DataFrame:
+        """S7 by part: the rows of ``name`` for the years of ``marks``, of which
+        only those years are built whose fingerprint is new. ``build(years)``
+        gives the rows of those years, with the year in ``column``, in one job;
+        a year's folder carries its fingerprint, and the ones it replaces go."""
+        base = f"{self.path(name)}.parts"
+        folder = {y: f"{base}/{column}={_NULL if y is None else y}/mark={m}" for y, m in marks.items()}
+        stale = [y for y in folder if not path_exists(self.spark, folder[y])]
+        if stale:
+            df = build(sorted(stale, key=lambda y: (y is not None, y)))
+            made = f"{self.root}/.making-{name}-{uuid.uuid4().hex}"
+            df.withColumn("mark", F.lit("")).write.partitionBy(column, "mark").parquet(made)
+            for y in stale:
+                part = f"{made}/{column}={_NULL if y is None else y}/mark={_NULL}"
+                if not path_exists(self.spark, part):       # a year without rows is an empty table
+                    df.where("false").drop(column).write.parquet(part)
+                publish(self.spark, part, folder[y])
+            delete_path(self.spark, made)
+            self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{base}/schema")
+        schema = self.spark.read.parquet(f"{base}/schema").schema
+        for y, path in folder.items():
+            up, keep = path.rsplit("/", 1)
+            for n in list_dir(self.spark, up):
+                if n.startswith("mark=") and n != keep:
+                    delete_path(self.spark, f"{up}/{n}")
+        if not folder:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*folder.values()).select(*schema.fieldNames())
+
     def remove(self, name: str) -> bool:
-        """Drop one table (memory and storage)."""
+        """Drop one table (memory and storage), its parts too."""
         cached = self._memory.pop(name, None)
         if cached is not None:
             cached.unpersist()
-        if path_exists(self.spark, self.path(name)):
-            return delete_path(self.spark, self.path(name))
-        return False
+        gone = False
+        for path in (self.path(name), f"{self.path(name)}.parts"):
+            if path_exists(self.spark, path):
+                gone |= delete_path(self.spark, path)
+        return gone
 
     def remove_all(self) -> int:
+        """Drop every table, and what broken writers have left."""
         names = self.list()
         for n in list(self._memory):
             self._memory.pop(n).unpersist()
+        self.clean()
         return sum(self.remove(n) for n in names)
 
+    def clean(self, age: float = 24 * 3600) -> int:
+        """Remove folders that a writer began (``.making-``) or set aside
+        (``.old-``) more than ``age`` seconds ago; younger ones may be in use."""
+        gone = 0
+        for n in list_dir(self.spark, self.root):
+            if n.startswith(".making-") or ".old-" in n:
+                path = f"{self.root}/{n}"
+                if time.time() - modified(self.spark, path) > age:
+                    gone += delete_path(self.spark, path)
+        return gone
+
     def list(self) -> list[str]:
-        return [n for n in list_dir(self.spark, self.root) if not n.startswith(("_", "."))]
+        """Names of the stored tables."""
+        names = {n.removesuffix(".parts") for n in list_dir(self.spark, self.root)
+                 if not n.startswith(("_", ".")) and ".old-" not in n}
+        return sorted(names)

@@ -62,3 +62,35 @@ def test_no_row_at_a_time_python(sources):
                                  sources.weather_daily, "Comfortable", (1990, 2010))):
         plan = _plan(df)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_wide_dimensions_are_not_broadcast(spark, sources):
+    """The bound counts bytes: a wide dimension below the row cap takes the shuffle path."""
+    from pyspark.sql import functions as F
+
+    from meterlytics.sources.catalog import Sources, measured
+    wide = sources.households.limit(20).withColumn("Acorn", F.repeat(F.lit("x"), 8_000_000))
+    rows, size = measured(wide)
+    assert rows == 20 and 160_000_000 < size < 161_000_000
+    s = Sources({"households": wide}, {"households": rows}, bytes={"households": size})
+    assert s.row_count("households") == 20 and s.bound("households") > 2_000_000 and s.bound("nothing") is None
+    assert sources.bound("households") < 2_000_000 and Sources({}, {"x": 5}).bound("x") == 5
+    import re
+    per_household = re.compile(r"HashAggregate\(keys=\[LCLid#\d+\]")
+    assert per_household.search(_plan(P.household_patterns(sources.daily, wide, households_rows=s.bound("households"))))
+    assert not per_household.search(_plan(P.household_patterns(sources.daily, sources.households, households_rows=sources.bound("households"))))
+
+
+def test_distinct_households_need_no_second_scan(spark, sources, scratch):
+    from pyspark.sql import functions as F
+
+    from meterlytics.operators import distinct as DI
+    DI.numbered(sources.households, ["Acorn_grouped"]).write.parquet(scratch + "/n")
+    DI.household_bitmaps(sources.daily, spark.read.parquet(scratch + "/n"), ["Acorn_grouped"], 10).write.parquet(scratch + "/b")
+    bits = spark.read.parquet(scratch + "/b")
+    rows = sources.daily.join(sources.households, "LCLid").withColumn("_d", F.to_date("day"))
+    for by in ([F.year("_d").alias("y")], [F.trunc("_d", "month").alias("m"), "Acorn_grouped"], ["Acorn_grouped"], []):
+        got = DI.distinct_households(bits, *by)
+        want = rows.groupBy(*by).agg(F.countDistinct("LCLid").alias("household_count"))
+        assert "energy" not in _plan(got) and "LCLid" not in _plan(got)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
