@@ -90,3 +90,37 @@ def test_entry_importable_by_path_from_another_folder(tmp_path):
     assert out.returncode == 0, out.stderr[-500:]
     n_q, n_sql = map(int, out.stdout.split()[-2:])
     assert n_q >= n_sql > 0
+
+
+def test_triggers_read_their_own_rows_only(spark, scratch):
+    """Keyed state: nothing of earlier batches is read, re-sent files add nothing."""
+    import shutil
+
+    import pytest
+    from meterlytics.schemas import HALF_HOURLY
+    inbox, sink = os.path.join(scratch, "inbox"), os.path.join(scratch, "out")
+    os.makedirs(inbox)
+    head = ",".join(HALF_HOURLY.fieldNames())
+    batches = []
+
+    def score(rows):
+        batches.append(sorted(r["LCLid"] for r in rows.select("LCLid").collect()))
+        return rows.select("LCLid", "day")
+
+    def run(**more):
+        q = ST.start(ST.block_stream(spark, inbox, max_files_per_trigger=1), score, sink, os.path.join(scratch, "ckpt"), **more)
+        q.awaitTermination(300)
+        assert q.exception() is None
+        return q
+    for k in range(6):
+        with open(os.path.join(inbox, f"b{k}.csv"), "w") as fh:
+            fh.write(head + "\n" + "".join(f"H{k % 3},199{y}-01-01," + ",".join(["0.5"] * 48) + "\n" for y in range(1, 4)))
+        q = run()
+        # the history may go: a trigger does not look at it
+        shutil.rmtree(os.path.join(sink, "keys"), ignore_errors=True)
+    assert [len(b) for b in batches] == [3, 3, 3, 0, 0, 0]
+    state = q.lastProgress["stateOperators"][0]
+    assert state["numRowsTotal"] == 9 and state["numRowsUpdated"] == 0
+    assert ST.read_scores(spark, sink).count() == 9
+    with pytest.raises(ValueError):
+        ST.start(None, score, sink, sink, keys="neither")
