@@ -29,6 +29,7 @@ filters that reach the Parquet scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..schemas import N_HOURS, S7
 from .joins import bounded_broadcast, is_bounded
+from .quantiles import exact_quantiles
 
 
 # ---------------------------------------------------------------- helpers
@@ -130,7 +132,8 @@ def hourly_long(half_hourly: DataFrame) -> DataFrame:
 
 
 def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
-                    cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+                    cols: Sequence[str] | None = None, approx: bool = False,
+                    continuous: bool = False) -> DataFrame:
     """A1: by (year, hour) median, mean, max, count, sample std, sum, min of
     the hourly energy.
 
@@ -141,9 +144,14 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
     aggregate: the median through ``percentile(value, 0.5, frequency)``, the
     sample std through sums of the values and their squares (readings of a
     household-hour have a mean of the order of their spread, so the difference
-    keeps its digits in doubles). ``approx=True`` uses ``percentile_approx`` on
-    the unpivoted rows instead.
+    keeps its digits in doubles). ``half_hourly`` may also be that histogram
+    (``hourly_cells``). For readings with few repeats, ``continuous=True`` finds
+    the exact median by selection (``quantiles``), with bounded state;
+    ``approx=True`` uses ``percentile_approx`` on the unpivoted rows instead.
     """
+    if "f" in half_hourly.columns:
+        hist = half_hourly.where(F.col("year").isin([int(y) for y in years])) if years else half_hourly
+        return finish(sorted_result(_of_cells(hist), "year", "hour"), None, cols)
     # the reference's not-null filter; a no-op (Q1: energy is a sum of
     # coalesced readings, non-nullable), which the optimizer removes
     long = hourly_long(_prefilter(half_hourly, years)).where(F.col("energy").isNotNull())
@@ -155,20 +163,53 @@ def hourly_patterns(half_hourly: DataFrame, years: Sequence[int] | None = None,
             F.count(e).alias("energy_count"), F.stddev_samp(e).alias("energy_std"),
             _zero_if_null(F.sum(e)).cast("double").alias("energy_sum"), F.min(e).alias("energy_min"))
         return finish(sorted_result(out, "year", "hour"), None, cols)
-    hist = long.groupBy("year", "hour", "energy").agg(F.count(F.lit(1)).alias("f"))
+    if continuous:
+        medians = exact_quantiles(long, "energy", [0.5], ["year", "hour"])
+        rest = long.groupBy("year", "hour").agg(
+            F.avg(e).alias("energy_mean"), F.max(e).alias("energy_max"), F.count(e).alias("energy_count"),
+            F.stddev_samp(e).alias("energy_std"), _zero_if_null(F.sum(e)).cast("double").alias("energy_sum"),
+            F.min(e).alias("energy_min"))
+        out = rest.join(medians, ["year", "hour"]).select("year", "hour", F.col("quantiles")[0].alias("energy_median"),
+                                                          *[c for c in rest.columns if c not in ("year", "hour")])
+        return finish(sorted_result(out, "year", "hour"), None, cols)
+    return finish(sorted_result(_of_cells(_cells(long)), "year", "hour"), None, cols)
+
+
+def _cells(long: DataFrame) -> DataFrame:
+    return long.groupBy("year", "hour", "energy").agg(F.count(F.lit(1)).alias("f"))
+
+
+def hourly_cells(half_hourly: DataFrame) -> DataFrame:
+    """Mergeable state of A1: how often each hourly energy occurs per (year,
+    hour): rows ``year, hour, energy, f``."""
+    return _cells(hourly_long(half_hourly).where(F.col("energy").isNotNull()))
+
+
+def merge_cells(cells: DataFrame, added: DataFrame | None = None, retracted: DataFrame | None = None) -> DataFrame:
+    """``cells`` after rows came (``added``) and went (``retracted``), both as
+    cells of those rows alone; cells without a row left disappear."""
+    parts = [cells.select("year", "hour", "energy", "f")]
+    if added is not None:
+        parts.append(added.select("year", "hour", "energy", "f"))
+    if retracted is not None:
+        parts.append(retracted.select("year", "hour", "energy", (-F.col("f")).alias("f")))
+    return (reduce(DataFrame.unionByName, parts).groupBy("year", "hour", "energy").agg(F.sum("f").alias("f"))
+            .where("f <> 0"))
+
+
+def _of_cells(hist: DataFrame) -> DataFrame:
+    e = F.col("energy")
     f = F.when(e.isNotNull(), F.col("f"))
     n, total = F.sum(f), F.sum(e * f)
     spread = F.greatest(F.sum(e * e * f) - F.try_divide(total * total, n), F.lit(0.0))
-    out = (hist.groupBy("year", "hour").agg(
+    return (hist.groupBy("year", "hour").agg(
                F.percentile(e, F.lit(0.5), F.col("f")).cast("double").alias("energy_median"),
                F.try_divide(total, n).alias("energy_mean"),
                F.max(e).alias("energy_max"),
                _zero_if_null(n).cast("long").alias("energy_count"),
                F.sqrt(F.try_divide(spread, n - 1)).alias("energy_std"),
                _zero_if_null(total).cast("double").alias("energy_sum"),
-               F.min(e).alias("energy_min"))
-           )
-    return finish(sorted_result(out, "year", "hour"), None, cols)
+               F.min(e).alias("energy_min")))
 
 
 # ---------------------------------------------------------------- A2-A5

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import QUANTILE_SCHEMES
+from .quantiles import exact_quantiles
 
 
 def filter_segments(df: DataFrame, tariffs: Sequence[str] | None = None,
@@ -73,14 +74,17 @@ def _labels_frame(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, metric: str, quantiles: Sequence[float],
-                   approx: bool = False) -> Column:
+                   approx: bool = False, continuous: bool = False) -> Column:
     """W2 edges: linear-interpolation quantiles of ``metric`` (pandas / DuckDB
     ``quantile_cont`` agree) as a lazily evaluated scalar subquery.
 
     The exact form keeps one value->count map of the metric's distinct values
     in the final task; ``approx=True`` uses the mergeable, fixed-size
     ``percentile_approx`` sketch instead (for household-level inputs with
-    millions of distinct values)."""
+    millions of distinct values), and ``continuous=True`` the exact selection of
+    ``quantiles``, whose state does not grow with the distinct values."""
+    if continuous:
+        return exact_quantiles(df, metric, [float(q) for q in quantiles]).select("quantiles").scalar()
     qs = F.array(*[F.lit(float(q)) for q in quantiles])
     x = F.col(metric).cast("double")
     agg = F.percentile_approx(x, qs, 100_000) if approx else F.percentile(x, qs)
@@ -88,12 +92,12 @@ def quantile_edges(df: DataFrame, metric: str, quantiles: Sequence[float],
 
 
 def quantile_groups(df: DataFrame, metric: str = "energy_mean",
-                    n_groups: int = 3, approx: bool = False) -> DataFrame:
+                    n_groups: int = 3, approx: bool = False, continuous: bool = False) -> DataFrame:
     """Label each row with its quantile bucket (right-closed, lowest value
     included; ties share a bucket, unlike ``ntile``). Repeated edges raise
     (Q26), as ``qcut`` does."""
     quantiles, labels = QUANTILE_SCHEMES[n_groups]
-    edges = quantile_edges(df, metric, quantiles, approx)
+    edges = quantile_edges(df, metric, quantiles, approx, continuous)
     x = F.col(metric)
     n = len(labels)
     label = None
@@ -111,12 +115,12 @@ def quantile_groups(df: DataFrame, metric: str = "energy_mean",
 
 
 def consumer_groups(df: DataFrame, metric: str = "energy_mean", n_groups: int = 3,
-                    approx: bool = False) -> DataFrame:
+                    approx: bool = False, continuous: bool = False) -> DataFrame:
     """Per quantile label (every label, even empty, Q28): mean
     of four metrics, total households, ToU share text ``"12.3% ToU"`` with
     half-even rounding (Q29); ordered by label position."""
     _, labels = QUANTILE_SCHEMES[n_groups]
-    g = quantile_groups(df, metric, n_groups, approx).where(F.col("quantile_group").isNotNull())
+    g = quantile_groups(df, metric, n_groups, approx, continuous).where(F.col("quantile_group").isNotNull())
     summary = g.groupBy("quantile_group").agg(
         F.avg("energy_mean").alias("energy_mean"), F.avg("energy_median").alias("energy_median"),
         F.avg("energy_max").alias("energy_max"), F.avg("energy_sum").alias("energy_sum"),
@@ -142,7 +146,7 @@ def consumer_group_mix(df: DataFrame, metric: str = "energy_mean", n_groups: int
                        approx: bool = False) -> DataFrame:
     """Rows per (quantile label, ACORN group), densified
     with zero counts, share of the label's rows (half-even to 1 place; NULL
-    when the label is empty), ordered by label then share descending."""
+    when the label is empty), ordered by label, share descending, group."""
     _, labels = QUANTILE_SCHEMES[n_groups]
     g = quantile_groups(df, metric, n_groups, approx).where(F.col("quantile_group").isNotNull())
     counts = g.groupBy("quantile_group", "Acorn_grouped").agg(F.count(F.lit(1)).alias("count"))
@@ -155,7 +159,7 @@ def consumer_group_mix(df: DataFrame, metric: str = "energy_mean", n_groups: int
     pct = F.bround(F.try_divide(F.col("count"), total) * 100, 1)
     return (dense.select("quantile_group", "Acorn_grouped", "count", pct.alias("percentage"),
                          F.col("order").cast("int").alias("order"))
-                 .orderBy("order", F.desc_nulls_last("percentage")))
+                 .orderBy("order", F.desc_nulls_last("percentage"), "Acorn_grouped"))
 
 
 def segment_hierarchy(df: DataFrame, metric: str = "energy_mean") -> DataFrame:

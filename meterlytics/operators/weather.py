@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import temp_bin_order
 from ..schemas import TEMP_BINS
+from .quantiles import exact_quantiles
 
 
 def filter_weather(df: DataFrame, months: Sequence[int] | None = None,
@@ -38,17 +39,22 @@ def temp_bin_summary(te: DataFrame) -> DataFrame:
               .orderBy(temp_bin_order("temp_bin")))
 
 
-def temp_box(te: DataFrame, metric: str = "energy_mean", approx: bool = False) -> DataFrame:
+def temp_box(te: DataFrame, metric: str = "energy_mean", approx: bool = False,
+             continuous: bool = False) -> DataFrame:
     """Box-plot figures per (bin, month): linear-interpolation quartiles
     and whiskers at the most extreme values within 1.5 IQR. ``approx=True``
-    uses ``percentile_approx`` (bounded sketch) for large groups."""
+    uses ``percentile_approx`` (bounded sketch) for large groups,
+    ``continuous=True`` the exact selection of ``quantiles``."""
     keys = ["temp_bin", "month_name"]
-    probs = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
+    levels = (0.0, 0.25, 0.5, 0.75, 1.0)
+    probs = F.array(*[F.lit(p) for p in levels])
     pct = (F.percentile_approx(F.col(metric), probs, 100_000) if approx
            else F.percentile(F.col(metric), probs))
     q = (te.groupBy(*keys)
-           .agg(pct.alias("_q"),
+           .agg(*([] if continuous else [pct.alias("_q")]),
                 F.count(F.col(metric)).alias("n")))
+    if continuous:
+        q = q.join(exact_quantiles(te, metric, levels, keys, "_q"), keys, "left")
     q = q.select(*keys, "n", *[F.col("_q")[i].alias(name) for i, name in
                               enumerate(["q_min", "q1", "median", "q3", "q_max"])])
     iqr = F.col("q3") - F.col("q1")
