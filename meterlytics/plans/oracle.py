@@ -439,6 +439,9 @@ FROM feat"""),
 
 
 SPLIT_SEED, SPLIT_SHARE, STEP_RATE = 42, 0.1, 0.01      # equal model.AEConfig and registry.STEP_RATE
+TRACE_LR_PATIENCE, TRACE_PATIENCE = 2, 14
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+MIX_ORDER = '"order", percentage DESC NULLS LAST, Acorn_grouped'
 
 
 def _is_val() -> str:
@@ -454,45 +457,126 @@ def _by_group(group: str) -> str:
             "sum((actual - recon) * (actual - recon)) / count(*) AS mse FROM slots)")
 
 
-def _training_stage() -> dict[str, str]:
-    """One step from the rule weights by backpropagation over lists: forward
-    values, the deltas of the four layers, then a sum per parameter."""
-    rows = f"SELECT * FROM feat WHERE NOT ({_is_val()})"
+ADAM = (0.9, 0.999, 1e-8)
+
+
+def _round(k: int) -> str:
+    """Which of ``k`` synchronous steps a row belongs to (model.round_of)."""
+    digit = "(strpos('0123456789abcdef', substr(md5(LCLid || '|' || day || '|{}|round'), {}, 1)) - 1)"
+    return "(" + " + ".join(f"{digit.format(SPLIT_SEED, i + 1)} * {16 ** (3 - i)}" for i in range(4)) + f") % {k}"
+
+
+def _relational_step(p: str, rows: str, weights: str) -> list[tuple[str, str]]:
+    """Gradient over ``rows`` for any weights, as CTE ``{p}grads(param,
+    gradient)``: ``weights(layer, i, j, param, weight)`` are joined to the
+    values (r, i, v) of a layer's inputs, the last of which is 1 for the bias."""
+    def dense(layer: int, src: str) -> str:
+        return (f"SELECT s.r, w.j, sum(s.v * w.weight) AS v FROM {p}{src} AS s JOIN {weights} AS w ON w.layer = {layer} AND w.i = s.i GROUP BY s.r, w.j")
+
+    def back(layer: int, src: str) -> str:
+        return (f"SELECT s.r, w.i AS j, sum(s.v * w.weight) AS v FROM {p}{src} AS s JOIN {weights} AS w ON w.layer = {layer} AND w.j = s.j GROUP BY s.r, w.i")
+
+    def relu(src: str) -> str:
+        return f"SELECT r, j AS i, greatest(v, 0) AS v FROM {p}{src} UNION ALL SELECT r, 8, CAST(1 AS DOUBLE) FROM {p}t0"
+    inputs = {1: "x", 2: "h1", 3: "d", 4: "h3"}
+    return [
+        (f"{p}t0", f"SELECT row_number() OVER () AS r, reading, cond FROM ({rows})"),
+        (f"{p}x", f"SELECT r, unnest(range(len(u))) AS i, unnest(u) AS v FROM (SELECT r, list_append(list_concat(reading, cond), CAST(1 AS DOUBLE)) AS u FROM {p}t0)"),
+        (f"{p}a1", dense(1, "x")), (f"{p}h1", relu("a1")), (f"{p}z", dense(2, "h1")),
+        (f"{p}d", f"SELECT r, j AS i, v FROM {p}z UNION ALL SELECT r, 2 + unnest(range(len(u))), unnest(u) FROM (SELECT r, list_append(cond, CAST(1 AS DOUBLE)) AS u FROM {p}t0)"),
+        (f"{p}a3", dense(3, "d")), (f"{p}h3", relu("a3")), (f"{p}y", dense(4, "h3")),
+        (f"{p}d4", f"SELECT y.r, y.j, 2 * (y.v - t.reading[y.j + 1]) AS v FROM {p}y AS y JOIN {p}t0 AS t USING (r)"),
+        (f"{p}d3", f"SELECT b.r, b.j, b.v FROM ({back(4, 'd4')}) AS b JOIN {p}a3 AS a USING (r, j) WHERE a.v > 0"),
+        (f"{p}d2", f"SELECT r, j, v FROM ({back(3, 'd3')}) WHERE j < 2"),
+        (f"{p}d1", f"SELECT b.r, b.j, b.v FROM ({back(2, 'd2')}) AS b JOIN {p}a1 AS a USING (r, j) WHERE a.v > 0"),
+        (f"{p}sums", " UNION ALL ".join(
+            f"SELECT {k} AS layer, s.i, d.j, sum(s.v * d.v) AS g FROM {p}{u} AS s JOIN {p}d{k} AS d USING (r) GROUP BY s.i, d.j" for k, u in inputs.items())),
+        (f"{p}size", f"SELECT count(*) * max(len(reading)) AS n FROM {p}t0"),
+        (f"{p}grads", f"SELECT w.param, w.weight, coalesce(s.g, 0) / n AS gradient FROM {weights} AS w LEFT JOIN {p}sums AS s ON s.layer = w.layer AND s.i = w.i AND s.j = w.j, {p}size"),
+    ]
+
+
+def _rule_weights() -> str:
+    """All weights of the rule with their place in the flat list (i = number of
+    inputs: the bias)."""
+    shape = "(SELECT max(len(reading)) AS m, max(len(cond)) AS c FROM feat)"
+    layers = {1: ("m + c", "8", "0"), 2: ("8", "2", "(m + c + 1) * 8"), 3: ("2 + c", "8", "(m + c + 1) * 8 + 18"),
+              4: ("8", "m", "(m + c + 1) * 8 + 18 + (3 + c) * 8")}
+    return " UNION ALL ".join(
+        f"SELECT {k} AS layer, i, j, {start} + i * ({n_out}) + j AS param, CASE WHEN i < {n_in} THEN {_w(k, 'i', 'j')} ELSE {_b(k, 'j')} END AS weight "
+        f"FROM (SELECT m, c, i, unnest(range({n_out})) AS j FROM (SELECT m, c, unnest(range({n_in} + 1)) AS i FROM {shape}))"
+        for k, (n_in, n_out, start) in layers.items())
+
 
+def _backprop(p: str, rows: str, weight, bias) -> list[tuple[str, str]]:
+    """Gradient of every parameter over ``rows(reading, cond, ..)`` as CTE
+    ``{p}grads(param, gradient, w)``, ``w`` being the rule weight: forward
+    values, the deltas of the four layers, then a sum per parameter."""
     def dense(layer: int, src: str, n_in: str, j: str = "j") -> str:
-        return (f"list_dot_product({src}, list_transform(range({n_in}), lambda i: {_w(layer, 'i', j)})) + {_b(layer, j)}")
-    ctes = _feature_ctes() + [
-        ("t0", rows),
-        ("t1", f"SELECT list_concat(reading, cond) AS x, reading, cond, list_transform(range(8), lambda j: "
-               f"{dense(1, 'list_concat(reading, cond)', 'len(reading) + len(cond)')}) AS a1 FROM t0"),
-        ("t2", "SELECT *, list_transform(a1, lambda v: greatest(v, CAST(0 AS DOUBLE))) AS h1 FROM t1"),
-        ("t3", f"SELECT *, list_concat(list_transform(range(2), lambda j: {dense(2, 'h1', '8')}), cond) AS d FROM t2"),
-        ("t4", f"SELECT *, list_transform(range(8), lambda j: {dense(3, 'd', 'len(d)')}) AS a3 FROM t3"),
-        ("t5", "SELECT *, list_transform(a3, lambda v: greatest(v, CAST(0 AS DOUBLE))) AS h3 FROM t4"),
-        ("t6", f"SELECT *, list_transform(range(len(reading)), lambda j: 2 * ({dense(4, 'h3', '8')} - reading[j + 1])) AS d4 FROM t5"),
-        ("t7", f"SELECT *, list_transform(range(8), lambda i: CASE WHEN a3[i + 1] > 0 THEN list_dot_product(d4, "
-               f"list_transform(range(len(reading)), lambda j: {_w(4, 'i', 'j')})) ELSE CAST(0 AS DOUBLE) END) AS d3 FROM t6"),
-        ("t8", f"SELECT *, list_transform(range(2), lambda i: list_dot_product(d3, "
-               f"list_transform(range(8), lambda j: {_w(3, 'i', 'j')}))) AS d2 FROM t7"),
-        ("t9", f"SELECT *, list_transform(range(8), lambda i: CASE WHEN a1[i + 1] > 0 THEN list_dot_product(d2, "
-               f"list_transform(range(2), lambda j: {_w(2, 'i', 'j')})) ELSE CAST(0 AS DOUBLE) END) AS d1 FROM t8"),
+        return f"list_dot_product({src}, list_transform(range({n_in}), lambda i: {weight(layer, 'i', j)})) + {bias(layer, j)}"
+    return [
+        (f"{p}t0", f"SELECT *, list_concat(reading, cond) AS x FROM ({rows})"),
+        (f"{p}t1", f"SELECT *, list_transform(range(8), lambda j: {dense(1, 'x', 'len(x)')}) AS a1 FROM {p}t0"),
+        (f"{p}t2", f"SELECT *, list_transform(a1, lambda v: greatest(v, CAST(0 AS DOUBLE))) AS h1 FROM {p}t1"),
+        (f"{p}t3", f"SELECT *, list_concat(list_transform(range(2), lambda j: {dense(2, 'h1', '8')}), cond) AS d FROM {p}t2"),
+        (f"{p}t4", f"SELECT *, list_transform(range(8), lambda j: {dense(3, 'd', 'len(d)')}) AS a3 FROM {p}t3"),
+        (f"{p}t5", f"SELECT *, list_transform(a3, lambda v: greatest(v, CAST(0 AS DOUBLE))) AS h3 FROM {p}t4"),
+        (f"{p}t6", f"SELECT *, list_transform(range(len(reading)), lambda j: 2 * ({dense(4, 'h3', '8')} - reading[j + 1])) AS d4 FROM {p}t5"),
+        (f"{p}t7", "SELECT *, list_transform(range(8), lambda i: CASE WHEN a3[i + 1] > 0 THEN list_dot_product(d4, "
+                   f"list_transform(range(len(reading)), lambda j: {weight(4, 'i', 'j')})) ELSE CAST(0 AS DOUBLE) END) AS d3 FROM {p}t6"),
+        (f"{p}t8", "SELECT *, list_transform(range(2), lambda i: list_dot_product(d3, "
+                   f"list_transform(range(8), lambda j: {weight(3, 'i', 'j')}))) AS d2 FROM {p}t7"),
+        (f"{p}t9", "SELECT *, list_transform(range(8), lambda i: CASE WHEN a1[i + 1] > 0 THEN list_dot_product(d2, "
+                   f"list_transform(range(2), lambda j: {weight(2, 'i', 'j')})) ELSE CAST(0 AS DOUBLE) END) AS d1 FROM {p}t8"),
         # inputs of a layer with a 1 at the end for its bias
-        ("pairs", " UNION ALL ".join(
-            f"SELECT {layer} AS layer, unnest(range(len({u}) + 1)) AS i, list_append({u}, CAST(1 AS DOUBLE)) AS u, {d} AS d FROM t9"
+        (f"{p}pairs", " UNION ALL ".join(
+            f"SELECT {layer} AS layer, unnest(range(len({u}) + 1)) AS i, list_append({u}, CAST(1 AS DOUBLE)) AS u, {d} AS d FROM {p}t9"
             for layer, u, d in ((1, "x", "d1"), (2, "h1", "d2"), (3, "d", "d3"), (4, "h3", "d4")))),
-        ("cells", "SELECT layer, i, len(u) - 1 AS n_in, len(d) AS n_out, unnest(range(len(d))) AS j, u[i + 1] AS v, d FROM pairs"),
-        ("sums", "SELECT layer, i, j, max(n_in) AS n_in, max(n_out) AS n_out, sum(v * d[j + 1]) AS g FROM cells GROUP BY layer, i, j"),
-        ("size", "SELECT count(*) * max(len(reading)) AS n FROM t0"),
-        ("offsets", "SELECT layer, coalesce(sum((n_in + 1) * n_out) OVER (ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start "
-                    "FROM (SELECT DISTINCT layer, n_in, n_out FROM sums)"),
-        ("grads", "SELECT CAST(start + CASE WHEN i < n_in THEN i * n_out + j ELSE n_in * n_out + j END AS BIGINT) AS param, g / n AS gradient, "
-                  "CASE WHEN i < n_in THEN CAST((i * 7 + j * 13 + layer * 5 + %d) %% 17 - 8 AS DOUBLE) / 64 "
-                  "ELSE CAST((j * 11 + layer * 3 + %d) %% 9 - 4 AS DOUBLE) / 64 END AS w FROM sums JOIN offsets USING (layer), size"
-                  % (SCORING_SEED, SCORING_SEED)),
+        (f"{p}cells", f"SELECT layer, i, len(u) - 1 AS n_in, len(d) AS n_out, unnest(range(len(d))) AS j, u[i + 1] AS v, d FROM {p}pairs"),
+        (f"{p}sums", f"SELECT layer, i, j, max(n_in) AS n_in, max(n_out) AS n_out, sum(v * d[j + 1]) AS g FROM {p}cells GROUP BY layer, i, j"),
+        (f"{p}size", f"SELECT count(*) * max(len(reading)) AS n FROM {p}t0"),
+        (f"{p}offsets", "SELECT layer, coalesce(sum((n_in + 1) * n_out) OVER (ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start "
+                        f"FROM (SELECT DISTINCT layer, n_in, n_out FROM {p}sums)"),
+        (f"{p}grads", "SELECT CAST(start + CASE WHEN i < n_in THEN i * n_out + j ELSE n_in * n_out + j END AS BIGINT) AS param, g / n AS gradient, "
+                      "CASE WHEN i < n_in THEN CAST((i * 7 + j * 13 + layer * 5 + %d) %% 17 - 8 AS DOUBLE) / 64 "
+                      "ELSE CAST((j * 11 + layer * 3 + %d) %% 9 - 4 AS DOUBLE) / 64 END AS w FROM %ssums JOIN %soffsets USING (layer), %ssize"
+                      % (SCORING_SEED, SCORING_SEED, p, p, p)),
     ]
+
+
+def _training_stage() -> dict[str, str]:
+    """Steps from the rule weights by backpropagation over lists."""
+    train = f"FROM feat WHERE NOT ({_is_val()})"
+    first = f"w - {STEP_RATE} * gradient / (sqrt(gradient * gradient) + {ADAM[2]})"
+    step = [("param", "l"), ("gradient", "d"), ("weight", "d")]
+    one = _feature_ctes() + _backprop("", f"SELECT * {train}", _w, _b)
+    bare = _feature_ctes() + _backprop("", f"SELECT * REPLACE (CAST([] AS DOUBLE[]) AS cond) {train}", _w, _b)
+    b1, b2, eps = ADAM
+    m2, v2 = f"({b1} * {1 - b1} * a.gradient + {1 - b1} * b.gradient)", f"({b2} * {1 - b2} * a.gradient * a.gradient + {1 - b2} * b.gradient * b.gradient)"
+    two = (_feature_ctes() + [("w0", _rule_weights())] + _relational_step("a_", f"SELECT * {train} AND {_round(2)} = 0", "w0")
+           + [("w1", f"SELECT w0.layer, w0.i, w0.j, param, g.weight - {STEP_RATE} * g.gradient / (sqrt(g.gradient * g.gradient) + {eps}) AS weight "
+                     "FROM w0 JOIN a_grads AS g USING (param)")]
+           + _relational_step("b_", f"SELECT * {train} AND {_round(2)} = 1", "w1"))
     return {
-        "train_step_fixed": q(ctes, f"""SELECT param, gradient, w - {STEP_RATE} * gradient / (sqrt(gradient * gradient) + 1e-8) AS weight
-FROM grads""", [("param", "l"), ("gradient", "d"), ("weight", "d")]),
+        "train_step_fixed": q(one, f"SELECT param, gradient, {first} AS weight FROM grads", step),
+        "train_step_unconditional": q(bare, f"SELECT param, gradient, {first} AS weight FROM grads", step),
+        "train_rounds_fixed": q(two, f"""SELECT param, b.weight - {STEP_RATE} * ({m2} / {1 - b1 ** 2}) / (sqrt({v2} / {1 - b2 ** 2}) + {eps}) AS weight
+FROM a_grads AS a JOIN b_grads AS b USING (param)""", [("param", "l"), ("weight", "d")]),
+        "schedule_trace": rounded(with_ctes([], f"""SELECT epoch, loss, lr, next_lr, flat, bad, stop FROM (WITH RECURSIVE series AS (
+  SELECT CAST(row_number() OVER (ORDER BY substr(time, 1, 7)) AS INTEGER) AS epoch, avg(temperatureMax + 50) AS loss
+  FROM weather_daily GROUP BY substr(time, 1, 7)),
+trace AS (
+  SELECT 0 AS epoch, CAST(NULL AS DOUBLE) AS loss, CAST(0.001 AS DOUBLE) AS lr, CAST(0.001 AS DOUBLE) AS next_lr, 0 AS flat, 0 AS bad, false AS stop,
+         CAST('inf' AS DOUBLE) AS floor_, CAST('inf' AS DOUBLE) AS best
+  UNION ALL
+  SELECT s.epoch, s.loss, t.next_lr,
+         CASE WHEN s.loss < t.floor_ * (1 - 1e-4) THEN t.next_lr WHEN t.flat + 1 > {TRACE_LR_PATIENCE} THEN t.next_lr / 2 ELSE t.next_lr END,
+         CASE WHEN s.loss < t.floor_ * (1 - 1e-4) OR t.flat + 1 > {TRACE_LR_PATIENCE} THEN 0 ELSE t.flat + 1 END,
+         CASE WHEN s.loss < t.best THEN 0 ELSE t.bad + 1 END,
+         CASE WHEN s.loss < t.best THEN false ELSE t.bad + 1 >= {TRACE_PATIENCE} END,
+         CASE WHEN s.loss < t.floor_ * (1 - 1e-4) THEN s.loss ELSE t.floor_ END, least(s.loss, t.best)
+  FROM trace t JOIN series s ON s.epoch = t.epoch + 1 WHERE NOT t.stop)
+SELECT * FROM trace WHERE epoch > 0)"""), [("epoch", "i"), ("loss", "d"), ("lr", "d"), ("next_lr", "d"), ("flat", "i"), ("bad", "i"), ("stop", "b")]),
         "split_counts": q(_feature_ctes(), f"SELECT {_is_val()} AS is_val, count(*) AS rows, count(DISTINCT day) AS days FROM feat GROUP BY 1",
                           [("is_val", "b"), ("rows", "l"), ("days", "l")]),
         "reconstruction_by_group": q([], " UNION ALL ".join(map(_by_group, GROUPS)), [("acorn_group", "s"), ("mse", "d")]),
@@ -524,12 +608,52 @@ FROM slots""", [("mse", "d")]),
     }
 
 
+def _kept_stage() -> dict[str, str]:
+    """Exact quantiles, orders, and tables read back from files."""
+    place = "CAST(row_number() OVER (ORDER BY {}) AS BIGINT) AS place"
+    qs = ", ".join(f"quantile_cont(energy, {p}) AS q{round(p * 100):02d}" for p in QUANTILES)
+    slots = "[" + ", ".join(f"hh_{i}" for i in range(48)) + "]"
+    hours = ", ".join(f"coalesce(hh_{2 * h}, 0) + coalesce(hh_{2 * h + 1}, 0)" for h in range(24))
+    bins = " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(TEMP_BINS))
+    return {
+        "hourly_quantiles": q([("qhours", f"SELECT CAST(substr(day, 1, 4) AS INTEGER) AS year, unnest(range(24)) AS hour, unnest([{hours}]) AS energy FROM half_hourly")],
+                              f"SELECT year, hour, count(*) AS n, {qs} FROM qhours GROUP BY year, hour",
+                              [("year", "i"), ("hour", "i"), ("n", "l")] + [(f"q{round(p * 100):02d}", "d") for p in QUANTILES]),
+        "ordered_mix": q(_quantile_ctes(3) + [
+            ("grid", """SELECT g.Acorn_grouped, l."order", l.quantile_group
+FROM (SELECT DISTINCT Acorn_grouped FROM p_household) AS g CROSS JOIN labels AS l"""),
+            ("dense", """SELECT grid.quantile_group, grid.Acorn_grouped, grid."order", count(lab.quantile_group) AS count
+FROM grid LEFT JOIN lab ON grid.quantile_group = lab.quantile_group AND grid.Acorn_grouped = lab.Acorn_grouped GROUP BY ALL"""),
+            ("shares", """SELECT *, round_even(count / nullif(sum(count) OVER (PARTITION BY quantile_group), 0) * 100, 1) AS percentage FROM dense""")],
+            f"""SELECT {place.format(MIX_ORDER)}, quantile_group, Acorn_grouped FROM shares""",
+            [("place", "l"), ("quantile_group", "s"), ("Acorn_grouped", "s")]),
+        "ordered_bins": q([("bins", f"SELECT DISTINCT temp_bin FROM p_temperature WHERE temp_bin IN ({_in(TEMP_BINS)})")],
+                          f"SELECT {place.format(f'CASE temp_bin {bins} END')}, temp_bin FROM bins", [("place", "l"), ("temp_bin", "s")]),
+        "temp_bin_known": q([], f"""SELECT temp_bin, count(*) AS count, min(avg_temperature) AS min_temp,
+       max(avg_temperature) AS max_temp, avg(avg_temperature) AS avg_temp
+FROM p_temperature WHERE temp_bin IN ({_in(TEMP_BINS)}) AND month % 3 <> 0 GROUP BY 1""",
+            [("temp_bin", "s"), ("count", "l"), ("min_temp", "d"), ("max_temp", "d"), ("avg_temp", "d")]),
+        "households_by_year": q([], """SELECT CAST(substr(d.day, 1, 4) AS INTEGER) AS year, h.Acorn_grouped, count(DISTINCT d.LCLid) AS household_count
+FROM daily AS d JOIN households AS h ON d.LCLid = h.LCLid GROUP BY 1, 2""",
+            [("year", "i"), ("Acorn_grouped", "s"), ("household_count", "l")]),
+        "ledger_rows": q([("r", f"SELECT LCLid, day, {slots} AS l FROM half_hourly")],
+                         "SELECT LCLid, day, CAST(substr(day, 1, 4) AS INTEGER) AS year, list_count(l) AS n, coalesce(list_sum(l), 0) AS total FROM r",
+                         [("LCLid", "s"), ("day", "s"), ("year", "i"), ("n", "i"), ("total", "d")]),
+        "csv_households": q([], "SELECT LCLid, stdorToU, Acorn, Acorn_grouped, file FROM households",
+                            [("LCLid", "s"), ("stdorToU", "s"), ("Acorn", "s"), ("Acorn_grouped", "s"), ("file", "s")]),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {key: rounded(_q(f"SELECT * FROM {cte}"), KINDS[key]) for key, cte in _PATTERN_CTE.items()}
     out.update(_second_stage())
     out.update(_features_stage())
     out.update(_scoring_stage())
     out.update(_training_stage())
+    out.update(_kept_stage())
+    # other ways to the same rows
+    out["hourly_patterns_continuous"] = out["hourly_patterns_refreshed"] = out["hourly_patterns"]
+    out["consumer_groups_3_continuous"], out["temp_box_continuous"] = out["consumer_groups_3"], out["temp_box"]
     # the streaming key scores the same rows with the same (frozen) statistics
     out["stream_anomaly_slots"] = out["anomaly_slots"]
     return out

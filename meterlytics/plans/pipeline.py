@@ -32,8 +32,8 @@ def acorn_profiles(sources: Sources, store: ResultStore, group: str, years: tupl
     def build() -> DataFrame:
         return PR.daily_profiles(
             sources.half_hourly, sources.households, sources.holidays, sources.weather_daily, group, years,
-            strict=strict, align=align, households_rows=sources.row_count("households"),
-            holiday_rows=sources.row_count("holidays"), weather_rows=sources.row_count("weather_daily"))
+            strict=strict, align=align, households_rows=sources.bound("households"),
+            holiday_rows=sources.bound("holidays"), weather_rows=sources.bound("weather_daily"))
     return store.materialize(f"profiles_{profile_tag(group, years, strict, align)}", build, refresh=refresh, memory=False)
 
 

@@ -24,16 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import distinct as DI
 from ..operators import features as FE
-from ..schemas import HALF_HOURLY
+from ..schemas import HALF_HOURLY, SOURCE_SCHEMAS
 from ..operators import model as M
 from ..operators import patterns as P
 from ..operators import profiles as PR
 from ..operators import segments as SG
 from ..operators import views as V
 from ..operators import weather as WX
+from ..operators.quantiles import exact_quantiles
+from ..sources import csv as C
 from ..sources.catalog import Sources, load_sources
 from ..session import path_exists, ship_package
+from ..sources.ledger import Ledger
 from ..sources.store import ResultStore
 from ..streaming import scoring as ST
 from . import oracle as O
@@ -105,23 +109,23 @@ def _seasonal(spark, sf_dir):
 
 def _weekend(spark, sf_dir):
     s = src(spark, sf_dir)
-    return P.weekday_vs_weekend(date_partials(spark, sf_dir), s.holidays, holiday_rows=s.row_count("holidays"))
+    return P.weekday_vs_weekend(date_partials(spark, sf_dir), s.holidays, holiday_rows=s.bound("holidays"))
 
 
 def _household(spark, sf_dir):
     s = src(spark, sf_dir)
-    return P.household_patterns(s.daily, s.households, households_rows=s.row_count("households"))
+    return P.household_patterns(s.daily, s.households, households_rows=s.bound("households"))
 
 
 def _temperature(spark, sf_dir):
     s = src(spark, sf_dir)
-    return P.temperature_energy(date_partials(spark, sf_dir), s.weather_daily, weather_rows=s.row_count("weather_daily"))
+    return P.temperature_energy(date_partials(spark, sf_dir), s.weather_daily, weather_rows=s.bound("weather_daily"))
 
 
 def _temperature_hourly(spark, sf_dir):
     s = src(spark, sf_dir)
     return P.temperature_hourly(s.half_hourly, s.weather_hourly,
-                                weather_rows=s.row_count("weather_hourly"))
+                                weather_rows=s.bound("weather_hourly"))
 
 
 hourly = stored("hourly_patterns", _hourly, memory=True)
@@ -140,7 +144,7 @@ def filtered_projection(spark, sf_dir):
     """F1 pushed to the scan + F4/F5 + P1, recomputed from the sources."""
     s = src(spark, sf_dir)
     te = P.temperature_energy(s.daily, s.weather_daily, years=O.FILTER_YEARS,
-                              weather_rows=s.row_count("weather_daily"))
+                              weather_rows=s.bound("weather_daily"))
     return P.finish(WX.filter_weather(te, O.FILTER_MONTHS, O.FILTER_BINS), None,
                     ["year", "month", "month_name", "temp_bin", "energy_mean", "days_count"])
 
@@ -272,6 +276,97 @@ def train_step_fixed(spark, sf_dir):
                                  "param long, gradient double, weight double")
 
 
+def train_step_unconditional(spark, sf_dir):
+    """M9: the same step without conditions."""
+    f = M.without_conditions(feature_table(spark, sf_dir))
+    cfg = M.infer_dims(f, M.AEConfig(learning_rate=STEP_RATE))
+    vec = M.rule_params(cfg, FIXED_WEIGHT_SEED)
+    grad, new = M.full_step(f, vec, cfg)
+    return spark.createDataFrame([(i, float(g), float(w)) for i, (g, w) in enumerate(zip(grad, new))],
+                                 "param long, gradient double, weight double")
+
+
+def train_rounds_fixed(spark, sf_dir):
+    """M4: two synchronous minibatch steps (one epoch of two rounds in a barrier
+    stage) from the rule weights; the weights after them."""
+    f = feature_table(spark, sf_dir)
+    cfg = M.infer_dims(f, M.AEConfig(learning_rate=STEP_RATE, max_rounds=2, shard_rows=512))
+    table, cfg = M.prepare_training_table(f, cfg, checkpoint=False)
+    try:
+        vec, _, _ = M.sync_epoch(table.where(~F.col("is_val")), M.rule_params(cfg, FIXED_WEIGHT_SEED),
+                                 M.Adam(M.n_params(cfg)), cfg, cfg.learning_rate)
+    finally:
+        table.unpersist()
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(vec)], "param long, weight double")
+
+
+def schedule_trace(spark, sf_dir):
+    """M5 over the monthly mean of the daily maximum temperature, as if it were
+    the loss of an epoch per month."""
+    cfg = M.AEConfig(lr_patience=O.TRACE_LR_PATIENCE, patience=O.TRACE_PATIENCE)
+    month = F.substring("time", 1, 7).alias("month")
+    losses = src(spark, sf_dir).weather_daily.groupBy(month).agg(F.avg(F.col("temperatureMax") + 50).alias("loss"))
+    return M.schedule_trace(losses, "month", "loss", cfg)
+
+
+def hourly_quantiles(spark, sf_dir):
+    """Exact quantiles of the hourly energy by (year, hour), by selection."""
+    long = P.hourly_long(src(spark, sf_dir).half_hourly).where(F.col("energy").isNotNull())
+    out = exact_quantiles(long, "energy", O.QUANTILES, ["year", "hour"], total="n")
+    return out.select("year", "hour", "n", *[F.col("quantiles")[i].alias(f"q{round(p * 100):02d}") for i, p in enumerate(O.QUANTILES)])
+
+
+def hourly_patterns_refreshed(spark, sf_dir):
+    """A1 from stored cells of an older state, in which the first household had
+    other readings: its old rows are retracted, its new ones added."""
+    now = src(spark, sf_dir).half_hourly
+    first = F.col("LCLid") == now.select(F.min("LCLid")).scalar()
+    was = now.withColumns({f"hh_{i}": F.when(first, F.col(f"hh_{i}") * 2 + 1).otherwise(F.col(f"hh_{i}")) for i in range(48)})
+    cells = store(spark, sf_dir).materialize("hourly_cells_before", lambda: P.hourly_cells(was), memory=False)
+    return P.hourly_patterns(P.merge_cells(cells, P.hourly_cells(now.where(first)), P.hourly_cells(was.where(first))))
+
+
+household_numbers = stored("household_numbers", lambda spark, sf_dir: DI.numbered(src(spark, sf_dir).households, ["Acorn_grouped"]))
+household_bitmaps = stored("household_bitmaps", lambda spark, sf_dir: DI.household_bitmaps(
+    src(spark, sf_dir).daily, household_numbers(spark, sf_dir), ["Acorn_grouped"], src(spark, sf_dir).bound("households")))
+
+
+def households_by_year(spark, sf_dir):
+    """Distinct households per year and group, from stored bitmaps."""
+    return DI.distinct_households(household_bitmaps(spark, sf_dir), F.year("_d").alias("year"), "Acorn_grouped")
+
+
+def _csv_copy(spark, sf_dir) -> str:
+    """All sources in the CSV layout, written once per source state."""
+    s = src(spark, sf_dir)
+    root = f"{store(spark, sf_dir).root}/csv"
+    if not path_exists(spark, f"{root}/made/_SUCCESS"):
+        tables = {n: s.tables[n].select(*SOURCE_SCHEMAS[n].fieldNames()) for n in C.LAYOUT}
+        tables["half_hourly"] = tables["half_hourly"].repartition(8, "LCLid")    # a household's history in one file
+        C.write_sources_csv(tables, root)
+        spark.range(1).write.mode("overwrite").parquet(f"{root}/made")
+    return root
+
+
+def ledger_rows(spark, sf_dir):
+    """The half-hourly rows from block files kept by a ledger, which
+    first sees half of the files and then all of them."""
+    root = _csv_copy(spark, sf_dir)
+    where, home = f"{root}/{C.LAYOUT['half_hourly']}", f"{store(spark, sf_dir).root}/ledger"
+    if not path_exists(spark, home):
+        Ledger(spark, home, where, HALF_HOURLY, "part-0000[0-3]*.csv").refresh(strict=True)
+    ledger = Ledger(spark, home, where, HALF_HOURLY)
+    ledger.refresh(strict=True)
+    slots = F.array(*[F.col(f"hh_{i}") for i in range(48)])
+    return ledger.table().select("LCLid", "day", "year", F.size(F.filter(slots, lambda x: x.isNotNull())).alias("n"),
+                                 F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("total"))
+
+
+def csv_households(spark, sf_dir):
+    """The households read from their CSV file."""
+    return C.read_sources(spark, _csv_copy(spark, sf_dir))["households"]
+
+
 def split_counts(spark, sf_dir):
     """M1: rows and days of the training and the validation part."""
     cfg = M.AEConfig()
@@ -320,8 +415,8 @@ def stream_anomaly_slots(spark, sf_dir):
     cfg = M.AEConfig(input_dim=spec.length, cond_dim=FE.COND_DIM)
     score = ST.batch_scorer(s.households, s.holidays, s.weather_daily, O.PROFILE_GROUP, O.PROFILE_YEARS, spec,
                             M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg, ANOMALY_THRESHOLD,
-                            households_rows=s.row_count("households"), holiday_rows=s.row_count("holidays"),
-                            weather_rows=s.row_count("weather_daily"))
+                            households_rows=s.bound("households"), holiday_rows=s.bound("holidays"),
+                            weather_rows=s.bound("weather_daily"))
     query = ST.start(ST.block_stream(spark, inbox, max_files_per_trigger=16), score, f"{sink}/out", f"{sink}/checkpoint")
     query.awaitTermination()
     if query.exception() is not None:
@@ -382,9 +477,24 @@ RAW: dict[str, Builder] = {
     "reconstruction_error": reconstruction_error,
     "stream_anomaly_slots": stream_anomaly_slots,
     "reconstruction_by_group": reconstruction_by_group,
+    "hourly_quantiles": hourly_quantiles,
+    "hourly_patterns_continuous": lambda spark, sf_dir: P.hourly_patterns(src(spark, sf_dir).half_hourly, continuous=True),
+    "hourly_patterns_refreshed": hourly_patterns_refreshed,
+    "consumer_groups_3_continuous": second(lambda d: SG.consumer_groups(d, "energy_mean", 3, continuous=True), household),
+    "temp_box_continuous": second(lambda d: WX.temp_box(d, continuous=True), temperature),
+    "ordered_mix": second(lambda d: placed(SG.consumer_group_mix(d, "energy_mean", 3), "quantile_group", "Acorn_grouped"), household),
+    "ordered_bins": second(lambda d: placed(WX.temp_bin_summary(d), "temp_bin"), temperature),
+    "temp_bin_known": second(lambda d: WX.temp_bin_summary(d.withColumn(
+        "temp_bin", F.when(F.col("month") % 3 == 0, "unheard of").otherwise(F.col("temp_bin")))), temperature),
+    "households_by_year": households_by_year,
+    "ledger_rows": ledger_rows,
+    "csv_households": csv_households,
     "list_codec": list_codec,
     "weekend_text": weekend_text,
     "train_step_fixed": train_step_fixed,
+    "train_step_unconditional": train_step_unconditional,
+    "train_rounds_fixed": train_rounds_fixed,
+    "schedule_trace": schedule_trace,
     "split_counts": split_counts,
     "latent_codes": latent_codes,
     "train_autoencoder": train_autoencoder,
