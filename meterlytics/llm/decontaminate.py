@@ -13,9 +13,12 @@
    are the leading right singular vectors of ``A``.
 4. Windows of ``SIZES`` words with half overlaps are folded in and compared with
    the items of their size; pairs of cosine ``NEAR`` or more are candidates (low:
-   false candidates cost little, paraphrases below it would be lost).
-   Those whose words around the window hold too few of the item's words for
-   step 5 go (the words in common bound the subsequence from above).
+   false candidates cost little, paraphrases below it would be lost). Only pairs
+   that can pass step 5 are compared: an item that needs ``m`` of its ``n`` words
+   around a window must have ``SEVERAL`` of its ``n - m + SEVERAL`` rarest there
+   (``Items.index``), so windows are visited from the places of those words.
+   Candidates with too few of the item's words around the window go (the words
+   in common bound the subsequence from above).
 5. A candidate is confirmed by the longest common subsequence of the item and
    the words around the window: a share of ``SAME`` of the item's words, or of
    ``PARAPHRASE`` when the answer (the item's last sentence, at most its last
@@ -53,7 +56,8 @@ ANSWER, FEW = 6, 8
 COMMON = 1.0             # no word is left out, however many passages hold it: the smooth idf stays above 0
 ITEMS = 512
 SLICE = 2 << 20
-WINDOWS, CANDIDATES = 8192, 4096        # compared at a time
+PAIRS, CANDIDATES = 1 << 16, 4096        # compared at a time
+SEVERAL = 3              # rare words of an item that a window must hold
 
 #: bytes that part words: all of ASCII but letters and digits
 _PART = np.zeros(256, bool)
@@ -98,6 +102,24 @@ class Items:
         for k, w in enumerate(self.words):
             np.add.at(self.times[k], w, 1)
 
+    def index(self, idf: np.ndarray) -> None:
+        """For each word, the pieces that have it among their rarest words: of
+        ``n`` words, ``n - m + several`` (``m`` needed), so that any place with
+        ``m`` of them has ``several`` of these."""
+        self.several = np.minimum(SEVERAL, self.need)
+        word, piece = [], []
+        for k, own in enumerate(self.words):
+            u, c = np.unique(own, return_counts=True)
+            order = np.argsort(-idf[u], kind="stable")
+            enough = len(own) - self.need[k] + self.several[k]
+            rare = u[order[:int(np.searchsorted(np.cumsum(c[order]), enough)) + 1]]
+            word.append(rare)
+            piece.append(np.full(len(rare), k))
+        word, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, piece))
+        order = np.argsort(word, kind="stable")
+        self.listed = piece[order].astype(np.int64)
+        self.list_at = np.searchsorted(word[order], np.arange(len(self.vocab) + 1))
+
     def vectors(self, weighted: np.ndarray) -> np.ndarray:
         """Unit latent vectors of the pieces."""
         v = np.array([weighted[w].sum(axis=0) for w in self.words]) if self.words else np.zeros((0, weighted.shape[1]))
@@ -249,7 +271,6 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weighted, vectors = shared.value
         weighted, vectors = weighted.astype(np.float32), vectors.astype(np.float32)
-        member = (items.times > 0).astype(np.uint16)
         useful = np.abs(weighted).sum(axis=1) > 0
         for b, words, off in _groups(batches, 1, 1 << 17):
             best: dict[tuple[int, int], tuple] = {}
@@ -268,26 +289,24 @@ def _search(shared):
                 cuts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
                 sums[u[cuts] + 1] = np.add.reduceat(weighted[words[live]], cuts, axis=0)
             np.cumsum(sums, axis=0, out=sums)
-            # words of each piece up to each known word (differences wrap rightly)
-            held = np.zeros((len(items.words), len(at) + 1), np.uint16)
-            np.cumsum(np.take(member, known, axis=1), axis=1, dtype=np.uint16, out=held[:, 1:])
+            place, piece = _rare_places(items, at, known)
             for size in SIZES:
-                pick = np.flatnonzero(items.size == size)
-                if not len(pick) or not len(live):
+                mine = items.size[piece] == size
+                if not mine.any() or not len(live):
                     continue
                 d, s, e = _windows(off, size)
                 margin = size // 4 + UNIT
                 first = np.maximum(off[d], off[d] + (s - base[d]) * UNIT - margin)
                 last = np.minimum(off[d + 1], off[d] + (e - base[d]) * UNIT + margin)
-                for lo in range(0, len(d), WINDOWS):
-                    w = _unit((sums[e[lo:lo + WINDOWS]] - sums[s[lo:lo + WINDOWS]]).astype(np.float32))
-                    cos = w @ vectors[pick].T
-                    row, col = np.nonzero(cos >= NEAR)
-                    piece, begin, end = pick[col], before[first[lo + row]], before[last[lo + row]]
-                    some = np.flatnonzero(held[piece, end] - held[piece, begin] >= items.need[piece])
-                    kept = some[_enough(items, piece[some], known, begin[some], end[some])]
-                    for r, c, x in zip(row[kept].tolist(), piece[kept].tolist(), cos[row[kept], col[kept]].tolist()):
-                        k, x0, x1 = int(d[lo + r]), int(first[lo + r]), int(last[lo + r])
+                row, which = _visited(items, place[mine], piece[mine], doc, off, d, size, margin)
+                for lo in range(0, len(row), PAIRS):
+                    r, c = row[lo:lo + PAIRS], which[lo:lo + PAIRS]
+                    w = _unit((sums[e[r]] - sums[s[r]]).astype(np.float32))
+                    cos = np.einsum("ij,ij->i", w, vectors[c])
+                    near = np.flatnonzero(cos >= NEAR)
+                    kept = near[_enough(items, c[near], known, before[first[r[near]]], before[last[r[near]]])]
+                    for x, r, c in zip(cos[kept].tolist(), r[kept].tolist(), c[kept].tolist()):
+                        k, x0, x1 = int(d[r]), int(first[r]), int(last[r])
                         found = _confirm(items, c, words[x0:x1])
                         if found and ((k, c) not in best or found[0] > best[k, c][0]):
                             best[k, c] = (*found, x, x0 - int(off[k]), x1 - int(off[k]))
@@ -306,6 +325,41 @@ def _search(shared):
     return run
 
 
+def _rare_places(items: Items, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that are among a piece's rarest, and the piece, by piece
+    and place."""
+    count = items.list_at[known + 1] - items.list_at[known]
+    place = np.repeat(at, count)
+    step = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+    piece = items.listed[np.repeat(items.list_at[known], count) + step]
+    order = np.lexsort((place, piece))
+    return place[order], piece[order]
+
+
+def _visited(items: Items, place: np.ndarray, piece: np.ndarray, doc: np.ndarray, off: np.ndarray, windows: np.ndarray,
+             size: int, margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (rows of ``windows``, the document of each) and pieces such that
+    the words around the window hold enough rare words of the piece."""
+    j = np.arange(len(place))
+    end = j + items.several[piece] - 1
+    j, end = j[end < len(place)], end[end < len(place)]
+    same = (piece[j] == piece[end]) & (doc[place[j]] == doc[place[end]])
+    j, end = j[same], end[same]
+    k = doc[place[j]]
+    x0, x1 = place[j] - off[k], place[end] - off[k]
+    # windows that begin, with their margin, at or before x0 and end after x1
+    m, stride = size // UNIT, max(1, size // UNIT // 2)
+    total = np.bincount(windows, minlength=len(off) - 1)
+    base = np.cumsum(total) - total
+    most = np.minimum((x0 + margin) // UNIT // stride, total[k] - 1)
+    least = np.maximum(0, -(-((x1 - margin - m * UNIT) // UNIT + 1) // stride))
+    some = most >= least
+    k, least, count, own = k[some], least[some], (most - least + 1)[some], piece[j][some]
+    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    pairs = np.unique(np.repeat(own, count) * np.int64(len(windows) + 1) + np.repeat(base[k] + least, count) + step)
+    return pairs % (len(windows) + 1), pairs // (len(windows) + 1)
+
+
 def _enough(items: Items, piece: np.ndarray, known: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Candidates whose range ``lo:hi`` of ``known`` words has as many words of
     the piece (each counted as often as in the piece) as it needs."""
@@ -360,6 +414,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         numbered = cut(docs.select("doc_id", "text").mapInArrow(
             _number(spark.sparkContext.broadcast(items.vocab)), f"doc_id {kind}, words binary"), "leak-words")
         idf, basis = latent_space(numbered, len(items.vocab))
+        items.index(idf)
         weighted = idf[:, None] * basis
         shared = spark.sparkContext.broadcast((items, weighted, items.vectors(weighted)))
         hits = cut(numbered.mapInArrow(_search(shared), schema), "leak-hits")
