@@ -18,7 +18,9 @@ the sample are reduced to words on the executors; one task fits on them and
 returns at most ``max_words`` weights of features.
 
 Defined results: null and empty texts have no words and get the bias alone;
-without any toxic label every score is the prior's; repeated rows are scored
+without any toxic label, or if no labelled toxic document or no unlabelled one
+is in the table, every score is the same and below the threshold (0.047, the
+logistic of ``NOTHING``); repeated rows are scored
 each; a document with several labels counts as toxic if one says so; other
 columns are never inputs.
 """
@@ -133,6 +135,15 @@ def _forward(rows, w, bias):
     return np.bincount(at, w[cols], len(rows)) + bias, cols, length
 
 
+#: bias of the model that has nothing to learn from
+NOTHING = -3.0
+
+
+def sample_share(limit: int, count: int) -> int:
+    """Places out of 10^12 that are in a sample of about ``limit`` of ``count`` rows."""
+    return int(min(1.0, limit / max(1, count)) * 10 ** 12)
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
           max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict[str, float]:
     """Weights from the rows whose id remainder is not ``held``."""
@@ -141,12 +152,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
            .where(remainder(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n, toxic = own.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     if not toxic:
-        return {"": -3.0}
+        return {"": NOTHING}
     prior = min(max(toxic / n, 1e-3), 0.9)
 
     def part(limit: int, count: int, seed: int):
-        share = min(1.0, limit / max(1, count))
-        return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+        # places in 10^12, so that the sample does not thin out before 10^15 rows
+        h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+        place = F.pmod(h, F.lit(1_000_000)) * 1_000_000 + F.pmod(F.xxhash64(h), F.lit(1_000_000))
+        return place < sample_share(limit, count)
 
     # ids of the sample: limit rows at the most reach the broadcast
     pos = own.where("toxic = 1").where(part(max_positive, toxic, 1)).select("doc_id").limit(2 * max_positive)
@@ -163,12 +176,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
     def learn(b: pd.DataFrame) -> pd.DataFrame:
         order = [w for _, w in sorted(zip(map(" ".join, b["words"]), b.index))]    # no dependence on row order
         b = b.loc[order]
+        if not b["p"].any() or not b["u"].any():
+            return pd.DataFrame({"word": [""], "weight": [NOTHING]})
         w = fit(list(b["words"][b["p"]]), list(b["words"][b["u"]]), prior)
         return pd.DataFrame({"word": list(w), "weight": list(w.values())})
 
     reduced = sample.mapInPandas(reduce_, "g int, p boolean, u boolean, words array<string>")
     fitted = reduced.groupBy("g").applyInPandas(learn, "word string, weight double").collect()
-    return {r["word"]: r["weight"] for r in fitted} or {"": -3.0}
+    return {r["word"]: r["weight"] for r in fitted} or {"": NOTHING}
 
 
 def score(docs: DataFrame, weights: dict[str, float], keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
