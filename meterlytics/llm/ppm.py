@@ -167,12 +167,14 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pairs(values: np.ndarray, counts: np.ndarray) -> bytes:
-    return np.array([len(values)], np.uint32).tobytes() + values.tobytes() + counts.astype(np.uint32).tobytes()
+    # counts in as many bytes as the largest needs
+    wide = np.uint64 if len(counts) and int(counts.max()) >> 32 else np.uint32
+    return np.array([len(values), np.dtype(wide).itemsize], np.uint32).tobytes() + values.tobytes() + counts.astype(wide).tobytes()
 
 
 def _read_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    return np.frombuffer(blob, np.uint64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
+    n, size = np.frombuffer(blob, np.uint32, 2).tolist()
+    return np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint64 if size == 8 else np.uint32, n, 8 + 8 * n)
 
 
 def _words(part: pa.Array):
@@ -446,7 +448,9 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame
     u, c = _join([_read_pairs(bytes(r["blob"])) for r in often])
     cells = counts.where("kind = 1")
     # broadcast: at most MODEL_CELLS cells of the longest order
-    sizes = sum((np.array(r["often"]) for r in cells.select("often").collect()), np.zeros(STEPS + 1, np.int64))
+    sizes = np.zeros(STEPS + 1, np.int64)
+    for r in cells.select(F.posexplode("often").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        sizes[r["k"]] = r["n"]
     above = np.cumsum(sizes[::-1])[::-1]
     least = next((k for k in range(1, STEPS + 1) if above[k] <= MODEL_CELLS), STEPS)
     if above[STEPS] > MODEL_CELLS:                        # a corpus beyond the steps: by the share that bounds them
