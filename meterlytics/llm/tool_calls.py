@@ -7,7 +7,8 @@ serialised:
 1. results are hash-joined to calls on (conversation, identifier); of several
    results of one call the first by ``seq`` counts, then the least content;
    repeated calls of one identifier are told apart the same way, and the first
-   one counts;
+   one counts; the others come back as rows of their own, with status
+   ``repeated_call`` or ``repeated_result``;
 2. calls are ordered topologically: the level of a call is one more than the
    highest level among the calls it needs. Chains of calls with one need each
    are resolved by pointer doubling, so rounds grow with the logarithm of a
@@ -162,6 +163,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     answer = (results.where(has_id).groupBy(*key)
               .agg(F.count("*").alias("answers"), F.min(F.struct("seq", "content")).alias("r"))
               .select(*key, "answers", F.col("r.seq").alias("result_seq"), F.col("r.content").alias("content")))
+    again = _repeated(calls.where(has_id).select(*key, "seq", "name", "arguments", "needs"), first, "call").unionByName(_repeated(
+        results.where(has_id).select(*key, "seq", "content"), answer.where("answers > 1").select(
+            *key, F.col("answers").alias("copies"), F.col("result_seq").alias("seq"), "content"), "result"))
     needs = first.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need")).where("need IS NOT NULL")
     there = first.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("there"))
     checked = cut(needs.join(there, ["conv_id", "need"], "left"), "calls-needs")
@@ -187,7 +191,30 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         *key, "seq", "name", F.lit(None).cast("long").alias("level"), F.lit("no_id").alias("status"),
         F.array().cast("array<string>").alias("problems"), F.lit(0).cast("long").alias("missing_needs"),
         F.lit(None).cast("string").alias("json"))
-    return linked.unionByName(lost).unionByName(nameless)
+    return linked.unionByName(lost).unionByName(nameless).unionByName(again)
+
+
+def _repeated(rows: DataFrame, first: DataFrame, what: str) -> DataFrame:
+    """Rows of an identifier beside its ``first``: one each, with status
+    ``repeated_call`` or ``repeated_result``."""
+    key = ["conv_id", "call_id"]
+    comparable = [c for c in rows.columns if c not in key]
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if dict(df.dtypes)[c].startswith("map") else F.col(c)
+                                          for c in comparable]).alias(name))
+    met = parts(rows, "own").join(parts(first.where("copies > 1"), "kept"), key)
+    same = F.col("own").eqNullSafe(F.col("kept"))
+    # of rows equal to the first, all but one
+    more = (met.where(same).groupBy(*key, "own").agg(F.count("*").alias("k")).where("k > 1")
+            .select(*key, "own", F.explode(F.sequence(F.lit(2), F.col("k")))).drop("col"))
+    name = F.col("own.name") if "name" in comparable else F.lit(None).cast("string")
+    return met.where(~same).select(*key, "own").union(more).select(
+        *key, F.col("own.seq").alias("seq"), name.alias("name"), F.lit(None).cast("long").alias("level"),
+        F.lit(f"repeated_{what}").alias("status"), F.array().cast("array<string>").alias("problems"),
+        F.lit(0).cast("long").alias("missing_needs"),
+        (F.lit(None).cast("string") if what == "call" else F.to_json(F.struct(
+            F.col("own.content").alias("content"), F.col("call_id").cast("string").alias("id")))).alias("json"))
 
 
 def _json_text(column: str) -> Column:
@@ -272,5 +299,12 @@ SELECT r.conv_id, r.call_id, r.call_id + 1, NULL, NULL, 'no_call', '', 0,
             ELSE '{"content":' || to_json(content)::VARCHAR || ',"id":"' || r.call_id || '"}' END
 FROM r LEFT JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.call_id WHERE c.conv_id IS NULL
 UNION ALL
+SELECT conv_id, call_id, seq, name, NULL, 'repeated_call', '', 0, NULL FROM calls WHERE k > 1
+UNION ALL
+SELECT conv_id, turn - 1, turn, NULL, NULL, 'repeated_result', '', 0,
+       CASE WHEN text IS NULL THEN '{"id":"' || (turn - 1) || '"}' ELSE '{"content":' || to_json(text)::VARCHAR || ',"id":"' || (turn - 1) || '"}' END
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) AS k FROM conversations
+      WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL) WHERE k > 1
+UNION ALL
 SELECT conv_id, turn, turn, CASE role WHEN 'user' THEN 'ask' ELSE role END, NULL, 'no_id', '', 0, NULL
 FROM conversations WHERE (role IS NULL OR role <> 'assistant') AND (conv_id IS NULL OR turn IS NULL)"""
