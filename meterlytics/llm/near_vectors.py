@@ -56,8 +56,26 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["vec_id", "label", "embedding", "key", "rep"])
 
 
+def matrix(rows) -> np.ndarray:
+    """Lists of one length (no nulls) as the rows of a matrix."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(rows), -1)
+
+
+def distances(c: np.ndarray, of: np.ndarray, part: int = 16) -> np.ndarray:
+    """Distances of the centres ``of`` to all, by differences (no cancellation),
+    some rows at a time; other rows are left at zero."""
+    out = np.zeros((len(c), len(c)))
+    for i in range(0, len(of), part):
+        rows = of[i:i + part]
+        out[rows] = np.linalg.norm(c[rows][:, None, :] - c[None, :, :], axis=2)
+    return out
+
+
 def unit(rows) -> np.ndarray:
-    m = np.array(rows.to_pylist(), np.float64)
+    m = matrix(rows)
     m /= np.abs(m).max(axis=1, keepdims=True)          # no overflow in the norm
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
@@ -98,11 +116,10 @@ def _assign(threshold: float):
         x = unit(left.column("vector"))
         if right.num_rows:
             right = right.sort_by("cell")
-            c = np.array(right.column("centre").to_pylist())
+            c = matrix(right.column("centre"))
             sim = x @ c.T
             best = sim.argmax(axis=1)
-            gap = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 512 else \
-                np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+            gap = distances(c, np.unique(best))
             near = sim[np.arange(len(x)), best][:, None] - sim <= sine * gap[best] + 1e-12
             near &= np.arange(len(c))[None, :] < best[:, None]
             row, cell = np.nonzero(near)
