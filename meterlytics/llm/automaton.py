@@ -265,8 +265,36 @@ def compile_rules(rules: list[tuple[str, bool]], also: list[tuple[str, bool]] =
                      int((masks == 0).sum()) * width, masks, resets)
 
 
+#: bytes after which all states should have met
+MEET = 32
+
+
+def _meetings(a: Automaton, cls: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts within lanes of over four times ``lane``, and the state there: of
+    every ``lane``-th place, those where all states, run over the ``MEET`` bytes
+    before, end in one."""
+    places = [np.arange(s + lane, e, lane) for s, e in zip(starts, ends) if e - s > 4 * lane and lane >= MEET]
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    at = np.concatenate(places)
+    every = np.arange(a.states, dtype=np.int32) * a.n_classes
+    cut, known = [], []
+    for k in range(0, len(at), 4096):
+        p = at[k:k + 4096]
+        state = np.broadcast_to(every, (len(p), a.states))
+        for j in range(MEET, 0, -1):
+            state = a.table[state + cls[p - j][:, None]]
+        met = (state == state[:, :1]).all(axis=1)
+        cut.append(p[met])
+        known.append(state[met, 0])
+    return np.concatenate(cut), np.concatenate(known).astype(np.int32)
+
+
 def scan(a: Automaton, data: np.ndarray, lane: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (of the last byte) and rule masks of all accepting steps."""
+    """Positions (of the last byte) and rule masks of all accepting steps.
+
+    The text is cut into lanes that run side by side: at reset bytes and, where
+    those are too far apart, at places that all states reach alike."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -276,11 +304,15 @@ def scan(a: Automaton, data: np.ndarray, lane: int = 2048) -> tuple[np.ndarray,
     at = np.searchsorted(reset, want)
     cuts = reset[at[at < len(reset)]] + 1
     starts = np.unique(np.concatenate([[0], cuts[cuts < n]]))
+    more, known = _meetings(a, cls, starts, np.append(starts[1:], n), lane)
+    state = np.concatenate([np.zeros(len(starts), np.int32), known])
+    starts = np.concatenate([starts, more])
+    order = np.argsort(starts, kind="stable")
+    starts, state = starts[order], state[order]
     ends = np.append(starts[1:], n)
     order = np.argsort(starts - ends, kind="stable")          # longest first
-    starts, length = starts[order], (ends - starts)[order]
+    starts, length, state = starts[order], (ends - starts)[order], state[order]
     live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
-    state = np.zeros(len(starts), np.int32)
     found_at, found = [], []
     for i, k in enumerate(live):
         if k < len(state):

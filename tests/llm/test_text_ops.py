@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -321,3 +322,42 @@ def test_scores_equal_brute_force_whatever_is_broadcast(spark, monkeypatch, cell
     symbol, inner = ppm.symbol_map(np.bincount(np.frombuffer("".join(train).encode(), np.uint8), minlength=256))
     for i, text in docs:
         assert got[i]["score"] == pytest.approx(brute_log10(train, (text or "").lower(), symbol, inner, ppm.ORDER), abs=1e-8)
+
+
+def test_counts_beyond_32_bits():
+    values = np.array([3, 7, 9], np.uint64)
+    for counts in ([1, 2, 3], [1, 2 ** 32 + 5, 2 ** 40], []):
+        u, c = ppm._read_pairs(ppm._pairs(values[:len(counts)], np.array(counts, np.int64)))
+        assert u.tolist() == values[:len(counts)].tolist() and c.tolist() == counts
+    u, c = ppm._sum([ppm._read_pairs(ppm._pairs(values, np.array([2 ** 32 - 1, 1, 1])))] * 2)
+    assert c.tolist() == [2 ** 33 - 2, 2, 2]
+
+
+def test_long_lanes_are_cut_where_all_states_meet():
+    auto = secrets.automaton(secrets.RULES)
+
+    def brute(data):
+        state, out = 0, []
+        for i, c in enumerate(auto.classes[data].tolist()):
+            state = auto.table[state + c]
+            if state >= auto.first_accept:
+                out.append((i, int(auto.accepts[state // auto.n_classes])))
+        return out
+    rng = random.Random(1)
+    for alphabet in ("abcdefgh  ", "abcdef0123456789", "password: =k ", "AKIAx 0", "aAzZ ghpousr_-x", "tokensecretapikey=: \"'x", " "):
+        text = "".join(rng.choices(alphabet, k=6000)) + " password = 'abcdefghijklmnop" + "".join(rng.choices(alphabet, k=3000))
+        data = np.frombuffer(text.encode(), np.uint8)
+        for lane in (40, 300, 2048):
+            at, mask = automaton.scan(auto, data, lane)
+            order = np.argsort(at)
+            assert list(zip(at[order].tolist(), mask[order].tolist())) == brute(data)
+
+
+def test_megabytes_without_a_reset_byte():
+    import time
+    text = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz  ", k=3_000_000)) + " token = abcdefghijklmnopqrst"
+    exprs = [re.compile(r.regex, re.IGNORECASE if r.fold else 0) for r in secrets.RULES]
+    began = time.process_time()
+    found = secrets.find_spans(pa.array([text]), secrets.RULES, secrets.automaton(secrets.RULES), exprs)[0]
+    assert time.process_time() - began < 6
+    assert [s for s in found if s[2] == 0] == [(3_000_001, len(text), 0)]
