@@ -282,23 +282,30 @@ def _search(shared):
             known = words[at].astype(np.int64)
             before = np.zeros(len(words) + 1, np.int64)          # known words before each place
             np.cumsum(words >= 0, out=before[1:])
-            live = at[useful[known]]
-            sums = np.zeros((int(units.sum()) + 1, weighted.shape[1]), np.float64)
-            if len(live):
-                u = unit[live]
-                cuts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-                sums[u[cuts] + 1] = np.add.reduceat(weighted[words[live]], cuts, axis=0)
-            np.cumsum(sums, axis=0, out=sums)
             place, piece = _rare_places(items, at, known)
+            visits, wanted = [], np.zeros(int(units.sum()) + 1, np.int32)
             for size in SIZES:
                 mine = items.size[piece] == size
-                if not mine.any() or not len(live):
+                if not mine.any():
                     continue
                 d, s, e = _windows(off, size)
                 margin = size // 4 + UNIT
                 first = np.maximum(off[d], off[d] + (s - base[d]) * UNIT - margin)
                 last = np.minimum(off[d + 1], off[d] + (e - base[d]) * UNIT + margin)
                 row, which = _visited(items, place[mine], piece[mine], doc, off, d, size, margin)
+                seen = np.unique(row)
+                np.add.at(wanted, s[seen], 1)
+                np.add.at(wanted, e[seen], -1)
+                visits.append((d, s, e, first, last, row, which))
+            # latent sums of the units in visited windows
+            sums = np.zeros((len(wanted), weighted.shape[1]), np.float64)
+            live = useful[known] & (np.cumsum(wanted) > 0)[unit[at]]
+            if live.any():
+                u, words_of_units = unit[at[live]], known[live]
+                cuts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+                sums[u[cuts] + 1] = np.add.reduceat(weighted[words_of_units], cuts, axis=0)
+            np.cumsum(sums, axis=0, out=sums)
+            for d, s, e, first, last, row, which in visits:
                 for lo in range(0, len(row), PAIRS):
                     r, c = row[lo:lo + PAIRS], which[lo:lo + PAIRS]
                     w = _unit((sums[e[r]] - sums[s[r]]).astype(np.float32))
