@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, LOWER, UPPER, prepare, slices, text_buffers
@@ -486,10 +486,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     for s in scored[1:]:
         best = best.union(s)
     best = best.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    # the limit on the place is applied in every task before the shuffle
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # laid out by range, as one language may hold most candidates
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    best = places(best, ["lang"], order, scratch, "best").where(F.col("pos") < top).withColumn("rank", F.col("pos") + 1)
+    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 #: words of pieces; then phrases, counts, cuts and the rule on longer ones as stated
