@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_root, ship_package
+from ..session import delete_path, shared_root, ship_package
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: lower-cases A-Z only, byte by byte
@@ -22,10 +22,19 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: rows of an Arrow batch, where the session keeps Spark's default: texts and
+#: sets are long, and a batch stands in the JVM and in the worker at once
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the Python workers and set the checkpoint folder."""
+    """Ship the package to the Python workers, set the checkpoint folder, and
+    bound the Arrow batches unless the session sets its own bound."""
     ship_package(spark)
     shared_root(spark)
+    key, default, ours = BATCH_ROWS
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, ours)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,7 +43,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that no later step reads."""
+    for t in tables:
+        path = t.__dict__.pop("_written", None)
+        if path:
+            delete_path(t.sparkSession, path)
 
 
 def lower_ascii(col):
@@ -101,7 +120,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(m.select("u", F.col("m").alias("v"))))
-        e = cut(small.where("u <> v").distinct(), name)
+        last, e = e, cut(small.where("u <> v").distinct(), name)
+        forget(last)
         sign = e.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
         if sign == seen:
             break

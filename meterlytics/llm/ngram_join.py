@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, IS_SPACE, components, cut, prepare, slices, text_buffers
+from .common import ASCII_LOWER, IS_SPACE, components, cut, forget, lower_ascii, prepare, slices, text_buffers
 
 WORDS = 5
 PERCENT = 75
@@ -85,32 +85,42 @@ def word_bounds(data: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE)
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
+#: bytes hashed at once
+WINDOW = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; kept for usual slices."""
+    """Powers of the base and of its inverse; kept for usual windows."""
     kept = _POWERS.get("up")
     if kept is None or len(kept) < n:
-        size = max(n, SLICE + (SLICE >> 2))
         arrays = []
         for x in (_BASE, _BASE_INV):
-            a = np.full(size, x, np.uint64)
+            a = np.full(max(n, WINDOW + 1), x, np.uint64)
             a[0] = 1
             arrays.append(np.cumprod(a, dtype=np.uint64))
-        if size > 4 * SLICE:
+        if n > WINDOW + 1:                      # a very long word
             return arrays[0], arrays[1]
         _POWERS["up"], _POWERS["down"] = arrays
     return _POWERS["up"], _POWERS["down"]
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges: a rolling polynomial, then mixed."""
-    n = len(data)
-    power, back = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of the ascending byte ranges: a rolling polynomial, then
+    mixed. Done in windows, as the hash does not depend on where a word stands."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        lo = int(start[a])
+        b = max(a + 1, int(np.searchsorted(end, lo + WINDOW, side="right")))
+        part, n = data[lo:int(end[b - 1])], int(end[b - 1]) - lo
+        power, back = _powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[:n], dtype=np.uint64, out=total[1:])
+        first, last = start[a:b] - lo, end[a:b] - lo
+        out[a:b] = mix((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -419,10 +429,13 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
     placed = (_mixed(placed)[0].join(heads, "key")
               .withColumn("before", F.slice("head", F.lit(1), (F.col("pos") - F.col("lone")).cast("int"))).drop("head", "lone"))
     placed = cut(placed, "ngram-mixed")
+    forget(entries)
+    # only sets of neighbouring size blocks can link: a list is joined block by block
     left = placed.where("comp <> main").select(*[F.col(c).alias(f"{c}_l") if c != "token" else F.col(c)
                                                  for c in placed.columns if c != "main"])
-    cand = (left.join(placed, "token")
-            .where("comp_l <> comp AND abs(block_l - block) <= 1 AND (comp = main OR key_l < key)")
+    left = left.withColumn("block", F.explode(F.array(F.col("block_l") - 1, F.col("block_l"), F.col("block_l") + 1)))
+    cand = (left.join(placed, ["token", "block"])
+            .where("comp_l <> comp AND (comp = main OR key_l < key)")
             .where(_reachable(F.col("n_l"), F.col("pos_l"), F.col("n"), F.col("pos")))
             .where(~F.arrays_overlap("before_l", "before"))
             .select(F.least("key_l", "key").alias("u"), F.greatest("key_l", "key").alias("v"),
@@ -434,6 +447,7 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
             .groupBy("u", "v").agg(F.any_value("cu").alias("cu"), F.any_value("cv").alias("cv"), F.max((100 + PERCENT) * F.coalesce("low", F.lit(0)) >= PERCENT * F.col("sum")).alias("sure")))
     known = seen.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     cand = cut(cand.join(known, ["u", "v"], "left_anti"), "ngram-open")
+    forget(placed)
     more = _compare(cand.where("NOT sure").select("u", "v"), sets)
     more = more.where(_links(F.col("overlap"), F.col("nu"), F.col("nv"))).select("u", "v")
     # links between components; their members need not be told apart any more
@@ -455,15 +469,18 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id.
-    Repeated rows of an id are one document; rows without an id stay."""
+    """``docs`` with one document of each class, that of the smallest id. Rows
+    of one id and the same words are one document; rows of one id with other
+    words all stay, and so do rows without an id."""
     classes = cut(ngram_classes(docs), "ngram-classes")
     first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     if first.where("__rows > 1").isEmpty():
         kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*cols)
     else:
-        kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+        words = F.sha2(F.array_join(F.array_remove(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), ""), " "), 256)
+        kept = (docs.join(first.select("doc_id"), "doc_id", "left_semi").withColumn("__words", words)
+                .dropDuplicates(["doc_id", "__words"]).select(*cols))
     return kept.union(docs.where("doc_id IS NULL"))
 
 

@@ -107,6 +107,24 @@ def test_classes_on_repeated_rows_and_empty_table(spark):
     assert got == [("1", 2, 1), ("1", 2, 1), ("2", 2, 1), ("None", 2, None)]
     assert sorted(repr(r["doc_id"]) for r in ngram_join.drop_near_copies(docs).collect()) == ["1", "None"]
     assert ngram_join.ngram_classes(docs.limit(0)).collect() == []
+    # rows of one id with unlike texts all stay
+    rows = [(5, "one two three four five six"), (5, "ONE two  three four five six"), (5, "quite another text of seven words"), (6, "one two three four five six")]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"].lower().split()[0]) for r in kept) == [(5, "one"), (5, "quite")]
+
+
+def test_word_hashes_do_not_depend_on_windows(monkeypatch):
+    rng = random.Random(9)
+    texts = pa.array([" ".join("".join(rng.choices("abc", k=rng.choice([1, 5, 60, 500]))) for _ in range(300)) for _ in range(5)])
+    raw, off = common.text_buffers(texts)
+    start, end, _ = ngram_join.word_bounds(raw, off)
+    want = ngram_join.word_hashes(raw, start, end)
+    for window in (64, 1000, 1 << 20):
+        monkeypatch.setattr(ngram_join, "WINDOW", window)
+        monkeypatch.setattr(ngram_join, "_POWERS", {})
+        assert (ngram_join.word_hashes(raw, start, end) == want).all()
+        assert sum(len(a) for a in ngram_join._POWERS.values()) <= 2 * (window + 1)
+    assert len(ngram_join.word_hashes(raw, start[:0], end[:0])) == 0
 
 
 def test_shingle_hashes_tell_texts_apart():
@@ -234,6 +252,18 @@ def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["predicted"] for r in toxicity.toxicity_scores(spark, d, lab).collect()] == [0, 0]
     assert toxicity.toxicity_scores(spark, d.limit(0), lab).collect() == []
+    # toxic labels of documents that are not in the table, or all of them toxic
+    for found in ([(8, 1), (9, 1), (1, 0)], [(1, 1), (2, 1)]):
+        got = toxicity.toxicity_scores(spark, d, spark.createDataFrame(found, "doc_id long, toxic int")).collect()
+        assert [r["predicted"] for r in got] == [0, 0] or found[0] == (1, 1)
+
+
+def test_toxicity_sample_of_billions():
+    """The share keeps its size when the table is far larger than the sample."""
+    for n in (10 ** 4, 5 * 10 ** 9, 5 * 10 ** 10, 10 ** 13):
+        share = toxicity.sample_share(9000, n)
+        assert abs(share / 10 ** 12 * n - min(9000, n)) <= n / 10 ** 12 + 1e-6
+    assert toxicity.sample_share(9000, 0) == 10 ** 12
 
 
 def test_risk_stays_non_negative():
@@ -372,8 +402,11 @@ def test_tool_calls(spark):
         (3, "u", 1, "add", {"a": "10", "b": "1", "note": "too long", "more": "1"}, [], "x")], CALLS)
     results = spark.createDataFrame([(1, "c", 9, "late"), (1, "c", 8, "first"), (1, "zz", 1, "lost"), (2, "r", 5, None), (1, "a", 2, "é\"")],
                                     "conv_id long, call_id string, seq long, content string")
-    rows = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link_calls(calls, results, SCHEMAS).collect()}
-    assert len(rows) == 12
+    every = tool_calls.link_calls(calls, results, SCHEMAS).collect()
+    again = sorted((r["conv_id"], r["call_id"], r["seq"], r["name"], r["status"]) for r in every if r["status"].startswith("repeated"))
+    assert again == [(1, "b", 4, "flag", "repeated_call"), (1, "c", 9, None, "repeated_result")]
+    rows = {(r["conv_id"], r["call_id"]): r for r in every if not r["status"].startswith("repeated")}
+    assert len(rows) == 12 and len(every) == 14
     level = {k: r["level"] for k, r in rows.items()}
     assert [level[1, x] for x in "abcd"] == [0, 1, 2, 3] and level[2, "p"] is level[2, "q"] is level[2, "r"] is None and level[2, "s"] == 0
     assert rows[1, "a"]["problems"] == ["a: not a long", "b: not a double"] and rows[1, "b"]["problems"] == ["on: not a boolean"]
@@ -390,6 +423,20 @@ def test_tool_calls(spark):
     assert none.collect() == [] and none.columns == ["conv_id", "call_id", "seq", "name", "level", "status", "problems", "missing_needs", "json"]
 
 
+def test_no_call_or_result_is_lost(spark):
+    rng = random.Random(5)
+    calls = [(rng.randrange(3), rng.choice("ab"), rng.randrange(3), "flag", rng.choice([{"on": "true"}, {"on": "false"}, None]), [], "x") for _ in range(60)]
+    results = [(rng.randrange(4), rng.choice("abc"), rng.randrange(3), rng.choice(["x", "y", None])) for _ in range(60)]
+    got = tool_calls.link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id long, call_id string, seq long, content string"),
+                                SCHEMAS).collect()
+    status = collections.Counter(r["status"] for r in got)
+    assert len(got) - status["repeated_result"] - status["no_call"] == len(calls)
+    ids = {(c, i) for c, i, *_ in results}
+    assert status["repeated_result"] == len(results) - len(ids) and status["no_call"] == len(ids - {(c, i) for c, i, *_ in calls})
+    seqs = collections.Counter((r["conv_id"], r["call_id"], r["seq"]) for r in got if r["name"])
+    assert seqs == collections.Counter((c, i, q) for c, i, q, *_ in calls)
+
+
 def test_levels_of_random_graphs(spark):
     rng = random.Random(8)
     edges, nodes = [], []
