@@ -30,6 +30,7 @@ def acorn_profiles(sources: Sources, store: ResultStore, group: str, years: tupl
                    strict: bool = False, align: bool = False, refresh: bool = False) -> DataFrame:
     """The profile rows of a group and year range."""
     def build() -> DataFrame:
+        sources.ready("half_hourly", "households", "holidays", "weather_daily")
         return PR.daily_profiles(
             sources.half_hourly, sources.households, sources.holidays, sources.weather_daily, group, years,
             strict=strict, align=align, households_rows=sources.bound("households"),

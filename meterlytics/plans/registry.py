@@ -36,7 +36,7 @@ from ..operators import weather as WX
 from ..operators.quantiles import exact_quantiles
 from ..sources import csv as C
 from ..sources.catalog import Sources, load_sources
-from ..session import path_exists, ship_package
+from ..session import compile_methods, path_exists, ship_package
 from ..sources.ledger import Ledger
 from ..sources.store import ResultStore
 from ..streaming import scoring as ST
@@ -61,6 +61,7 @@ def contract(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def src(spark: SparkSession, sf_dir: str) -> Sources:
     ship_package(spark)            # Python workers import the package (UDFs)
+    compile_methods(spark)
     return load_sources(spark, sf_dir)
 
 
@@ -113,7 +114,7 @@ def _weekend(spark, sf_dir):
 
 
 def _household(spark, sf_dir):
-    s = src(spark, sf_dir)
+    s = src(spark, sf_dir).ready("daily", "households")
     return P.household_patterns(s.daily, s.households, households_rows=s.bound("households"))
 
 
@@ -123,7 +124,7 @@ def _temperature(spark, sf_dir):
 
 
 def _temperature_hourly(spark, sf_dir):
-    s = src(spark, sf_dir)
+    s = src(spark, sf_dir).ready("half_hourly", "weather_hourly")
     return P.temperature_hourly(s.half_hourly, s.weather_hourly,
                                 weather_rows=s.bound("weather_hourly"))
 
@@ -341,6 +342,7 @@ def _csv_copy(spark, sf_dir) -> str:
     s = src(spark, sf_dir)
     root = f"{store(spark, sf_dir).root}/csv"
     if not path_exists(spark, f"{root}/made/_SUCCESS"):
+        s.ready()
         tables = {n: s.tables[n].select(*SOURCE_SCHEMAS[n].fieldNames()) for n in C.LAYOUT}
         tables["half_hourly"] = tables["half_hourly"].repartition(8, "LCLid")    # a household's history in one file
         C.write_sources_csv(tables, root)
@@ -404,7 +406,7 @@ def stream_anomaly_slots(spark, sf_dir):
     trigger), checked against the household-days already scored, selected by
     group and years, joined, encoded with the spec frozen from the stored
     profiles and scored; the sink's rows are returned."""
-    s = src(spark, sf_dir)
+    s = src(spark, sf_dir).ready("half_hourly", "households", "holidays", "weather_daily")
     base = f"{store(spark, sf_dir).root}/stream_{_TAG}"
     inbox = f"{base}/inbox"                    # deterministic per source fingerprint
     if not path_exists(spark, f"{inbox}/_SUCCESS"):

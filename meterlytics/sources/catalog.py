@@ -1,8 +1,8 @@
 """Source catalog: the six meter tables as DataFrames, normalised once.
 
 ``load_sources(spark, sf_dir)`` derives the meter tables from the driver's
-Parquet (``sources.fixtures``) and writes each as a Parquet table in the durable
-store (``session.store_root``), keyed by the input folder and a fingerprint of
+Parquet (``sources.fixtures``) and writes each, when it is first asked for, as a
+Parquet table in the durable store (``session.store_root``), keyed by the input folder and a fingerprint of
 all input files (``remove_older`` clears the earlier states of a folder).
 Applications that find the tables of the same inputs there write nothing. The
 fingerprint is taken anew at every call, so changed inputs are seen within a
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from ..functions.calendar import PARTITION_YEAR, year_from_text
 from ..operators.joins import ROW_BYTES
 from ..schemas import SOURCE_SCHEMAS
-from ..session import delete_path, file_stamps, list_dir, path_exists, publish, store_root
+from ..session import delete_path, file_stamps, list_dir, make_dir, path_exists, publish, store_root
 from . import fixtures
 
 # part of the stored name: a new number when the derivation changes
@@ -65,11 +66,35 @@ def measured(df: DataFrame) -> tuple[int, int]:
     return rows, total
 
 
+class LazyTables(Mapping):
+    """Tables by name, each made when it is first asked for; the first asker makes
+    it, others wait for it."""
+
+    def __init__(self, make: Callable[[str], DataFrame], names: list[str]):
+        self._make, self._made = make, {}
+        self._locks = {n: threading.Lock() for n in names}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        with self._locks[name]:
+            if name not in self._made:
+                self._made[name] = self._make(name)
+            return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._locks)
+
+    def __len__(self) -> int:
+        return len(self._locks)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._locks
+
+
 @dataclass
 class Sources:
     """Named source DataFrames plus exact row counts when known."""
 
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     rows: dict[str, int] = field(default_factory=dict)
     root: str | None = None
     # fact tables kept by a ledger: table -> year -> fingerprint, table -> last change
@@ -84,12 +109,27 @@ class Sources:
             return tables[name]
         raise AttributeError(name)
 
+    def ready(self, *names: str) -> "Sources":
+        """Makes the named tables (all by default) at the same time: independent
+        jobs whose tasks the scheduler interleaves."""
+        names = names or tuple(self.tables)
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            list(pool.map(self.tables.__getitem__, names))
+        return self
+
+    def _measured(self, name: str) -> None:
+        """Rows and bytes of a table made on demand are known once it is made."""
+        if name not in self.rows and name not in PARTITIONED and isinstance(self.tables, LazyTables) and name in self.tables:
+            self.tables[name]
+
     def row_count(self, name: str) -> int | None:
+        self._measured(name)
         return self.rows.get(name)
 
     def bound(self, name: str) -> int | None:
         """Proven size in rows of ``joins.ROW_BYTES`` bytes, for broadcasts: wide
         rows count several times."""
+        self._measured(name)
         rows, size = self.rows.get(name), self.bytes.get(name)
         if rows is None:
             return None
@@ -134,11 +174,9 @@ def derived_sources(spark: SparkSession, sf_dir: str) -> Sources:
 
 
 def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sources:
-    """Materialise (once per input fingerprint) and return the source tables.
-
-    The six derivations are independent jobs, submitted from a thread pool so
-    that the scheduler interleaves their tasks (each is small at low scale).
-    """
+    """The source tables, each materialised (once per input fingerprint) when it
+    is first asked for: a query pays for the tables that it reads. ``refresh``
+    makes all of them anew."""
     sf_dir = sf_dir.rstrip("/")
     with _LOCK:
         mark = _fingerprint(spark, sf_dir)
@@ -147,23 +185,26 @@ def load_sources(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Sou
             return _MEMO[key]
         root = f"{_origin(spark, sf_dir)}/{mark}"
 
-        def one(t: str) -> tuple[str, DataFrame, int | None]:
+        make_dir(spark, root)
+        src = Sources({}, root=root)
+
+        def one(t: str) -> DataFrame:
             path = f"{root}/{t}"
             if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
-                df = fixtures.BUILDERS[t](spark, sf_dir)
                 made = f"{root}/.making-{t}-{uuid.uuid4().hex}"
-                if t in PARTITIONED:
-                    (df.withColumn(PARTITION_YEAR, year_from_text("day"))
+                if t == "half_hourly":
+                    fixtures.half_hourly(spark, sf_dir, by_year=True).write.partitionBy(PARTITION_YEAR).parquet(made)
+                elif t in PARTITIONED:
+                    (fixtures.BUILDERS[t](spark, sf_dir).withColumn(PARTITION_YEAR, year_from_text("day"))
                        .write.partitionBy(PARTITION_YEAR).parquet(made))
                 else:
-                    df.write.parquet(made)
+                    fixtures.BUILDERS[t](spark, sf_dir).write.parquet(made)
                 publish(spark, made, path, replace=refresh)
             df = spark.read.schema(stored_schema(t)).parquet(path)
-            return t, df, None if t in PARTITIONED else measured(df)
+            if t not in PARTITIONED:
+                src.rows[t], src.bytes[t] = measured(df)
+            return df
 
-        with ThreadPoolExecutor(max_workers=len(TABLES)) as pool:
-            done = list(pool.map(one, TABLES))
-        src = Sources({t: df for t, df, _ in done}, {t: n[0] for t, _, n in done if n}, root,
-                      bytes={t: n[1] for t, _, n in done if n})
+        src.tables = LazyTables(one, TABLES)
         _MEMO[key] = src
-        return src
+    return src.ready() if refresh else src

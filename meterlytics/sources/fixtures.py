@@ -6,16 +6,19 @@ build tables with exactly those schemas from ``customer``, ``orders`` and
 The same derivations exist as SQL text in ``plans.oracle`` for DuckDB.
 
 Plan notes: ``hd`` and ``daily`` are the only shuffles (group by customer and
-date); the 48 reading columns are computed in one projection; the hourly
+date); the median of ``daily`` is taken by place in the sorted group (two windows
+and the aggregate share one exchange; ``median`` itself keeps a map per group and
+sends it serialised); the 48 reading columns are computed in one projection; the hourly
 weather grid is ``explode(sequence(0, 23))`` over the distinct dates, not a
 join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import PARTITION_YEAR, year_from_text
 from ..schemas import N_SLOTS
 
 EVENING_SLOTS = range(34, 42)   # fixed value: slots that get +48/64 kWh
@@ -55,8 +58,14 @@ def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.min("o_orderkey").alias("k")))
 
 
-def half_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def half_hourly(spark: SparkSession, sf_dir: str, by_year: bool = False) -> DataFrame:
+    """``by_year`` adds the year and orders the partitions by it while the rows are
+    still narrow, so that writing folders per year sorts no row of 48 readings."""
     hd = _order_days(spark, sf_dir)
+    last = []
+    if by_year:
+        hd = hd.withColumn(PARTITION_YEAR, year_from_text(F.col("d").cast("string"))).sortWithinPartitions(PARTITION_YEAR)
+        last = [PARTITION_YEAR]
     k = F.col("k")
     slots = []
     for i in range(N_SLOTS):
@@ -66,16 +75,22 @@ def half_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         slots.append(F.when((k + 3 * i) % 29 == 0, F.lit(None).cast("double"))
                       .otherwise(raw.cast("double") / F.lit(64.0)).alias(f"hh_{i}"))
     return hd.select(_lclid(F.col("o_custkey")).alias("LCLid"),
-                     F.col("d").cast("string").alias("day"), *slots)
+                     F.col("d").cast("string").alias("day"), *slots, *last)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
     q = F.col("l_quantity")
+    group = Window.partitionBy("o_custkey", "d")
+    # the one or two values in the middle of a group's n values (no null among them)
+    middle = F.col("at").between(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1"))
     return (o.join(li, o.o_orderkey == li.l_orderkey)
-             .groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("d"))
-             .agg(F.median(q).alias("energy_median"), F.avg(q).alias("energy_mean"),
+             .select("o_custkey", F.col("o_orderdate").cast("date").alias("d"), "l_quantity")
+             .withColumn("at", F.row_number().over(group.orderBy(F.asc_nulls_last("l_quantity"))))
+             .withColumn("n", F.count(q).over(group))
+             .groupBy("o_custkey", "d")
+             .agg(F.avg(F.when(middle, q)).alias("energy_median"), F.avg(q).alias("energy_mean"),
                   F.max(q).alias("energy_max"), F.count(q).alias("energy_count"),
                   F.round(F.stddev_samp(q), 6).alias("energy_std"),
                   F.sum(q).alias("energy_sum"), F.min(q).alias("energy_min"))
