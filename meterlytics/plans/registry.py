@@ -20,7 +20,7 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,22 @@ _STORES: dict[str, ResultStore] = {}
 _LOCK = threading.Lock()
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``F.round`` of a double, the same value for less: it goes through decimal
+    text, which is needed only near a tie (within 0.001 of a half, where the
+    product may err) and for large values, null, NaN and infinity."""
+    t = F.abs(x) * F.lit(float(10 ** digits))
+    whole = F.rint(t)
+    near = whole / F.lit(float(10 ** digits))
+    return (F.when((t < F.lit(float(1 << 40))) & (F.abs(t - whole) < F.lit(0.499)), F.when(x < 0, F.lit(0.0) - near).otherwise(near))
+            .otherwise(F.round(x, digits)))
+
+
 def contract(df: DataFrame, digits: int = 9) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
+            cols.append(rounded(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -214,17 +225,14 @@ FIXED_WEIGHT_SEED = 7          # rule weights for the scoring keys (model.rule_p
 ANOMALY_THRESHOLD = 0.1
 
 
-def _scored_fixed(spark, sf_dir):
+def scored_table(spark, sf_dir):
+    """M6 output (reading + reconstruction per household-day): one pass over the
+    stored features, not stored itself, which would write every reconstructed double."""
     f = feature_table(spark, sf_dir)
     cfg = M.infer_dims(f, M.AEConfig())
     return M.reconstruct(f, M.rule_params(cfg, FIXED_WEIGHT_SEED), cfg)
 
 
-# M6 output (reading + reconstruction per household-day), stored once and
-# read by the three scoring keys instead of re-running the Arrow UDF each time
-scored_table = stored(f"scored_rule{FIXED_WEIGHT_SEED}_{_TAG}", _scored_fixed)
-
-
 def reconstruction_fixed(spark, sf_dir):
     return M.row_errors(scored_table(spark, sf_dir))
 
@@ -288,8 +296,8 @@ def train_step_unconditional(spark, sf_dir):
 
 
 def train_rounds_fixed(spark, sf_dir):
-    """M4: two synchronous minibatch steps (one epoch of two rounds in a barrier
-    stage) from the rule weights; the weights after them."""
+    """M4: two synchronous minibatch steps (one epoch of two rounds) from the rule
+    weights; the weights after them."""
     f = feature_table(spark, sf_dir)
     cfg = M.infer_dims(f, M.AEConfig(learning_rate=STEP_RATE, max_rounds=2, shard_rows=512))
     table, cfg = M.prepare_training_table(f, cfg, checkpoint=False)
