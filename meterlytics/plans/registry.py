@@ -19,6 +19,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -345,31 +346,40 @@ def households_by_year(spark, sf_dir):
     return DI.distinct_households(household_bitmaps(spark, sf_dir), F.year("_d").alias("year"), "Acorn_grouped")
 
 
-def _csv_copy(spark, sf_dir) -> str:
-    """All sources in the CSV layout, written once per source state."""
+def _csv_copy(spark, sf_dir, *names: str) -> str:
+    """The named sources (all by default) in the CSV layout, each written once per
+    source state."""
     s = src(spark, sf_dir)
     root = f"{store(spark, sf_dir).root}/csv"
-    if not path_exists(spark, f"{root}/made/_SUCCESS"):
-        s.ready()
-        tables = {n: s.tables[n].select(*SOURCE_SCHEMAS[n].fieldNames()) for n in C.LAYOUT}
-        tables["half_hourly"] = tables["half_hourly"].repartition(8, "LCLid")    # a household's history in one file
+    todo = [n for n in names or C.LAYOUT if not path_exists(spark, f"{root}/made/{n}/_SUCCESS")]
+    if todo:
+        s.ready(*todo)
+        tables = {n: s.tables[n].select(*SOURCE_SCHEMAS[n].fieldNames()) for n in todo}
+        if "half_hourly" in tables:
+            tables["half_hourly"] = tables["half_hourly"].repartition(8, "LCLid")    # a household's history in one file
         C.write_sources_csv(tables, root)
-        spark.range(1).write.mode("overwrite").parquet(f"{root}/made")
+        for n in todo:
+            spark.range(1).write.mode("overwrite").parquet(f"{root}/made/{n}")
     return root
 
 
+def _slot_totals(slots: list[Column]) -> list[Column]:
+    """Readings that are there, and their sum from the first to the last, as plain
+    expressions (lambdas over an array are interpreted per reading)."""
+    n = reduce(lambda a, x: a + x.isNotNull().cast("int"), slots, F.lit(0))
+    return [n.alias("n"), reduce(lambda a, x: a + F.coalesce(x, F.lit(0.0)), slots, F.lit(0.0)).alias("total")]
+
+
 def ledger_rows(spark, sf_dir):
     """The half-hourly rows from block files kept by a ledger, which
     first sees half of the files and then all of them."""
-    root = _csv_copy(spark, sf_dir)
+    root = _csv_copy(spark, sf_dir, "half_hourly")
     where, home = f"{root}/{C.LAYOUT['half_hourly']}", f"{store(spark, sf_dir).root}/ledger"
     if not path_exists(spark, home):
         Ledger(spark, home, where, HALF_HOURLY, "part-0000[0-3]*.csv").refresh(strict=True)
     ledger = Ledger(spark, home, where, HALF_HOURLY)
     ledger.refresh(strict=True)
-    slots = F.array(*[F.col(f"hh_{i}") for i in range(48)])
-    return ledger.table().select("LCLid", "day", "year", F.size(F.filter(slots, lambda x: x.isNotNull())).alias("n"),
-                                 F.aggregate(slots, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("total"))
+    return ledger.table().select("LCLid", "day", "year", *_slot_totals([F.col(f"hh_{i}") for i in range(48)]))
 
 
 def csv_households(spark, sf_dir):
