@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast
 from .common import ASCII_LOWER, IS_SPACE, components, cut, forget, lower_ascii, prepare, slices, text_buffers
 
 WORDS = 5
@@ -471,17 +472,24 @@ def ngram_classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id. Rows
     of one id and the same words are one document; rows of one id with other
-    words all stay, and so do rows without an id."""
+    words all stay, and so do rows without an id.
+
+    The ids to look at (copies that go, and ids of several rows) are few beside
+    the texts: they are broadcast up to ``joins.DEFAULT_MAX_BROADCAST_ROWS``, so
+    that the texts stay where they are read. Beyond that, the texts are shuffled."""
     classes = cut(ngram_classes(docs), "ngram-classes")
-    first = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    ids = (classes.where("doc_id IS NOT NULL").groupBy("doc_id")
+           .agg(F.count("*").alias("__rows"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("__own")))
+    ids = cut(ids.where("__own = 0 OR __rows > 1"), "ngram-ids")
+    again, rows = ids.agg(F.coalesce(F.max("__own"), F.lit(0)) > 1, F.count("*")).first()
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    if first.where("__rows > 1").isEmpty():
-        kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*cols)
-    else:
-        words = F.sha2(F.array_join(F.array_remove(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), ""), " "), 256)
-        kept = (docs.join(first.select("doc_id"), "doc_id", "left_semi").withColumn("__words", words)
-                .dropDuplicates(["doc_id", "__words"]).select(*cols))
-    return kept.union(docs.where("doc_id IS NULL"))
+    if not again:
+        gone = ids.where("__own = 0").select("doc_id")
+        return docs.join(bounded_broadcast(gone, rows), "doc_id", "left_anti").select(*cols)
+    marked = docs.join(bounded_broadcast(ids.select("doc_id", (F.col("__own") == 0).alias("__gone")), rows), "doc_id", "left")
+    words = F.sha2(F.array_join(F.array_remove(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), ""), " "), 256)
+    several = marked.where("NOT __gone").withColumn("__words", words).dropDuplicates(["doc_id", "__words"])
+    return marked.where("__gone IS NULL").select(*cols).union(several.select(*cols))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -113,6 +113,23 @@ def test_classes_on_repeated_rows_and_empty_table(spark):
     assert sorted((r["doc_id"], r["text"].lower().split()[0]) for r in kept) == [(5, "one"), (5, "quite")]
 
 
+def test_texts_are_not_shuffled_to_drop_copies(spark):
+    """Joins of the texts broadcast the few ids that matter, whatever the size of the texts."""
+    rows = [(i, f"w{i % 7} one two three four five six seven") for i in range(40)]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for extra, joins in (([(None, "q r s t u v"), (None, "q r s t u v")], 1), ([(3, "w3 ONE two three four five six seven")], 2)):
+            got = ngram_join.drop_near_copies(spark.createDataFrame(rows + extra, "doc_id long, text string"))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("BroadcastHashJoin") >= joins and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+            want = list(range(7)) + [i for i, _ in extra if i is None]
+            assert sorted(map(repr, (r["doc_id"] for r in got.collect()))) == sorted(map(repr, want))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     rng = random.Random(9)
     texts = pa.array([" ".join("".join(rng.choices("abc", k=rng.choice([1, 5, 60, 500]))) for _ in range(300)) for _ in range(5)])
