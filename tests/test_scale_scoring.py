@@ -46,3 +46,54 @@ def test_contract_rounds_as_round_does(spark):
         assert bits(r["got"]) == bits(r["want"]), r
     plan = R.contract(df.select("x"))
     assert plan.columns == ["x"] and plan.count() == len(xs)
+
+
+def test_slot_labels_are_looked_up(spark):
+    from meterlytics.functions.calendar import slot_label
+    df = spark.range(48).select(F.col("id").cast("int").alias("slot"))
+    old = F.format_string("%02d:%02d", F.floor(F.col("slot") / 2).cast("int"), (F.col("slot") % 2) * 30)
+    assert df.where(slot_label("slot") != old).count() == 0
+    assert df.select(F.concat(slot_label("slot")).alias("x")).distinct().count() == 48
+    plan = df.select(slot_label("slot").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[00:00,00:30,01:00" in plan.replace(", ", ",")          # one literal
+
+
+def test_stream_writes_few_files(spark, scratch):
+    """No file of keys per state partition and year."""
+    import glob
+    import os
+
+    from meterlytics.schemas import HALF_HOURLY
+    from meterlytics.streaming import scoring as ST
+    inbox, sink = os.path.join(scratch, "inbox"), os.path.join(scratch, "out")
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "b.csv"), "w") as fh:
+        fh.write(",".join(HALF_HOURLY.fieldNames()) + "\n"
+                 + "".join(f"H{i},{1995 + i % 3}-01-01," + ",".join(["0.5"] * 48) + "\n" for i in range(120)))
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "24")
+    try:
+        q = ST.start(ST.block_stream(spark, inbox), lambda rows: rows.select("LCLid", "day"), sink, os.path.join(scratch, "ckpt"))
+        q.awaitTermination(300)
+        assert q.exception() is None
+    finally:
+        spark.conf.set(key, before)
+    assert len(glob.glob(f"{sink}/keys/batch=0/year=*/*.parquet")) <= 3 * spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(f"{sink}/keys").count() == ST.read_scores(spark, sink).count() == 120
+
+
+def test_state_is_on_disk_unless_the_session_says_so():
+    """A session made elsewhere gets the state provider, one of its own stays."""
+    from meterlytics.session import _DEFAULTS, disk_state
+    key = "spark.sql.streaming.stateStore.providerClass"
+
+    class Session:
+        def __init__(self, **kept):
+            self.kept, self.conf = kept, self
+            self.get, self.set = self.kept.get, self.kept.__setitem__
+    bare, own = Session(), Session(**{key: "other"})
+    disk_state(bare)
+    disk_state(own)
+    assert bare.kept[key] == _DEFAULTS[key] and own.kept[key] == "other"
