@@ -73,3 +73,33 @@ def test_salted_keys_are_not_broadcast(spark):
     got = salted_semi_join(fact, keys, "k", spread_by="day")
     assert got.columns == ["k", "day"] and got.count() == fact.where("k < 3").count()
     assert "Broadcast" not in run_plan(got)
+
+
+class Direct:
+    """A store that keeps nothing: the plan of a table stays visible."""
+
+    def materialize(self, name, build, **kw):
+        return build()
+
+
+@pytest.mark.parametrize("query", ["features", "anomalies", "error", "unconditional"])
+def test_what_builds_on_profiles_broadcasts_no_households(spark, query):
+    from meterlytics.operators import model as M
+    from meterlytics.plans import pipeline as PL
+    from meterlytics.sources.catalog import Sources
+    names = ("half_hourly", "households", "holidays", "weather_daily")
+
+    def built(rows):
+        s = Sources(dict(zip(names, tables(spark))), {"households": rows, "holidays": 2, "weather_daily": 2})
+        f = PL.feature_table(s, Direct(), "Affluent", (2012, 2013))
+        if query == "unconditional":
+            f = M.without_conditions(f)
+        if query in ("features", "unconditional"):
+            return f
+        cfg = M.infer_dims(f, M.AEConfig(hidden_dim=4))
+        scored = M.reconstruct(f, M.rule_params(cfg), cfg)
+        out = M.anomaly_slots(scored) if query == "anomalies" else M.reconstruction_error(scored)
+        return out.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    many = built(3_000_000)
+    same_rows(many, built(9))
+    assert not re.search(r"BroadcastHashJoin \[(LCLid|file)#", run_plan(many))
