@@ -103,3 +103,18 @@ def test_what_builds_on_profiles_broadcasts_no_households(spark, query):
     many = built(3_000_000)
     same_rows(many, built(9))
     assert not re.search(r"BroadcastHashJoin \[(LCLid|file)#", run_plan(many))
+
+
+def test_a_trigger_of_the_stream_broadcasts_no_households(spark):
+    from meterlytics.operators import features as FE
+    from meterlytics.operators import model as M
+    from meterlytics.streaming import scoring as ST
+    hh, homes, holidays, weather = tables(spark)
+    spec = FE.fit_spec(PR.daily_profiles(hh, homes, holidays, weather, "Affluent", (2012, 2013), households_rows=9))
+    cfg = M.AEConfig(input_dim=spec.length, cond_dim=FE.COND_DIM, hidden_dim=4)
+
+    def scored(rows):
+        return ST.batch_scorer(homes, holidays, weather, "Affluent", (2012, 2013), spec, M.rule_params(cfg), cfg,
+                               households_rows=rows, holiday_rows=2, weather_rows=2)(hh)
+    same_rows(scored(3_000_000), scored(9))
+    assert not re.search(r"BroadcastHashJoin \[(LCLid|file)#", run_plan(scored(3_000_000)))
